@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions.text import WS
 
 REQUIRED_KEYS = ["cheap_score", "expensive_score", "quality_gap", "routing_correct"]
 
@@ -31,11 +32,16 @@ def judge_inputs(df: DataFrame, prompt: str = "prompt", cheap: str = "cheap_outp
     return df.select("*", msg.alias("judge_input"))
 
 
+def _strip_ws(c: F.Column) -> F.Column:
+    """``str.strip()``: white space (as ``str.isspace``) off both ends."""
+    return F.regexp_replace(F.regexp_replace(c, "^" + WS + "+", ""), WS + "+$", "")
+
+
 def extract_json(raw) -> F.Column:
     """V2: trim, drop a leading / trailing fence, then first ``{`` to last ``}``."""
-    t = F.trim(F.col(raw) if isinstance(raw, str) else raw)
+    t = _strip_ws(F.col(raw) if isinstance(raw, str) else raw)
     t = F.regexp_replace(t, LEADING_FENCE, "")
-    t = F.trim(F.regexp_replace(t, TRAILING_FENCE, ""))
+    t = _strip_ws(F.regexp_replace(t, TRAILING_FENCE, ""))
     span = F.regexp_extract(t, OBJECT_SPAN, 0)
     return F.when(span != "", span).otherwise(t)
 

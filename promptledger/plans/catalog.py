@@ -42,3 +42,289 @@ SELECT COUNT(*) AS total_requests,
 FROM request_log"""))
 def q_savings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.savings_summary(fx.request_log(spark, sf_dir))
+
+
+# ------------------------------------------------------------ shared inputs
+
+from ..functions import text as tx  # noqa: E402
+from ..functions.money import token_cost  # noqa: E402
+from ..operators import costs as cst  # noqa: E402
+from ..operators import escalation as esc  # noqa: E402
+from ..operators import routing as rt  # noqa: E402
+from ..operators import verdicts as vd  # noqa: E402
+from ..operators.percentiles import exact_percentiles  # noqa: E402
+from .. import settings as S  # noqa: E402
+
+
+def _log(spark, sf):
+    return fx.request_log(spark, sf)
+
+
+def _outcomes(spark, sf):
+    log = _log(spark, sf)
+    return esc.escalation_outcomes(log, fx.completions(spark, sf, log), ct.model_registry(spark))
+
+
+def _log_esc(spark, sf):
+    """Request log with escalation outcomes merged."""
+    log = _log(spark, sf)
+    return esc.merge_escalations(log, _outcomes(spark, sf))
+
+
+def _dbl(c):
+    return F.col(c).cast("double").alias(c)
+
+
+_OUTCOMES_SQL = f"""
+outcomes AS (
+  SELECT l.*, c.prompt_id IS NOT NULL AS escalated,
+    CASE WHEN c.prompt_id IS NOT NULL THEN (SELECT model_id FROM best_model) END AS escalated_model,
+    CASE WHEN c.prompt_id IS NOT NULL THEN
+      CAST(round(CAST(c.input_tokens AS DECIMAL(12,0)) * (SELECT price_in_per_token FROM best_model)
+        + CAST(c.output_tokens AS DECIMAL(12,0)) * (SELECT price_out_per_token FROM best_model), 8) AS DECIMAL(18,8))
+      ELSE CAST(0 AS DECIMAL(18,8)) END AS cost_delta_usd,
+    CASE WHEN c.prompt_id IS NOT NULL THEN printf('quality_gap=%.1f cheap_score=%.1f', l.quality_gap, l.quality_score)
+      ELSE 'escalation_api_failed' END AS reason
+  FROM request_log l LEFT JOIN completions c
+    ON c.prompt_id = l.id AND c.model_key = (SELECT model_key FROM best_model)
+  WHERE l.decision = 'escalate'
+  UNION ALL
+  SELECT l.*, false, CAST(NULL AS VARCHAR), CAST(0 AS DECIMAL(18,8)), l.decision
+  FROM request_log l WHERE l.decision <> 'escalate'),
+log_esc AS (
+  SELECT l.*, coalesce(o.escalated, false) AS escalated, o.escalated_model,
+    coalesce(o.cost_delta_usd, CAST(0 AS DECIMAL(18,8))) AS cost_delta_usd
+  FROM request_log l LEFT JOIN (SELECT id, escalated, escalated_model, cost_delta_usd FROM outcomes) o ON o.id = l.id)"""
+
+
+def _esc_sql(body: str) -> str:
+    """Oracle text over ``outcomes`` / ``log_esc``."""
+    w = with_views(["request_log", "completions", "best_model"], "")
+    return w.rstrip() + ",\n" + _OUTCOMES_SQL + "\n" + body
+
+
+# ------------------------------------------------------------ A2 - A12
+
+_AS_OF_7 = "day >= CAST((SELECT max(ts) FROM request_log) AS DATE) - 7"
+
+
+@query("escalation_rate_7d", _esc_sql(f"""
+SELECT count(*) AS num_requests,
+  coalesce(round(avg(CAST(escalated AS INTEGER)) * 100, 1), 0.0) AS escalation_rate_pct
+FROM log_esc WHERE {_AS_OF_7}"""))
+def q_escalation_rate_7d(spark, sf):
+    return rep.escalation_rate(_log_esc(spark, sf), 7)
+
+
+@query("requests_by_tier", with_views(["request_log"], """
+SELECT complexity_tier, count(*) AS n FROM request_log WHERE complexity_tier IS NOT NULL GROUP BY complexity_tier"""))
+def q_requests_by_tier(spark, sf):
+    return rep.requests_by_tier(_log(spark, sf))
+
+
+@query("requests_by_model", with_views(["request_log"], """
+SELECT routed_model, count(*) AS n, round(avg(quality_score), 2) AS avg_quality
+FROM request_log GROUP BY routed_model ORDER BY n DESC, routed_model"""))
+def q_requests_by_model(spark, sf):
+    return rep.requests_by_model(_log(spark, sf))
+
+
+@query("recent_requests", _esc_sql("""
+SELECT id, ts, complexity_tier, classifier_conf, routed_model, CAST(cost_usd AS DOUBLE) AS cost_usd,
+  CAST(cost_if_highest_quality AS DOUBLE) AS cost_if_highest_quality, latency_ms, quality_score, escalated,
+  escalated_model
+FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50"""))
+def q_recent_requests(spark, sf):
+    r = rep.recent_requests(_log_esc(spark, sf), 50)
+    return r.select(*[_dbl(c) if c in ("cost_usd", "cost_if_highest_quality") else F.col(c) for c in r.columns])
+
+
+@query("recent_requests_tier_filter", _esc_sql("""
+SELECT * FROM (SELECT id, ts, complexity_tier, routed_model FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50)
+WHERE complexity_tier IN (2, 3)"""))
+def q_recent_requests_tier_filter(spark, sf):
+    return rep.recent_with_tier_filter(_log_esc(spark, sf), [2, 3], 50).select(
+        "id", "ts", "complexity_tier", "routed_model")
+
+
+@query("daily_cost", with_views(["request_log"], """
+SELECT day, CAST(round(sum(cost_usd), 6) AS DOUBLE) AS cost_actual,
+  CAST(round(sum(cost_if_highest_quality), 6) AS DOUBLE) AS cost_baseline, count(*) AS num_requests
+FROM request_log GROUP BY day ORDER BY day"""))
+def q_daily_cost(spark, sf):
+    return rep.daily_cost(_log(spark, sf))
+
+
+@query("daily_escalation", _esc_sql("""
+SELECT day, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate, count(*) AS num_requests
+FROM log_esc GROUP BY day ORDER BY day"""))
+def q_daily_escalation(spark, sf):
+    return rep.daily_escalation(_log_esc(spark, sf))
+
+
+@query("daily_escalation_alert", _esc_sql(f"""
+SELECT max(escalation_rate) AS max_daily_rate, coalesce(max(escalation_rate > {S.ALERT_RATE_PCT}), false) AS alert
+FROM (SELECT day, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate FROM log_esc GROUP BY day)"""))
+def q_daily_escalation_alert(spark, sf):
+    return rep.daily_escalation_alert(_log_esc(spark, sf))
+
+
+@query("quality_histogram", with_views(["request_log"], """
+SELECT bin, CASE WHEN bin < 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) + bin * CAST(0.25 AS DOUBLE) END AS bin_start,
+  count(*) AS n
+FROM (SELECT CASE WHEN quality_score < 0 THEN -1
+             ELSE least(19, greatest(0, CAST(floor((quality_score - CAST(0.5 AS DOUBLE)) / CAST(0.25 AS DOUBLE))
+               AS INTEGER))) END AS bin
+      FROM request_log WHERE quality_score IS NOT NULL)
+GROUP BY bin ORDER BY bin"""))
+def q_quality_histogram(spark, sf):
+    return rep.quality_histogram(_log(spark, sf))
+
+
+@query("routing_distribution", with_views(["request_log", "registry"], """
+SELECT c.routed_model, coalesce(r.display_name, c.routed_model) AS display_name, c.n,
+  round(c.n * 100.0 / (SELECT count(*) FROM request_log), 1) AS share_pct
+FROM (SELECT routed_model, count(*) AS n FROM request_log GROUP BY routed_model) c
+LEFT JOIN registry r ON r.model_key = c.routed_model ORDER BY n DESC, routed_model"""))
+def q_routing_distribution(spark, sf):
+    return rep.routing_distribution(_log(spark, sf), ct.model_registry(spark))
+
+
+@query("tier_distribution", with_views(["request_log"], """
+SELECT complexity_tier, count(*) AS n,
+  round(count(*) * 100.0 / (SELECT count(*) FROM request_log WHERE complexity_tier IS NOT NULL), 1) AS share_pct
+FROM request_log WHERE complexity_tier IS NOT NULL GROUP BY complexity_tier ORDER BY complexity_tier"""))
+def q_tier_distribution(spark, sf):
+    return rep.tier_distribution(_log(spark, sf))
+
+
+@query("escalation_alert", _esc_sql(f"""
+SELECT n, coalesce(rate_pct, 0.0) AS rate_pct,
+  CASE WHEN n < {S.ALERT_MIN_ROWS} THEN 'silent' WHEN coalesce(rate_pct, 0.0) > {S.ALERT_RATE_PCT} THEN 'alert'
+       ELSE 'ok' END AS status
+FROM (SELECT count(*) AS n, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS rate_pct
+      FROM (SELECT escalated FROM log_esc ORDER BY ts DESC, id DESC LIMIT {S.ALERT_WINDOW}))"""))
+def q_escalation_alert(spark, sf):
+    return rep.escalation_alert(_log_esc(spark, sf))
+
+
+@query("audit_view", _esc_sql("""
+SELECT id, strftime(ts, '%H:%M:%S') AS time, complexity_tier AS tier, routed_model AS model,
+  '$' || CAST(CAST(round(cost_usd, 6) AS DECIMAL(18,6)) AS VARCHAR) AS cost,
+  '$' || CAST(CAST(round(cost_if_highest_quality, 6) AS DECIMAL(18,6)) AS VARCHAR) AS baseline,
+  CAST(CAST(round(latency_ms, 0) AS BIGINT) AS VARCHAR) AS latency,
+  CASE WHEN quality_score IS NULL THEN '—' ELSE printf('%.1f', quality_score) END AS quality,
+  CASE WHEN escalated THEN 'Yes' ELSE '' END AS escalated
+FROM (SELECT * FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50)"""))
+def q_audit_view(spark, sf):
+    recent = rep.recent_requests(_log_esc(spark, sf), 50)
+    return rep.audit_view(recent)
+
+
+@query("audit_flags", _esc_sql(f"""
+SELECT id, CASE WHEN escalated THEN 'escalated' WHEN quality_score < {S.MIN_CHEAP_SCORE} THEN 'low_quality'
+  ELSE 'none' END AS flag
+FROM log_esc"""))
+def q_audit_flags(spark, sf):
+    return _log_esc(spark, sf).select("id", rep.row_flag().alias("flag"))
+
+
+@query("latency_percentiles", with_views(["request_log"], """
+SELECT n,
+  max(CASE WHEN r = floor(n * 0.5) THEN latency_ms END) AS p50,
+  max(CASE WHEN r = floor(n * 0.95) THEN latency_ms END) AS p95,
+  max(CASE WHEN r = floor(n * 0.99) THEN latency_ms END) AS p99
+FROM (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS r, count(*) OVER () AS n
+      FROM request_log WHERE event_type <> 'error' AND latency_ms IS NOT NULL)
+GROUP BY n"""))
+def q_latency_percentiles(spark, sf):
+    ok = _log(spark, sf).where(F.col("event_type") != "error")
+    return exact_percentiles(ok, "latency_ms", [0.5, 0.95, 0.99], ["p50", "p95", "p99"])
+
+
+@query("run_checks", with_views(["request_log"], """
+SELECT total_requests, total_baseline_cost, savings_usd,
+  total_requests >= 20 AS enough_rows, total_baseline_cost > 0 AS baseline_positive, savings_usd > 0 AS savings_positive,
+  (total_requests >= 20 AND total_baseline_cost > 0 AND savings_usd > 0) AS passed
+FROM (SELECT count(*) AS total_requests,
+        coalesce(CAST(round(sum(cost_if_highest_quality), 6) AS DOUBLE), 0.0) AS total_baseline_cost,
+        coalesce(CAST(round(sum(cost_if_highest_quality) - sum(cost_usd), 6) AS DOUBLE), 0.0) AS savings_usd
+      FROM request_log)"""))
+def q_run_checks(spark, sf):
+    return rep.run_checks(rep.savings_summary(_log(spark, sf)))
+
+
+_RUN_OK = "event_type <> 'error'"
+
+
+@query("run_report", with_views(["request_log"], f"""
+SELECT sent, succeeded, round(succeeded * 100.0 / sent, 0) AS success_pct, sent - succeeded AS errors,
+  coalesce(CAST(round(c, 6) AS DOUBLE), 0.0) AS total_cost_usd,
+  coalesce(CAST(round(b, 6) AS DOUBLE), 0.0) AS total_baseline_cost,
+  coalesce(CAST(round(b - c, 6) AS DOUBLE), 0.0) AS savings_usd,
+  CASE WHEN b > 0 THEN CAST(round((1 - c / b) * 100, 1) AS DOUBLE) END AS savings_pct
+FROM (SELECT count(*) AS sent, count(CASE WHEN {_RUN_OK} THEN 1 END) AS succeeded,
+        sum(CASE WHEN {_RUN_OK} THEN cost_usd END) AS c, sum(CASE WHEN {_RUN_OK} THEN cost_if_highest_quality END) AS b
+      FROM request_log)"""))
+def q_run_report(spark, sf):
+    log = _log(spark, sf).withColumn("success", F.col("event_type") != "error")
+    return rep.run_totals(log)
+
+
+@query("run_routing_distribution", with_views(["request_log", "registry"], f"""
+SELECT c.routed_model, coalesce(r.display_name, c.routed_model) AS display_name, c.n,
+  round(c.n * 100.0 / (SELECT count(*) FROM request_log WHERE {_RUN_OK}), 1) AS share_pct
+FROM (SELECT routed_model, count(*) AS n FROM request_log WHERE {_RUN_OK} GROUP BY routed_model) c
+LEFT JOIN registry r ON r.model_key = c.routed_model"""))
+def q_run_routing_distribution(spark, sf):
+    return rep.routing_distribution(_log(spark, sf), ct.model_registry(spark), F.col("event_type") != "error")
+
+
+# ------------------------------------------------------------ A15, A16, J5, C7
+
+def _priced_runs(spark, sf):
+    reg = ct.model_registry(spark)
+    runs = fx.baseline_runs(spark, sf, reg)
+    return cst.price_requests(runs, reg, model_col="model_key")
+
+
+_SAV1 = ("CASE WHEN cost_if_highest_quality = 0 THEN 0.0 ELSE round(CAST((cost_if_highest_quality - cost_usd) "
+         "/ cost_if_highest_quality * 100 AS DOUBLE), 1) END")
+
+
+@query("cost_matrix", with_views(["priced_runs"], f"""
+SELECT prompt_index, model_key, success, CAST(cost_usd AS DOUBLE) AS cost_usd,
+  CAST(cost_if_highest_quality AS DOUBLE) AS cost_if_highest_quality, {_SAV1} AS savings_pct
+FROM priced_runs"""))
+def q_cost_matrix(spark, sf):
+    p = _priced_runs(spark, sf)
+    sav = cst.savings_columns(pct_places=1)[1]
+    return p.select("prompt_index", "model_key", "success", _dbl("cost_usd"), _dbl("cost_if_highest_quality"), sav)
+
+
+@query("baseline_by_model", with_views(["priced_runs", "registry"], f"""
+SELECT g.model_key, g.display_name, coalesce(a.runs, 0) AS runs, coalesce(a.succeeded, 0) AS succeeded,
+  round(CAST(a.c AS DOUBLE), 8) AS avg_cost_usd, round(a.l, 1) AS avg_latency_ms, round(a.s, 1) AS avg_savings_pct
+FROM registry g LEFT JOIN (
+  SELECT model_key, count(*) AS runs, count(CASE WHEN success THEN 1 END) AS succeeded,
+    avg(CASE WHEN success THEN cost_usd END) AS c, avg(CASE WHEN success THEN latency_ms END) AS l,
+    avg(CASE WHEN success THEN {_SAV1} END) AS s
+  FROM priced_runs GROUP BY model_key) a ON a.model_key = g.model_key
+ORDER BY g.registry_order"""))
+def q_baseline_by_model(spark, sf):
+    p = _priced_runs(spark, sf)
+    runs = p.select("*", cst.savings_columns(pct_places=1)[1])
+    return rep.baseline_by_model(runs, ct.model_registry(spark))
+
+
+@query("baseline_overall", with_views(["priced_runs"], """
+SELECT sent, succeeded, round(succeeded * 100.0 / sent, 0) AS success_pct, sent - succeeded AS errors,
+  coalesce(CAST(round(c, 6) AS DOUBLE), 0.0) AS total_cost_usd,
+  coalesce(CAST(round(b, 6) AS DOUBLE), 0.0) AS total_baseline_cost,
+  coalesce(CAST(round(b - c, 6) AS DOUBLE), 0.0) AS savings_usd,
+  CASE WHEN b > 0 THEN CAST(round((1 - c / b) * 100, 1) AS DOUBLE) END AS savings_pct
+FROM (SELECT count(*) AS sent, count(CASE WHEN success THEN 1 END) AS succeeded,
+        sum(CASE WHEN success THEN cost_usd END) AS c, sum(CASE WHEN success THEN cost_if_highest_quality END) AS b
+      FROM priced_runs)"""))
+def q_baseline_overall(spark, sf):
+    return rep.run_totals(_priced_runs(spark, sf))

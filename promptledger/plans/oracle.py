@@ -123,3 +123,110 @@ def with_views(names: list[str], body: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     return f"WITH {ctes}\n{body}"
+
+
+# ------------------------------------------------------------ B.3 views
+
+view("completions", ["request_log"], """
+SELECT id AS prompt_id, 'large' AS model_key, 'reference answer ' || CAST(id AS VARCHAR) AS output_text,
+  input_tokens, output_tokens + id % 17 AS output_tokens,
+  latency_ms * CAST(0.5 AS DOUBLE) + CAST(100.0 AS DOUBLE) AS latency_ms
+FROM request_log WHERE id % 11 <> 0""")
+
+_full = ("'{\"cheap_score\": ' || printf('%.1f', quality_score) || ', \"expensive_score\": ' || "
+         "printf('%.1f', expensive_score) || ', \"quality_gap\": 99.0, \"routing_correct\": ' || "
+         "(CASE WHEN decision = 'routing_correct' THEN 'true' ELSE 'false' END) || ', \"failure_reason\": null}'")
+_partial = ("'{\"cheap_score\": ' || printf('%.1f', quality_score) || ', \"quality_gap\": 99.0, "
+            "\"routing_correct\": ' || (CASE WHEN decision = 'routing_correct' THEN 'true' ELSE 'false' END) || '}'")
+view("verdict_text", ["request_log"], f"""
+SELECT id, ts, CASE id % 5 WHEN 0 THEN {_full}
+  WHEN 1 THEN '```json' || chr(10) || {_full} || chr(10) || '```'
+  WHEN 2 THEN 'Here is my assessment:' || chr(10) || {_full} || chr(10) || 'Thanks.'
+  WHEN 3 THEN {_partial}
+  ELSE 'I cannot score these answers.' END AS raw
+FROM request_log WHERE quality_score >= 0""")
+
+_WSC = TX.WS
+_trimmed = (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+            f"raw, {_q('^' + _WSC + '+')}, ''), {_q(_WSC + '+$')}, ''), {_q(r'^```(?:json)?\s*')}, ''), "
+            f"{_q(r'\s*```$')}, ''), {_q('^' + _WSC + '+')}, ''), {_q(_WSC + '+$')}, '')")
+
+
+def parsed_sql(src: str) -> str:
+    """V2-V5 over ``src`` (a relation with ``raw``)."""
+    return f"""
+SELECT * EXCLUDE (js, keys, c, e, rc, fr),
+  CASE WHEN parse_error IS NULL THEN c ELSE CAST({S.VERIFY_FAILED_SENTINEL} AS DOUBLE) END AS quality_score,
+  CASE WHEN parse_error IS NULL THEN e END AS expensive_score,
+  CASE WHEN parse_error IS NULL THEN e - c ELSE CAST(0.0 AS DOUBLE) END AS quality_gap,
+  CASE WHEN parse_error IS NULL THEN
+    CASE WHEN rc IS NULL THEN false WHEN lower(rc) = 'false' THEN false WHEN lower(rc) = 'true' THEN true
+         WHEN TRY_CAST(rc AS DOUBLE) IS NOT NULL THEN TRY_CAST(rc AS DOUBLE) <> 0 ELSE rc <> '' END
+    ELSE false END AS judge_routing_correct,
+  CASE WHEN parse_error IS NULL THEN fr ELSE parse_error END AS failure_reason
+FROM (
+  SELECT *, CASE WHEN keys IS NULL THEN 'not_json'
+                 WHEN NOT list_has_all(keys, ['cheap_score', 'expensive_score', 'quality_gap', 'routing_correct'])
+                   THEN 'missing_keys'
+                 WHEN c IS NULL OR e IS NULL THEN 'bad_value' END AS parse_error
+  FROM (
+    SELECT *, CASE WHEN keys IS NOT NULL THEN TRY_CAST(json_extract_string(js, '$.cheap_score') AS DOUBLE) END AS c,
+      CASE WHEN keys IS NOT NULL THEN TRY_CAST(json_extract_string(js, '$.expensive_score') AS DOUBLE) END AS e,
+      CASE WHEN keys IS NOT NULL THEN json_extract_string(js, '$.routing_correct') END AS rc,
+      CASE WHEN keys IS NOT NULL THEN json_extract_string(js, '$.failure_reason') END AS fr
+    FROM (
+      SELECT *, CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' THEN json_keys(js) END AS keys
+      FROM (
+        SELECT *, CASE WHEN regexp_extract(t0, {_q(r'(?s)\{.*\}')}, 0) <> ''
+                       THEN regexp_extract(t0, {_q(r'(?s)\{.*\}')}, 0) ELSE t0 END AS js
+        FROM (SELECT *, {_trimmed} AS t0 FROM {src})))))"""
+
+
+view("parsed_verdicts", ["verdict_text"], parsed_sql("verdict_text"))
+view("verdicts", ["parsed_verdicts"], """
+SELECT id, quality_score, ts + INTERVAL 1 MINUTE + to_seconds(id % 300) AS verified_at FROM parsed_verdicts
+UNION ALL
+SELECT id, CAST(5.0 AS DOUBLE) AS quality_score, ts + INTERVAL 30 SECOND AS verified_at
+FROM parsed_verdicts WHERE id % 4 = 0""")
+
+view("failures", ["request_log", "prompts"], f"""
+SELECT CASE WHEN request_id >= 0 THEN request_id * 10 + 1 ELSE -request_id * 10 + 2 END AS id,
+  request_id, ts, p.prompt, classified_tier, correct_tier, quality_gap, failure_reason
+FROM (
+  SELECT id AS request_id, ts, complexity_tier AS classified_tier,
+    CAST(least(3, complexity_tier + CASE WHEN quality_gap > CAST({T.bump_gap} AS DOUBLE) THEN 2 ELSE 1 END)
+      AS INTEGER) AS correct_tier, quality_gap, decision AS failure_reason
+  FROM request_log WHERE decision IN ('escalate', 'latency_budget_exhausted')
+  UNION ALL
+  SELECT -(id + 1), ts, complexity_tier, 3, CAST(2.0 AS DOUBLE), 'escalate' FROM request_log WHERE id % 1000 = 0
+) f LEFT JOIN prompts p ON p.doc_id = abs(f.request_id) % (SELECT count(*) FROM documents)""")
+view("ledger", ["failures"], "SELECT id AS failure_id FROM failures WHERE id % 3 = 0")
+view("predictions", ["prompts"], """
+SELECT doc_id, label, CAST(CASE WHEN doc_id % 9 = 0 THEN 1 + label % 3 ELSE label END AS INTEGER) AS predicted
+FROM prompts""")
+
+_keys_list = "[" + ", ".join(_q(m[0]) for m in S.MODEL_REGISTRY) + "]"
+view("baseline_runs", ["prompts"], f"""
+SELECT doc_id AS prompt_index, label AS expected_tier, model_key, ok AS success,
+  CASE WHEN ok THEN CAST(floor(length(prompt) / 4) AS BIGINT) END AS input_tokens,
+  CASE WHEN ok THEN CAST(40 + doc_id % 200 * factor AS BIGINT) END AS output_tokens,
+  CASE WHEN ok THEN CAST(200.0 AS DOUBLE) + CAST(doc_id % 97 AS DOUBLE) * CAST(3.0 AS DOUBLE) * CAST(factor AS DOUBLE)
+  END AS latency_ms
+FROM (SELECT p.*, m.model_key,
+        CASE m.model_key WHEN 'large' THEN 3 WHEN 'mid' THEN 2 ELSE 1 END AS factor,
+        NOT (doc_id % 13 = 0 AND m.model_key = 'mid') AS ok
+      FROM prompts p, (SELECT unnest({_keys_list}) AS model_key) m)""")
+view("priced_runs", ["baseline_runs", "registry", "best_model"], f"""
+SELECT r.*,
+  {_cost('r.input_tokens', 'r.output_tokens', 'g.price_in_per_token', 'g.price_out_per_token')} AS cost_usd,
+  {_cost('r.input_tokens', 'r.output_tokens', '(SELECT price_in_per_token FROM best_model)',
+         '(SELECT price_out_per_token FROM best_model)')} AS cost_if_highest_quality
+FROM baseline_runs r LEFT JOIN registry g ON g.model_key = r.model_key""")
+
+view("chat_requests", [], """
+SELECT conv_id, turn, role, CASE WHEN conv_id % 7 = 1 THEN '' ELSE text END AS content,
+  CASE WHEN conv_id % 7 = 5 THEN 9000 WHEN conv_id % 7 = 3 THEN 0 END AS max_tokens,
+  CASE WHEN conv_id % 7 = 2 THEN CAST(5.0 AS DOUBLE) WHEN conv_id % 7 = 6 THEN CAST(1.5 AS DOUBLE) END AS temperature,
+  CASE WHEN conv_id % 7 = 0 THEN 'user-' || CAST(conv_id AS VARCHAR) END AS user_id,
+  conv_id % 7 = 4 AS __dropped
+FROM conversations""")
