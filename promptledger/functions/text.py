@@ -142,7 +142,7 @@ def sql_features(t: str) -> dict[str, str]:
     pos = (f"coalesce(list_position(list_transform({ws}, lambda w: list_contains({lookup}, "
            f"regexp_replace(lower(w), {_q(TRAIL_PUNCT)}, ''))), true), 0)")
     rest = f"array_to_string(list_slice({ws}, {pos} + 1, len({ws})), ' ')"
-    return {
+    exprs = {
         "token_count": f"CAST(length({t}) AS DOUBLE) / 4.0",
         "char_count": f"CAST(length({t}) AS DOUBLE)",
         "word_count": f"CAST(len({ws}) AS DOUBLE)",
@@ -159,6 +159,8 @@ def sql_features(t: str) -> dict[str, str]:
         "instruction_keywords": _sql_hits(lo, S.INSTRUCTION_WORDS),
         "multi_step_signals": f"least(3.0, {_sql_hits(lo, S.STEP_MARKERS)} + {numbered})",
     }
+    # DuckDB types 1.0 / 0.0 literals as DECIMAL
+    return {n: f"CAST({e} AS DOUBLE)" for n, e in exprs.items()}
 
 
 def sql_token_estimates(t: str) -> dict[str, str]:

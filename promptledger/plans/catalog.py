@@ -328,3 +328,201 @@ FROM (SELECT count(*) AS sent, count(CASE WHEN success THEN 1 END) AS succeeded,
       FROM priced_runs)"""))
 def q_baseline_overall(spark, sf):
     return rep.run_totals(_priced_runs(spark, sf))
+
+
+# ------------------------------------------------------------ routing / costs
+
+@query("route_requests", with_views(["request_log"], """
+SELECT id, complexity_tier, classifier_conf, low_confidence, routed_model FROM request_log"""))
+def q_route_requests(spark, sf):
+    return _log(spark, sf).select("id", "complexity_tier", "classifier_conf", "low_confidence", "routed_model")
+
+
+_RETIRED = {"tier_3_model": "retired-model"}
+
+
+def _patched_settings(spark, patch: dict):
+    p = spark.createDataFrame([(k, str(v)) for k, v in patch.items()], ct.SETTINGS_SCHEMA)
+    return rt.apply_patch(ct.routing_settings(spark), p)
+
+
+@query("route_unknown_model", with_views(["request_log", "cheapest_model", "registry"], f"""
+SELECT priced_model, count(*) AS n, CAST(sum(cost) AS DOUBLE) AS cost_usd
+FROM (
+  SELECT coalesce(g.model_key, (SELECT model_key FROM cheapest_model)) AS priced_model,
+    CAST(round(CAST(input_tokens AS DECIMAL(12,0)) * p.price_in_per_token
+      + CAST(output_tokens AS DECIMAL(12,0)) * p.price_out_per_token, 8) AS DECIMAL(18,8)) AS cost
+  FROM (SELECT *, CASE WHEN low_confidence THEN '{S.ROUTING['fallback_model']}'
+                       WHEN complexity_tier = 3 THEN 'retired-model' ELSE routed_model END AS patched_model
+        FROM request_log) l
+  LEFT JOIN registry g ON g.model_key = l.patched_model
+  LEFT JOIN registry p ON p.model_key = coalesce(g.model_key, (SELECT model_key FROM cheapest_model)))
+GROUP BY priced_model"""))
+def q_route_unknown_model(spark, sf):
+    """A rule pointing at a model missing from the registry is priced
+    as the cheapest model."""
+    reg = ct.model_registry(spark)
+    log = _log(spark, sf).drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
+    routed = rt.route(log, _patched_settings(spark, _RETIRED))
+    priced = cst.price_requests(routed, reg, keep_model_key=True)
+    return priced.groupBy("priced_model").agg(F.count(F.lit(1)).alias("n"),
+                                              F.sum("cost_usd").cast("double").alias("cost_usd"))
+
+
+_REROUTE = {"tier_2_model": "small"}
+
+
+@query("reroute_savings", with_views(["request_log", "registry", "best_model"], f"""
+SELECT scenario, count(*) AS total_requests, CAST(round(sum(cost), 6) AS DOUBLE) AS total_cost_usd,
+  CAST(round(sum(cost_if_highest_quality), 6) AS DOUBLE) AS total_baseline_cost,
+  CAST(round((1 - sum(cost) / sum(cost_if_highest_quality)) * 100, 1) AS DOUBLE) AS savings_pct
+FROM (
+  SELECT 'current' AS scenario, cost_usd AS cost, cost_if_highest_quality FROM request_log
+  UNION ALL
+  SELECT 'patched', CAST(round(CAST(input_tokens AS DECIMAL(12,0)) * p.price_in_per_token
+      + CAST(output_tokens AS DECIMAL(12,0)) * p.price_out_per_token, 8) AS DECIMAL(18,8)), cost_if_highest_quality
+  FROM (SELECT *, CASE WHEN low_confidence THEN '{S.ROUTING['fallback_model']}'
+                       WHEN complexity_tier = 2 THEN 'small' ELSE routed_model END AS m FROM request_log) l
+  LEFT JOIN registry p ON p.model_key = l.m)
+GROUP BY scenario"""))
+def q_reroute_savings(spark, sf):
+    """R4 + R5: replay the log under a patched tier map and compare."""
+    reg = ct.model_registry(spark)
+    log = _log(spark, sf)
+    base = log.drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
+    patched = cst.price_requests(rt.route(base, _patched_settings(spark, _REROUTE)), reg)
+    both = (log.select(F.lit("current").alias("scenario"), "cost_usd", "cost_if_highest_quality")
+            .unionByName(patched.select(F.lit("patched").alias("scenario"), "cost_usd", "cost_if_highest_quality")))
+    c, b = F.sum("cost_usd"), F.sum("cost_if_highest_quality")
+    return both.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("total_requests"), F.round(c, 6).cast("double").alias("total_cost_usd"),
+        F.round(b, 6).cast("double").alias("total_baseline_cost"),
+        F.round((F.lit(1) - c.cast("double") / b.cast("double")) * 100, 1).alias("savings_pct"))
+
+
+@query("request_costs", with_views(["request_log"], """
+SELECT id, routed_model, input_tokens, output_tokens, CAST(cost_usd AS DOUBLE) AS cost_usd,
+  CAST(cost_if_highest_quality AS DOUBLE) AS cost_if_highest_quality FROM request_log"""))
+def q_request_costs(spark, sf):
+    return _log(spark, sf).select("id", "routed_model", "input_tokens", "output_tokens", _dbl("cost_usd"),
+                                  _dbl("cost_if_highest_quality"))
+
+
+@query("request_savings", with_views(["request_log"], """
+SELECT id, CAST(cost_if_highest_quality - cost_usd AS DOUBLE) AS savings_usd,
+  CASE WHEN cost_if_highest_quality = 0 THEN 0.0
+       ELSE CAST(round((cost_if_highest_quality - cost_usd) / cost_if_highest_quality * 100, 2) AS DOUBLE) END
+    AS savings_pct,
+  input_tokens + output_tokens AS total_tokens
+FROM request_log"""))
+def q_request_savings(spark, sf):
+    log = _log(spark, sf)
+    return log.select("id", *cst.savings_columns(),
+                      (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
+
+
+@query("judge_costs", with_views(["verdict_text", "best_model"], """
+SELECT id, CAST(CAST(round(CAST(200 + id % 50 AS DECIMAL(12,0)) * (SELECT price_in_per_token FROM best_model)
+  + CAST(floor(length(raw) / 4) AS DECIMAL(12,0)) * (SELECT price_out_per_token FROM best_model), 8)
+  AS DECIMAL(18,8)) AS DOUBLE) AS judge_cost_usd
+FROM verdict_text"""))
+def q_judge_costs(spark, sf):
+    """Each judge call priced at the best model (inputs: a fixed
+    instruction overhead plus a per-request part; output: the verdict)."""
+    vt = fx.verdict_text(spark, sf).select(
+        "id", (F.lit(200) + F.col("id") % 50).alias("judge_input_tokens"),
+        F.floor(F.length("raw") / 4).alias("judge_output_tokens"))
+    return cst.judge_costs(vt, ct.model_registry(spark)).select("id", _dbl("judge_cost_usd"))
+
+
+@query("model_usage", with_views(["request_log", "registry"], """
+SELECT g.model_key, g.provider, g.model_id, CAST(g.cost_per_1k_input_usd AS DOUBLE) AS cost_per_1k_input_usd,
+  CAST(g.cost_per_1k_output_usd AS DOUBLE) AS cost_per_1k_output_usd, g.quality_tier, g.avg_latency_ms,
+  g.display_name, coalesce(u.n, 0) AS requests, coalesce(CAST(u.c AS DOUBLE), 0.0) AS cost_usd
+FROM registry g LEFT JOIN (SELECT routed_model, count(*) AS n, sum(cost_usd) AS c FROM request_log
+  GROUP BY routed_model) u ON u.routed_model = g.model_key"""))
+def q_model_usage(spark, sf):
+    """The model listing with its traffic and spend."""
+    reg = ct.model_registry(spark)
+    use = _log(spark, sf).groupBy("routed_model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("c"))
+    j = reg.join(use, reg["model_key"] == use["routed_model"], "left")
+    return j.select("model_key", "provider", "model_id", _dbl("cost_per_1k_input_usd"),
+                    _dbl("cost_per_1k_output_usd"), "quality_tier", "avg_latency_ms", "display_name",
+                    F.coalesce(F.col("n"), F.lit(0)).alias("requests"),
+                    F.coalesce(F.col("c").cast("double"), F.lit(0.0)).alias("cost_usd"))
+
+
+# ------------------------------------------------------------ prompts / features
+
+from ..operators import prompts as pr  # noqa: E402
+
+
+@query("extract_prompt", """
+SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), arg_max(text, turn)) AS prompt
+FROM conversations GROUP BY conv_id""")
+def q_extract_prompt(spark, sf):
+    from ..sources.tables import read_table
+    return pr.extract_prompts(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query("validate_requests", with_views(["chat_requests"], f"""
+SELECT conv_id, n_messages, mt AS max_tokens, temp AS temperature, coalesce(uid, 'default') AS user_id,
+  CASE WHEN reason IS NULL THEN coalesce(up, lp) END AS prompt,
+  CASE WHEN reason IS NULL THEN 'valid' ELSE 'rejected' END AS status, reason AS reject_reason
+FROM (
+  SELECT *, CASE WHEN n_messages = 0 THEN 'no_messages' WHEN empty THEN 'empty_content'
+      WHEN mt < 1 OR mt > {S.MAX_TOKENS_LIMIT} THEN 'max_tokens_out_of_range'
+      WHEN temp < 0 OR temp > {S.MAX_TEMPERATURE} THEN 'temperature_out_of_range' END AS reason
+  FROM (
+    SELECT conv_id, count(CASE WHEN NOT __dropped THEN 1 END) AS n_messages,
+      coalesce(bool_or(CASE WHEN NOT __dropped THEN length(content) = 0 END), false) AS empty,
+      arg_max(content, turn) FILTER (WHERE NOT __dropped AND role = 'user') AS up,
+      arg_max(content, turn) FILTER (WHERE NOT __dropped) AS lp,
+      coalesce(max(max_tokens), {S.DEFAULT_MAX_TOKENS}) AS mt,
+      coalesce(max(temperature), CAST({S.DEFAULT_TEMPERATURE} AS DOUBLE)) AS temp,
+      max(user_id) AS uid
+    FROM chat_requests GROUP BY conv_id))"""))
+def q_validate_requests(spark, sf):
+    return pr.validate_requests(fx.chat_requests(spark, sf))
+
+
+@query("prompt_hash", with_views(["prompts"], """
+SELECT doc_id, substring(sha256(prompt), 1, 16) AS prompt_hash FROM prompts"""))
+def q_prompt_hash(spark, sf):
+    return fx.prompts(spark, sf).select("doc_id", pr.prompt_hash().alias("prompt_hash"))
+
+
+@query("prompt_previews", with_views(["prompts"], f"""
+SELECT doc_id, substring(prompt, 1, {S.PROMPT_PREVIEW_CHARS}) AS prompt_preview,
+  CASE WHEN length(prompt) > {S.AUDIT_PREVIEW_CHARS} THEN substring(prompt, 1, {S.AUDIT_PREVIEW_CHARS}) || '…'
+       ELSE prompt END AS audit_preview
+FROM prompts"""))
+def q_prompt_previews(spark, sf):
+    return fx.prompts(spark, sf).select("doc_id", *pr.previews(), rep.audit_preview("prompt").alias("audit_preview"))
+
+
+_FEAT_SQL = tx.sql_features("prompt")
+
+
+@query("prompt_features", with_views(["prompts"], "SELECT doc_id, label, " + ", ".join(
+    f"{e} AS {n}" for n, e in _FEAT_SQL.items()) + " FROM prompts"))
+def q_prompt_features(spark, sf):
+    f = tx.add_features(fx.prompts(spark, sf))
+    return f.select("doc_id", "label", *S.FEATURE_NAMES)
+
+
+@query("document_features", "SELECT doc_id, " + ", ".join(
+    f"{e} AS {n}" for n, e in tx.sql_features("coalesce(text, '')").items()) + " FROM documents")
+def q_document_features(spark, sf):
+    """F1-F14 over the raw documents (whole texts, four languages)."""
+    from ..sources.tables import read_table
+    d = read_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return tx.add_features(d, "t").select("doc_id", *S.FEATURE_NAMES)
+
+
+@query("token_estimates", "SELECT doc_id, " + ", ".join(
+    f"{e} AS {n}" for n, e in tx.sql_token_estimates("coalesce(text, '')").items()) + " FROM documents")
+def q_token_estimates(spark, sf):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return d.select("doc_id", *tx.token_estimates("t"))
