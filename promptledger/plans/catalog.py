@@ -526,3 +526,264 @@ def q_token_estimates(spark, sf):
     from ..sources.tables import read_table
     d = read_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return d.select("doc_id", *tx.token_estimates("t"))
+
+
+# ------------------------------------------------------------ verdicts / escalation
+
+@query("judge_inputs", with_views(["prompts"], """
+SELECT doc_id, 'ORIGINAL_PROMPT:' || chr(10) || prompt || chr(10) || chr(10) || 'RESPONSE_A (cheap model):' || chr(10)
+  || 'cheap answer ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'RESPONSE_B (reference model):' || chr(10)
+  || 'reference answer ' || CAST(doc_id AS VARCHAR) AS judge_input
+FROM prompts"""))
+def q_judge_inputs(spark, sf):
+    """V1: the judge message for every prompt (whole prompt text)."""
+    p = fx.prompts(spark, sf).select(
+        "doc_id", "prompt",
+        F.concat(F.lit("cheap answer "), F.col("doc_id").cast("string")).alias("cheap_output"),
+        F.concat(F.lit("reference answer "), F.col("doc_id").cast("string")).alias("reference_output"))
+    return vd.judge_inputs(p).select("doc_id", "judge_input")
+
+
+@query("parse_verdicts", with_views(["parsed_verdicts"], """
+SELECT id, parse_error, quality_score, expensive_score, quality_gap, judge_routing_correct, failure_reason
+FROM parsed_verdicts"""))
+def q_parse_verdicts(spark, sf):
+    return vd.parse_verdicts(fx.verdict_text(spark, sf)).select(
+        "id", "parse_error", "quality_score", "expensive_score", "quality_gap", "judge_routing_correct",
+        "failure_reason")
+
+
+_LATEST_SQL = """
+latest AS (SELECT id, quality_score, verified_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY verified_at DESC, quality_score DESC) AS rn FROM verdicts)
+  WHERE rn = 1)"""
+
+
+def _verdict_sql(body: str) -> str:
+    w = with_views(["request_log", "verdicts"], "")
+    return w.rstrip() + ",\n" + _LATEST_SQL + "\n" + body
+
+
+def _with_verdicts(spark, sf):
+    log = _log(spark, sf)
+    return vd.merge_verdicts(log, fx.verdicts(spark, sf, log))
+
+
+@query("requests_with_verdict", _verdict_sql("""
+SELECT l.id, v.quality_score, v.verified_at FROM request_log l LEFT JOIN latest v ON v.id = l.id"""))
+def q_requests_with_verdict(spark, sf):
+    """Latest verdict per request merged onto the log."""
+    return _with_verdicts(spark, sf).select("id", "quality_score", "verified_at")
+
+
+@query("verification_status", _verdict_sql(f"""
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN v.quality_score IS NULL THEN 'pending' WHEN v.quality_score = {S.VERIFY_FAILED_SENTINEL}
+         THEN 'failed' ELSE 'verified' END AS status
+  FROM request_log l LEFT JOIN latest v ON v.id = l.id) GROUP BY status"""))
+def q_verification_status(spark, sf):
+    """V5: pending / failed (sentinel) / verified after the verdict merge."""
+    w = _with_verdicts(spark, sf)
+    return w.groupBy(vd.verification_status(w).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("escalation_decisions", with_views(["request_log"], """
+SELECT id, quality_score, quality_gap, latency_ms, decision FROM request_log"""))
+def q_escalation_decisions(spark, sf):
+    """V6 + V8: the decision of every request."""
+    return _log(spark, sf).select("id", "quality_score", "quality_gap", "latency_ms", "decision")
+
+
+@query("routing_failures", with_views(["failures"], """
+SELECT id, request_id, classified_tier, correct_tier, quality_gap, failure_reason FROM failures
+WHERE request_id >= 0"""))
+def q_routing_failures(spark, sf):
+    """V6 + V7 + K2: failures of both failure branches with the bumped tier."""
+    f = esc.routing_failures(_log(spark, sf))
+    return f.select((F.col("request_id") * 10 + 1).alias("id"), "request_id", "classified_tier", "correct_tier",
+                    "quality_gap", "failure_reason")
+
+
+@query("escalation_outcomes", _esc_sql("""
+SELECT id, decision, escalated, escalated_model, CAST(cost_delta_usd AS DOUBLE) AS cost_delta_usd, reason
+FROM outcomes"""))
+def q_escalation_outcomes(spark, sf):
+    """V9 + V10 + J11."""
+    return _outcomes(spark, sf).select("id", "decision", "escalated", "escalated_model",
+                                       _dbl("cost_delta_usd"), "reason")
+
+
+@query("requests_with_escalation", _esc_sql("""
+SELECT id, escalated, escalated_model, CAST(cost_delta_usd AS DOUBLE) AS cost_delta_usd FROM log_esc"""))
+def q_requests_with_escalation(spark, sf):
+    """Escalation fields merged, defaults false / 0."""
+    return _log_esc(spark, sf).select("id", "escalated", "escalated_model", _dbl("cost_delta_usd"))
+
+
+@query("escalation_cost", _esc_sql("""
+SELECT count(*) AS escalations, CAST(sum(cost_delta_usd) AS DOUBLE) AS escalation_cost_usd,
+  CAST((SELECT sum(cost_usd) FROM request_log) AS DOUBLE) AS routed_cost_usd,
+  CAST((SELECT sum(cost_usd) FROM request_log) + sum(cost_delta_usd) AS DOUBLE) AS cost_with_escalations_usd
+FROM log_esc WHERE escalated"""))
+def q_escalation_cost(spark, sf):
+    """T5: the re-run cost beside the gross headline (not added to it)."""
+    le = _log_esc(spark, sf)
+    routed = _log(spark, sf).agg(F.sum("cost_usd").alias("c")).scalar()
+    e = le.where(F.col("escalated")).agg(F.count(F.lit(1)).alias("escalations"), F.sum("cost_delta_usd").alias("d"))
+    return e.select("escalations", F.col("d").cast("double").alias("escalation_cost_usd"),
+                    routed.cast("double").alias("routed_cost_usd"),
+                    (routed + F.col("d")).cast("double").alias("cost_with_escalations_usd"))
+
+
+# ------------------------------------------------------------ feedback loop / DQ
+
+from ..operators import flywheel as fw  # noqa: E402
+from ..operators import quality as dq  # noqa: E402
+
+
+def _failures(spark, sf):
+    return fx.failure_log(spark, sf)
+
+
+_PENDING = "SELECT f.* FROM failures f WHERE f.id NOT IN (SELECT failure_id FROM ledger)"
+
+
+@query("pending_failures", with_views(["failures", "ledger"], f"""
+SELECT id, prompt, correct_tier FROM ({_PENDING})"""))
+def q_pending_failures(spark, sf):
+    """Failures not yet consumed (dry-run peek)."""
+    f = _failures(spark, sf)
+    return fw.pending_failures(f, fx.consumed_ledger(f)).select("id", "prompt", "correct_tier")
+
+
+@query("pending_failure_count", with_views(["failures", "ledger"], f"""
+SELECT count(*) AS pending_failures FROM ({_PENDING})"""))
+def q_pending_failure_count(spark, sf):
+    f = _failures(spark, sf)
+    return fw.pending_count(f, fx.consumed_ledger(f))
+
+
+@query("export_failures", with_views(["failures", "ledger"], f"""
+SELECT id, prompt, correct_tier AS tier FROM ({_PENDING})"""))
+def q_export_failures(spark, sf):
+    """W2 rows (the ledger append is the job in ``flywheel.export_failures``)."""
+    f = _failures(spark, sf)
+    return fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(f)))
+
+
+@query("training_set", with_views(["prompts", "failures", "ledger"], f"""
+SELECT prompt, label AS tier FROM prompts
+UNION ALL
+SELECT prompt, correct_tier AS tier FROM ({_PENDING})"""))
+def q_training_set(spark, sf):
+    """Labelled prompts UNION ALL pending failure rows."""
+    f = _failures(spark, sf)
+    labelled = fx.prompts(spark, sf).select("prompt", F.col("label").alias("tier"))
+    return fw.training_set(labelled, fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(f))))
+
+
+@query("orphan_failures", with_views(["failures", "request_log"], """
+SELECT id, request_id FROM failures WHERE request_id NOT IN (SELECT id FROM request_log)"""))
+def q_orphan_failures(spark, sf):
+    """Failures whose request does not exist."""
+    return dq.orphans(_failures(spark, sf), _log(spark, sf).select("id")).select("id", "request_id")
+
+
+@query("dq_null_baseline", with_views(["request_log"], """
+SELECT count(*) AS rows, count(*) FILTER (WHERE cost_if_highest_quality IS NULL) AS null_baseline
+FROM request_log"""))
+def q_dq_null_baseline(spark, sf):
+    return dq.null_baseline(_log(spark, sf))
+
+
+@query("dq_duplicate_ids", with_views(["verdicts"], """
+SELECT id, count(*) AS n FROM verdicts GROUP BY id HAVING count(*) > 1"""))
+def q_dq_duplicate_ids(spark, sf):
+    """Q2 over the append-only verdict table (re-judged requests repeat)."""
+    return dq.duplicate_ids(fx.verdicts(spark, sf))
+
+
+@query("dq_request_duplicates", with_views(["request_log"], """
+SELECT count(*) AS duplicated_ids FROM (SELECT id FROM request_log GROUP BY id HAVING count(*) > 1)"""))
+def q_dq_request_duplicates(spark, sf):
+    """Q2 over the request log (primary key: must be 0)."""
+    return dq.duplicate_ids(_log(spark, sf)).agg(F.count(F.lit(1)).alias("duplicated_ids"))
+
+
+@query("dq_range_violations", with_views(["request_log"], """
+SELECT id, rule FROM (
+  SELECT id, 'tier_out_of_range' AS rule FROM request_log
+    WHERE complexity_tier IS NOT NULL AND complexity_tier NOT BETWEEN 1 AND 3
+  UNION ALL SELECT id, 'confidence_out_of_range' FROM request_log
+    WHERE classifier_conf IS NOT NULL AND classifier_conf NOT BETWEEN 0.0 AND 1.0
+  UNION ALL SELECT id, 'score_out_of_range' FROM request_log
+    WHERE quality_score IS NOT NULL AND quality_score <> -1.0 AND quality_score NOT BETWEEN 1.0 AND 5.0
+  UNION ALL SELECT id, 'negative_tokens' FROM request_log WHERE input_tokens < 0 OR output_tokens < 0)"""))
+def q_dq_range_violations(spark, sf):
+    return dq.range_violations(_log(spark, sf))
+
+
+# ------------------------------------------------------------ classifier metrics (SQL-checkable)
+
+from ..operators import classifier as clf  # noqa: E402
+
+
+@query("label_distribution", with_views(["prompts"], """
+SELECT label AS tier, count(*) AS n FROM prompts GROUP BY label ORDER BY label"""))
+def q_label_distribution(spark, sf):
+    """Labelled rows per tier."""
+    return rep.label_distribution(fx.prompts(spark, sf).withColumnRenamed("label", "tier"))
+
+
+@query("class_weights", with_views(["prompts"], """
+SELECT label, n_class, (SELECT count(*) FROM prompts) / ((SELECT count(DISTINCT label) FROM prompts) * n_class)
+  AS weight
+FROM (SELECT label, count(*) AS n_class FROM prompts GROUP BY label)"""))
+def q_class_weights(spark, sf):
+    return clf.class_weights(fx.prompts(spark, sf))
+
+
+@query("stratified_split", with_views(["prompts"], """
+SELECT label, substring(md5(prompt), 1, 4) < '3333' AS is_test, count(*) AS n FROM prompts
+GROUP BY label, is_test"""))
+def q_stratified_split(spark, sf):
+    """M2: rows per tier on each side of the hash split."""
+    p = fx.prompts(spark, sf)
+    return p.groupBy("label", clf.split_flag().alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("accuracy", with_views(["predictions"], """
+SELECT avg(CAST(label = predicted AS INTEGER)) AS accuracy, count(*) AS n FROM predictions"""))
+def q_accuracy(spark, sf):
+    return clf.accuracy(fx.predictions(spark, sf))
+
+
+@query("confusion_matrix", with_views(["predictions"], """
+SELECT label, count(*) FILTER (WHERE predicted = 1) AS pred_1, count(*) FILTER (WHERE predicted = 2) AS pred_2,
+  count(*) FILTER (WHERE predicted = 3) AS pred_3
+FROM predictions GROUP BY label ORDER BY label"""))
+def q_confusion_matrix(spark, sf):
+    return clf.confusion_matrix(fx.predictions(spark, sf))
+
+
+_REPORT_SQL = """
+per AS (
+  SELECT CAST(t AS VARCHAR) AS class,
+    CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision, CASE WHEN sup > 0 THEN tp / sup ELSE 0.0 END AS recall,
+    sup AS support
+  FROM (SELECT t, count(*) FILTER (WHERE predicted = t AND label = t) * 1.0 AS tp,
+          count(*) FILTER (WHERE predicted = t) AS pp, count(*) FILTER (WHERE label = t) AS sup
+        FROM predictions, (SELECT unnest([1, 2, 3]) AS t) GROUP BY t)),
+per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END
+  AS f1 FROM per)
+SELECT class, round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recall AS DOUBLE), 6) AS recall,
+  round(CAST(f1 AS DOUBLE), 6) AS f1, CAST(support AS BIGINT) AS support FROM (
+  SELECT class, precision, recall, f1, support FROM per2
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per2
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), sum(support) FROM per2)"""
+
+
+@query("classification_report", with_views(["predictions"], "").rstrip() + ",\n" + _REPORT_SQL)
+def q_classification_report(spark, sf):
+    return clf.classification_report(fx.predictions(spark, sf))

@@ -140,13 +140,11 @@ def verdicts(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) ->
     log = request_log(spark, sf_dir) if log is None else log
     parsed = parse_verdicts(verdict_text(spark, sf_dir, log))
     current = parsed.select("id", "quality_score",
-                            (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1),
-                                                              (F.col("id") % 300).cast("decimal(8,6)")))
+                            F.timestamp_add("SECOND", F.lit(60) + F.col("id") % 300, F.col("ts"))
                             .alias("verified_at"))
     older = parsed.where(F.col("id") % 4 == 0).select(
         "id", F.lit(5.0).alias("quality_score"),
-        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(30).cast("decimal(8,6)")))
-        .alias("verified_at"))
+        F.timestamp_add("SECOND", F.lit(30), F.col("ts")).alias("verified_at"))
     return current.unionByName(older)
 
 
