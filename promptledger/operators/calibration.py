@@ -26,14 +26,16 @@ from .classifier import TIERS, build_pipeline, fold_id
 class PlattCalibrated(Estimator):
     """Wraps a candidate estimator; ``fit`` returns a :class:`PlattCalibratedModel`."""
 
-    def __init__(self, estimator, k: int = 5, text_col: str = "prompt"):
+    def __init__(self, estimator, k: int = 5, text_col: str = "prompt", fold_col: str | None = None):
         super().__init__()
         self.estimator = estimator
         self.k = k
         self.text_col = text_col
+        self.fold_col = fold_col
 
     def _fit(self, df: DataFrame) -> "PlattCalibratedModel":
-        folds = df.withColumn("__fold", fold_id(self.text_col, self.k))
+        fold = F.col(self.fold_col) if self.fold_col else fold_id(self.text_col, self.k)
+        folds = df.withColumn("__fold", fold)
         members = []
         for f in range(self.k):
             base = build_pipeline(self.estimator.copy()).fit(folds.where(F.col("__fold") != f))

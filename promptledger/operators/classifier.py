@@ -163,10 +163,11 @@ def train_candidates(train: DataFrame, test: DataFrame, n_rows: int | None = Non
     return fitted, results
 
 
-def cross_validate(data: DataFrame, estimator_name: str, k: int = 5, n_rows: int | None = None) -> DataFrame:
+def cross_validate(data: DataFrame, estimator_name: str, k: int = 5, n_rows: int | None = None,
+                   fold_col: str | None = None) -> DataFrame:
     """M8: fold accuracies of one candidate; mean and population std."""
     spark = data.sparkSession
-    folds = data.withColumn("__fold", fold_id("prompt", k))
+    folds = data.withColumn("__fold", F.col(fold_col) if fold_col else fold_id("prompt", k))
     accs = []
     for f in range(k):
         tr = folds.where(F.col("__fold") != f)

@@ -787,3 +787,63 @@ SELECT class, round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recal
 @query("classification_report", with_views(["predictions"], "").rstrip() + ",\n" + _REPORT_SQL)
 def q_classification_report(spark, sf):
     return clf.classification_report(fx.predictions(spark, sf))
+
+
+# ------------------------------------------------------------ classifier (rows-only checks)
+
+from . import jobs  # noqa: E402
+
+
+def _prompt_data(spark, sf):
+    return jobs.prepared(fx.prompts(spark, sf), keep=("doc_id",))
+
+
+@query("classify_prompts")
+def q_classify_prompts(spark, sf):
+    """M1 + M3 + M14: fit the logistic candidate on the training side and
+    score every prompt (tier, confidence, low-confidence flag)."""
+    data = _prompt_data(spark, sf)
+    train = data.where(~F.col("is_test"))
+    model = clf.build_pipeline(clf.candidates(train.count())["logistic_regression"]).fit(train)
+    return clf.score(model, data).select("doc_id", "label", "predicted", "confidence", "low_confidence",
+                                         "is_test")
+
+
+@query("candidate_results")
+def q_candidate_results(spark, sf):
+    """M3 + M4 + M5 + M7 + M11: both candidates, test accuracy, the best."""
+    _, results = jobs.fit_candidates(_prompt_data(spark, sf))
+    return results.select("candidate", "candidate_order", "accuracy", "is_best",
+                          (F.col("accuracy") >= F.lit(S.ACCURACY_TARGET)).alias("meets_target"))
+
+
+@query("cross_validation")
+def q_cross_validation(spark, sf):
+    """M8: 5-fold accuracy mean and standard deviation of each candidate."""
+    data = _prompt_data(spark, sf)
+    n = data.count()
+    out = None
+    for name in clf.candidates(n):
+        r = clf.cross_validate(data, name, 5, n, fold_col="fold").select(F.lit(name).alias("candidate"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("calibrated_scores")
+def q_calibrated_scores(spark, sf):
+    """M6: Platt-calibrated confidence on the test side."""
+    data = _prompt_data(spark, sf)
+    model = jobs.calibrated_model(data)
+    return clf.score(model, data.where(F.col("is_test"))).select(
+        "doc_id", "label", "predicted", "confidence", "low_confidence")
+
+
+@query("golden_gate")
+def q_golden_gate(spark, sf):
+    """M12 + M15: a model fitted on all prompts must reach 0.80 on the
+    golden set (benchmark items); pass / fail per prompt."""
+    data = _prompt_data(spark, sf)
+    model = clf.build_pipeline(clf.candidates(data.count())["logistic_regression"]).fit(data)
+    gold = jobs.prepared(fx.golden_prompts(spark, sf), keep=("item_id",))
+    scored = clf.score(model, gold).select("item_id", "label", "predicted", "confidence")
+    return clf.golden_gate(scored)

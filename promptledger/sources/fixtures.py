@@ -76,11 +76,11 @@ def request_log(spark: SparkSession, sf_dir: str, registry: DataFrame | None = N
     return esc.decide(priced, t=thresholds)
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B.2: templated prompts over whole documents, with the template label."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    did = F.col("doc_id")
-    body = F.coalesce(F.col("text"), F.lit(""))
+def templated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Wrap each text in the template picked by ``id % 12``; the template
+    group is the label (B.2)."""
+    did = F.col(id_col)
+    body = F.coalesce(F.col(text_col), F.lit(""))
     choice = did % 12
     expr = None
     for i, (prefix, suffix, fenced) in enumerate(PROMPT_TEMPLATES):
@@ -93,7 +93,19 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         expr = F.when(choice == i, text) if expr is None else expr.when(choice == i, text)
     label = (F.when(choice <= 3, F.lit(1)).when(choice <= 7, F.lit(2)).when(choice <= 10, F.lit(3))
              .otherwise(F.lit(1) + F.floor(did / 12).cast("int") % 3))
-    return docs.select(did, F.col("lang"), expr.alias("prompt"), label.cast("int").alias("label"))
+    keep = [c for c in df.columns if c != text_col]
+    return df.select(*keep, expr.alias("prompt"), label.cast("int").alias("label"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B.2: templated prompts over whole documents, with the template label."""
+    return templated(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text")
+
+
+def golden_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden-style gate input: the ``benchmark`` items, templated the same
+    way, with the expected tier."""
+    return templated(read_table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text")
 
 
 def completions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
