@@ -45,9 +45,20 @@ FENCE = "\n```\n"
 def request_log(spark: SparkSession, sf_dir: str, registry: DataFrame | None = None,
                 settings: DataFrame | None = None, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
     """B.1: routed, priced and judged requests (one per event)."""
+    ev = read_table(spark, sf_dir, "events", *EVENT_COLUMNS)
+    return requests_from_events(ev, registry, settings, thresholds)
+
+
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+def requests_from_events(ev: DataFrame, registry: DataFrame | None = None, settings: DataFrame | None = None,
+                         thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
+    """The B.1 transform over any events DataFrame, batch or streaming
+    (stateless: projections and broadcast joins with config tables)."""
+    spark = ev.sparkSession
     registry = ct.model_registry(spark) if registry is None else registry
     settings = ct.routing_settings(spark) if settings is None else settings
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     eid = F.col("event_id")
     quality = (F.when(F.col("event_type") == "signup", F.lit(None).cast("double"))
