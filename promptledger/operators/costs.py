@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import token_cost
-from .routing import resolve_model
+from .routing import cheapest_model
 
 
 def best_model(registry: DataFrame) -> DataFrame:
@@ -34,21 +34,25 @@ def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_
                    keep_model_key: bool = False) -> DataFrame:
     """C1 + C3 (+ J2): add ``cost_usd`` and ``cost_if_highest_quality``.
 
-    The routed model is resolved against the registry first (an unknown
-    key is priced as the cheapest model), then priced by a broadcast join.
-    The baseline is never null: the same tokens at the best model's prices.
+    One broadcast hash join of the registry on the model key gives the
+    prices; a key missing from the registry is priced as the cheapest
+    model (J2, its prices are scalar subqueries).  The baseline is never
+    null: the same tokens at the best model's prices.
     """
-    resolved = resolve_model(df, registry, model_col, "__priced_model")
-    prices = registry.select(F.col("model_key").alias("__priced_model"),
+    prices = registry.select(F.col("model_key").alias("__pm"),
                              F.col("price_in_per_token").alias("__pin"),
                              F.col("price_out_per_token").alias("__pout"))
-    j = resolved.join(F.broadcast(prices), "__priced_model", "left")
+    cheap = registry.join(cheapest_model(registry), "model_key")
+    c_key = cheap.select("model_key").scalar()
+    c_in, c_out = cheap.select("price_in_per_token").scalar(), cheap.select("price_out_per_token").scalar()
+    j = df.join(F.broadcast(prices), F.col(model_col) == F.col("__pm"), "left")
     bin_, bout = baseline_prices(registry)
     cols = [F.col(c) for c in df.columns]
-    extra = [F.col("__priced_model").alias("priced_model")] if keep_model_key else []
+    extra = [F.coalesce(F.col("__pm"), c_key).alias("priced_model")] if keep_model_key else []
     return j.select(
         *cols, *extra,
-        token_cost(F.col(in_col), F.col(out_col), F.col("__pin"), F.col("__pout")).alias("cost_usd"),
+        token_cost(F.col(in_col), F.col(out_col), F.coalesce(F.col("__pin"), c_in),
+                   F.coalesce(F.col("__pout"), c_out)).alias("cost_usd"),
         token_cost(F.col(in_col), F.col(out_col), bin_, bout).alias("cost_if_highest_quality"),
     )
 

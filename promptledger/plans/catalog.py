@@ -66,9 +66,10 @@ def _outcomes(spark, sf):
 
 
 def _log_esc(spark, sf):
-    """Request log with escalation outcomes merged."""
-    log = _log(spark, sf)
-    return esc.merge_escalations(log, _outcomes(spark, sf))
+    """Request log with its escalation outcome (every request appears once
+    in the outcomes, so no second join is needed; the K8 / J4 merge of a
+    separate escalation table is ``requests_with_escalation``)."""
+    return _outcomes(spark, sf)
 
 
 def _dbl(c):
@@ -342,7 +343,7 @@ _RETIRED = {"tier_3_model": "retired-model"}
 
 
 def _patched_settings(spark, patch: dict):
-    p = spark.createDataFrame([(k, str(v)) for k, v in patch.items()], ct.SETTINGS_SCHEMA)
+    p = ct.local_table(spark, [(k, str(v)) for k, v in patch.items()], ct.SETTINGS_SCHEMA)
     return rt.apply_patch(ct.routing_settings(spark), p)
 
 
@@ -617,7 +618,8 @@ def q_escalation_outcomes(spark, sf):
 SELECT id, escalated, escalated_model, CAST(cost_delta_usd AS DOUBLE) AS cost_delta_usd FROM log_esc"""))
 def q_requests_with_escalation(spark, sf):
     """Escalation fields merged, defaults false / 0."""
-    return _log_esc(spark, sf).select("id", "escalated", "escalated_model", _dbl("cost_delta_usd"))
+    merged = esc.merge_escalations(_log(spark, sf), _outcomes(spark, sf))
+    return merged.select("id", "escalated", "escalated_model", _dbl("cost_delta_usd"))
 
 
 @query("escalation_cost", _esc_sql("""

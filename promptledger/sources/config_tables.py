@@ -29,6 +29,33 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("registry_order", T.IntegerType(), False),
 ])
 
+
+def _sql_literal(v, dtype: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, T.BooleanType):
+        return "true" if v else "false"
+    return f"CAST('{v}' AS {dtype.simpleString()})"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small driver-side table as an inline ``VALUES`` relation.
+
+    It plans as a ``LocalTableScan`` (no Python worker, no RDD), folds into
+    scalar subqueries cheaply and broadcasts for free."""
+    names = [f.name for f in schema.fields]
+    if rows:
+        values = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
+                           for r in rows)
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    else:
+        nulls = ", ".join(f"{_sql_literal(None, f.dataType)} AS {f.name}" for f in schema.fields)
+        df = spark.sql(f"SELECT {nulls} WHERE false")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 # a registry has one row per model; broadcasting beyond this is refused
 MAX_REGISTRY_ROWS = 10_000
 
@@ -43,7 +70,7 @@ def registry_rows(models=None) -> list[tuple]:
 
 def model_registry(spark: SparkSession, models=None) -> DataFrame:
     """The registry with per-token prices as DECIMAL(18,12)."""
-    df = spark.createDataFrame(registry_rows(models), REGISTRY_SCHEMA)
+    df = local_table(spark, registry_rows(models), REGISTRY_SCHEMA)
     return df.select(
         "*",
         (F.col("cost_per_1k_input_usd").cast(PRICE_TOKEN) / F.lit(1000)).cast(PRICE_TOKEN)
@@ -71,7 +98,7 @@ def routing_settings_rows(routing: dict | None = None) -> list[tuple]:
 
 def routing_settings(spark: SparkSession, routing: dict | None = None) -> DataFrame:
     """S4 in key / value form (the shape a patch is applied to)."""
-    return spark.createDataFrame(routing_settings_rows(routing), SETTINGS_SCHEMA)
+    return local_table(spark, routing_settings_rows(routing), SETTINGS_SCHEMA)
 
 
 def routing_rules(settings: DataFrame) -> DataFrame:
@@ -100,6 +127,6 @@ def tier_definitions(spark: SparkSession) -> DataFrame:
         T.StructField("name", T.StringType(), False),
         T.StructField("description", T.StringType(), False),
     ])
-    tiers = spark.createDataFrame(S.TIERS, schema)
+    tiers = local_table(spark, S.TIERS, schema)
     rules = routing_rules(routing_settings(spark))
     return tiers.join(F.broadcast(rules), "tier", "left").withColumnRenamed("model_key", "routed_to")
