@@ -53,6 +53,16 @@ def window_start(as_of: Column, days: int) -> Column:
     return F.date_sub(F.to_date(as_of), days)
 
 
+def since(log: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Rows of the last ``days`` days before ``as_of`` (whole boundary day).
+
+    The predicate is on the raw ``ts`` column, so the scan can prune row
+    groups with it at run time (the bound is a scalar subquery) and a log
+    partitioned by ``day`` prunes partitions."""
+    ts_type = log.schema["ts"].dataType.simpleString()
+    return log.where(F.col("ts") >= window_start(as_of, days).cast(ts_type))
+
+
 def default_as_of(log: DataFrame) -> Column:
     return log.agg(F.max("ts").alias("m")).scalar()
 
@@ -60,7 +70,7 @@ def default_as_of(log: DataFrame) -> Column:
 def escalation_rate(log: DataFrame, days: int = 7, as_of: Column | None = None) -> DataFrame:
     """A2: escalation rate (%, 1 place) over the last ``days`` days."""
     as_of = default_as_of(log) if as_of is None else as_of
-    recent = log.where(F.col("day") >= window_start(as_of, days))
+    recent = since(log, as_of, days)
     return recent.agg(
         F.count(F.lit(1)).alias("num_requests"),
         F.coalesce(F.round(F.avg(F.col("escalated").cast("int")) * F.lit(100), 1), F.lit(0.0))
@@ -112,7 +122,7 @@ def daily_cost(log: DataFrame, days: int | None = None, as_of: Column | None = N
     src = log
     if days is not None:
         as_of = default_as_of(log) if as_of is None else as_of
-        src = log.where(F.col("day") >= window_start(as_of, days))
+        src = since(log, as_of, days)
     return (src.groupBy("day")
             .agg(_money(F.sum("cost_usd"), 6).alias("cost_actual"),
                  _money(F.sum("cost_if_highest_quality"), 6).alias("cost_baseline"),
@@ -125,7 +135,7 @@ def daily_escalation(log: DataFrame, days: int | None = None, as_of: Column | No
     src = log
     if days is not None:
         as_of = default_as_of(log) if as_of is None else as_of
-        src = log.where(F.col("day") >= window_start(as_of, days))
+        src = since(log, as_of, days)
     return (src.groupBy("day")
             .agg(F.round(F.avg(F.col("escalated").cast("int")) * F.lit(100), 1).alias("escalation_rate"),
                  F.count(F.lit(1)).alias("num_requests"))
