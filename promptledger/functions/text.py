@@ -40,7 +40,8 @@ NON_WS = _cls(True)       # one non-white-space character
 WS_RUN = WS + "+"
 SENTENCE_SPLIT = "[.!?]+"
 NUMBERED_LIST = "[0-9]+[.)]" + WS
-TRAIL_PUNCT = "[" + "".join("\\" + ch for ch in S.WORD_TRAIL_PUNCT) + "]+$"
+TRAIL_CLASS = "[" + "".join("\\" + ch for ch in S.WORD_TRAIL_PUNCT) + "]"
+TRAIL_PUNCT = TRAIL_CLASS + "+$"
 
 
 def _col(c) -> Column:
@@ -63,15 +64,41 @@ def token_estimate(text) -> Column:
     return F.length(_col(text)) / F.lit(4.0)
 
 
-def context_length(text) -> Column:
+# single-token instruction words (an entry with a space can never equal one
+# white-space-free token, so those entries never fire here)
+_TOKEN_WORDS = [w for w in S.INSTRUCTION_WORDS if " " not in w]
+WS_CHARS = "".join(chr(c) for a, b in _WS_RANGES for c in range(a, b + 1))
+# on text whose white space is folded to " ": lazily skip to the first token
+# that is an instruction word followed only by trailing punctuation and
+# capture everything after the space behind it
+_FIRST_INSTRUCTION = ("(?s)^.*?(?:^| )(?:" + "|".join(_TOKEN_WORDS) + ")" + TRAIL_CLASS + "*(?: (.*))?$")
+
+
+def fold_ws(c) -> Column:
+    """Every white-space character to one plain space (a per-character
+    table lookup, no regex), so later splits use the single-character path."""
+    return F.translate(_col(c), WS_CHARS, " " * len(WS_CHARS))
+
+
+def _tokens(folded: Column) -> Column:
+    return F.filter(F.split(folded, " "), lambda x: x != "")
+
+
+def context_length(text, folded_lower=None) -> Column:
     """tokens after the first word that, lower-cased and right-stripped
-    of ``.,?:!``, is an instruction word; 0.0 when there is none."""
-    ws = words(text)
-    lookup = F.array(*[F.lit(w) for w in S.INSTRUCTION_WORDS])
-    flags = F.transform(ws, lambda w: F.array_contains(lookup, F.regexp_replace(F.lower(w), TRAIL_PUNCT, "")))
-    pos = F.array_position(flags, True)
-    rest = F.array_join(F.slice(ws, pos + 1, F.greatest(F.size(ws) - pos, F.lit(0))), " ")
-    return F.when(pos == 0, F.lit(0.0)).otherwise(token_estimate(rest))
+    of ``.,?:!``, is an instruction word; 0.0 when there is none.
+
+    One regex pass over the lower-cased, white-space-folded text finds the
+    word and captures the rest (lower-casing and folding keep token
+    boundaries); the re-joined length is non-space characters plus one
+    separator per gap.  (Lengths are taken on the lower-cased rest; they
+    differ from the original only for U+0130, whose lower case is two code
+    points.)"""
+    fl = fold_ws(F.lower(_col(text))) if folded_lower is None else _col(folded_lower)
+    rest = F.regexp_extract(fl, _FIRST_INSTRUCTION, 1)
+    n = F.size(_tokens(rest))
+    joined = F.length(F.replace(rest, F.lit(" "), F.lit(""))) + F.greatest(n - 1, F.lit(0))
+    return joined.cast("double") / F.lit(4.0)
 
 
 def add_features(df: DataFrame, text_col: str = "prompt") -> DataFrame:
@@ -82,14 +109,15 @@ def add_features(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     own projection) and every keyword test reads it.
     """
     t = F.col(text_col)
-    lowered = "__pl_lower"
+    lowered, folded = "__pl_lower", "__pl_folded"
     staged = df.withColumn(lowered, F.lower(t))
-    lo = F.col(lowered)
+    staged = staged.withColumn(folded, fold_ws(F.col(lowered)))
+    lo, fl = F.col(lowered), F.col(folded)
     numbered = F.when(t.rlike(NUMBERED_LIST), F.lit(1.0)).otherwise(F.lit(0.0))
     feats = {
         "token_count": token_estimate(t),
         "char_count": F.length(t).cast("double"),
-        "word_count": F.size(words(t)).cast("double"),
+        "word_count": F.size(_tokens(fl)).cast("double"),
         "sentence_count": F.size(F.filter(F.split(t, SENTENCE_SPLIT), lambda x: x.rlike(NON_WS))).cast("double"),
         "has_code_block": F.when(t.contains("```"), F.lit(1.0)).otherwise(F.lit(0.0)),
         "has_numbered_list": numbered,
@@ -100,13 +128,13 @@ def add_features(df: DataFrame, text_col: str = "prompt") -> DataFrame:
             F.when(reduce(lambda a, b: a | b, [lo.contains(w) for w in S.STRUCTURED_OUTPUT_WORDS]), F.lit(2.0))
             .when(reduce(lambda a, b: a | b, [lo.contains(w) for w in S.LIST_OUTPUT_WORDS]), F.lit(1.0))
             .otherwise(F.lit(0.0))),
-        "context_length": context_length(t),
+        "context_length": context_length(t, fl),
         "question_count": (F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))).cast("double"),
         "instruction_keywords": _hits(lo, S.INSTRUCTION_WORDS),
         "multi_step_signals": F.least(F.lit(3.0), _hits(lo, S.STEP_MARKERS) + numbered),
     }
     out = staged.select("*", *[feats[n].alias(n) for n in S.FEATURE_NAMES])
-    return out.drop(lowered)
+    return out.drop(lowered, folded)
 
 
 def token_estimates(text_col: str = "text", words_col: str | None = None) -> list[Column]:

@@ -46,6 +46,11 @@ CASES = [
     "Translate. Convert! Check? Count: Find, list",
     "analyse the trade-off and tradeoff; evaluate the impact and strategy framework",
     "Step 1 do this. Step 2 do that. 3) and more",
+    "The extracted values; re-extract them, then EXTRACT!!  all   of\tthem",
+    "nothing here but what is this",
+    "please list:",
+    "count",
+    "Tokens before\u00a0write\u2003after  the\n\nword",
 ]
 
 
