@@ -20,13 +20,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_count(vc: DataFrame, rows_per_bucket: int, min_buckets: int) -> int:
+    """Enough ranges that one holds about ``rows_per_bucket`` distinct
+    values (estimated with ``approx_count_distinct``), so the per-range
+    window stays bounded as the data grows."""
+    ndv = vc.agg(F.approx_count_distinct("v").alias("d")).first()["d"] or 0
+    return max(min_buckets, -(-ndv // rows_per_bucket))
+
+
 def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: list[str],
-                      buckets: int = 256) -> DataFrame:
+                      buckets: int | None = None, rows_per_bucket: int = 1_000_000,
+                      min_buckets: int = 64) -> DataFrame:
     """One row: ``names[i]`` = the value at zero-based rank ``floor(n * ps[i])``
     of the non-null ``value_col``; plus ``n``."""
     vals = df.select(F.col(value_col).alias("v")).where(F.col("v").isNotNull())
     vc = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     n = vals.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if buckets is None:
+        buckets = bucket_count(vc, rows_per_bucket, min_buckets)
     # contiguous value ranges: a range repartition of the distinct values
     # (boundaries from a bounded sample), the partition id is the bucket
     b = (vc.repartitionByRange(buckets, "v")
@@ -34,7 +45,9 @@ def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: lis
     in_bucket = b.withColumn(
         "cum", F.sum("c").over(Window.partitionBy("bucket").orderBy("v")
                                .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = in_bucket.groupBy("bucket").agg(F.sum("c").alias("t"))
+    # one row per bucket (at most ``buckets`` rows): safe to order globally
+    # and to broadcast
+    totals = b.groupBy("bucket").agg(F.sum("c").alias("t"))
     offsets = totals.select("bucket", (F.sum("t").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("off"))
     ranked = in_bucket.join(F.broadcast(offsets), "bucket").select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.text import WS
+from ..functions.text import WS_CHARS
 
 REQUIRED_KEYS = ["cheap_score", "expensive_score", "quality_gap", "routing_correct"]
 
@@ -34,7 +34,7 @@ def judge_inputs(df: DataFrame, prompt: str = "prompt", cheap: str = "cheap_outp
 
 def _strip_ws(c: F.Column) -> F.Column:
     """``str.strip()``: white space (as ``str.isspace``) off both ends."""
-    return F.regexp_replace(F.regexp_replace(c, "^" + WS + "+", ""), WS + "+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def extract_json(raw) -> F.Column:
