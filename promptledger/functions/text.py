@@ -40,6 +40,7 @@ NON_WS = _cls(True)       # one non-white-space character
 WS_RUN = WS + "+"
 SENTENCE_SPLIT = "[.!?]+"
 NUMBERED_LIST = "[0-9]+[.)]" + WS
+FOLDED_NUMBERED_LIST = "[0-9]+[.)] "
 TRAIL_CLASS = "[" + "".join("\\" + ch for ch in S.WORD_TRAIL_PUNCT) + "]"
 TRAIL_PUNCT = TRAIL_CLASS + "+$"
 
@@ -55,8 +56,9 @@ def _hits(lowered: Column, words) -> Column:
 
 
 def words(text) -> Column:
-    """``str.split()``: white-space runs split, empty pieces dropped."""
-    return F.filter(F.split(_col(text), WS_RUN), lambda x: x != "")
+    """``str.split()``: white-space runs split, empty pieces dropped (the
+    white space folded to single spaces first, see :func:`fold_ws`)."""
+    return _tokens(fold_ws(_col(text)))
 
 
 def token_estimate(text) -> Column:
@@ -81,7 +83,17 @@ def fold_ws(c) -> Column:
 
 
 def _tokens(folded: Column) -> Column:
-    return F.filter(F.split(folded, " "), lambda x: x != "")
+    """Tokens of white-space-folded text: a single-character split, empty
+    pieces removed with ``array_remove`` (no lambda, so it stays in codegen)."""
+    return F.array_remove(F.split(folded, " "), "")
+
+
+def sentence_count(folded: Column) -> Column:
+    """F4 on white-space-folded text: parts between runs of ``.!?`` that hold
+    a non-white-space character.  Deleting the white space first turns a
+    blank part into an empty one (two runs around a blank part merge), so
+    the count is the non-empty parts of one split, with no per-part regex."""
+    return F.size(F.array_remove(F.split(F.replace(folded, F.lit(" "), F.lit("")), SENTENCE_SPLIT), ""))
 
 
 def context_length(text, folded_lower=None) -> Column:
@@ -113,12 +125,14 @@ def add_features(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     staged = df.withColumn(lowered, F.lower(t))
     staged = staged.withColumn(folded, fold_ws(F.col(lowered)))
     lo, fl = F.col(lowered), F.col(folded)
-    numbered = F.when(t.rlike(NUMBERED_LIST), F.lit(1.0)).otherwise(F.lit(0.0))
+    # folding and lower-casing keep digits, ``.``, ``)`` and every white-space
+    # position, so the numbered-list test can read the folded text
+    numbered = F.when(fl.rlike(FOLDED_NUMBERED_LIST), F.lit(1.0)).otherwise(F.lit(0.0))
     feats = {
         "token_count": token_estimate(t),
         "char_count": F.length(t).cast("double"),
         "word_count": F.size(_tokens(fl)).cast("double"),
-        "sentence_count": F.size(F.filter(F.split(t, SENTENCE_SPLIT), lambda x: x.rlike(NON_WS))).cast("double"),
+        "sentence_count": sentence_count(fl).cast("double"),
         "has_code_block": F.when(t.contains("```"), F.lit(1.0)).otherwise(F.lit(0.0)),
         "has_numbered_list": numbered,
         "num_constraints": _hits(lo, S.CONSTRAINT_WORDS),

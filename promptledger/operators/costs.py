@@ -1,8 +1,9 @@
 """Cost math C1-C8 in exact decimals.
 
 Prices come from the registry through a broadcast hash join on the model
-key; the best-model (baseline) prices are a one-row aggregate of the
-registry read as scalar subqueries.  No fact-table shuffle happens here.
+key; the best-model (baseline) and cheapest-model prices are one-row
+aggregates of the registry, read once while the plan is built and folded
+in as literals.  No fact-table shuffle happens here.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import token_cost
+from ..sources import config_tables as ct
 from .routing import cheapest_model
 
 
@@ -25,8 +27,9 @@ def best_model(registry: DataFrame) -> DataFrame:
 
 
 def baseline_prices(registry: DataFrame) -> tuple[Column, Column]:
-    b = best_model(registry)
-    return (b.select("price_in_per_token").scalar(), b.select("price_out_per_token").scalar())
+    """C3 prices: the best model's per-token prices as literals."""
+    b = ct.config_row(best_model(registry).select("price_in_per_token", "price_out_per_token"))
+    return (ct.price_literal(b and b[0]), ct.price_literal(b and b[1]))
 
 
 def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
@@ -36,15 +39,16 @@ def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_
 
     One broadcast hash join of the registry on the model key gives the
     prices; a key missing from the registry is priced as the cheapest
-    model (J2, its prices are scalar subqueries).  The baseline is never
+    model (J2, its prices are literals).  The baseline is never
     null: the same tokens at the best model's prices.
     """
     prices = registry.select(F.col("model_key").alias("__pm"),
                              F.col("price_in_per_token").alias("__pin"),
                              F.col("price_out_per_token").alias("__pout"))
-    cheap = registry.join(cheapest_model(registry), "model_key")
-    c_key = cheap.select("model_key").scalar()
-    c_in, c_out = cheap.select("price_in_per_token").scalar(), cheap.select("price_out_per_token").scalar()
+    cheap = ct.config_row(registry.join(cheapest_model(registry), "model_key")
+                          .select("model_key", "price_in_per_token", "price_out_per_token"))
+    c_key = F.lit(cheap and cheap[0]).cast("string")
+    c_in, c_out = ct.price_literal(cheap and cheap[1]), ct.price_literal(cheap and cheap[2])
     j = df.join(F.broadcast(prices), F.col(model_col) == F.col("__pm"), "left")
     bin_, bout = baseline_prices(registry)
     cols = [F.col(c) for c in df.columns]

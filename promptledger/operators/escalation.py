@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import token_cost
 from ..settings import DEFAULT_THRESHOLDS, Thresholds
+from ..sources import config_tables as ct
 from .costs import baseline_prices, best_model
 
 
@@ -69,9 +70,9 @@ def escalation_outcomes(decided: DataFrame, completions: DataFrame, registry: Da
     request id).  A match escalates with the re-run's full cost as
     ``cost_delta_usd``; no match is a failed re-run.  Other decisions are
     not escalated with a zero delta."""
-    best = best_model(registry)
-    best_key = best.select("model_key").scalar()
-    best_id = best.select("model_id").scalar()
+    best = ct.config_row(best_model(registry).select("model_key", "model_id"))
+    best_key = F.lit(best and best["model_key"]).cast("string")
+    best_id = F.lit(best and best["model_id"]).cast("string")
     bin_, bout = baseline_prices(registry)
     reruns = (completions.where(F.col("model_key") == best_key)
               .select(F.col("prompt_id").alias("id"),

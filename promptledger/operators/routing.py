@@ -3,8 +3,8 @@ model fallback (J2), patch validation / application (R3, R4, J8) and
 replay under a patched mapping (R5).
 
 Config tables are bounded (one row per tier / setting / model) and are
-broadcast; one-row config values are read as scalar subqueries, which
-Spark evaluates once and folds into the plan as a literal.
+broadcast; one-row config values (threshold, fallback, cheapest model)
+are read once while the plan is built and folded in as literals.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     model, otherwise the tier's model (left join: an unmapped tier gives
     null, which pricing resolves through J2)."""
     rules = ct.routing_rules(settings)
-    thr = ct.routing_thresholds(settings)
-    threshold = thr.select("low_confidence_threshold").scalar()
-    fallback = thr.select("fallback_model").scalar()
+    thr = ct.config_row(ct.routing_thresholds(settings))
+    threshold = F.lit(thr and thr["low_confidence_threshold"]).cast("double")
+    fallback = F.lit(thr and thr["fallback_model"]).cast("string")
     rules = rules.select(F.col("tier").alias("__rt_tier"), F.col("model_key").alias("__rt_model"))
     joined = df.join(F.broadcast(rules), F.col(tier_col) == F.col("__rt_tier"), "left")
     low = F.col(conf_col) < threshold
@@ -46,7 +46,8 @@ def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_m
                   out_col: str = "model_key") -> DataFrame:
     """Keep a model key found in the registry, else the cheapest model."""
     keys = registry.select(F.col("model_key").alias("__known"))
-    cheapest = cheapest_model(registry).select("model_key").scalar()
+    c = ct.config_row(cheapest_model(registry))
+    cheapest = F.lit(c and c["model_key"]).cast("string")
     j = df.join(F.broadcast(keys), F.col(model_col) == F.col("__known"), "left")
     return j.select(*[F.col(c) for c in df.columns],
                     F.coalesce(F.col("__known"), cheapest).alias(out_col))

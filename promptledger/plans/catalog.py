@@ -13,6 +13,7 @@ from ..operators import reports as rep
 from ..sources import config_tables as ct
 from ..sources import fixtures as fx
 from .oracle import with_views
+from .views import session_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,7 +42,7 @@ SELECT COUNT(*) AS total_requests,
   coalesce(round(avg(latency_ms), 0), 0.0) AS avg_latency_ms
 FROM request_log"""))
 def q_savings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rep.savings_summary(fx.request_log(spark, sf_dir))
+    return rep.savings_summary(_log(spark, sf_dir))
 
 
 # ------------------------------------------------------------ shared inputs
@@ -56,13 +57,34 @@ from ..operators.percentiles import exact_percentiles  # noqa: E402
 from .. import settings as S  # noqa: E402
 
 
+# Shared inputs: each is planned once per session and input folder and read
+# as a temporary view (see plans/views.py).
+
 def _log(spark, sf):
-    return fx.request_log(spark, sf)
+    return session_view(spark, "request_log", sf, lambda: fx.request_log(spark, sf))
+
+
+def _prompts(spark, sf):
+    return session_view(spark, "prompts", sf, lambda: fx.prompts(spark, sf))
 
 
 def _outcomes(spark, sf):
-    log = _log(spark, sf)
-    return esc.escalation_outcomes(log, fx.completions(spark, sf, log), ct.model_registry(spark))
+    def build():
+        log = _log(spark, sf)
+        return esc.escalation_outcomes(log, fx.completions(spark, sf, log), ct.model_registry(spark))
+    return session_view(spark, "escalation_outcomes", sf, build)
+
+
+def _verdict_text(spark, sf):
+    return session_view(spark, "verdict_text", sf, lambda: fx.verdict_text(spark, sf, _log(spark, sf)))
+
+
+def _verdicts(spark, sf):
+    return session_view(spark, "verdicts", sf, lambda: fx.verdicts(spark, sf, _log(spark, sf)))
+
+
+def _predictions(spark, sf):
+    return session_view(spark, "predictions", sf, lambda: fx.predictions(spark, sf))
 
 
 def _log_esc(spark, sf):
@@ -284,9 +306,11 @@ def q_run_routing_distribution(spark, sf):
 # ------------------------------------------------------------ A15, A16, J5, C7
 
 def _priced_runs(spark, sf):
-    reg = ct.model_registry(spark)
-    runs = fx.baseline_runs(spark, sf, reg)
-    return cst.price_requests(runs, reg, model_col="model_key")
+    def build():
+        reg = ct.model_registry(spark)
+        runs = fx.baseline_runs(spark, sf, reg)
+        return cst.price_requests(runs, reg, model_col="model_key")
+    return session_view(spark, "priced_runs", sf, build)
 
 
 _SAV1 = ("CASE WHEN cost_if_highest_quality = 0 THEN 0.0 ELSE round(CAST((cost_if_highest_quality - cost_usd) "
@@ -430,7 +454,7 @@ FROM verdict_text"""))
 def q_judge_costs(spark, sf):
     """Each judge call priced at the best model (inputs: a fixed
     instruction overhead plus a per-request part; output: the verdict)."""
-    vt = fx.verdict_text(spark, sf).select(
+    vt = _verdict_text(spark, sf).select(
         "id", (F.lit(200) + F.col("id") % 50).alias("judge_input_tokens"),
         F.floor(F.length("raw") / 4).alias("judge_output_tokens"))
     return cst.judge_costs(vt, ct.model_registry(spark)).select("id", _dbl("judge_cost_usd"))
@@ -490,7 +514,7 @@ def q_validate_requests(spark, sf):
 @query("prompt_hash", with_views(["prompts"], """
 SELECT doc_id, substring(sha256(prompt), 1, 16) AS prompt_hash FROM prompts"""))
 def q_prompt_hash(spark, sf):
-    return fx.prompts(spark, sf).select("doc_id", pr.prompt_hash().alias("prompt_hash"))
+    return _prompts(spark, sf).select("doc_id", pr.prompt_hash().alias("prompt_hash"))
 
 
 @query("prompt_previews", with_views(["prompts"], f"""
@@ -499,16 +523,26 @@ SELECT doc_id, substring(prompt, 1, {S.PROMPT_PREVIEW_CHARS}) AS prompt_preview,
        ELSE prompt END AS audit_preview
 FROM prompts"""))
 def q_prompt_previews(spark, sf):
-    return fx.prompts(spark, sf).select("doc_id", *pr.previews(), rep.audit_preview("prompt").alias("audit_preview"))
+    return _prompts(spark, sf).select("doc_id", *pr.previews(), rep.audit_preview("prompt").alias("audit_preview"))
 
 
 _FEAT_SQL = tx.sql_features("prompt")
 
 
+def _documents(spark, sf):
+    """Whole document texts (null as empty), spread over the cores."""
+    from ..sources.tables import read_table, spread
+
+    def build():
+        d = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
+        return d.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return session_view(spark, "documents", sf, build)
+
+
 @query("prompt_features", with_views(["prompts"], "SELECT doc_id, label, " + ", ".join(
     f"{e} AS {n}" for n, e in _FEAT_SQL.items()) + " FROM prompts"))
 def q_prompt_features(spark, sf):
-    f = tx.add_features(fx.prompts(spark, sf))
+    f = tx.add_features(_prompts(spark, sf))
     return f.select("doc_id", "label", *S.FEATURE_NAMES)
 
 
@@ -516,16 +550,14 @@ def q_prompt_features(spark, sf):
     f"{e} AS {n}" for n, e in tx.sql_features("coalesce(text, '')").items()) + " FROM documents")
 def q_document_features(spark, sf):
     """F1-F14 over the raw documents (whole texts, four languages)."""
-    from ..sources.tables import read_table
-    d = read_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = _documents(spark, sf)
     return tx.add_features(d, "t").select("doc_id", *S.FEATURE_NAMES)
 
 
 @query("token_estimates", "SELECT doc_id, " + ", ".join(
     f"{e} AS {n}" for n, e in tx.sql_token_estimates("coalesce(text, '')").items()) + " FROM documents")
 def q_token_estimates(spark, sf):
-    from ..sources.tables import read_table
-    d = read_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = _documents(spark, sf)
     return d.select("doc_id", *tx.token_estimates("t"))
 
 
@@ -538,7 +570,7 @@ SELECT doc_id, 'ORIGINAL_PROMPT:' || chr(10) || prompt || chr(10) || chr(10) ||
 FROM prompts"""))
 def q_judge_inputs(spark, sf):
     """V1: the judge message for every prompt (whole prompt text)."""
-    p = fx.prompts(spark, sf).select(
+    p = _prompts(spark, sf).select(
         "doc_id", "prompt",
         F.concat(F.lit("cheap answer "), F.col("doc_id").cast("string")).alias("cheap_output"),
         F.concat(F.lit("reference answer "), F.col("doc_id").cast("string")).alias("reference_output"))
@@ -549,7 +581,7 @@ def q_judge_inputs(spark, sf):
 SELECT id, parse_error, quality_score, expensive_score, quality_gap, judge_routing_correct, failure_reason
 FROM parsed_verdicts"""))
 def q_parse_verdicts(spark, sf):
-    return vd.parse_verdicts(fx.verdict_text(spark, sf)).select(
+    return vd.parse_verdicts(_verdict_text(spark, sf)).select(
         "id", "parse_error", "quality_score", "expensive_score", "quality_gap", "judge_routing_correct",
         "failure_reason")
 
@@ -566,8 +598,7 @@ def _verdict_sql(body: str) -> str:
 
 
 def _with_verdicts(spark, sf):
-    log = _log(spark, sf)
-    return vd.merge_verdicts(log, fx.verdicts(spark, sf, log))
+    return vd.merge_verdicts(_log(spark, sf), _verdicts(spark, sf))
 
 
 @query("requests_with_verdict", _verdict_sql("""
@@ -644,7 +675,7 @@ from ..operators import quality as dq  # noqa: E402
 
 
 def _failures(spark, sf):
-    return fx.failure_log(spark, sf)
+    return session_view(spark, "failures", sf, lambda: fx.failure_log(spark, sf, _log(spark, sf)))
 
 
 _PENDING = "SELECT f.* FROM failures f WHERE f.id NOT IN (SELECT failure_id FROM ledger)"
@@ -680,7 +711,7 @@ SELECT prompt, correct_tier AS tier FROM ({_PENDING})"""))
 def q_training_set(spark, sf):
     """Labelled prompts UNION ALL pending failure rows."""
     f = _failures(spark, sf)
-    labelled = fx.prompts(spark, sf).select("prompt", F.col("label").alias("tier"))
+    labelled = _prompts(spark, sf).select("prompt", F.col("label").alias("tier"))
     return fw.training_set(labelled, fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(f))))
 
 
@@ -702,7 +733,7 @@ def q_dq_null_baseline(spark, sf):
 SELECT id, count(*) AS n FROM verdicts GROUP BY id HAVING count(*) > 1"""))
 def q_dq_duplicate_ids(spark, sf):
     """Q2 over the append-only verdict table (re-judged requests repeat)."""
-    return dq.duplicate_ids(fx.verdicts(spark, sf))
+    return dq.duplicate_ids(_verdicts(spark, sf))
 
 
 @query("dq_request_duplicates", with_views(["request_log"], """
@@ -734,7 +765,7 @@ from ..operators import classifier as clf  # noqa: E402
 SELECT label AS tier, count(*) AS n FROM prompts GROUP BY label ORDER BY label"""))
 def q_label_distribution(spark, sf):
     """Labelled rows per tier."""
-    return rep.label_distribution(fx.prompts(spark, sf).withColumnRenamed("label", "tier"))
+    return rep.label_distribution(_prompts(spark, sf).withColumnRenamed("label", "tier"))
 
 
 @query("class_weights", with_views(["prompts"], """
@@ -742,7 +773,7 @@ SELECT label, n_class, (SELECT count(*) FROM prompts) / ((SELECT count(DISTINCT
   AS weight
 FROM (SELECT label, count(*) AS n_class FROM prompts GROUP BY label)"""))
 def q_class_weights(spark, sf):
-    return clf.class_weights(fx.prompts(spark, sf))
+    return clf.class_weights(_prompts(spark, sf))
 
 
 @query("stratified_split", with_views(["prompts"], """
@@ -750,14 +781,14 @@ SELECT label, substring(md5(prompt), 1, 4) < '3333' AS is_test, count(*) AS n FR
 GROUP BY label, is_test"""))
 def q_stratified_split(spark, sf):
     """M2: rows per tier on each side of the hash split."""
-    p = fx.prompts(spark, sf)
+    p = _prompts(spark, sf)
     return p.groupBy("label", clf.split_flag().alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("accuracy", with_views(["predictions"], """
 SELECT avg(CAST(label = predicted AS INTEGER)) AS accuracy, count(*) AS n FROM predictions"""))
 def q_accuracy(spark, sf):
-    return clf.accuracy(fx.predictions(spark, sf))
+    return clf.accuracy(_predictions(spark, sf))
 
 
 @query("confusion_matrix", with_views(["predictions"], """
@@ -765,7 +796,7 @@ SELECT label, count(*) FILTER (WHERE predicted = 1) AS pred_1, count(*) FILTER (
   count(*) FILTER (WHERE predicted = 3) AS pred_3
 FROM predictions GROUP BY label ORDER BY label"""))
 def q_confusion_matrix(spark, sf):
-    return clf.confusion_matrix(fx.predictions(spark, sf))
+    return clf.confusion_matrix(_predictions(spark, sf))
 
 
 _REPORT_SQL = """
@@ -788,7 +819,7 @@ SELECT class, round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recal
 
 @query("classification_report", with_views(["predictions"], "").rstrip() + ",\n" + _REPORT_SQL)
 def q_classification_report(spark, sf):
-    return clf.classification_report(fx.predictions(spark, sf))
+    return clf.classification_report(_predictions(spark, sf))
 
 
 # ------------------------------------------------------------ classifier (rows-only checks)
@@ -797,7 +828,7 @@ from . import jobs  # noqa: E402
 
 
 def _prompt_data(spark, sf):
-    return jobs.prepared(fx.prompts(spark, sf), keep=("doc_id",))
+    return jobs.prepared(_prompts(spark, sf), keep=("doc_id",))
 
 
 @query("classify_prompts")

@@ -21,14 +21,28 @@ from ..operators.calibration import PlattCalibrated
 from ..session import ensure_checkpoint_dir, state_path
 
 
+# featurised training rows are ~150 bytes (14 doubles, label, weight, flags):
+# this many rows make a partition of about 75 MB
+TRAIN_ROWS_PER_PARTITION = 500_000
+
+
 def prepared(df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """Features, 0-based label, balanced weights, split flag and fold id;
-    checkpointed."""
+    checkpointed.
+
+    The checkpointed table is a fraction of the size of the texts it came
+    from, so it is narrowed (``coalesce``, no shuffle) to one partition per
+    ``TRAIN_ROWS_PER_PARTITION`` rows: iterative fitting runs one task per
+    partition per iteration, and empty or tiny partitions only add
+    scheduling."""
     ensure_checkpoint_dir(df.sparkSession)
     p = clf.prepare(df, label)
     out = p.select(*keep, label, "label_idx", "weight", *S.FEATURE_NAMES,
                    clf.split_flag().alias("is_test"), clf.fold_id().alias("fold"))
-    return out.checkpoint(eager=True)
+    saved = out.checkpoint(eager=True)
+    rows = saved.count()
+    parts = max(1, min(saved.rdd.getNumPartitions(), -(-rows // TRAIN_ROWS_PER_PARTITION)))
+    return saved.coalesce(parts)
 
 
 def fit_candidates(data: DataFrame):

@@ -1,0 +1,39 @@
+"""Session views: the derived inputs the registered queries share (request
+log, escalation outcomes, prompts, verdicts, failures, ...) are planned
+once per session and input folder and registered as temporary views; every
+query then reads the view by name.
+
+A view holds a plan, not data: each query still scans the parquet files and
+Catalyst still prunes columns and pushes filters through the view.  What is
+saved is building and analysing the same large plan again for every
+report.  The file listing is taken when the view is first planned; after
+new files land, :func:`drop_session_views` (or ``spark.catalog.refreshByPath``)
+makes the next query see them.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+PREFIX = "pl_"
+
+
+def view_name(name: str, sf_dir: str) -> str:
+    return f"{PREFIX}{name}_{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()[:10]}"
+
+
+def session_view(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` registered as a temporary view on first use, then read by name."""
+    view = view_name(name, sf_dir)
+    if not spark.catalog.tableExists(view):
+        build().createOrReplaceTempView(view)
+    return spark.table(view)
+
+
+def drop_session_views(spark: SparkSession) -> None:
+    for t in spark.catalog.listTables():
+        if t.isTemporary and t.name.startswith(PREFIX):
+            spark.catalog.dropTempView(t.name)

@@ -60,6 +60,25 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
 MAX_REGISTRY_ROWS = 10_000
 
 
+def config_row(df: DataFrame):
+    """The row of a one-row config aggregate (best model, cheapest model,
+    routing thresholds), read once while the plan is built.
+
+    The value is folded into the fact-table plan as a literal, so running a
+    report launches no extra job per config value (a scalar subquery would
+    run one on every execution).  Only config tables are read this way; the
+    input is bounded by construction and a second row is an error."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("config aggregate returned more than one row")
+    return rows[0] if rows else None
+
+
+def price_literal(v) -> "F.Column":
+    """A per-token price as a DECIMAL(18,12) literal (null stays null)."""
+    return F.lit(None if v is None else str(v)).cast(PRICE_TOKEN)
+
+
 def registry_rows(models=None) -> list[tuple]:
     models = S.MODEL_REGISTRY if models is None else models
     if len(models) > MAX_REGISTRY_ROWS:

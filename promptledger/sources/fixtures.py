@@ -20,7 +20,7 @@ from ..operators.costs import price_requests
 from ..operators.routing import route
 from ..settings import DEFAULT_THRESHOLDS
 from . import config_tables as ct
-from .tables import read_table
+from .tables import read_table, spread
 
 # our own prompt templates: (prefix, suffix, fenced body), picked by doc_id % 12
 PROMPT_TEMPLATES = [
@@ -45,7 +45,7 @@ FENCE = "\n```\n"
 def request_log(spark: SparkSession, sf_dir: str, registry: DataFrame | None = None,
                 settings: DataFrame | None = None, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
     """B.1: routed, priced and judged requests (one per event)."""
-    ev = read_table(spark, sf_dir, "events", *EVENT_COLUMNS)
+    ev = spread(read_table(spark, sf_dir, "events", *EVENT_COLUMNS), "event_id")
     return requests_from_events(ev, registry, settings, thresholds)
 
 
@@ -110,7 +110,8 @@ def templated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B.2: templated prompts over whole documents, with the template label."""
-    return templated(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
+    return templated(docs, "doc_id", "text")
 
 
 def golden_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
