@@ -68,10 +68,13 @@ def _prompts(spark, sf):
     return session_view(spark, "prompts", sf, lambda: fx.prompts(spark, sf))
 
 
+def _completions(spark, sf):
+    return session_view(spark, "completions", sf, lambda: fx.completions(spark, sf, _log(spark, sf)))
+
+
 def _outcomes(spark, sf):
     def build():
-        log = _log(spark, sf)
-        return esc.escalation_outcomes(log, fx.completions(spark, sf, log), ct.model_registry(spark))
+        return esc.escalation_outcomes(_log(spark, sf), _completions(spark, sf), ct.model_registry(spark))
     return session_view(spark, "escalation_outcomes", sf, build)
 
 
@@ -477,6 +480,36 @@ def q_model_usage(spark, sf):
                     F.coalesce(F.col("c").cast("double"), F.lit(0.0)).alias("cost_usd"))
 
 
+# ------------------------------------------------------------ K1
+
+from ..operators import sinks as snk  # noqa: E402
+
+
+@query("request_rows", with_views(["request_log", "prompts", "completions", "registry"], f"""
+SELECT l.id, l.ts, l.day, coalesce(CAST(l.user_id AS VARCHAR), '{S.DEFAULT_USER_ID}') AS user_id,
+  substring(sha256(p.prompt), 1, {S.PROMPT_HASH_HEX}) AS prompt_hash,
+  substring(p.prompt, 1, {S.PROMPT_PREVIEW_CHARS}) AS prompt_preview,
+  l.complexity_tier, l.classifier_conf, coalesce(l.low_confidence, false) AS low_confidence, l.routed_model,
+  g.provider, l.input_tokens, l.output_tokens, CAST(l.cost_usd AS DOUBLE) AS cost_usd,
+  CAST(l.cost_if_highest_quality AS DOUBLE) AS cost_if_highest_quality, l.latency_ms,
+  substring(c.output_text, 1, {S.OUTPUT_PREVIEW_CHARS}) AS output_preview
+FROM request_log l
+LEFT JOIN prompts p ON p.doc_id = abs(l.id) % (SELECT count(*) FROM documents)
+LEFT JOIN registry g ON g.model_key = l.routed_model
+LEFT JOIN completions c ON c.prompt_id = l.id"""))
+def q_request_rows(spark, sf):
+    """K1: the request-log row as appended (hash of the whole prompt,
+    150 / 200-character previews, provider from the registry)."""
+    reg = ct.model_registry(spark).select(F.col("model_key").alias("routed_model"), "provider")
+    out = _completions(spark, sf).select(F.col("prompt_id").alias("id"), "output_text")
+    df = (fx.with_prompts(spark, sf, _log(spark, sf), "id")
+          .join(F.broadcast(reg), "routed_model", "left")
+          .join(out, "id", "left"))
+    rows = snk.request_rows(df)
+    return rows.select(*[_dbl(c) if c in ("cost_usd", "cost_if_highest_quality") else F.col(c)
+                         for c in rows.columns])
+
+
 # ------------------------------------------------------------ prompts / features
 
 from ..operators import prompts as pr  # noqa: E402

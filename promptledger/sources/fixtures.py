@@ -192,13 +192,21 @@ def failure_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None,
     allf = fails.unionByName(orphans).withColumn(
         "id", F.when(F.col("request_id") >= 0, F.col("request_id") * 10 + 1)
         .otherwise(-F.col("request_id") * 10 + 2))
-    p = prompts(spark, sf_dir).select(F.col("doc_id").alias("__doc"), F.col("prompt"))
-    keyed = allf.withColumn("__doc", F.pmod(F.abs(F.col("request_id")), doc_count(spark, sf_dir)))
-    return keyed.join(p, "__doc", "left").select(
+    return with_prompts(spark, sf_dir, allf, "request_id").select(
         "id", "request_id", "ts", "prompt", "classified_tier", "correct_tier", "quality_gap",
         "failure_reason")
 
 
+def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """The prompt text of each request: request id -> document
+    ``abs(id) mod (number of documents)`` of the ``prompts`` view (a
+    sort-merge join on the document key; many requests share a document,
+    a document row is never repeated on the prompts side)."""
+    p = prompts(spark, sf_dir).select(F.col("doc_id").alias("__doc"), F.col("prompt"))
+    keyed = df.withColumn("__doc", F.pmod(F.abs(F.col(id_col)), doc_count(spark, sf_dir)))
+    return keyed.join(p, "__doc", "left").drop("__doc")
+
+
 def consumed_ledger(failures: DataFrame) -> DataFrame:
     """B.3: failures already consumed by an earlier retrain (id % 3 = 0)."""
     return failures.where(F.col("id") % 3 == 0).select(F.col("id").alias("failure_id"))
