@@ -20,24 +20,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_count(vc: DataFrame, rows_per_bucket: int, min_buckets: int) -> int:
+def bucket_count(ndv: int, rows_per_bucket: int, min_buckets: int) -> int:
     """Enough ranges that one holds about ``rows_per_bucket`` distinct
-    values (estimated with ``approx_count_distinct``), so the per-range
-    window stays bounded as the data grows."""
-    ndv = vc.agg(F.approx_count_distinct("v").alias("d")).first()["d"] or 0
+    values, so the per-range window stays bounded as the data grows."""
     return max(min_buckets, -(-ndv // rows_per_bucket))
 
 
 def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: list[str],
                       buckets: int | None = None, rows_per_bucket: int = 1_000_000,
-                      min_buckets: int = 64) -> DataFrame:
+                      min_buckets: int | None = None) -> DataFrame:
     """One row: ``names[i]`` = the value at zero-based rank ``floor(n * ps[i])``
-    of the non-null ``value_col``; plus ``n``."""
+    of the non-null ``value_col``; plus ``n``.
+
+    One pass first counts the values and estimates the distinct ones
+    (``approx_count_distinct``, a mergeable sketch): the count fixes the
+    target ranks as literals and the estimate sizes the ranges.  The
+    minimum number of ranges is one per core (``defaultParallelism``)."""
+    spark = df.sparkSession
     vals = df.select(F.col(value_col).alias("v")).where(F.col("v").isNotNull())
+    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d")).first()
+    n_rows, ndv = int(stats["n"]), int(stats["d"] or 0)
+    n = F.lit(n_rows).cast("bigint")
     vc = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    n = vals.agg(F.count(F.lit(1)).alias("n")).scalar()
     if buckets is None:
-        buckets = bucket_count(vc, rows_per_bucket, min_buckets)
+        floor_ = spark.sparkContext.defaultParallelism if min_buckets is None else min_buckets
+        buckets = bucket_count(ndv, rows_per_bucket, floor_)
     # contiguous value ranges: a range repartition of the distinct values
     # (boundaries from a bounded sample), the partition id is the bucket
     b = (vc.repartitionByRange(buckets, "v")
@@ -55,6 +62,6 @@ def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: lis
         (F.coalesce(F.col("off"), F.lit(0)) + F.col("cum") - F.lit(1)).alias("hi"))
     picks = []
     for p, name in zip(ps, names):
-        k = F.floor(n * F.lit(p))
+        k = F.lit(int(n_rows * p)).cast("bigint")
         picks.append(F.max(F.when((F.col("lo") <= k) & (k <= F.col("hi")), F.col("v"))).alias(name))
     return ranked.agg(*picks).select(n.alias("n"), *names)
