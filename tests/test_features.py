@@ -94,3 +94,24 @@ def test_no_python_udf_in_feature_plan(spark):
     df = spark.createDataFrame([("Write a list",)], "prompt string")
     plan = tx.add_features(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_features_match_on_random_strings(spark):
+    """Brute force: 400 seeded random strings over an alphabet of separators,
+    Unicode white space, digits and keyword fragments, in one DataFrame."""
+    import random
+    rng = random.Random(7)
+    atoms = ["a", "b", " ", "  ", ".", "!", "?", "...", "\t", "\n", " ", " ", "　", "1", "2)",
+             "3.", ")", "list", "write", "Count,", "extract:", "is this", "step 1", "```", "json", "must",
+             "analyze", "first,", "then,", "ü", "İ"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, prompt string")
+    got = {r.i: r.asDict() for r in tx.add_features(df).collect()}
+    for i, t in enumerate(texts):
+        want = py_features(t)
+        for name in S.FEATURE_NAMES:
+            if name == "context_length" and "İ" in t:
+                continue  # documented: lengths taken on the lower-cased rest
+            assert got[i][name] == pytest.approx(want[name]), (name, t)
+    words = {r.i: r.est_tokens_words for r in df.select("i", *tx.token_estimates("prompt")).collect()}
+    assert all(words[i] == len(t.split()) * 4 // 3 for i, t in enumerate(texts))
