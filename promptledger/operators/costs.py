@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.money import token_cost
 from ..sources import config_tables as ct
-from .routing import cheapest_model
 
 
 def best_model(registry: DataFrame) -> DataFrame:
@@ -45,10 +44,9 @@ def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_
     prices = registry.select(F.col("model_key").alias("__pm"),
                              F.col("price_in_per_token").alias("__pin"),
                              F.col("price_out_per_token").alias("__pout"))
-    cheap = ct.config_row(registry.join(cheapest_model(registry), "model_key")
-                          .select("model_key", "price_in_per_token", "price_out_per_token"))
-    c_key = F.lit(cheap and cheap[0]).cast("string")
-    c_in, c_out = ct.price_literal(cheap and cheap[1]), ct.price_literal(cheap and cheap[2])
+    key, pin, pout = ct.registry_facts(registry)     # size-checked before the broadcast
+    c_key = F.lit(key).cast("string")
+    c_in, c_out = ct.price_literal(pin), ct.price_literal(pout)
     j = df.join(F.broadcast(prices), F.col(model_col) == F.col("__pm"), "left")
     bin_, bout = baseline_prices(registry)
     cols = [F.col(c) for c in df.columns]

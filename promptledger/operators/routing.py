@@ -24,6 +24,7 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     null, which pricing resolves through J2)."""
     rules = ct.routing_rules(settings)
     thr = ct.config_row(ct.routing_thresholds(settings))
+    ct.check_bound(thr and thr["n_settings"], ct.MAX_CONFIG_ROWS, "routing settings")
     threshold = F.lit(thr and thr["low_confidence_threshold"]).cast("double")
     fallback = F.lit(thr and thr["fallback_model"]).cast("string")
     rules = rules.select(F.col("tier").alias("__rt_tier"), F.col("model_key").alias("__rt_model"))
@@ -46,8 +47,7 @@ def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_m
                   out_col: str = "model_key") -> DataFrame:
     """Keep a model key found in the registry, else the cheapest model."""
     keys = registry.select(F.col("model_key").alias("__known"))
-    c = ct.config_row(cheapest_model(registry))
-    cheapest = F.lit(c and c["model_key"]).cast("string")
+    cheapest = F.lit(ct.registry_facts(registry)[0]).cast("string")
     j = df.join(F.broadcast(keys), F.col(model_col) == F.col("__known"), "left")
     return j.select(*[F.col(c) for c in df.columns],
                     F.coalesce(F.col("__known"), cheapest).alias(out_col))

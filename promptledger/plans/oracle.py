@@ -71,7 +71,7 @@ SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, user_id, event_type,
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
 
 view("request_log", ["registry", "best_model", "cheapest_model", "routing_rules"], f"""
-SELECT b.*, r.low_confidence, r.routed_model,
+SELECT b.*,
   {_cost('b.input_tokens', 'b.output_tokens', 'p.price_in_per_token', 'p.price_out_per_token')} AS cost_usd,
   {_cost('b.input_tokens', 'b.output_tokens', '(SELECT price_in_per_token FROM best_model)',
          '(SELECT price_out_per_token FROM best_model)')} AS cost_if_highest_quality,
@@ -80,13 +80,14 @@ SELECT b.*, r.low_confidence, r.routed_model,
          THEN 'routing_correct'
        WHEN CAST({T.budget_ms} AS DOUBLE) - b.latency_ms < CAST({T.reserve_ms} AS DOUBLE) THEN 'latency_budget_exhausted'
        ELSE 'escalate' END AS decision
-FROM (SELECT *, CASE WHEN quality_score < 0 THEN CAST(0.0 AS DOUBLE) ELSE expensive_score - quality_score END
-        AS quality_gap FROM ({_base})) b
-CROSS JOIN LATERAL (SELECT b.classifier_conf < CAST({R['low_confidence_threshold']} AS DOUBLE) AS low_confidence,
-    CASE WHEN b.classifier_conf < CAST({R['low_confidence_threshold']} AS DOUBLE) THEN {_q(R['fallback_model'])}
-         ELSE (SELECT model_key FROM routing_rules rr WHERE rr.tier = b.complexity_tier) END AS routed_model) r
+FROM (
+  SELECT g.*, g.classifier_conf < CAST({R['low_confidence_threshold']} AS DOUBLE) AS low_confidence,
+    CASE WHEN g.classifier_conf < CAST({R['low_confidence_threshold']} AS DOUBLE) THEN {_q(R['fallback_model'])}
+         ELSE (SELECT model_key FROM routing_rules rr WHERE rr.tier = g.complexity_tier) END AS routed_model
+  FROM (SELECT *, CASE WHEN quality_score < 0 THEN CAST(0.0 AS DOUBLE) ELSE expensive_score - quality_score END
+          AS quality_gap FROM ({_base})) g) b
 LEFT JOIN registry p ON p.model_key = coalesce(
-    (SELECT model_key FROM registry x WHERE x.model_key = r.routed_model), (SELECT model_key FROM cheapest_model))""")
+    (SELECT model_key FROM registry x WHERE x.model_key = b.routed_model), (SELECT model_key FROM cheapest_model))""")
 
 
 def _prompt_expr() -> str:

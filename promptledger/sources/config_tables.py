@@ -74,6 +74,31 @@ def config_row(df: DataFrame):
     return rows[0] if rows else None
 
 
+# routing settings / rules have one row per setting; broadcasting beyond this is refused
+MAX_CONFIG_ROWS = 10_000
+
+
+def check_bound(n, limit: int, what: str) -> None:
+    """Refuse to broadcast a config table with more than ``limit`` rows."""
+    if n is not None and n > limit:
+        raise ValueError(f"{what} has {n} rows, more than {limit}; not broadcast")
+
+
+def registry_facts(registry: DataFrame):
+    """One job over the registry: its row count (checked against
+    ``MAX_REGISTRY_ROWS`` before anything broadcasts it) and the cheapest
+    model by input price, ties by registry order (J2's fallback).
+    Returns ``(key, price_in, price_out)`` as Python values (all None for
+    an empty registry)."""
+    r = config_row(registry.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct("model_key", "price_in_per_token", "price_out_per_token"),
+                 F.struct("cost_per_1k_input_usd", "registry_order")).alias("c")))
+    check_bound(r["n"], MAX_REGISTRY_ROWS, "model registry")
+    c = r["c"]
+    return (c["model_key"], c["price_in_per_token"], c["price_out_per_token"]) if c else (None, None, None)
+
+
 def price_literal(v) -> "F.Column":
     """A per-token price as a DECIMAL(18,12) literal (null stays null)."""
     return F.lit(None if v is None else str(v)).cast(PRICE_TOKEN)
@@ -133,6 +158,7 @@ def routing_thresholds(settings: DataFrame) -> DataFrame:
     A global aggregate, so exactly one row by construction; consumers read
     it through a scalar subquery instead of joining."""
     return settings.agg(
+        F.count(F.lit(1)).alias("n_settings"),
         F.max(F.when(F.col("key") == "fallback_model", F.col("value"))).alias("fallback_model"),
         F.max(F.when(F.col("key") == "low_confidence_threshold", F.col("value")))
         .cast("double").alias("low_confidence_threshold"),

@@ -64,3 +64,20 @@ def test_training_table_is_narrowed_to_its_size(spark):
     assert data.rdd.getNumPartitions() == 1
     assert data.count() == p.count()
     assert data.where(F.col("weight").isNull()).count() == 0
+
+
+def test_oversized_config_is_not_broadcast(spark):
+    from promptledger.operators import costs as cst
+    from promptledger.operators import routing as rt
+    big_settings = spark.range(ct.MAX_CONFIG_ROWS + 1).select(
+        F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("x").alias("value"))
+    reqs = spark.createDataFrame([(1, 1, 0.9)], "id long, complexity_tier int, classifier_conf double")
+    with pytest.raises(ValueError):
+        rt.route(reqs, big_settings)
+    reg = ct.model_registry(spark)
+    big_reg = reg.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(ct.MAX_REGISTRY_ROWS // 3)))).drop("copy")
+    priced = spark.createDataFrame([(1, "small", 10, 10)], "id long, routed_model string, input_tokens long, "
+                                   "output_tokens long")
+    with pytest.raises(ValueError):
+        cst.price_requests(priced, big_reg)
+    assert ct.registry_facts(reg)[0] == "small"
