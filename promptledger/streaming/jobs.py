@@ -9,6 +9,7 @@ TIMESTAMP (session time zone UTC) before any watermark.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -75,45 +76,58 @@ def verdict_join(requests: DataFrame, verdicts: DataFrame, sink_path: str, check
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rolling_alert(requests: DataFrame, state_path: str, alerts_path: str, checkpoint: str,
-                  t: Thresholds = DEFAULT_THRESHOLDS, trigger: dict | None = None) -> StreamingQuery:
-    """ST3: after every micro-batch, the newest ``alert_window`` requests
-    (a bounded table kept in ``state_path``, one version per epoch) are
-    evaluated with A11 and the status row is appended to ``alerts_path``."""
-    spark = requests.sparkSession
+def alert_step(state_path: str, alerts_path: str, t: Thresholds = DEFAULT_THRESHOLDS):
+    """The ``foreachBatch`` body of ST3, idempotent per batch id.
+
+    The state of epoch ``N`` (the newest ``alert_window`` requests) is a
+    function of the state of epoch ``N-1`` and batch ``N`` only, written to
+    its own folder in overwrite mode, and so is the alert row.  A batch that
+    is run again after a failure (``foreachBatch`` is at-least-once) rewrites
+    the same two folders with the same rows instead of counting its requests
+    twice.  ``latest`` is a copy for readers; the step never reads it."""
     cols = ["id", "ts", "escalated"]
 
     def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         cur = batch.select(*cols)
-        try:
-            prev = spark.read.parquet(f"{state_path}/latest").select(*cols)
-            cur = cur.unionByName(prev)
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            pass
+        if epoch > 0:
+            try:
+                cur = cur.unionByName(spark.read.parquet(f"{state_path}/epoch={epoch - 1}").select(*cols))
+            except AnalysisException:  # no earlier state: this query's first batch
+                pass
         top = cur.orderBy(F.desc("ts"), F.desc("id")).limit(t.alert_window)
         top.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
         kept = spark.read.parquet(f"{state_path}/epoch={epoch}")
+        rep.escalation_alert(kept, t).write.mode("overwrite").parquet(f"{alerts_path}/epoch={epoch}")
         kept.write.mode("overwrite").parquet(f"{state_path}/latest")
-        (rep.escalation_alert(spark.read.parquet(f"{state_path}/latest"), t)
-         .select(F.lit(epoch).alias("epoch"), "*").write.mode("append").parquet(alerts_path))
 
-    w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return step
+
+
+def rolling_alert(requests: DataFrame, state_path: str, alerts_path: str, checkpoint: str,
+                  t: Thresholds = DEFAULT_THRESHOLDS, trigger: dict | None = None) -> StreamingQuery:
+    """ST3: after every micro-batch, the newest ``alert_window`` requests
+    (a bounded table, one version per epoch) are evaluated with A11; the
+    status row of epoch ``N`` lands in ``alerts_path/epoch=N``."""
+    w = requests.writeStream.foreachBatch(alert_step(state_path, alerts_path, t)).option(
+        "checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def hot_reload_routing(events: DataFrame, settings_path: str, sink_path: str, checkpoint: str,
                        registry: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
     """ST4: the routing settings are re-read from a shared table at every
-    micro-batch, so a new mapping takes effect on the next batch."""
+    micro-batch, so a new mapping takes effect on the next batch.  Batch
+    ``N`` is written to ``sink_path/epoch=N`` in overwrite mode, so a re-run
+    batch replaces its own output instead of appending it twice."""
     spark = events.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         settings = spark.read.parquet(settings_path)
         reg = ct.model_registry(spark) if registry is None else registry
         base = fx.requests_from_events(batch, reg, settings)
-        (base.select(F.lit(epoch).alias("epoch"), "id", "complexity_tier", "low_confidence", "routed_model",
-                     "cost_usd")
-         .write.mode("append").parquet(sink_path))
+        (base.select("id", "complexity_tier", "low_confidence", "routed_model", "cost_usd")
+         .write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}"))
 
     w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -105,3 +105,18 @@ def test_incremental_export_once(spark, tmp_dir):
     assert n1 == f.count()
     st.incremental_export(spark, f"{tmp_dir}/failures", f.schema, f"{tmp_dir}/exp", f"{tmp_dir}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_dir}/exp").count() == n1     # second run: nothing new
+
+
+def test_rolling_alert_step_is_idempotent_per_epoch(spark, tmp_dir):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=i), i % 4 == 0) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, escalated boolean")
+    step = st.alert_step(f"{tmp_dir}/state", f"{tmp_dir}/alerts")
+    step(df.where("id < 80"), 0)
+    step(df.where("id >= 80"), 1)
+    first = spark.read.parquet(f"{tmp_dir}/alerts/epoch=1").collect()
+    step(df.where("id >= 80"), 1)                      # the same batch again (retry)
+    again = spark.read.parquet(f"{tmp_dir}/alerts/epoch=1").collect()
+    state = spark.read.parquet(f"{tmp_dir}/state/epoch=1")
+    assert first == again and again[0].n == 100 and again[0].rate_pct == 25.0
+    assert state.count() == 100 and state.select("id").distinct().count() == 100
