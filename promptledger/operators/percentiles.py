@@ -43,7 +43,12 @@ def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: lis
     n = F.lit(n_rows).cast("bigint")
     vc = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     if buckets is None:
-        floor_ = spark.sparkContext.defaultParallelism if min_buckets is None else min_buckets
+        floor_ = min_buckets
+        if floor_ is None:
+            try:
+                floor_ = spark.sparkContext.defaultParallelism
+            except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+                floor_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = bucket_count(ndv, rows_per_bucket, floor_)
     # contiguous value ranges: a range repartition of the distinct values
     # (boundaries from a bounded sample), the partition id is the bucket

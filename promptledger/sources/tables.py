@@ -30,10 +30,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     and such inputs arrive in many files / row groups, so they are returned
     unchanged (no extra shuffle of a large table).  The key must be unique
     per row (an id), so a hot group key cannot pile up in one partition.
-    Batch DataFrames only.
+    Streaming DataFrames are returned unchanged.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
+    if df.isStreaming:
+        return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave the scan as it is
+        return df
+    if splits > cores:
         return df
     return df.repartition(2 * cores, *keys)
