@@ -52,10 +52,27 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "n_class", (n / (k * F.col("n_class"))).alias("weight"))
 
 
+# a classifier has a handful of classes; more than this is refused
+MAX_CLASSES = 1_000
+
+
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Attach M5 weights (a broadcast of one row per class)."""
-    w = class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(w), label, "left")
+    """Attach M5 weights ``n / (k * n_class)``.
+
+    The per-class counts (one row per class, at most ``MAX_CLASSES``,
+    checked) are read once and folded in as a literal map, so attaching
+    them needs no join: a class holding most of the rows cannot skew a
+    shuffle.  Same formula as :func:`class_weights`; a null label gets a
+    null weight."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")).limit(MAX_CLASSES + 2).collect()
+    classes = [r for r in counts if r[label] is not None]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
+    n, k = sum(r["n_class"] for r in counts), len(classes)
+    if not classes:
+        return df.withColumn("weight", F.lit(None).cast("double"))
+    weights = F.create_map(*[x for r in classes for x in (F.lit(r[label]), F.lit(n / (k * r["n_class"])))])
+    return df.withColumn("weight", weights[F.col(label)])
 
 
 def candidates(n_rows: int | None = None, weight_col: str = "weight") -> dict:

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_RANGES = 1_000_000
+
+
 def bucket_count(ndv: int, rows_per_bucket: int, min_buckets: int) -> int:
     """Enough ranges that one holds about ``rows_per_bucket`` distinct
     values, so the per-range window stays bounded as the data grows."""
@@ -62,7 +65,10 @@ def exact_percentiles(df: DataFrame, value_col: str, ps: list[float], names: lis
     totals = b.groupBy("bucket").agg(F.sum("c").alias("t"))
     offsets = totals.select("bucket", (F.sum("t").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("off"))
-    ranked = in_bucket.join(F.broadcast(offsets), "bucket").select(
+    # one offsets row per range: broadcast while the range count is small
+    # (known on the driver), a plain join beyond that
+    off = F.broadcast(offsets) if buckets <= MAX_BROADCAST_RANGES else offsets
+    ranked = in_bucket.join(off, "bucket").select(
         "v", (F.coalesce(F.col("off"), F.lit(0)) + F.col("cum") - F.col("c")).alias("lo"),
         (F.coalesce(F.col("off"), F.lit(0)) + F.col("cum") - F.lit(1)).alias("hi"))
     picks = []

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..settings import DEFAULT_THRESHOLDS, Thresholds
+from ..sources import config_tables as ct
 
 
 def _money(c: Column, places: int) -> Column:
@@ -171,6 +172,7 @@ def routing_distribution(log: DataFrame, registry: DataFrame, only: Column | Non
     src = log if only is None else log.where(only)
     counts = src.groupBy("routed_model").agg(F.count(F.lit(1)).alias("n"))
     total = src.agg(F.count(F.lit(1)).alias("t")).scalar()
+    ct.registry_facts(registry)                      # size-checked before the broadcast
     names = registry.select(F.col("model_key").alias("routed_model"), "display_name")
     j = counts.join(F.broadcast(names), "routed_model", "left")
     return (j.select("routed_model",

@@ -59,6 +59,7 @@ def patch_violations(patch: DataFrame, registry: DataFrame) -> DataFrame:
     ``*_model`` values must be registry keys (left anti join against the
     registry); the threshold must be a number in [0, 1]; an empty patch is
     one violation of its own."""
+    ct.registry_facts(registry)                      # size-checked before the broadcast
     keys = registry.select(F.col("model_key").alias("value"))
     models = patch.where(F.col("key").endswith("_model"))
     unknown = (models.join(F.broadcast(keys), "value", "left_anti")
