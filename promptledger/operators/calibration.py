@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classifier import TIERS, build_pipeline, fold_id
+from .classifier import TIERS, build_pipeline, fold_id, training_partitions
 
 
 class PlattCalibrated(Estimator):
@@ -36,11 +37,16 @@ class PlattCalibrated(Estimator):
     def _fit(self, df: DataFrame) -> "PlattCalibratedModel":
         fold = F.col(self.fold_col) if self.fold_col else fold_id(self.text_col, self.k)
         folds = df.withColumn("__fold", fold)
+        # held-out scores are 3 probabilities and a label per row: persisted
+        # (recomputable from lineage) and sized for the sigmoid fits, which
+        # iterate over them three times per fold
+        parts = training_partitions(max(1, df.count() // self.k), df.sparkSession.sparkContext.defaultParallelism)
         members = []
         for f in range(self.k):
             base = build_pipeline(self.estimator.copy()).fit(folds.where(F.col("__fold") != f))
-            held = base.transform(folds.where(F.col("__fold") == f)).withColumn(
-                "__p", vector_to_array(F.col("probability")))
+            held = (base.transform(folds.where(F.col("__fold") == f))
+                    .select(vector_to_array(F.col("probability")).alias("__p"), "label_idx")
+                    .coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK))
             coefs = []
             for i, _ in enumerate(TIERS):
                 one = held.select(F.col("__p")[i].alias("s"),
@@ -49,6 +55,7 @@ class PlattCalibrated(Estimator):
                 lr = LogisticRegression(featuresCol="sv", labelCol="y", maxIter=100, regParam=0.0)
                 m = lr.fit(one)
                 coefs.append((float(m.coefficients[0]), float(m.intercept)))
+            held.unpersist()
             members.append((base, coefs))
         return PlattCalibratedModel(members)
 

@@ -23,6 +23,21 @@ from ..functions.text import add_features
 TIERS = [1, 2, 3]
 
 
+# featurised training rows are ~150 bytes (14 doubles, label, flags): a
+# partition holds at most this many rows (about 75 MB) ...
+TRAIN_ROWS_PER_PARTITION = 500_000
+# ... and, while there are cores to spare, at least this many (smaller
+# partitions only add per-task overhead to every optimizer iteration)
+TRAIN_MIN_ROWS_PER_PARTITION = 2_000
+
+
+def training_partitions(rows: int, cores: int) -> int:
+    """Partitions for a featurised training table of ``rows`` rows."""
+    by_size = -(-rows // TRAIN_ROWS_PER_PARTITION)
+    by_cores = min(cores, -(-rows // TRAIN_MIN_ROWS_PER_PARTITION))
+    return max(1, by_size, by_cores)
+
+
 def featurise(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """F1-F14 then F15 (missing feature -> 0.0)."""
     f = add_features(df, text_col)

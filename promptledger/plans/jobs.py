@@ -1,10 +1,10 @@
 """Multi-step jobs: model training / scoring (M1-M15) and the retrain
 run of the feedback loop (W2-W8).
 
-Training inputs are featurised once and cut from their lineage with a
-reliable ``checkpoint()`` in the shared ``spark.checkpoint.dir`` (never a
-local checkpoint), so iterative fitting neither recomputes the text
-features nor depends on an executor that may be gone.
+Training inputs are featurised once and cut from their lineage by writing
+them as a table in the shared ``spark.checkpoint.dir`` (never a local
+checkpoint), so iterative fitting neither recomputes the text features nor
+depends on an executor that may be gone.
 """
 
 from __future__ import annotations
@@ -18,31 +18,32 @@ from .. import settings as S
 from ..operators import classifier as clf
 from ..operators import flywheel as fw
 from ..operators.calibration import PlattCalibrated
-from ..session import ensure_checkpoint_dir, state_path
-
-
-# featurised training rows are ~150 bytes (14 doubles, label, weight, flags):
-# this many rows make a partition of about 75 MB
-TRAIN_ROWS_PER_PARTITION = 500_000
+from ..session import state_path
 
 
 def prepared(df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Features, 0-based label, balanced weights, split flag and fold id;
-    checkpointed.
-
-    The checkpointed table is a fraction of the size of the texts it came
-    from, so it is narrowed (``coalesce``, no shuffle) to one partition per
-    ``TRAIN_ROWS_PER_PARTITION`` rows: iterative fitting runs one task per
-    partition per iteration, and empty or tiny partitions only add
-    scheduling."""
-    ensure_checkpoint_dir(df.sparkSession)
-    p = clf.prepare(df, label)
-    out = p.select(*keep, label, "label_idx", "weight", *S.FEATURE_NAMES,
+    """Features, 0-based label, split flag, fold id and balanced weights.
+
+    The featurised rows are written once as a table in the shared
+    checkpoint folder (``spark.checkpoint.dir``) and read back: that cuts
+    the lineage (iterative fitting never recomputes the text features, and
+    a lost executor does not send it back to the texts) with a single job.
+    Class weights are then counted from the written table.  The table is a
+    fraction of the size of the texts, so it is narrowed (``coalesce``, no
+    shuffle) to :func:`~promptledger.operators.classifier.training_partitions`
+    partitions."""
+    spark = df.sparkSession
+    f = clf.featurise(df).withColumn("label_idx", (F.col(label) - 1).cast("double"))
+    out = f.select(*keep, label, "label_idx", *S.FEATURE_NAMES,
                    clf.split_flag().alias("is_test"), clf.fold_id().alias("fold"))
-    saved = out.checkpoint(eager=True)
-    rows = saved.count()
-    parts = max(1, min(saved.rdd.getNumPartitions(), -(-rows // TRAIN_ROWS_PER_PARTITION)))
-    return saved.coalesce(parts)
+    path = state_path(spark, "training")
+    out.write.parquet(path)
+    saved = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    parts = clf.training_partitions(saved.count(), cores)
+    if parts < saved.rdd.getNumPartitions():
+        saved = saved.coalesce(parts)
+    return clf.with_weights(saved, label)
 
 
 def fit_candidates(data: DataFrame):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from promptledger.operators import classifier as clf
 from promptledger.plans import jobs
 from promptledger.plans.views import drop_session_views, session_view, view_name
 from promptledger.sources import config_tables as ct
@@ -61,7 +62,7 @@ def test_training_table_is_narrowed_to_its_size(spark):
     p = fx.prompts(spark, SF_SMALL)
     assert p.rdd.getNumPartitions() > 1
     data = jobs.prepared(p, keep=("doc_id",))
-    assert data.rdd.getNumPartitions() == 1
+    assert data.rdd.getNumPartitions() == clf.training_partitions(p.count(), spark.sparkContext.defaultParallelism) == 1
     assert data.count() == p.count()
     assert data.where(F.col("weight").isNull()).count() == 0
 
@@ -81,3 +82,10 @@ def test_oversized_config_is_not_broadcast(spark):
     with pytest.raises(ValueError):
         cst.price_requests(priced, big_reg)
     assert ct.registry_facts(reg)[0] == "small"
+
+
+def test_training_partitions_grow_with_rows():
+    assert clf.training_partitions(100, 8) == 1
+    assert clf.training_partitions(10_000, 8) == 5
+    assert clf.training_partitions(10_000_000, 8) == 20
+    assert clf.training_partitions(10**9, 8) == 2000
