@@ -37,12 +37,6 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     )
 
 
-def cheapest_model(registry: DataFrame) -> DataFrame:
-    """One row: the cheapest model by input price, ties by registry order."""
-    return registry.agg(F.min_by(
-        F.col("model_key"), F.struct("cost_per_1k_input_usd", "registry_order")).alias("model_key"))
-
-
 def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
                   out_col: str = "model_key") -> DataFrame:
     """Keep a model key found in the registry, else the cheapest model."""

@@ -20,7 +20,8 @@ REQUEST_COLUMNS = ["id", "ts", "day", "user_id", "prompt_hash", "prompt_preview"
 
 def request_rows(df: DataFrame) -> DataFrame:
     """K1 projection: hash of the full prompt, 150 / 200-character previews,
-    classifier fields null when absent, ``low_confidence`` false when absent."""
+    classifier fields null when absent, ``low_confidence`` false when absent.
+    A ``prompt_hash`` / ``prompt_preview`` computed upstream is kept as is."""
     cols = set(df.columns)
 
     def opt(c, typ):
@@ -28,8 +29,9 @@ def request_rows(df: DataFrame) -> DataFrame:
     return df.select(
         "id", "ts", F.to_date("ts").alias("day"),
         F.coalesce(opt("user_id", "string").cast("string"), F.lit(S.DEFAULT_USER_ID)).alias("user_id"),
-        prompt_hash("prompt").alias("prompt_hash"),
-        F.substring("prompt", 1, S.PROMPT_PREVIEW_CHARS).alias("prompt_preview"),
+        (F.col("prompt_hash") if "prompt_hash" in cols else prompt_hash("prompt")).alias("prompt_hash"),
+        (F.col("prompt_preview") if "prompt_preview" in cols
+         else F.substring("prompt", 1, S.PROMPT_PREVIEW_CHARS)).alias("prompt_preview"),
         opt("complexity_tier", "int").alias("complexity_tier"),
         opt("classifier_conf", "double").alias("classifier_conf"),
         F.coalesce(opt("low_confidence", "boolean"), F.lit(False)).alias("low_confidence"),

@@ -48,7 +48,6 @@ def q_savings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ shared inputs
 
 from ..functions import text as tx  # noqa: E402
-from ..functions.money import token_cost  # noqa: E402
 from ..operators import costs as cst  # noqa: E402
 from ..operators import escalation as esc  # noqa: E402
 from ..operators import routing as rt  # noqa: E402
@@ -482,6 +481,7 @@ def q_model_usage(spark, sf):
 
 # ------------------------------------------------------------ K1
 
+from ..operators import prompts as pr  # noqa: E402
 from ..operators import sinks as snk  # noqa: E402
 
 
@@ -502,7 +502,10 @@ def q_request_rows(spark, sf):
     150 / 200-character previews, provider from the registry)."""
     reg = ct.model_registry(spark).select(F.col("model_key").alias("routed_model"), "provider")
     out = _completions(spark, sf).select(F.col("prompt_id").alias("id"), "output_text")
-    df = (fx.with_prompts(spark, sf, _log(spark, sf), "id")
+    # hash and preview are taken on the prompts side: the join moves them,
+    # not whole texts
+    prompt_cols = [pr.prompt_hash().alias("prompt_hash"), *pr.previews()]
+    df = (fx.with_prompts(spark, sf, _log(spark, sf), "id", prompt_cols)
           .join(F.broadcast(reg), "routed_model", "left")
           .join(out, "id", "left"))
     rows = snk.request_rows(df)
@@ -512,9 +515,6 @@ def q_request_rows(spark, sf):
 
 # ------------------------------------------------------------ prompts / features
 
-from ..operators import prompts as pr  # noqa: E402
-
-
 @query("extract_prompt", """
 SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), arg_max(text, turn)) AS prompt
 FROM conversations GROUP BY conv_id""")

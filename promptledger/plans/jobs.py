@@ -104,7 +104,3 @@ def retrain(spark: SparkSession, labelled: DataFrame, failures: DataFrame, ledge
     audit = fw.audit_row(spark, run_id, status, old_accuracy, new_acc, num_original, num_failures, path)
     audit.write.mode("append").parquet(f"{model_dir.rstrip('/')}/retrain_log")
     return audit
-
-
-def new_state(spark: SparkSession, name: str) -> str:
-    return state_path(spark, name)

@@ -197,12 +197,18 @@ def failure_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None,
         "failure_reason")
 
 
-def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """The prompt text of each request: request id -> document
+def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str = "id",
+                 columns: list | None = None) -> DataFrame:
+    """Prompt columns of each request: request id -> document
     ``abs(id) mod (number of documents)`` of the ``prompts`` view (a
     sort-merge join on the document key; many requests share a document,
-    a document row is never repeated on the prompts side)."""
-    p = prompts(spark, sf_dir).select(F.col("doc_id").alias("__doc"), F.col("prompt"))
+    a document row is never repeated on the prompts side).
+
+    ``columns`` are expressions over the prompts view (default: the whole
+    ``prompt``), evaluated *before* the join, so a caller that needs only a
+    hash or a preview shuffles those instead of whole texts."""
+    cols = columns if columns is not None else [F.col("prompt")]
+    p = prompts(spark, sf_dir).select(F.col("doc_id").alias("__doc"), *cols)
     keyed = df.withColumn("__doc", F.pmod(F.abs(F.col(id_col)), doc_count(spark, sf_dir)))
     return keyed.join(p, "__doc", "left").drop("__doc")
 

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from promptledger.operators import quality as dq
 from promptledger.operators import reports as rep
