@@ -21,8 +21,20 @@ from ..sources import config_tables as ct
 from ..sources import fixtures as fx
 
 
+def require_utc(spark: SparkSession) -> None:
+    """The log's ``ts`` is a naive UTC wall clock.  Casting it to TIMESTAMP
+    (needed for watermarks) and cutting day windows both read the session
+    time zone, so any other zone would shift every daily bucket; such a
+    session is refused rather than producing shifted days."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    if tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"streaming jobs need spark.sql.session.timeZone=UTC, the session has {tz!r}")
+
+
 def event_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """File-source stream of events (parquet), ``ts`` as TIMESTAMP."""
+    """File-source stream of events (parquet), ``ts`` as TIMESTAMP (UTC
+    session required, see :func:`require_utc`)."""
+    require_utc(spark)
     r = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)

@@ -120,3 +120,14 @@ def test_rolling_alert_step_is_idempotent_per_epoch(spark, tmp_dir):
     state = spark.read.parquet(f"{tmp_dir}/state/epoch=1")
     assert first == again and again[0].n == 100 and again[0].rate_pct == 25.0
     assert state.count() == 100 and state.select("id").distinct().count() == 100
+
+
+def test_event_stream_refuses_a_non_utc_session(spark, tmp_dir):
+    import pytest
+    schema = read_table(spark, SF_SMALL, "events", *fx.EVENT_COLUMNS).schema
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError):
+            st.event_stream(spark, f"{tmp_dir}/in", schema)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
