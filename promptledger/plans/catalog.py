@@ -138,7 +138,9 @@ SELECT count(*) AS num_requests,
   coalesce(round(avg(CAST(escalated AS INTEGER)) * 100, 1), 0.0) AS escalation_rate_pct
 FROM log_esc WHERE {_AS_OF_7}"""))
 def q_escalation_rate_7d(spark, sf):
-    return rep.escalation_rate(_log_esc(spark, sf), 7)
+    # the outcomes hold every request once, so the newest request time is
+    # read from the log itself (a column-pruned scan, not the re-run join)
+    return rep.escalation_rate(_log_esc(spark, sf), 7, as_of=rep.default_as_of(_log(spark, sf)))
 
 
 @query("requests_by_tier", with_views(["request_log"], """
@@ -373,6 +375,16 @@ def _patched_settings(spark, patch: dict):
     return rt.apply_patch(ct.routing_settings(spark), p)
 
 
+def _patched_log(spark, sf, name: str, patch: dict, keep_model_key: bool = False):
+    """R4 + R2 + C1: the request log re-routed and re-priced under a patched
+    routing map (a session view per patch)."""
+    def build():
+        base = _log(spark, sf).drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
+        routed = rt.route(base, _patched_settings(spark, patch))
+        return cst.price_requests(routed, ct.model_registry(spark), keep_model_key=keep_model_key)
+    return session_view(spark, f"log_{name}", sf, build)
+
+
 @query("route_unknown_model", with_views(["request_log", "cheapest_model", "registry"], f"""
 SELECT priced_model, count(*) AS n, CAST(sum(cost) AS DOUBLE) AS cost_usd
 FROM (
@@ -388,10 +400,7 @@ GROUP BY priced_model"""))
 def q_route_unknown_model(spark, sf):
     """A rule pointing at a model missing from the registry is priced
     as the cheapest model."""
-    reg = ct.model_registry(spark)
-    log = _log(spark, sf).drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
-    routed = rt.route(log, _patched_settings(spark, _RETIRED))
-    priced = cst.price_requests(routed, reg, keep_model_key=True)
+    priced = _patched_log(spark, sf, "retired_tier_3", _RETIRED, keep_model_key=True)
     return priced.groupBy("priced_model").agg(F.count(F.lit(1)).alias("n"),
                                               F.sum("cost_usd").cast("double").alias("cost_usd"))
 
@@ -414,10 +423,8 @@ FROM (
 GROUP BY scenario"""))
 def q_reroute_savings(spark, sf):
     """R4 + R5: replay the log under a patched tier map and compare."""
-    reg = ct.model_registry(spark)
     log = _log(spark, sf)
-    base = log.drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
-    patched = cst.price_requests(rt.route(base, _patched_settings(spark, _REROUTE)), reg)
+    patched = _patched_log(spark, sf, "tier_2_small", _REROUTE)
     both = (log.select(F.lit("current").alias("scenario"), "cost_usd", "cost_if_highest_quality")
             .unionByName(patched.select(F.lit("patched").alias("scenario"), "cost_usd", "cost_if_highest_quality")))
     c, b = F.sum("cost_usd"), F.sum("cost_if_highest_quality")
