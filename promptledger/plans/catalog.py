@@ -512,7 +512,7 @@ def q_request_rows(spark, sf):
     # hash and preview are taken on the prompts side: the join moves them,
     # not whole texts
     prompt_cols = [pr.prompt_hash().alias("prompt_hash"), *pr.previews()]
-    df = (fx.with_prompts(spark, sf, _log(spark, sf), "id", prompt_cols)
+    df = (fx.with_prompts(spark, sf, _log(spark, sf), "id", prompt_cols, prompts_df=_prompts(spark, sf))
           .join(F.broadcast(reg), "routed_model", "left")
           .join(out, "id", "left"))
     rows = snk.request_rows(df)
@@ -715,7 +715,8 @@ from ..operators import quality as dq  # noqa: E402
 
 
 def _failures(spark, sf):
-    return session_view(spark, "failures", sf, lambda: fx.failure_log(spark, sf, _log(spark, sf)))
+    return session_view(spark, "failures", sf,
+                        lambda: fx.failure_log(spark, sf, _log(spark, sf), prompts_df=_prompts(spark, sf)))
 
 
 _PENDING = "SELECT f.* FROM failures f WHERE f.id NOT IN (SELECT failure_id FROM ledger)"

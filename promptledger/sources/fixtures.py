@@ -178,7 +178,7 @@ def doc_count(spark: SparkSession, sf_dir: str):
 
 
 def failure_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None,
-                thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
+                thresholds=DEFAULT_THRESHOLDS, prompts_df: DataFrame | None = None) -> DataFrame:
     """B.3 ``routing_failures``: one row per failed routing (K2) with the
     request's prompt, plus one orphan row per 1000 requests whose
     ``request_id`` is unknown (for the foreign-key check J7)."""
@@ -192,13 +192,13 @@ def failure_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None,
     allf = fails.unionByName(orphans).withColumn(
         "id", F.when(F.col("request_id") >= 0, F.col("request_id") * 10 + 1)
         .otherwise(-F.col("request_id") * 10 + 2))
-    return with_prompts(spark, sf_dir, allf, "request_id").select(
+    return with_prompts(spark, sf_dir, allf, "request_id", prompts_df=prompts_df).select(
         "id", "request_id", "ts", "prompt", "classified_tier", "correct_tier", "quality_gap",
         "failure_reason")
 
 
 def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str = "id",
-                 columns: list | None = None) -> DataFrame:
+                 columns: list | None = None, prompts_df: DataFrame | None = None) -> DataFrame:
     """Prompt columns of each request: request id -> document
     ``abs(id) mod (number of documents)`` of the ``prompts`` view (a
     sort-merge join on the document key; many requests share a document,
@@ -208,7 +208,8 @@ def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str =
     ``prompt``), evaluated *before* the join, so a caller that needs only a
     hash or a preview shuffles those instead of whole texts."""
     cols = columns if columns is not None else [F.col("prompt")]
-    p = prompts(spark, sf_dir).select(F.col("doc_id").alias("__doc"), *cols)
+    src = prompts(spark, sf_dir) if prompts_df is None else prompts_df
+    p = src.select(F.col("doc_id").alias("__doc"), *cols)
     keyed = df.withColumn("__doc", F.pmod(F.abs(F.col(id_col)), doc_count(spark, sf_dir)))
     return keyed.join(p, "__doc", "left").drop("__doc")
 
