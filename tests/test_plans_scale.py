@@ -89,3 +89,15 @@ def test_training_partitions_grow_with_rows():
     assert clf.training_partitions(10_000, 8) == 5
     assert clf.training_partitions(10_000_000, 8) == 20
     assert clf.training_partitions(10**9, 8) == 2000
+
+
+def test_reports_prune_the_scan_through_views_and_spread(spark, capsys):
+    from promptledger.plans import catalog
+    catalog.QUERIES["requests_by_tier"](spark, SF_SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert schemas and all("props" in s for s in schemas)
+    assert not any(c in s for s in schemas for c in ("user_id", "value", "event_type", "ts:"))
+    catalog.QUERIES["escalation_rate_7d"](spark, SF_SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [IsNotNull(ts)" in plan
