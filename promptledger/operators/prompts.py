@@ -54,9 +54,11 @@ def validate_requests(turns: DataFrame, key: str = "conv_id") -> DataFrame:
                  F.when(~F.col("__dropped") & (F.col("role") == "user"), F.col("turn"))).alias("__user_prompt"),
         F.max_by(F.when(~F.col("__dropped"), F.col("content")),
                  F.when(~F.col("__dropped"), F.col("turn"))).alias("__last_prompt"),
-        F.first("max_tokens", ignorenulls=True).alias("__mt"),
-        F.first("temperature", ignorenulls=True).alias("__temp"),
-        F.first("user_id", ignorenulls=True).alias("__uid"),
+        # request parameters repeat on every message: max is the value, and
+        # unlike first() it does not depend on row order after a shuffle
+        F.max("max_tokens").alias("__mt"),
+        F.max("temperature").alias("__temp"),
+        F.max("user_id").alias("__uid"),
     )
     mt = F.coalesce(F.col("__mt"), F.lit(S.DEFAULT_MAX_TOKENS))
     temp = F.coalesce(F.col("__temp"), F.lit(S.DEFAULT_TEMPERATURE))
