@@ -113,3 +113,17 @@ def test_calibrated_model_probabilities(spark, tmp_dir):
     model.save(f"{tmp_dir}/cal")
     again = PlattCalibratedModel.load(f"{tmp_dir}/cal")
     assert len(again.members) == 3
+
+
+def test_request_rows_precomputed_hash_and_preview_match(spark):
+    long_prompt = "Write a parser. " * 40
+    df = spark.createDataFrame(
+        [(1, "small", 10, 20, long_prompt, "out " * 80)],
+        "id long, routed_model string, input_tokens long, output_tokens long, prompt string, output_text string"
+    ).select("*", F.current_timestamp().cast("timestamp_ntz").alias("ts"), F.lit(None).cast("decimal(18,8)").alias("cost_usd"),
+             F.lit(None).cast("decimal(18,8)").alias("cost_if_highest_quality"), F.lit(1.0).alias("latency_ms"))
+    direct = sinks.request_rows(df).first()
+    pre = sinks.request_rows(df.select("*", pr.prompt_hash().alias("prompt_hash"), *pr.previews()).drop("prompt")).first()
+    assert direct.prompt_hash == pre.prompt_hash and len(direct.prompt_hash) == 16
+    assert direct.prompt_preview == pre.prompt_preview == long_prompt[:150]
+    assert direct.output_preview == ("out " * 80)[:200]
