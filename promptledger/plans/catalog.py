@@ -548,7 +548,8 @@ FROM (
       max(user_id) AS uid
     FROM chat_requests GROUP BY conv_id))"""))
 def q_validate_requests(spark, sf):
-    return pr.validate_requests(fx.chat_requests(spark, sf))
+    chats = session_view(spark, "chat_requests", sf, lambda: fx.chat_requests(spark, sf))
+    return pr.validate_requests(chats)
 
 
 @query("prompt_hash", with_views(["prompts"], """
