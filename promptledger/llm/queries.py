@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import token_store
+from promptledger.llm import quality_forest, token_store
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -20,8 +20,17 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(docs, at)
 
 
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the isolation forest's verdict on every document."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = quality_forest.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "anomaly")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op6_quality_forest": op6_quality_forest,
 }
 
 ORACLE: dict[str, str] = {}
