@@ -21,6 +21,8 @@ U64 = np.uint64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.ones(256, bool)  # ASCII letters and every byte of a longer code point
+_LETTER[:128] = [chr(i).isalpha() for i in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -81,9 +83,9 @@ class Run:
     def n(self) -> int:
         return self.hi - self.lo
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start byte, end byte and document (0-based in the run) of every word."""
-        word = ~_SPACE[self.data]
+    def words(self, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start byte, end byte and document (0-based in the run) of every word, or of every run of letters."""
+        word = _LETTER[self.data] if letters else ~_SPACE[self.data]
         if not word.any():
             none = np.zeros(0, np.int64)
             return none, none, none

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import quality_forest, token_store
+from promptledger.llm import quality_forest, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -28,9 +28,16 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", "anomaly")
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return toxicity_cnn.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op6_quality_forest": op6_quality_forest,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
 }
 
 ORACLE: dict[str, str] = {}
