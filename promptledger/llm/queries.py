@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import quality_forest, token_store, toxicity_cnn
+from promptledger.llm import decontamination, host_trust, quality_forest, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -34,10 +34,30 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules, then by trust and distrust of its host."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return host_trust.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontamination.judge(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op6_quality_forest": op6_quality_forest,
     "op8_toxicity_cnn": op8_toxicity_cnn,
+    "op9_host_trust": op9_host_trust,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_host_trust": "select page_id, host, path, \"rule\", verdict from (" + host_trust.sql(URL_RULES) + ")",
+    "op10_decontamination": decontamination.sql(),
+}
