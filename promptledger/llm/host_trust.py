@@ -1,13 +1,13 @@
 """URL filters: trust and distrust propagated over the host graph (operator 9).
 
-Rules decide the urls they fit.  For the others, the hosts of the urls that
-an allow rule fits are trusted seeds and the hosts of blocked urls are blocked
-seeds, each weighted by its number of such pages.  Personalised PageRank
+Rules decide the urls they fit.  For the others, a host is a trusted seed if
+an allow rule fits at least ``SEED_SHARE`` of its pages, and a blocked seed if
+a blocking rule does; a seed weighs as much as that share.  Personalised PageRank
 carries trust along the edges of the host graph (a host vouches for the hosts
 it links to) and distrust against them (a host that links to a bad host is
 suspect).  Edges are the hyperlinks between hosts, and both directions between
-a host and its parent domain.  A host whose distrust outweighs its trust is
-blocked; all others are allowed.
+a host and its parent domain.  A host is blocked if its distrust outweighs its
+trust and is above the mean of all hosts; all others are allowed.
 
 All of it is DataFrame joins and sums: links are summed per pair of hosts
 before they are shuffled, so a host with a third of all pages costs one row per
@@ -28,6 +28,7 @@ from promptledger.llm.storage import written
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 12, 4
 DISTRUST_SHARE = 0.5   # of a host's trust and distrust together, above which it is blocked
+SEED_SHARE = 0.5       # of a host's pages that a rule must fit for the host to be a seed
 MAX_RULES = 500        # rules are folded into one expression
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -109,13 +110,16 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     known = judged_by_rules(pages, rules)
-    per_host = (known.where("host != '' and action is not null").groupBy("host")
-                .agg(F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad")))
+    action = F.col("action")
+    per_host = (known.where("host != ''").groupBy("host")
+                .agg((F.count_if(action == "allow") / F.count("*")).alias("good"), (F.count_if(action == "block") / F.count("*")).alias("bad"))
+                .select("host", *(F.when(F.col(c) >= SEED_SHARE, F.col(c)).otherwise(0.0).alias(c) for c in ("good", "bad"))))
     total = per_host.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
-    seeds = per_host.select("host", (F.col("good") / F.lit(float(max(1, total.good or 0)))).alias("trust"),
-                            (F.col("bad") / F.lit(float(max(1, total.bad or 0)))).alias("distrust"))
+    seeds = (per_host.where("good > 0 or bad > 0")
+             .select("host", (F.col("good") / F.lit(total.good or 1.0)).alias("trust"), (F.col("bad") / F.lit(total.bad or 1.0)).alias("distrust")))
     rank = propagate(host_edges(pages), seeds)
-    suspect = F.col("distrust") > DISTRUST_SHARE * (F.col("trust") + F.col("distrust"))
+    mean = 1.0 / max(1, rank.count())
+    suspect = (F.col("distrust") > mean) & (F.col("distrust") > DISTRUST_SHARE * (F.col("trust") + F.col("distrust")))
     return (known.join(rank, "host", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("action", F.when(suspect, F.lit("block")), F.lit("allow")).alias("verdict"), "trust", "distrust"))
@@ -142,10 +146,11 @@ def sql(rules: list[Rule]) -> str:
     h as materialized (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') host,
           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
     k as materialized (select page_id, host, path, {rule} "rule", {action} "action" from h),
-    per as (select host, count(*) filter ("action" = 'allow') good, count(*) filter ("action" = 'block') bad from k
-            where host != '' and "action" is not null group by host),
-    seeds as materialized (select host, good / cast(greatest(1, (select sum(good) from per)) as double) trust,
-            bad / cast(greatest(1, (select sum(bad) from per)) as double) distrust from per),
+    share as (select host, count(*) filter ("action" = 'allow') / count(*) good, count(*) filter ("action" = 'block') / count(*) bad
+              from k where host != '' group by host),
+    per as (select host, if(good >= {SEED_SHARE}, good, 0) good, if(bad >= {SEED_SHARE}, bad, 0) bad from share),
+    seeds as materialized (select host, good / coalesce(nullif((select sum(good) from per), 0), 1) trust,
+            bad / coalesce(nullif((select sum(bad) from per), 0), 1) distrust from per where good > 0 or bad > 0),
     l as (select host src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') dst from h),
     links as (select src, dst, count(*) n from l where src != '' and dst != '' and src != dst group by all),
     hosts as (select distinct host from h where host != '' union select dst from links),
@@ -156,5 +161,6 @@ def sql(rules: list[Rule]) -> str:
            union all select dst, src, n from up where dst != '') group by all),
     e as materialized (select src, dst, n / sum(n) over (partition by src) along, n / sum(n) over (partition by dst) against from e0),
     {", ".join(steps)}
-    select page_id, k.host, path, "rule", coalesce("action", case when distrust > {DISTRUST_SHARE} * (trust + distrust) then 'block' end, 'allow') verdict,
+    select page_id, k.host, path, "rule", coalesce("action", case when distrust > 1.0 / (select count(*) from {last})
+           and distrust > {DISTRUST_SHARE} * (trust + distrust) then 'block' end, 'allow') verdict,
            trust, distrust from k left join {last} r on k.host = r.host"""
