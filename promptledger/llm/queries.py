@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontamination, host_trust, quality_forest, token_store, toxicity_cnn
+from promptledger.llm import decontamination, host_trust, quality_forest, sentencepiece_backend, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -20,6 +20,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(docs, at)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the rebuilt SentencePiece model, with parity and round trip."""
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentencepiece_backend.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=False)
+
+
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the isolation forest's verdict on every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -51,6 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_quality_forest": op6_quality_forest,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_host_trust": op9_host_trust,
