@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontamination, host_trust, quality_forest, sentencepiece_backend, token_store, toxicity_cnn
+from promptledger.llm import decontamination, disclosure, host_trust, quality_forest, sentencepiece_backend, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -27,6 +27,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_backend.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=False)
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that disclose it."""
+    return disclosure.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the isolation forest's verdict on every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -59,6 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_disclosure": op5_disclosure,
     "op6_quality_forest": op6_quality_forest,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_host_trust": op9_host_trust,
