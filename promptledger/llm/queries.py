@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontamination, disclosure, host_trust, jaccard_join, quality_forest, sentencepiece_backend, token_store, toxicity_cnn
+from promptledger.llm import decontamination, disclosure, host_trust, jaccard_join, quality_forest, repeats, sentencepiece_backend, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -20,6 +20,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(docs, at)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that also start earlier."""
+    return repeats.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.grouped(read_table(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
@@ -68,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_repeats": op2_repeats,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_disclosure": op5_disclosure,
