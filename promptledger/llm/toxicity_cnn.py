@@ -35,7 +35,7 @@ SLOTS = 1 << 17          # rows of the hashed embedding table
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 SAMPLE = 3_000           # labelled rows of each class that the network is fitted on
-SAMPLE_TOKENS = 20_000   # longer texts are not drawn for fitting
+SAMPLE_TOKENS = 2_000    # longer texts are not drawn for fitting
 EPOCHS, BATCH, RATE = 6, 64, 0.15
 PREDICT = 0.7
 RUN_BYTES = 500_000      # bytes scored at a time
@@ -73,10 +73,11 @@ class Network:
 
     def warm_start(self, slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> None:
         """First embedding dimension: smoothed log-odds of the slots in toxic and clean texts."""
-        pair = np.unique(doc.repeat(slots.shape[1]).astype(np.int64) * SLOTS + slots.ravel())
-        of, slot = pair // SLOTS, pair % SLOTS
-        bad = np.bincount(slot[toxic[of] == 1], minlength=SLOTS)
-        good = np.bincount(slot[toxic[of] == 0], minlength=SLOTS)
+        edge = np.searchsorted(doc, np.arange(len(toxic) + 1))
+        seen = np.zeros((2, SLOTS))
+        for d, label in enumerate(toxic):
+            seen[label, np.unique(slots[edge[d]: edge[d + 1]])] += 1
+        good, bad = seen
         odds = np.log((bad + 4) / (good + 4)) - np.log(max(1, toxic.sum()) / max(1, (1 - toxic).sum()))
         self.embed[:, 0] = np.clip(odds, -3, 3) / 3
         for w in WIDTHS:
@@ -227,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
         return None
     parts = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(PREFIXES)) for b in rows["slots"]]
     toxic = rows["toxic"].to_numpy().astype(int)
+    del rows
     # every fourth text of the sample only calibrates
     held = np.arange(len(toxic)) % 4 == 3
     if len(set(toxic[~held])) < 2 or len(set(toxic[held])) < 2:
@@ -237,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
 
     def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = [parts[i] for i in np.flatnonzero(which)]
-        return np.concatenate(own), np.repeat(np.arange(len(own)), [len(p) for p in own])
+        return np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in own])
 
     net = Network()
     x, doc = joined(learn)
