@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.storage import BROADCAST_ROWS, written
+from promptledger.llm.storage import small, without, written
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,11 +35,6 @@ def words(text: str) -> Column:
                       F.array().cast("array<string>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows are few; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """win (array of words) and the ids of the items that contain it."""
     w = F.col("w")
@@ -52,45 +47,47 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def anchored(wins: DataFrame, docs: DataFrame) -> DataFrame:
     """word, offset, win, items: each window under its rarest word; windows with a word that no document has are left out."""
     vocabulary = written(wins.select(F.explode("win").alias("word")).distinct(), "benchmark-words")
-    often = written(docs.select(F.explode(words("text")).alias("word")).join(_small(vocabulary), "word")
+    often = written(docs.select(F.explode(words("text")).alias("word")).join(small(vocabulary), "word")
                     .groupBy("word").agg(F.count("*").alias("n")), "benchmark-word-counts")
     spread = wins.select("win", F.posexplode("win").alias("offset", "word")).join(often, "word", "left")
     rarest = spread.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("a")).where("a.n > 0")
     return wins.join(rarest, "win").select("a.word", "a.offset", "win", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with n_words, n_hit and items (sorted ids of the items with occurring windows)."""
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, every: bool = True) -> DataFrame:
+    """doc_id, key (hash of the text), n_words, n_hit and items (sorted ids of the items with occurring windows).
+
+    Without ``every``, only of the documents that have an anchor in a fitting place.
+    """
     wins = written(windows(benchmark, size), "benchmark-windows")
     anchors = written(anchored(wins, docs), "benchmark-anchors")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    place = (keyed.select("doc_id", "_key", words("text").alias("w"))
-             .select("doc_id", "_key", F.size("w").alias("len"), F.posexplode("w").alias("pos", "word"))
-             .join(_small(anchors), "word").withColumn("start", F.col("pos") - F.col("offset"))
-             .where("start >= 0 and start + size(win) <= len").select("doc_id", "_key", "start", "win", "items").distinct())
-    found = (place.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
-             .withColumnsRenamed({"doc_id": "_id", "_key": "_k"}))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    place = (keyed.select("doc_id", "key", words("text").alias("w"))
+             .select("doc_id", "key", F.size("w").alias("len"), F.posexplode("w").alias("pos", "word"))
+             .join(small(anchors), "word").withColumn("start", F.col("pos") - F.col("offset"))
+             .where("start >= 0 and start + size(win) <= len").select("doc_id", "key", "start", "win", "items").distinct())
+    found = (place.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
+             .withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
     right = F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["win"])) == c["win"])
     covered = F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1)))
     none = F.array().cast("array<string>")
-    return (keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return (keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left" if every else "inner")
             .withColumn("w", words("text")).withColumn("c", right)
             .withColumn("n_words", F.size("w").cast("long"))
             .withColumn("n_hit", F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long"))
             .withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda c: c["items"])))), none))
-            .drop("w", "c", "_id", "_k", "_key"))
+            .select("doc_id", "key", "n_words", "n_hit", "items"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return hits(docs.select("doc_id", "text"), benchmark).select(
+    return hits(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with their columns."""
-    marked = hits(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"), benchmark)
-    return marked.where("n_hit = 0").select("_row.*")
+    return without(docs, hits(docs, benchmark, every=False).where("n_hit > 0"))
 
 
 def sql() -> str:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, Run, combine, mix, runs, shingles, take
 from promptledger.llm.components import components
-from promptledger.llm.storage import BROADCAST_ROWS, written
+from promptledger.llm.storage import small, written
 
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16          # slots summed together
@@ -178,7 +178,6 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     """a, b, linked: every candidate pair of class ids, verified on the representatives' whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = written(classes.join(ids, F.col("c") == F.col("id")).select("rep"), "jaccard-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +190,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
                     [take(batch, "doc_id", run.lo, run.hi), pa.array([h[edge[i]: edge[i + 1]].tobytes() for i in range(run.n)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(run.n + 1, dtype=np.int32) * PARTS), pa.array(parts))], names=["id", "items", "parts"])
 
-    sets = written(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
+    sets = written(docs.join(small(wanted), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
                    .mapInArrow(of, "id long, items binary, parts array<int>").dropDuplicates(["id"]), "jaccard-sets")
     reps = classes.select("c", "rep")
     pairs = (pairs.join(reps.withColumnsRenamed({"c": "a", "rep": "x"}), "a").join(reps.withColumnsRenamed({"c": "b", "rep": "y"}), "b").select("x", "y"))
@@ -266,7 +265,15 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id (of rows with that id, the first by text)."""
-    lead = (grouped(docs.select("doc_id", "text"), k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct())
-    rows = docs.join(lead, F.col("doc_id") == F.col("_lead"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each component: that of its smallest id (one of the rows with that id).
+
+    Rows with a null id stay.
+    """
+    found = written(grouped(docs.select("doc_id", "text"), k, num, den).where("doc_id is not null"), "jaccard-groups")
+    gone = small(written(found.where("doc_id != component_id").select("doc_id").distinct(), "jaccard-gone"))
+    twice = small(written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-twice"))
+    d = docs.alias("d")
+    once = d.join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti").alias("d").join(
+        twice.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"), "left_anti")
+    again = d.join(twice.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontamination, disclosure, host_trust, jaccard_join, quality_forest, repeats, sentencepiece_backend, token_store, toxicity_cnn
+from promptledger.llm import decontamination, disclosure, host_trust, jaccard_join, pitman_yor, quality_forest, repeats, sentencepiece_backend, token_store, toxicity_cnn
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -50,10 +50,15 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", "anomaly")
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a hierarchical Pitman-Yor model of the training fold."""
+    return pitman_yor.score(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return toxicity_cnn.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity_cnn.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")).drop("key")
 
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_disclosure": op5_disclosure,
     "op6_quality_forest": op6_quality_forest,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_host_trust": op9_host_trust,
     "op10_decontamination": op10_decontamination,

@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, combine, mix, runs
-from promptledger.llm.storage import folder, written
+from promptledger.llm.storage import bucketed, written
 
 MIN, GRAM = 100, 50
 BLOCK_BYTES = 8_000_000
@@ -59,9 +58,8 @@ UNIQUE, LATER, OPEN, CROWDED = 0, 1, 2, 3
 
 # ---------------------------------------------------------------- blocks
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int, str]:
-    """The table (block, seq, doc_id, text) bucketed by block, the number of blocks asked for and the table's name."""
-    spark = docs.sparkSession
+def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The table (block, seq, doc_id, text) bucketed by block, and the number of blocks asked for."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -75,10 +73,7 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, int, str]:
                                               batch.column("doc_id"), batch.column("text")], names=["block", "seq", "doc_id", "text"])
             seq += m
 
-    name = f"pl_blocks_{uuid.uuid4().hex[:12]}"
-    (ranged.mapInArrow(number, "block int, seq long, doc_id long, text string").write.bucketBy(n, "block").sortBy("block")
-     .option("path", folder(spark, "blocks")).saveAsTable(name))
-    return spark.table(name), n, name
+    return bucketed(ranged.mapInArrow(number, "block int, seq long, doc_id long, text string"), n, "block", "repeat-blocks"), n
 
 
 def _ordered(table: pa.Table) -> pa.RecordBatch:
@@ -383,10 +378,9 @@ def repeat_groups(open_: DataFrame, n: int) -> DataFrame:
 
 # ---------------------------------------------------------------- result
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every document."""
-    spark = docs.sparkSession
-    text, n, name = blocks(docs)
+def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept: the remaining bytes] of every document."""
+    text, n = blocks(docs)
     answers = _answers(_questions(text, n))
     found = written(_findings(text, answers, n), "repeat-findings")
     later = found.where("kind = 0").select("block", F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.col("bytes").alias("ranges"))
@@ -430,16 +424,15 @@ def removed(docs: DataFrame) -> DataFrame:
                 i += 1
             keep.append(data[at:])
             kept = b"".join(keep)
-            out.append((doc, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((doc, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             base = end
         cols = list(zip(*out)) if out else [[]] * 6
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = text.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(
+    return text.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(docs, with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

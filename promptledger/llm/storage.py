@@ -12,11 +12,13 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptledger.session import state_path
 
 # A broadcast is asked for only below this many rows of a counted table.
 BROADCAST_ROWS = 200_000
+MAX_BUCKETS = 100_000  # Spark's own limit of a bucketed table
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
+    """``df`` written as a table with ``n`` buckets by ``column``: grouping by it moves no rows."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    (df.write.bucketBy(min(n, MAX_BUCKETS), column).sortBy(column).option("path", state_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
@@ -51,3 +61,15 @@ def get(uri: str) -> bytes:
 
 def folder(spark: SparkSession, name: str) -> str:
     return state_path(spark, name)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows are few; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id and text hash are in ``bad(doc_id, key)``; nulls match nulls."""
+    bad = small(written(bad.select("doc_id", "key").distinct(), "rejected"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("b.key"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, Run, runs, take
-from promptledger.llm.storage import written
+from promptledger.llm.storage import without, written
 
 SLOTS = 1 << 17          # rows of the hashed embedding table
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang and score of every row of ``docs(doc_id, text, lang)``; the score reads the text only."""
+    """doc_id, key (hash of the text), lang and score of every row of ``docs(doc_id, text, lang)``; the score reads the text only."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed size, whatever the data
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +262,11 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             for run in runs(batch, most=RUN_BYTES):
                 found = np.zeros(run.n) if shared.value is None else shared.value.score(*tokens(run), run.n)
                 yield pa.RecordBatch.from_arrays(
-                    [take(batch, "doc_id", run.lo, run.hi), take(batch, "lang", run.lo, run.hi), pa.array(found)],
-                    names=["doc_id", "lang", "score"])
+                    [*(take(batch, c, run.lo, run.hi) for c in ("doc_id", "key", "lang")), pa.array(found)],
+                    names=["doc_id", "key", "lang", "score"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-            .mapInArrow(of, "doc_id long, lang string, score double"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("lang").cast("string").alias("lang"), "text")
+            .mapInArrow(of, "doc_id long, key long, lang string, score double"))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
@@ -296,11 +296,16 @@ def thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (at 0.7) and flagged (at the language's own threshold)."""
+    """doc_id, key, held_out, score, predicted (at 0.7) and flagged (at the language's own threshold)."""
 
     scored = written(score(docs, fit(docs, labels)), "toxicity-scores")
     cut = written(thresholds(scored, labels), "toxicity-thresholds").withColumnRenamed("lang", "_lang")
     return (scored.join(cut, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-            .select("doc_id", (fold() == 1).alias("held_out"), "score",
+            .select("doc_id", "key", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= PREDICT).cast("int").alias("predicted"),
                     (F.col("score") >= F.coalesce("threshold", F.lit(PREDICT))).alias("flagged")))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are flagged at their language's threshold."""
+    return without(docs, judge(docs, labels).where("flagged"))
