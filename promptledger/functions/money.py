@@ -26,11 +26,3 @@ def token_cost(input_tokens, output_tokens, price_in, price_out) -> Column:
     raw = (_c(input_tokens).cast(TOKENS) * _c(price_in)
            + _c(output_tokens).cast(TOKENS) * _c(price_out))
     return F.round(raw, S.MONEY_SCALE).cast(MONEY)
-
-
-def to_double(c, places: int | None = None) -> Column:
-    """Report a decimal as DOUBLE, optionally rounded (half-up) first."""
-    c = _c(c)
-    if places is not None:
-        c = F.round(c, places)
-    return c.cast("double")

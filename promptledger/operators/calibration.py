@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classifier import TIERS, build_pipeline, fold_id, training_partitions
+from .classifier import TIERS, build_pipeline, fold_id
 
 
 class PlattCalibrated(Estimator):
@@ -37,16 +37,14 @@ class PlattCalibrated(Estimator):
     def _fit(self, df: DataFrame) -> "PlattCalibratedModel":
         fold = F.col(self.fold_col) if self.fold_col else fold_id(self.text_col, self.k)
         folds = df.withColumn("__fold", fold)
-        # held-out scores are 3 probabilities and a label per row: persisted
-        # (recomputable from lineage) and sized for the sigmoid fits, which
-        # iterate over them three times per fold
-        parts = training_partitions(max(1, df.count() // self.k), df.sparkSession.sparkContext.defaultParallelism)
+        # held-out scores are 3 probabilities and a label per row, persisted
+        # (recomputable from lineage) for the sigmoid fits over them
         members = []
         for f in range(self.k):
             base = build_pipeline(self.estimator.copy()).fit(folds.where(F.col("__fold") != f))
             held = (base.transform(folds.where(F.col("__fold") == f))
                     .select(vector_to_array(F.col("probability")).alias("__p"), "label_idx")
-                    .coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK))
+                    .persist(StorageLevel.MEMORY_AND_DISK))
             coefs = []
             for i, _ in enumerate(TIERS):
                 one = held.select(F.col("__p")[i].alias("s"),
@@ -73,10 +71,9 @@ class PlattCalibratedModel(Model):
             out = scored.drop("rawPrediction", "probability", "prediction", "features", "scaled")
             sig = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col(f"__p{j}")[i] + F.lit(b))))
                    for i, (a, b) in enumerate(coefs)]
-            tot = sig[0]
-            for s in sig[1:]:
-                tot = tot + s
-            parts.append([s / tot for s in sig])
+            tot = sum(sig[1:], sig[0])
+            # all sigmoids can underflow to 0: then the classes are equal
+            parts.append([F.when(tot > 0, s / tot).otherwise(F.lit(1.0 / len(sig))) for s in sig])
         avg = [sum((p[i] for p in parts), F.lit(0.0)) / F.lit(float(len(parts))) for i in range(len(TIERS))]
         res = out.withColumn("probability", array_to_vector(F.array(*avg)))
         return res.drop(*[f"__p{j}" for j in range(len(self.members))])

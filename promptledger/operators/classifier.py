@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -23,21 +23,6 @@ from ..functions.text import add_features
 TIERS = [1, 2, 3]
 
 
-# featurised training rows are ~150 bytes (14 doubles, label, flags): a
-# partition holds at most this many rows (about 75 MB) ...
-TRAIN_ROWS_PER_PARTITION = 500_000
-# ... and, while there are cores to spare, at least this many (smaller
-# partitions only add per-task overhead to every optimizer iteration)
-TRAIN_MIN_ROWS_PER_PARTITION = 2_000
-
-
-def training_partitions(rows: int, cores: int) -> int:
-    """Partitions for a featurised training table of ``rows`` rows."""
-    by_size = -(-rows // TRAIN_ROWS_PER_PARTITION)
-    by_cores = min(cores, -(-rows // TRAIN_MIN_ROWS_PER_PARTITION))
-    return max(1, by_size, by_cores)
-
-
 def featurise(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """F1-F14 then F15 (missing feature -> 0.0)."""
     f = add_features(df, text_col)
@@ -60,10 +45,11 @@ def fold_id(text_col: str = "prompt", k: int = 5) -> F.Column:
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """M5: balanced weight n / (k * n_class) per class."""
+    """M5: balanced weight n / (k * n_class) per class; n and k come from the
+    class counts, so the rows are read once."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
-    n, k = tot.select("n").scalar(), tot.select("k").scalar()
+    every = Window.partitionBy(F.lit(1))
+    n, k = F.sum("n_class").over(every), F.count(label).over(every)
     return counts.select(label, "n_class", (n / (k * F.col("n_class"))).alias("weight"))
 
 
@@ -113,12 +99,6 @@ def build_pipeline(estimator) -> Pipeline:
     ])
 
 
-def prepare(df: DataFrame, label: str = "label", text_col: str = "prompt") -> DataFrame:
-    """Featurise, 0-based label index, weights."""
-    f = featurise(df, text_col).withColumn("label_idx", (F.col(label) - 1).cast("double"))
-    return with_weights(f, label)
-
-
 def score(model, df: DataFrame, threshold: float = S.ROUTING["low_confidence_threshold"]) -> DataFrame:
     """Tier, confidence (max probability), low-confidence flag; the
     features stay on the row."""
@@ -198,8 +178,7 @@ def train_candidates(train: DataFrame, test: DataFrame, n_rows: int | None = Non
     return fitted, results
 
 
-def cross_validate(data: DataFrame, estimator_name: str, k: int = 5, n_rows: int | None = None,
-                   fold_col: str | None = None) -> DataFrame:
+def cross_validate(data: DataFrame, estimator_name: str, k: int = 5, fold_col: str | None = None) -> DataFrame:
     """M8: fold accuracies of one candidate; mean and population std."""
     spark = data.sparkSession
     folds = data.withColumn("__fold", F.col(fold_col) if fold_col else fold_id("prompt", k))
@@ -207,7 +186,8 @@ def cross_validate(data: DataFrame, estimator_name: str, k: int = 5, n_rows: int
     for f in range(k):
         tr = folds.where(F.col("__fold") != f)
         te = folds.where(F.col("__fold") == f)
-        model = build_pipeline(candidates(n_rows)[estimator_name]).fit(tr)
+        # weights and regularisation belong to the rows that are fitted
+        model = build_pipeline(candidates(tr.count())[estimator_name]).fit(with_weights(tr.drop("weight")))
         a = accuracy(score(model, te)).select("accuracy").first()[0]
         accs.append((f, float(a or 0.0)))
     df = spark.createDataFrame(accs, "fold int, accuracy double")

@@ -32,8 +32,7 @@ def baseline_prices(registry: DataFrame) -> tuple[Column, Column]:
 
 
 def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
-                   in_col: str = "input_tokens", out_col: str = "output_tokens",
-                   keep_model_key: bool = False) -> DataFrame:
+                   in_col: str = "input_tokens", out_col: str = "output_tokens") -> DataFrame:
     """C1 + C3 (+ J2): add ``cost_usd`` and ``cost_if_highest_quality``.
 
     One broadcast hash join of the registry on the model key gives the
@@ -44,15 +43,13 @@ def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_
     prices = registry.select(F.col("model_key").alias("__pm"),
                              F.col("price_in_per_token").alias("__pin"),
                              F.col("price_out_per_token").alias("__pout"))
-    key, pin, pout = ct.registry_facts(registry)     # size-checked before the broadcast
-    c_key = F.lit(key).cast("string")
+    _, pin, pout = ct.registry_facts(registry)     # size-checked before the broadcast
     c_in, c_out = ct.price_literal(pin), ct.price_literal(pout)
     j = df.join(F.broadcast(prices), F.col(model_col) == F.col("__pm"), "left")
     bin_, bout = baseline_prices(registry)
     cols = [F.col(c) for c in df.columns]
-    extra = [F.coalesce(F.col("__pm"), c_key).alias("priced_model")] if keep_model_key else []
     return j.select(
-        *cols, *extra,
+        *cols,
         token_cost(F.col(in_col), F.col(out_col), F.coalesce(F.col("__pin"), c_in),
                    F.coalesce(F.col("__pout"), c_out)).alias("cost_usd"),
         token_cost(F.col(in_col), F.col(out_col), bin_, bout).alias("cost_if_highest_quality"),

@@ -33,20 +33,23 @@ def decide(df: DataFrame, score: str = "quality_score", gap: str = "quality_gap"
            elapsed: str = "latency_ms", t: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """V8: add ``decision``.
 
-    null / sentinel score -> unverified; not a failure -> routing_correct;
+    null / sentinel score, or null gap with a score that is no failure by
+    itself -> unverified; not a failure -> routing_correct;
     failure with ``budget - elapsed < reserve`` (strict) ->
     latency_budget_exhausted; else escalate."""
     q = F.col(score)
     remaining = F.lit(float(t.budget_ms)) - F.col(elapsed)
-    decision = (F.when(q.isNull() | (q < 0), F.lit("unverified"))
-                .when(~is_routing_failure(score, gap, t), F.lit("routing_correct"))
+    low = q < F.lit(float(t.min_cheap_score))
+    decision = (F.when(q.isNull() | (q < 0) | (F.col(gap).isNull() & ~low), F.lit("unverified"))
+                .when(~F.coalesce(is_routing_failure(score, gap, t), low), F.lit("routing_correct"))
                 .when(remaining < F.lit(float(t.reserve_ms)), F.lit("latency_budget_exhausted"))
                 .otherwise(F.lit("escalate")))
     return df.withColumn("decision", decision)
 
 
 def routing_failures(decided: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
-    """K2: one failure row per failed routing (both failure branches log)."""
+    """K2: one failure row per failed routing (both failure branches log),
+    with the reason that the judge gave (null if none)."""
     failed = decided.where(F.col("decision").isin("escalate", "latency_budget_exhausted"))
     return failed.select(
         F.col("id").alias("request_id"),
@@ -54,7 +57,7 @@ def routing_failures(decided: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS) ->
         F.col("complexity_tier").alias("classified_tier"),
         corrected_tier("complexity_tier", "quality_gap", t).alias("correct_tier"),
         F.col("quality_gap"),
-        F.col("decision").alias("failure_reason"),
+        F.col("judge_reason").alias("failure_reason"),
     )
 
 
@@ -64,46 +67,49 @@ def escalation_reason(gap: str = "quality_gap", score: str = "quality_score") ->
 
 
 def escalation_outcomes(decided: DataFrame, completions: DataFrame, registry: DataFrame) -> DataFrame:
-    """Outcome of every verified request.
+    """Outcome of every request, in one pass and one join.
 
-    Escalations are matched to the best model's re-run (left join on the
-    request id).  A match escalates with the re-run's full cost as
-    ``cost_delta_usd``; no match is a failed re-run.  Other decisions are
-    not escalated with a zero delta."""
+    Escalations are matched to the best model's re-run.  A match escalates
+    with the re-run's full cost as ``cost_delta_usd``; no match is a failed
+    re-run.  Other decisions are not escalated with a zero delta.  A request
+    with several re-runs (a replayed completion) counts once, at the highest
+    cost, so no cost is hidden.
+
+    Requests that are not escalated join on a key of their own that no re-run
+    has, so they spread over all partitions and match nothing."""
     best = ct.config_row(best_model(registry).select("model_key", "model_id"))
     best_key = F.lit(best and best["model_key"]).cast("string")
     best_id = F.lit(best and best["model_id"]).cast("string")
     bin_, bout = baseline_prices(registry)
     reruns = (completions.where(F.col("model_key") == best_key)
               .select(F.col("prompt_id").alias("id"),
-                      token_cost("input_tokens", "output_tokens", bin_, bout).alias("__rerun_cost"),
-                      F.lit(True).alias("__rerun_ok")))
-    esc = decided.where(F.col("decision") == "escalate")
-    rest = decided.where(F.col("decision") != "escalate")
-    matched = esc.join(reruns, "id", "left")
-    ok = F.col("__rerun_ok").isNotNull()
-    esc_out = matched.select(
+                      token_cost("input_tokens", "output_tokens", bin_, bout).alias("__cost"))
+              .groupBy(F.struct(F.lit(True).alias("esc"), F.col("id")).alias("__key"))
+              .agg(F.max("__cost").alias("__rerun_cost")))
+    wanted = F.col("decision") == "escalate"
+    keyed = decided.withColumn("__key", F.struct(wanted.alias("esc"), F.col("id")))
+    ok = F.col("__rerun_cost").isNotNull()
+    return keyed.join(reruns, "__key", "left").select(
         *[F.col(c) for c in decided.columns],
         ok.alias("escalated"),
         F.when(ok, best_id).alias("escalated_model"),
-        F.when(ok, F.col("__rerun_cost")).otherwise(F.lit(0).cast("decimal(18,8)")).alias("cost_delta_usd"),
-        F.when(ok, escalation_reason()).otherwise(F.lit("escalation_api_failed")).alias("reason"),
-    )
-    rest_out = rest.select(
-        *[F.col(c) for c in decided.columns],
-        F.lit(False).alias("escalated"),
-        F.lit(None).cast("string").alias("escalated_model"),
-        F.lit(0).cast("decimal(18,8)").alias("cost_delta_usd"),
-        F.col("decision").alias("reason"),
+        F.coalesce(F.col("__rerun_cost"), F.lit(0).cast("decimal(18,8)")).alias("cost_delta_usd"),
+        F.when(ok, escalation_reason()).when(wanted, F.lit("escalation_api_failed"))
+        .otherwise(F.col("decision")).alias("reason"),
     )
-    return esc_out.unionByName(rest_out)
 
 
 def merge_escalations(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Requests left-joined to their escalation outcome;
-    ``escalated`` defaults to false and ``cost_delta_usd`` to 0."""
-    o = outcomes.select("id", F.col("escalated").alias("__esc"), F.col("escalated_model"),
-                        F.col("cost_delta_usd").alias("__delta"))
+    ``escalated`` defaults to false and ``cost_delta_usd`` to 0.
+
+    A request with several outcomes takes the latest by ``escalated_at``
+    where there is such a column; of equals (or without it) the escalated and
+    dearest one."""
+    when = F.col("escalated_at") if "escalated_at" in outcomes.columns else F.lit(None).cast("timestamp")
+    last = F.max(F.struct(when.alias("t"), "escalated", F.col("cost_delta_usd").alias("delta"), F.col("escalated_model").alias("model")))
+    o = outcomes.groupBy("id").agg(last.alias("__o")).select(
+        "id", F.col("__o.escalated").alias("__esc"), F.col("__o.model").alias("escalated_model"), F.col("__o.delta").alias("__delta"))
     j = requests.drop("escalated", "escalated_model", "cost_delta_usd").join(o, "id", "left")
     return j.select(
         *[F.col(c) for c in requests.columns if c not in ("escalated", "escalated_model", "cost_delta_usd")],

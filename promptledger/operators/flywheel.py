@@ -12,8 +12,8 @@ loses them; ``consume_before_guard=True`` restores that behaviour).
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +57,14 @@ def export_rows(pending: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger; empty only if there is none yet.  Any other failure to
+    read it (storage down, no permission) is raised: an empty ledger would
+    send every failure into training again."""
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no ledger yet: nothing consumed
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
@@ -90,15 +95,6 @@ def training_set(labelled: DataFrame, exported: DataFrame) -> DataFrame:
             .unionByName(exported.select("prompt", F.col("tier").cast("int").alias("tier"))))
 
 
-@dataclass(frozen=True)
-class RetrainInputs:
-    old_accuracy: float | None
-    new_accuracy: float | None
-    num_failures: int
-    model_exists: bool
-    dry_run: bool = False
-
-
 def retrain_status(old, new, num_failures, model_exists, dry_run, t: Thresholds = DEFAULT_THRESHOLDS) -> F.Column:
     """W5 + W7 as a column expression over the run's metrics.
 

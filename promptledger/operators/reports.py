@@ -2,14 +2,14 @@
 
 Global reports are one partial + final hash aggregate (one row crosses the
 exchange per partition); grouped reports aggregate map-side before the
-shuffle, so a hot group costs one row per partition.  Shares divide by a
-scalar-subquery total instead of a join.  Money stays DECIMAL until the
-final cast.
+shuffle, so a hot group costs one row per partition.  Shares divide by the
+sum of the aggregated rows, so the log is read once.  Money stays DECIMAL
+until the final cast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -57,21 +57,22 @@ def window_start(as_of: Column, days: int) -> Column:
 def since(log: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Rows of the last ``days`` days before ``as_of`` (whole boundary day).
 
-    The predicate is on the raw ``ts`` column, so the scan can prune row
-    groups with it at run time (the bound is a scalar subquery) and a log
-    partitioned by ``day`` prunes partitions."""
+    The bound is a scalar subquery.  On ``ts`` it prunes row groups at run
+    time; on ``day`` it prunes the folders of a log partitioned by day."""
     ts_type = log.schema["ts"].dataType.simpleString()
-    return log.where(F.col("ts") >= window_start(as_of, days).cast(ts_type))
+    start = window_start(as_of, days)
+    recent = F.col("ts") >= start.cast(ts_type)
+    return log.where(recent & (F.col("day") >= start) if "day" in log.columns else recent)
 
 
 def default_as_of(log: DataFrame) -> Column:
     return log.agg(F.max("ts").alias("m")).scalar()
 
 
-def escalation_rate(log: DataFrame, days: int = 7, as_of: Column | None = None) -> DataFrame:
-    """A2: escalation rate (%, 1 place) over the last ``days`` days."""
-    as_of = default_as_of(log) if as_of is None else as_of
-    recent = since(log, as_of, days)
+def escalation_rate(log: DataFrame, days: int | None = 7, as_of: Column | None = None) -> DataFrame:
+    """A2: escalation rate (%, 1 place) over the last ``days`` days (None:
+    over all rows given)."""
+    recent = log if days is None else since(log, default_as_of(log) if as_of is None else as_of, days)
     return recent.agg(
         F.count(F.lit(1)).alias("num_requests"),
         F.coalesce(F.round(F.avg(F.col("escalated").cast("int")) * F.lit(100), 1), F.lit(0.0))
@@ -107,15 +108,22 @@ RECENT_COLUMNS = ["id", "ts", "complexity_tier", "classifier_conf", "routed_mode
                   "cost_if_highest_quality", "latency_ms", "quality_score", "escalated", "escalated_model"]
 
 
-def recent_requests(log: DataFrame, limit: int = 50) -> DataFrame:
-    """A5: the newest ``limit`` requests (TakeOrderedAndProject; ties by id)."""
-    cols = [c for c in RECENT_COLUMNS if c in log.columns]
-    return log.orderBy(F.desc("ts"), F.desc("id")).limit(limit).select(*cols)
+def newest(log: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows (TakeOrderedAndProject; ties by id)."""
+    return log.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+
+
+def recent_requests(log: DataFrame, limit: int = 50, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A5: the newest ``limit`` requests; all columns must be there."""
+    missing = {*RECENT_COLUMNS, *extra} - set(log.columns)
+    if missing:
+        raise ValueError(f"the request log lacks {sorted(missing)}")
+    return newest(log, limit).select(*RECENT_COLUMNS, *extra)
 
 
 def recent_with_tier_filter(log: DataFrame, tiers, limit: int = 50) -> DataFrame:
     """P5: the tier filter applies after the limit."""
-    return recent_requests(log, limit).where(F.col("complexity_tier").isin(list(tiers)))
+    return newest(log, limit).where(F.col("complexity_tier").isin(list(tiers)))
 
 
 def daily_cost(log: DataFrame, days: int | None = None, as_of: Column | None = None) -> DataFrame:
@@ -170,31 +178,35 @@ def routing_distribution(log: DataFrame, registry: DataFrame, only: Column | Non
     """A9 + J6: count and share per model, largest first, display names
     (a model missing from the registry keeps its key)."""
     src = log if only is None else log.where(only)
-    counts = src.groupBy("routed_model").agg(F.count(F.lit(1)).alias("n"))
-    total = src.agg(F.count(F.lit(1)).alias("t")).scalar()
+    counts = _with_total(src.groupBy("routed_model").agg(F.count(F.lit(1)).alias("n")))
     ct.registry_facts(registry)                      # size-checked before the broadcast
     names = registry.select(F.col("model_key").alias("routed_model"), "display_name")
     j = counts.join(F.broadcast(names), "routed_model", "left")
     return (j.select("routed_model",
                      F.coalesce(F.col("display_name"), F.col("routed_model")).alias("display_name"),
-                     "n", F.round(F.col("n") * F.lit(100.0) / total, 1).alias("share_pct"))
+                     "n", F.round(F.col("n") * F.lit(100.0) / F.col("total"), 1).alias("share_pct"))
             .orderBy(F.desc("n"), "routed_model"))
 
 
+def _with_total(counts: DataFrame) -> DataFrame:
+    """``counts`` (one row per group) with the sum of ``n``: the log is read
+    once, the window sees only the aggregated rows."""
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
 def tier_distribution(log: DataFrame, only: Column | None = None) -> DataFrame:
     """A10: count and share per tier, in tier order (null tier left out)."""
     src = log if only is None else log.where(only)
     src = src.where(F.col("complexity_tier").isNotNull())
-    total = src.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return (src.groupBy("complexity_tier").agg(F.count(F.lit(1)).alias("n"))
-            .select("complexity_tier", "n", F.round(F.col("n") * F.lit(100.0) / total, 1).alias("share_pct"))
+    return (_with_total(src.groupBy("complexity_tier").agg(F.count(F.lit(1)).alias("n")))
+            .select("complexity_tier", "n", F.round(F.col("n") * F.lit(100.0) / F.col("total"), 1).alias("share_pct"))
             .orderBy("complexity_tier"))
 
 
 def escalation_alert(log: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """Escalation rate of the newest ``alert_window`` requests; silent
     under ``alert_min_rows``; alert strictly above the rate."""
-    latest = log.orderBy(F.desc("ts"), F.desc("id")).limit(t.alert_window)
+    latest = newest(log, t.alert_window)
     agg = latest.agg(F.count(F.lit(1)).alias("n"),
                      F.round(F.avg(F.col("escalated").cast("int")) * F.lit(100), 1).alias("rate_pct"))
     rate = F.coalesce(F.col("rate_pct"), F.lit(0.0))

@@ -37,14 +37,14 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     )
 
 
-def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
-                  out_col: str = "model_key") -> DataFrame:
-    """Keep a model key found in the registry, else the cheapest model."""
+def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_model") -> DataFrame:
+    """Keep a model key found in the registry, else (unknown or null) the
+    cheapest model."""
     keys = registry.select(F.col("model_key").alias("__known"))
     cheapest = F.lit(ct.registry_facts(registry)[0]).cast("string")
     j = df.join(F.broadcast(keys), F.col(model_col) == F.col("__known"), "left")
-    return j.select(*[F.col(c) for c in df.columns],
-                    F.coalesce(F.col("__known"), cheapest).alias(out_col))
+    found = F.coalesce(F.col("__known"), cheapest).alias(model_col)
+    return j.select(*[found if c == model_col else F.col(c) for c in df.columns])
 
 
 def patch_violations(patch: DataFrame, registry: DataFrame) -> DataFrame:

@@ -45,14 +45,6 @@ def append_requests(df: DataFrame, path: str) -> None:
     request_rows(df).write.mode("append").partitionBy("day").parquet(path)
 
 
-def append_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """K2 / K3 / K4 / verdict and escalation tables (K7 / K8): plain appends."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-
-
 def baseline_rows(runs: DataFrame) -> DataFrame:
     """K3 projection: previews cut to 150 / 200 characters."""
     return runs.select(

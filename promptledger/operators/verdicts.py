@@ -18,18 +18,23 @@ from ..functions.text import WS_CHARS
 
 REQUIRED_KEYS = ["cheap_score", "expensive_score", "quality_gap", "routing_correct"]
 
-LEADING_FENCE = r"^```(?:json)?\s*"
-TRAILING_FENCE = r"\s*```$"
+# what the judge is asked to do (in our words) and the keys it must answer with
+JUDGE_INSTRUCTIONS = (
+    "Score how well each response answers the prompt, from 1.0 (useless) to 5.0 (complete and right). "
+    "Answer with one JSON object and nothing else, with the keys " + ", ".join(REQUIRED_KEYS) + " and failure_reason: "
+    "quality_gap is expensive_score minus cheap_score, routing_correct says whether the cheap response will do, "
+    "failure_reason says in a few words what it lacks, or is null.")
 OBJECT_SPAN = r"(?s)\{.*\}"
 
 
 def judge_inputs(df: DataFrame, prompt: str = "prompt", cheap: str = "cheap_output",
                  reference: str = "reference_output") -> DataFrame:
-    """V1: the judge's user message from prompt, cheap and reference output."""
+    """V1: the judge's user message from prompt, cheap and reference output,
+    and its instructions."""
     msg = F.concat(F.lit("ORIGINAL_PROMPT:\n"), F.col(prompt),
                    F.lit("\n\nRESPONSE_A (cheap model):\n"), F.col(cheap),
                    F.lit("\n\nRESPONSE_B (reference model):\n"), F.col(reference))
-    return df.select("*", msg.alias("judge_input"))
+    return df.select("*", msg.alias("judge_input"), F.lit(JUDGE_INSTRUCTIONS).alias("judge_instructions"))
 
 
 def _strip_ws(c: F.Column) -> F.Column:
@@ -38,12 +43,11 @@ def _strip_ws(c: F.Column) -> F.Column:
 
 
 def extract_json(raw) -> F.Column:
-    """V2: trim, drop a leading / trailing fence, then first ``{`` to last ``}``."""
-    t = _strip_ws(F.col(raw) if isinstance(raw, str) else raw)
-    t = F.regexp_replace(t, LEADING_FENCE, "")
-    t = _strip_ws(F.regexp_replace(t, TRAILING_FENCE, ""))
-    span = F.regexp_extract(t, OBJECT_SPAN, 0)
-    return F.when(span != "", span).otherwise(t)
+    """V2: from the first ``{`` to the last ``}``, whatever stands around it
+    (fences, preamble); a text without such a span is left as it is."""
+    text = F.col(raw) if isinstance(raw, str) else raw
+    span = F.regexp_extract(text, OBJECT_SPAN, 0)
+    return F.when(span != "", span).otherwise(_strip_ws(text))
 
 
 def _truthy(v: F.Column) -> F.Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import reports as rep
 from ..sources import config_tables as ct
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 from .oracle import with_views
-from .views import session_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,37 +56,37 @@ from ..operators.percentiles import exact_percentiles  # noqa: E402
 from .. import settings as S  # noqa: E402
 
 
-# Shared inputs: each is planned once per session and input folder and read
-# as a temporary view (see plans/views.py).
+# Shared inputs, planned anew at every call: files that arrived since the
+# last one are seen.
 
 def _log(spark, sf):
-    return session_view(spark, "request_log", sf, lambda: fx.request_log(spark, sf))
+    return fx.request_log(spark, sf)
 
 
 def _prompts(spark, sf):
-    return session_view(spark, "prompts", sf, lambda: fx.prompts(spark, sf))
+    return fx.prompts(spark, sf)
 
 
 def _completions(spark, sf):
-    return session_view(spark, "completions", sf, lambda: fx.completions(spark, sf, _log(spark, sf)))
+    return fx.completions(spark, sf, _log(spark, sf))
 
 
-def _outcomes(spark, sf):
-    def build():
-        return esc.escalation_outcomes(_log(spark, sf), _completions(spark, sf), ct.model_registry(spark))
-    return session_view(spark, "escalation_outcomes", sf, build)
+def _outcomes(spark, sf, log=None):
+    """Escalation outcomes of ``log`` (default: every request)."""
+    log = _log(spark, sf) if log is None else log
+    return esc.escalation_outcomes(log, _completions(spark, sf), ct.model_registry(spark))
 
 
 def _verdict_text(spark, sf):
-    return session_view(spark, "verdict_text", sf, lambda: fx.verdict_text(spark, sf, _log(spark, sf)))
+    return fx.verdict_text(spark, sf, _log(spark, sf))
 
 
 def _verdicts(spark, sf):
-    return session_view(spark, "verdicts", sf, lambda: fx.verdicts(spark, sf, _log(spark, sf)))
+    return fx.verdicts(spark, sf, _log(spark, sf))
 
 
 def _predictions(spark, sf):
-    return session_view(spark, "predictions", sf, lambda: fx.predictions(spark, sf))
+    return fx.predictions(spark, sf)
 
 
 def _log_esc(spark, sf):
@@ -96,6 +96,12 @@ def _log_esc(spark, sf):
     return _outcomes(spark, sf)
 
 
+def _newest(spark, sf, n):
+    """Outcomes of the newest ``n`` requests: the limit comes before the join
+    with the re-runs."""
+    return _outcomes(spark, sf, rep.newest(_log(spark, sf), n))
+
+
 def _dbl(c):
     return F.col(c).cast("double").alias(c)
 
@@ -110,7 +116,8 @@ outcomes AS (
       ELSE CAST(0 AS DECIMAL(18,8)) END AS cost_delta_usd,
     CASE WHEN c.prompt_id IS NOT NULL THEN printf('quality_gap=%.1f cheap_score=%.1f', l.quality_gap, l.quality_score)
       ELSE 'escalation_api_failed' END AS reason
-  FROM request_log l LEFT JOIN completions c
+  FROM request_log l LEFT JOIN (SELECT prompt_id, model_key, max(input_tokens) AS input_tokens,
+      max(output_tokens) AS output_tokens FROM completions GROUP BY ALL) c
     ON c.prompt_id = l.id AND c.model_key = (SELECT model_key FROM best_model)
   WHERE l.decision = 'escalate'
   UNION ALL
@@ -122,9 +129,9 @@ log_esc AS (
   FROM request_log l LEFT JOIN (SELECT id, escalated, escalated_model, cost_delta_usd FROM outcomes) o ON o.id = l.id)"""
 
 
-def _esc_sql(body: str) -> str:
+def _esc_sql(body: str, *more: str) -> str:
     """Oracle text over ``outcomes`` / ``log_esc``."""
-    w = with_views(["request_log", "completions", "best_model"], "")
+    w = with_views(["request_log", "completions", "best_model", *more], "")
     return w.rstrip() + ",\n" + _OUTCOMES_SQL + "\n" + body
 
 
@@ -138,9 +145,10 @@ SELECT count(*) AS num_requests,
   coalesce(round(avg(CAST(escalated AS INTEGER)) * 100, 1), 0.0) AS escalation_rate_pct
 FROM log_esc WHERE {_AS_OF_7}"""))
 def q_escalation_rate_7d(spark, sf):
-    # the outcomes hold every request once, so the newest request time is
-    # read from the log itself (a column-pruned scan, not the re-run join)
-    return rep.escalation_rate(_log_esc(spark, sf), 7, as_of=rep.default_as_of(_log(spark, sf)))
+    # the window is cut on the log, before the join with the re-runs
+    log = _log(spark, sf)
+    recent = rep.since(log, rep.default_as_of(log), 7)
+    return rep.escalation_rate(_outcomes(spark, sf, recent), days=None)
 
 
 @query("requests_by_tier", with_views(["request_log"], """
@@ -156,13 +164,28 @@ def q_requests_by_model(spark, sf):
     return rep.requests_by_model(_log(spark, sf))
 
 
+@query("summary_maps", with_views(["request_log"], """
+SELECT 'tier' AS kind, CAST(complexity_tier AS VARCHAR) AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS avg_quality
+FROM request_log WHERE complexity_tier IS NOT NULL GROUP BY complexity_tier
+UNION ALL
+SELECT 'model', routed_model, count(*), round(avg(quality_score), 2) FROM request_log GROUP BY routed_model"""))
+def q_summary_maps(spark, sf):
+    """The two nested maps of the stats answer, unfolded to rows."""
+    maps = rep.summary_maps(_log(spark, sf))
+    tiers = maps.select(F.explode("requests_by_tier").alias("key", "n")).select(
+        F.lit("tier").alias("kind"), "key", "n", F.lit(None).cast("double").alias("avg_quality"))
+    models = maps.select(F.explode("requests_by_model").alias("key", "v")).select(
+        F.lit("model").alias("kind"), "key", F.col("v.count").alias("n"), "v.avg_quality")
+    return tiers.unionByName(models)
+
+
 @query("recent_requests", _esc_sql("""
 SELECT id, ts, complexity_tier, classifier_conf, routed_model, CAST(cost_usd AS DOUBLE) AS cost_usd,
   CAST(cost_if_highest_quality AS DOUBLE) AS cost_if_highest_quality, latency_ms, quality_score, escalated,
   escalated_model
 FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50"""))
 def q_recent_requests(spark, sf):
-    r = rep.recent_requests(_log_esc(spark, sf), 50)
+    r = rep.recent_requests(_newest(spark, sf, 50), 50)
     return r.select(*[_dbl(c) if c in ("cost_usd", "cost_if_highest_quality") else F.col(c) for c in r.columns])
 
 
@@ -170,7 +193,7 @@ def q_recent_requests(spark, sf):
 SELECT * FROM (SELECT id, ts, complexity_tier, routed_model FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50)
 WHERE complexity_tier IN (2, 3)"""))
 def q_recent_requests_tier_filter(spark, sf):
-    return rep.recent_with_tier_filter(_log_esc(spark, sf), [2, 3], 50).select(
+    return rep.recent_with_tier_filter(_newest(spark, sf, 50), [2, 3], 50).select(
         "id", "ts", "complexity_tier", "routed_model")
 
 
@@ -189,6 +212,23 @@ def q_daily_escalation(spark, sf):
     return rep.daily_escalation(_log_esc(spark, sf))
 
 
+@query("daily_cost_7d", with_views(["request_log"], f"""
+SELECT day, CAST(round(sum(cost_usd), 6) AS DOUBLE) AS cost_actual,
+  CAST(round(sum(cost_if_highest_quality), 6) AS DOUBLE) AS cost_baseline, count(*) AS num_requests
+FROM request_log WHERE {_AS_OF_7} GROUP BY day ORDER BY day"""))
+def q_daily_cost_7d(spark, sf):
+    return rep.daily_cost(_log(spark, sf), days=7)
+
+
+@query("daily_escalation_7d", _esc_sql(f"""
+SELECT day, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate, count(*) AS num_requests
+FROM log_esc WHERE {_AS_OF_7} GROUP BY day ORDER BY day"""))
+def q_daily_escalation_7d(spark, sf):
+    log = _log(spark, sf)
+    recent = rep.since(log, rep.default_as_of(log), 7)
+    return rep.daily_escalation(_outcomes(spark, sf, recent))
+
+
 @query("daily_escalation_alert", _esc_sql(f"""
 SELECT max(escalation_rate) AS max_daily_rate, coalesce(max(escalation_rate > {S.ALERT_RATE_PCT}), false) AS alert
 FROM (SELECT day, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate FROM log_esc GROUP BY day)"""))
@@ -232,7 +272,7 @@ SELECT n, coalesce(rate_pct, 0.0) AS rate_pct,
 FROM (SELECT count(*) AS n, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS rate_pct
       FROM (SELECT escalated FROM log_esc ORDER BY ts DESC, id DESC LIMIT {S.ALERT_WINDOW}))"""))
 def q_escalation_alert(spark, sf):
-    return rep.escalation_alert(_log_esc(spark, sf))
+    return rep.escalation_alert(_newest(spark, sf, S.ALERT_WINDOW))
 
 
 @query("audit_view", _esc_sql("""
@@ -241,11 +281,15 @@ SELECT id, strftime(ts, '%H:%M:%S') AS time, complexity_tier AS tier, routed_mod
   '$' || CAST(CAST(round(cost_if_highest_quality, 6) AS DECIMAL(18,6)) AS VARCHAR) AS baseline,
   CAST(CAST(round(latency_ms, 0) AS BIGINT) AS VARCHAR) AS latency,
   CASE WHEN quality_score IS NULL THEN '—' ELSE printf('%.1f', quality_score) END AS quality,
-  CASE WHEN escalated THEN 'Yes' ELSE '' END AS escalated
-FROM (SELECT * FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50)"""))
+  CASE WHEN escalated THEN 'Yes' ELSE '' END AS escalated,
+  CASE WHEN length(pv) > 60 THEN substring(pv, 1, 60) || '…' ELSE pv END AS prompt
+FROM (SELECT e.*, substring(p.prompt, 1, 150) AS pv
+      FROM (SELECT * FROM log_esc ORDER BY ts DESC, id DESC LIMIT 50) e
+      LEFT JOIN prompts p ON p.doc_id = abs(e.id) % (SELECT count(*) FROM documents))""", "prompts"))
 def q_audit_view(spark, sf):
-    recent = rep.recent_requests(_log_esc(spark, sf), 50)
-    return rep.audit_view(recent)
+    newest = _newest(spark, sf, 50)
+    shown = fx.with_prompts(spark, sf, newest, "id", pr.previews()[:1], prompts_df=_prompts(spark, sf))
+    return rep.audit_view(rep.recent_requests(shown, 50, extra=("prompt_preview",)))
 
 
 @query("audit_flags", _esc_sql(f"""
@@ -310,11 +354,8 @@ def q_run_routing_distribution(spark, sf):
 # ------------------------------------------------------------ A15, A16, J5, C7
 
 def _priced_runs(spark, sf):
-    def build():
-        reg = ct.model_registry(spark)
-        runs = fx.baseline_runs(spark, sf, reg)
-        return cst.price_requests(runs, reg, model_col="model_key")
-    return session_view(spark, "priced_runs", sf, build)
+    reg = ct.model_registry(spark)
+    return cst.price_requests(fx.baseline_runs(spark, sf, reg), reg, model_col="model_key")
 
 
 _SAV1 = ("CASE WHEN cost_if_highest_quality = 0 THEN 0.0 ELSE round(CAST((cost_if_highest_quality - cost_usd) "
@@ -375,14 +416,16 @@ def _patched_settings(spark, patch: dict):
     return rt.apply_patch(ct.routing_settings(spark), p)
 
 
-def _patched_log(spark, sf, name: str, patch: dict, keep_model_key: bool = False):
-    """R4 + R2 + C1: the request log re-routed and re-priced under a patched
-    routing map (a session view per patch)."""
-    def build():
-        base = _log(spark, sf).drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality")
-        routed = rt.route(base, _patched_settings(spark, patch))
-        return cst.price_requests(routed, ct.model_registry(spark), keep_model_key=keep_model_key)
-    return session_view(spark, f"log_{name}", sf, build)
+def _patched_log(spark, sf, patch: dict, keep: tuple[str, ...] = ()):
+    """R4 + R2 + J2 + C1: the request log re-routed and re-priced under a
+    patched routing map; ``keep`` names columns of the first routing that
+    stay, prefixed with ``was_``."""
+    log = _log(spark, sf)
+    base = (log.select("*", *[F.col(c).alias(f"was_{c}") for c in keep])
+            .drop("low_confidence", "routed_model", "cost_usd", "cost_if_highest_quality"))
+    reg = ct.model_registry(spark)
+    routed = rt.resolve_model(rt.route(base, _patched_settings(spark, patch)), reg)
+    return cst.price_requests(routed, reg)
 
 
 @query("route_unknown_model", with_views(["request_log", "cheapest_model", "registry"], f"""
@@ -400,8 +443,8 @@ GROUP BY priced_model"""))
 def q_route_unknown_model(spark, sf):
     """A rule pointing at a model missing from the registry is priced
     as the cheapest model."""
-    priced = _patched_log(spark, sf, "retired_tier_3", _RETIRED, keep_model_key=True)
-    return priced.groupBy("priced_model").agg(F.count(F.lit(1)).alias("n"),
+    priced = _patched_log(spark, sf, _RETIRED)
+    return priced.groupBy(F.col("routed_model").alias("priced_model")).agg(F.count(F.lit(1)).alias("n"),
                                               F.sum("cost_usd").cast("double").alias("cost_usd"))
 
 
@@ -423,10 +466,11 @@ FROM (
 GROUP BY scenario"""))
 def q_reroute_savings(spark, sf):
     """R4 + R5: replay the log under a patched tier map and compare."""
-    log = _log(spark, sf)
-    patched = _patched_log(spark, sf, "tier_2_small", _REROUTE)
-    both = (log.select(F.lit("current").alias("scenario"), "cost_usd", "cost_if_highest_quality")
-            .unionByName(patched.select(F.lit("patched").alias("scenario"), "cost_usd", "cost_if_highest_quality")))
+    patched = _patched_log(spark, sf, _REROUTE, keep=("cost_usd",))
+    # both costs of a request come from one read of the log
+    scenario = F.array(F.struct(F.lit("current").alias("scenario"), F.col("was_cost_usd").alias("cost_usd")),
+                       F.struct(F.lit("patched").alias("scenario"), F.col("cost_usd")))
+    both = patched.select("cost_if_highest_quality", F.inline(scenario))
     c, b = F.sum("cost_usd"), F.sum("cost_if_highest_quality")
     return both.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("total_requests"), F.round(c, 6).cast("double").alias("total_cost_usd"),
@@ -503,12 +547,16 @@ SELECT l.id, l.ts, l.day, coalesce(CAST(l.user_id AS VARCHAR), '{S.DEFAULT_USER_
 FROM request_log l
 LEFT JOIN prompts p ON p.doc_id = abs(l.id) % (SELECT count(*) FROM documents)
 LEFT JOIN registry g ON g.model_key = l.routed_model
-LEFT JOIN completions c ON c.prompt_id = l.id"""))
+LEFT JOIN (SELECT prompt_id, max(output_text) AS output_text FROM completions GROUP BY prompt_id) c
+  ON c.prompt_id = l.id"""))
 def q_request_rows(spark, sf):
     """K1: the request-log row as appended (hash of the whole prompt,
     150 / 200-character previews, provider from the registry)."""
-    reg = ct.model_registry(spark).select(F.col("model_key").alias("routed_model"), "provider")
-    out = _completions(spark, sf).select(F.col("prompt_id").alias("id"), "output_text")
+    reg = ct.model_registry(spark)
+    ct.registry_facts(reg)                           # size-checked before the broadcast
+    reg = reg.select(F.col("model_key").alias("routed_model"), "provider")
+    out = (_completions(spark, sf).groupBy(F.col("prompt_id").alias("id"))
+           .agg(F.max("output_text").alias("output_text")))
     # hash and preview are taken on the prompts side: the join moves them,
     # not whole texts
     prompt_cols = [pr.prompt_hash().alias("prompt_hash"), *pr.previews()]
@@ -526,7 +574,6 @@ def q_request_rows(spark, sf):
 SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), arg_max(text, turn)) AS prompt
 FROM conversations GROUP BY conv_id""")
 def q_extract_prompt(spark, sf):
-    from ..sources.tables import read_table
     return pr.extract_prompts(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
 
 
@@ -548,8 +595,7 @@ FROM (
       max(user_id) AS uid
     FROM chat_requests GROUP BY conv_id))"""))
 def q_validate_requests(spark, sf):
-    chats = session_view(spark, "chat_requests", sf, lambda: fx.chat_requests(spark, sf))
-    return pr.validate_requests(chats)
+    return pr.validate_requests(fx.chat_requests(spark, sf))
 
 
 @query("prompt_hash", with_views(["prompts"], """
@@ -571,13 +617,9 @@ _FEAT_SQL = tx.sql_features("prompt")
 
 
 def _documents(spark, sf):
-    """Whole document texts (null as empty), spread over the cores."""
-    from ..sources.tables import read_table, spread
-
-    def build():
-        d = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
-        return d.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    return session_view(spark, "documents", sf, build)
+    """Whole document texts (null as empty)."""
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
 
 @query("prompt_features", with_views(["prompts"], "SELECT doc_id, label, " + ", ".join(
@@ -604,18 +646,24 @@ def q_token_estimates(spark, sf):
 
 # ------------------------------------------------------------ verdicts / escalation
 
-@query("judge_inputs", with_views(["prompts"], """
-SELECT doc_id, 'ORIGINAL_PROMPT:' || chr(10) || prompt || chr(10) || chr(10) || 'RESPONSE_A (cheap model):' || chr(10)
-  || 'cheap answer ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'RESPONSE_B (reference model):' || chr(10)
-  || 'reference answer ' || CAST(doc_id AS VARCHAR) AS judge_input
-FROM prompts"""))
+@query("judge_inputs", with_views(["request_log", "prompts", "completions"], """
+SELECT l.id, 'ORIGINAL_PROMPT:' || chr(10) || p.prompt || chr(10) || chr(10) || 'RESPONSE_A (cheap model):' || chr(10)
+  || 'cheap answer ' || CAST(l.id AS VARCHAR) || chr(10) || chr(10) || 'RESPONSE_B (reference model):' || chr(10)
+  || c.output_text AS judge_input
+FROM request_log l JOIN (SELECT prompt_id, max(output_text) AS output_text FROM completions GROUP BY prompt_id) c
+  ON c.prompt_id = l.id
+LEFT JOIN prompts p ON p.doc_id = abs(l.id) % (SELECT count(*) FROM documents)
+WHERE l.quality_score >= 0"""))
 def q_judge_inputs(spark, sf):
-    """V1: the judge message for every prompt (whole prompt text)."""
-    p = _prompts(spark, sf).select(
-        "doc_id", "prompt",
-        F.concat(F.lit("cheap answer "), F.col("doc_id").cast("string")).alias("cheap_output"),
-        F.concat(F.lit("reference answer "), F.col("doc_id").cast("string")).alias("reference_output"))
-    return vd.judge_inputs(p).select("doc_id", "judge_input")
+    """V1: the judge message of every verified request with a reference
+    answer (whole prompt text)."""
+    answers = (_completions(spark, sf).groupBy(F.col("prompt_id").alias("id"))
+               .agg(F.max("output_text").alias("reference_output")))
+    asked = (_log(spark, sf).where(F.col("quality_score") >= 0)
+             .select("id", F.concat(F.lit("cheap answer "), F.col("id").cast("string")).alias("cheap_output"))
+             .join(answers, "id"))
+    p = fx.with_prompts(spark, sf, asked, "id", prompts_df=_prompts(spark, sf))
+    return vd.judge_inputs(p).select("id", "judge_input")
 
 
 @query("parse_verdicts", with_views(["parsed_verdicts"], """
@@ -689,9 +737,10 @@ def q_escalation_outcomes(spark, sf):
 @query("requests_with_escalation", _esc_sql("""
 SELECT id, escalated, escalated_model, CAST(cost_delta_usd AS DOUBLE) AS cost_delta_usd FROM log_esc"""))
 def q_requests_with_escalation(spark, sf):
-    """Escalation fields merged, defaults false / 0."""
-    merged = esc.merge_escalations(_log(spark, sf), _outcomes(spark, sf))
-    return merged.select("id", "escalated", "escalated_model", _dbl("cost_delta_usd"))
+    """Escalation fields of every request, defaults false / 0 (the
+    outcomes hold every request once; the merge of a separate escalation
+    table is ``escalation.merge_escalations``)."""
+    return _outcomes(spark, sf).select("id", "escalated", "escalated_model", _dbl("cost_delta_usd"))
 
 
 @query("escalation_cost", _esc_sql("""
@@ -715,9 +764,12 @@ from ..operators import flywheel as fw  # noqa: E402
 from ..operators import quality as dq  # noqa: E402
 
 
-def _failures(spark, sf):
-    return session_view(spark, "failures", sf,
-                        lambda: fx.failure_log(spark, sf, _log(spark, sf), prompts_df=_prompts(spark, sf)))
+def _failures(spark, sf, *prompt_columns):
+    """Failure log; prompts are joined only for ``prompt_columns``."""
+    f = fx.failure_log(spark, sf, _log(spark, sf))
+    if not prompt_columns:
+        return f
+    return fx.with_prompts(spark, sf, f, "request_id", list(prompt_columns), prompts_df=_prompts(spark, sf))
 
 
 _PENDING = "SELECT f.* FROM failures f WHERE f.id NOT IN (SELECT failure_id FROM ledger)"
@@ -727,8 +779,8 @@ _PENDING = "SELECT f.* FROM failures f WHERE f.id NOT IN (SELECT failure_id FROM
 SELECT id, prompt, correct_tier FROM ({_PENDING})"""))
 def q_pending_failures(spark, sf):
     """Failures not yet consumed (dry-run peek)."""
-    f = _failures(spark, sf)
-    return fw.pending_failures(f, fx.consumed_ledger(f)).select("id", "prompt", "correct_tier")
+    f = _failures(spark, sf, "prompt")
+    return fw.pending_failures(f, fx.consumed_ledger(_failures(spark, sf))).select("id", "prompt", "correct_tier")
 
 
 @query("pending_failure_count", with_views(["failures", "ledger"], f"""
@@ -742,8 +794,8 @@ def q_pending_failure_count(spark, sf):
 SELECT id, prompt, correct_tier AS tier FROM ({_PENDING})"""))
 def q_export_failures(spark, sf):
     """W2 rows (the ledger append is the job in ``flywheel.export_failures``)."""
-    f = _failures(spark, sf)
-    return fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(f)))
+    f = _failures(spark, sf, "prompt")
+    return fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(_failures(spark, sf))))
 
 
 @query("training_set", with_views(["prompts", "failures", "ledger"], f"""
@@ -752,9 +804,9 @@ UNION ALL
 SELECT prompt, correct_tier AS tier FROM ({_PENDING})"""))
 def q_training_set(spark, sf):
     """Labelled prompts UNION ALL pending failure rows."""
-    f = _failures(spark, sf)
+    f = _failures(spark, sf, "prompt")
     labelled = _prompts(spark, sf).select("prompt", F.col("label").alias("tier"))
-    return fw.training_set(labelled, fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(f))))
+    return fw.training_set(labelled, fw.export_rows(fw.pending_failures(f, fx.consumed_ledger(_failures(spark, sf)))))
 
 
 @query("orphan_failures", with_views(["failures", "request_log"], """
@@ -778,24 +830,50 @@ def q_dq_duplicate_ids(spark, sf):
     return dq.duplicate_ids(_verdicts(spark, sf))
 
 
-@query("dq_request_duplicates", with_views(["request_log"], """
-SELECT count(*) AS duplicated_ids FROM (SELECT id FROM request_log GROUP BY id HAVING count(*) > 1)"""))
-def q_dq_request_duplicates(spark, sf):
-    """Q2 over the request log (primary key: must be 0)."""
-    return dq.duplicate_ids(_log(spark, sf)).agg(F.count(F.lit(1)).alias("duplicated_ids"))
+# the log as an unchecked import would deliver it: some rows twice, some values out of range
+_IMPORTED_SQL = """
+imported AS (
+  SELECT id, CASE WHEN id % 97 = 0 THEN 4 ELSE complexity_tier END AS complexity_tier,
+    CASE WHEN id % 89 = 0 THEN CAST(1.5 AS DOUBLE) ELSE classifier_conf END AS classifier_conf,
+    CASE WHEN id % 83 = 0 THEN CAST(7.0 AS DOUBLE) ELSE quality_score END AS quality_score,
+    CASE WHEN id % 79 = 0 THEN -input_tokens ELSE input_tokens END AS input_tokens, output_tokens
+  FROM request_log
+  UNION ALL SELECT id, complexity_tier, classifier_conf, quality_score, input_tokens, output_tokens
+  FROM request_log WHERE id % 101 = 0)"""
+
+
+def _imported_sql(body: str) -> str:
+    return with_views(["request_log"], "").rstrip() + ",\n" + _IMPORTED_SQL + "\n" + body
+
 
+def _imported(spark, sf):
+    log, i = _log(spark, sf).select("id", "complexity_tier", "classifier_conf", "quality_score", "input_tokens", "output_tokens"), F.col("id")
+    spoilt = log.select(
+        "id", F.when(i % 97 == 0, F.lit(4)).otherwise(F.col("complexity_tier")).alias("complexity_tier"),
+        F.when(i % 89 == 0, F.lit(1.5)).otherwise(F.col("classifier_conf")).alias("classifier_conf"),
+        F.when(i % 83 == 0, F.lit(7.0)).otherwise(F.col("quality_score")).alias("quality_score"),
+        F.when(i % 79 == 0, -F.col("input_tokens")).otherwise(F.col("input_tokens")).alias("input_tokens"), "output_tokens")
+    return spoilt.unionByName(log.where(i % 101 == 0))
 
-@query("dq_range_violations", with_views(["request_log"], """
+
+@query("dq_range_violations", _imported_sql("""
 SELECT id, rule FROM (
-  SELECT id, 'tier_out_of_range' AS rule FROM request_log
+  SELECT id, 'tier_out_of_range' AS rule FROM imported
     WHERE complexity_tier IS NOT NULL AND complexity_tier NOT BETWEEN 1 AND 3
-  UNION ALL SELECT id, 'confidence_out_of_range' FROM request_log
+  UNION ALL SELECT id, 'confidence_out_of_range' FROM imported
     WHERE classifier_conf IS NOT NULL AND classifier_conf NOT BETWEEN 0.0 AND 1.0
-  UNION ALL SELECT id, 'score_out_of_range' FROM request_log
+  UNION ALL SELECT id, 'score_out_of_range' FROM imported
     WHERE quality_score IS NOT NULL AND quality_score <> -1.0 AND quality_score NOT BETWEEN 1.0 AND 5.0
-  UNION ALL SELECT id, 'negative_tokens' FROM request_log WHERE input_tokens < 0 OR output_tokens < 0)"""))
+  UNION ALL SELECT id, 'negative_tokens' FROM imported WHERE input_tokens < 0 OR output_tokens < 0)"""))
 def q_dq_range_violations(spark, sf):
-    return dq.range_violations(_log(spark, sf))
+    return dq.range_violations(_imported(spark, sf))
+
+
+@query("dq_request_duplicates", _imported_sql("""
+SELECT count(*) AS duplicated_ids FROM (SELECT id FROM imported GROUP BY id HAVING count(*) > 1)"""))
+def q_dq_request_duplicates(spark, sf):
+    """Q2 over the imported log."""
+    return dq.duplicate_ids(_imported(spark, sf)).agg(F.count(F.lit(1)).alias("duplicated_ids"))
 
 
 # ------------------------------------------------------------ classifier metrics (SQL-checkable)
@@ -878,7 +956,7 @@ def q_classify_prompts(spark, sf):
     """M1 + M3 + M14: fit the logistic candidate on the training side and
     score every prompt (tier, confidence, low-confidence flag)."""
     data = _prompt_data(spark, sf)
-    train = data.where(~F.col("is_test"))
+    train = clf.with_weights(data.where(~F.col("is_test")).drop("weight"))
     model = clf.build_pipeline(clf.candidates(train.count())["logistic_regression"]).fit(train)
     return clf.score(model, data).select("doc_id", "label", "predicted", "confidence", "low_confidence",
                                          "is_test")
@@ -896,21 +974,19 @@ def q_candidate_results(spark, sf):
 def q_cross_validation(spark, sf):
     """M8: 5-fold accuracy mean and standard deviation of each candidate."""
     data = _prompt_data(spark, sf)
-    n = data.count()
     out = None
-    for name in clf.candidates(n):
-        r = clf.cross_validate(data, name, 5, n, fold_col="fold").select(F.lit(name).alias("candidate"), "*")
+    for name in clf.candidates():
+        r = clf.cross_validate(data, name, 5, fold_col="fold").select(F.lit(name).alias("candidate"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
 
 @query("calibrated_scores")
 def q_calibrated_scores(spark, sf):
-    """M6: Platt-calibrated confidence on the test side."""
+    """M6: Platt-calibrated confidence of every prompt."""
     data = _prompt_data(spark, sf)
     model = jobs.calibrated_model(data)
-    return clf.score(model, data.where(F.col("is_test"))).select(
-        "doc_id", "label", "predicted", "confidence", "low_confidence")
+    return clf.score(model, data).select("doc_id", "label", "predicted", "confidence", "low_confidence", "is_test")
 
 
 @query("golden_gate")
@@ -919,6 +995,6 @@ def q_golden_gate(spark, sf):
     golden set (benchmark items); pass / fail per prompt."""
     data = _prompt_data(spark, sf)
     model = clf.build_pipeline(clf.candidates(data.count())["logistic_regression"]).fit(data)
-    gold = jobs.prepared(fx.golden_prompts(spark, sf), keep=("item_id",))
+    gold = clf.featurise(fx.golden_prompts(spark, sf)).select("item_id", "label", *S.FEATURE_NAMES)
     scored = clf.score(model, gold).select("item_id", "label", "predicted", "confidence")
     return clf.golden_gate(scored)

@@ -28,22 +28,15 @@ def prepared(df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()) ->
     checkpoint folder (``spark.checkpoint.dir``) and read back: that cuts
     the lineage (iterative fitting never recomputes the text features, and
     a lost executor does not send it back to the texts) with a single job.
-    Class weights are then counted from the written table.  The table is a
-    fraction of the size of the texts, so it is narrowed (``coalesce``, no
-    shuffle) to :func:`~promptledger.operators.classifier.training_partitions`
-    partitions."""
+    Class weights are then counted from the written table; a fit on part of
+    the rows counts its own."""
     spark = df.sparkSession
     f = clf.featurise(df).withColumn("label_idx", (F.col(label) - 1).cast("double"))
     out = f.select(*keep, label, "label_idx", *S.FEATURE_NAMES,
                    clf.split_flag().alias("is_test"), clf.fold_id().alias("fold"))
     path = state_path(spark, "training")
     out.write.parquet(path)
-    saved = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    parts = clf.training_partitions(saved.count(), cores)
-    if parts < saved.rdd.getNumPartitions():
-        saved = saved.coalesce(parts)
-    return clf.with_weights(saved, label)
+    return clf.with_weights(spark.read.parquet(path), label)
 
 
 def fit_candidates(data: DataFrame):

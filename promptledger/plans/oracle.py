@@ -67,7 +67,9 @@ SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, user_id, event_type,
   value * CAST(40 AS DOUBLE) AS latency_ms,
   CASE WHEN event_type = 'signup' THEN NULL WHEN event_type = 'error' THEN CAST(-1.0 AS DOUBLE)
        ELSE CAST(10 + (event_id * 7) % 41 AS DOUBLE) / CAST(10 AS DOUBLE) END AS quality_score,
-  CAST(30 + (event_id * 11) % 21 AS DOUBLE) / CAST(10 AS DOUBLE) AS expensive_score
+  CAST(30 + (event_id * 11) % 21 AS DOUBLE) / CAST(10 AS DOUBLE) AS expensive_score,
+  CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 6 <> 0
+       THEN 'misses point ' || CAST(event_id % 6 AS VARCHAR) END AS judge_reason
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
 
 view("request_log", ["registry", "best_model", "cheapest_model", "routing_rules"], f"""
@@ -130,9 +132,9 @@ def with_views(names: list[str], body: str) -> str:
 
 view("completions", ["request_log"], """
 SELECT id AS prompt_id, 'large' AS model_key, 'reference answer ' || CAST(id AS VARCHAR) AS output_text,
-  input_tokens, output_tokens + id % 17 AS output_tokens,
+  input_tokens, output_tokens + id % 17 - again AS output_tokens,
   latency_ms * CAST(0.5 AS DOUBLE) + CAST(100.0 AS DOUBLE) AS latency_ms
-FROM request_log WHERE id % 11 <> 0""")
+FROM request_log, (SELECT unnest([0, 1]) AS again) WHERE id % 11 <> 0 AND (again = 0 OR id % 5 = 0)""")
 
 _full = ("'{\"cheap_score\": ' || printf('%.1f', quality_score) || ', \"expensive_score\": ' || "
          "printf('%.1f', expensive_score) || ', \"quality_gap\": 99.0, \"routing_correct\": ' || "
@@ -148,9 +150,7 @@ SELECT id, ts, CASE id % 5 WHEN 0 THEN {_full}
 FROM request_log WHERE quality_score >= 0""")
 
 _WSC = TX.WS
-_trimmed = (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-            f"raw, {_q('^' + _WSC + '+')}, ''), {_q(_WSC + '+$')}, ''), {_q(r'^```(?:json)?\s*')}, ''), "
-            f"{_q(r'\s*```$')}, ''), {_q('^' + _WSC + '+')}, ''), {_q(_WSC + '+$')}, '')")
+_stripped = f"regexp_replace(regexp_replace(raw, {_q('^' + _WSC + '+')}, ''), {_q(_WSC + '+$')}, '')"
 
 
 def parsed_sql(src: str) -> str:
@@ -178,9 +178,9 @@ FROM (
     FROM (
       SELECT *, CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' THEN json_keys(js) END AS keys
       FROM (
-        SELECT *, CASE WHEN regexp_extract(t0, {_q(r'(?s)\{.*\}')}, 0) <> ''
-                       THEN regexp_extract(t0, {_q(r'(?s)\{.*\}')}, 0) ELSE t0 END AS js
-        FROM (SELECT *, {_trimmed} AS t0 FROM {src})))))"""
+        SELECT *, CASE WHEN regexp_extract(raw, {_q(r'(?s)\{.*\}')}, 0) <> ''
+                       THEN regexp_extract(raw, {_q(r'(?s)\{.*\}')}, 0) ELSE {_stripped} END AS js
+        FROM {src}))))"""
 
 
 view("parsed_verdicts", ["verdict_text"], parsed_sql("verdict_text"))
@@ -196,10 +196,10 @@ SELECT CASE WHEN request_id >= 0 THEN request_id * 10 + 1 ELSE -request_id * 10
 FROM (
   SELECT id AS request_id, ts, complexity_tier AS classified_tier,
     CAST(least(3, complexity_tier + CASE WHEN quality_gap > CAST({T.bump_gap} AS DOUBLE) THEN 2 ELSE 1 END)
-      AS INTEGER) AS correct_tier, quality_gap, decision AS failure_reason
+      AS INTEGER) AS correct_tier, quality_gap, judge_reason AS failure_reason
   FROM request_log WHERE decision IN ('escalate', 'latency_budget_exhausted')
   UNION ALL
-  SELECT -(id + 1), ts, complexity_tier, 3, CAST(2.0 AS DOUBLE), 'escalate' FROM request_log WHERE id % 1000 = 0
+  SELECT -(id + 1), ts, complexity_tier, 3, CAST(2.0 AS DOUBLE), 'unknown request' FROM request_log WHERE id % 1000 = 0
 ) f LEFT JOIN prompts p ON p.doc_id = abs(f.request_id) % (SELECT count(*) FROM documents)""")
 view("ledger", ["failures"], "SELECT id AS failure_id FROM failures WHERE id % 3 = 0")
 view("predictions", ["prompts"], """

@@ -166,12 +166,15 @@ def routing_thresholds(settings: DataFrame) -> DataFrame:
 
 
 def tier_definitions(spark: SparkSession) -> DataFrame:
-    """Tier number, name, description and the model each tier routes to."""
+    """Tier number, name, description, examples and the model each tier routes to."""
     schema = T.StructType([
         T.StructField("tier", T.IntegerType(), False),
         T.StructField("name", T.StringType(), False),
         T.StructField("description", T.StringType(), False),
+        T.StructField("examples", T.StringType(), False),
     ])
-    tiers = local_table(spark, S.TIERS, schema)
+    rows = [(n, name, text, "\n".join(examples)) for n, name, text, examples in S.TIERS]
+    tiers = local_table(spark, rows, schema).withColumn("examples", F.split("examples", "\n"))
     rules = routing_rules(routing_settings(spark))
+    check_bound(rules.count(), MAX_CONFIG_ROWS, "routing rules")
     return tiers.join(F.broadcast(rules), "tier", "left").withColumnRenamed("model_key", "routed_to")

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..operators import escalation as esc
 from ..operators.costs import price_requests
-from ..operators.routing import route
+from ..operators.routing import resolve_model, route
 from ..settings import DEFAULT_THRESHOLDS
 from . import config_tables as ct
-from .tables import read_table, spread
+from .tables import read_table
 
 # our own prompt templates: (prefix, suffix, fenced body), picked by doc_id % 12
 PROMPT_TEMPLATES = [
@@ -45,7 +45,7 @@ FENCE = "\n```\n"
 def request_log(spark: SparkSession, sf_dir: str, registry: DataFrame | None = None,
                 settings: DataFrame | None = None, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
     """B.1: routed, priced and judged requests (one per event)."""
-    ev = spread(read_table(spark, sf_dir, "events", *EVENT_COLUMNS), "event_id")
+    ev = read_table(spark, sf_dir, "events", *EVENT_COLUMNS)
     return requests_from_events(ev, registry, settings, thresholds)
 
 
@@ -77,12 +77,13 @@ def requests_from_events(ev: DataFrame, registry: DataFrame | None = None, setti
         (F.col("value") * F.lit(40.0)).alias("latency_ms"),
         quality.alias("quality_score"),
         ((F.lit(30) + (eid * 11) % 21).cast("double") / F.lit(10.0)).alias("expensive_score"),
+        F.when((quality >= 0) & (eid % 6 != 0), F.concat(F.lit("misses point "), (eid % 6).cast("string"))).alias("judge_reason"),
     )
     base = base.withColumn(
         "quality_gap",
         F.when(F.col("quality_score") < 0, F.lit(0.0))
         .otherwise(F.col("expensive_score") - F.col("quality_score")))
-    routed = route(base, settings)
+    routed = resolve_model(route(base, settings), registry)
     priced = price_requests(routed, registry)
     return esc.decide(priced, t=thresholds)
 
@@ -110,7 +111,7 @@ def templated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B.2: templated prompts over whole documents, with the template label."""
-    docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return templated(docs, "doc_id", "text")
 
 
@@ -122,14 +123,16 @@ def golden_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """B.3: the best model's re-run of each request; missing for id % 11 = 0
-    (a failed re-run)."""
+    (a failed re-run), delivered twice for id % 5 = 0 (a replayed re-run that
+    stopped one token earlier)."""
     log = request_log(spark, sf_dir) if log is None else log
-    return log.where(F.col("id") % 11 != 0).select(
+    times = F.when(F.col("id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return log.where(F.col("id") % 11 != 0).withColumn("__again", F.explode(times)).select(
         F.col("id").alias("prompt_id"),
         F.lit("large").alias("model_key"),
         F.concat(F.lit("reference answer "), F.col("id").cast("string")).alias("output_text"),
         F.col("input_tokens"),
-        (F.col("output_tokens") + F.col("id") % 17).alias("output_tokens"),
+        (F.col("output_tokens") + F.col("id") % 17 - F.col("__again")).alias("output_tokens"),
         (F.col("latency_ms") * F.lit(0.5) + F.lit(100.0)).alias("latency_ms"),
     )
 
@@ -178,23 +181,20 @@ def doc_count(spark: SparkSession, sf_dir: str):
 
 
 def failure_log(spark: SparkSession, sf_dir: str, log: DataFrame | None = None,
-                thresholds=DEFAULT_THRESHOLDS, prompts_df: DataFrame | None = None) -> DataFrame:
-    """B.3 ``routing_failures``: one row per failed routing (K2) with the
-    request's prompt, plus one orphan row per 1000 requests whose
-    ``request_id`` is unknown (for the foreign-key check J7)."""
+                thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
+    """B.3 ``routing_failures`` without the prompt (:func:`with_prompts` adds
+    it): one row per failed routing (K2), plus one orphan row per 1000
+    requests whose ``request_id`` is unknown (for the foreign-key check J7)."""
     log = request_log(spark, sf_dir) if log is None else log
     fails = esc.routing_failures(log, thresholds)
     orphans = log.where(F.col("id") % 1000 == 0).select(
         (-(F.col("id") + 1)).alias("request_id"), F.col("ts"),
         F.col("complexity_tier").alias("classified_tier"),
         F.lit(3).alias("correct_tier"), F.lit(2.0).alias("quality_gap"),
-        F.lit("escalate").alias("failure_reason"))
-    allf = fails.unionByName(orphans).withColumn(
+        F.lit("unknown request").alias("failure_reason"))
+    return fails.unionByName(orphans).withColumn(
         "id", F.when(F.col("request_id") >= 0, F.col("request_id") * 10 + 1)
         .otherwise(-F.col("request_id") * 10 + 2))
-    return with_prompts(spark, sf_dir, allf, "request_id", prompts_df=prompts_df).select(
-        "id", "request_id", "ts", "prompt", "classified_tier", "correct_tier", "quality_gap",
-        "failure_reason")
 
 
 def with_prompts(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str = "id",
@@ -226,16 +226,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "label", pred.cast("int").alias("predicted"))
 
 
+def every_model(prompts_df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each prompt once per model of ``registry`` (its keys are read once,
+    size-checked, and unfolded per row)."""
+    ct.registry_facts(registry)
+    keys = [r[0] for r in registry.orderBy("registry_order").select("model_key").collect()]
+    return prompts_df.select("*", F.explode(F.array(*map(F.lit, keys))).alias("model_key"))
+
+
 def baseline_runs(spark: SparkSession, sf_dir: str, registry: DataFrame | None = None) -> DataFrame:
     """Every prompt run once on every registry model (the baseline run).
 
-    The fan-out is the registry's key list (bounded config), generated with
-    ``explode`` per prompt; the run fails for doc_id % 13 = 0 on ``mid``."""
-    from ..settings import MODEL_REGISTRY
-    keys = F.array(*[F.lit(m[0]) for m in MODEL_REGISTRY])
-    p = prompts(spark, sf_dir).select("doc_id", "label", "prompt")
-    runs = p.select("doc_id", F.col("label").alias("expected_tier"), "prompt",
-                    F.explode(keys).alias("model_key"))
+    The run fails for doc_id % 13 = 0 on ``mid``."""
+    registry = ct.model_registry(spark) if registry is None else registry
+    p = prompts(spark, sf_dir).select("doc_id", F.col("label").alias("expected_tier"), "prompt")
+    runs = every_model(p, registry)
     did = F.col("doc_id")
     factor = F.when(F.col("model_key") == "large", F.lit(3)).when(F.col("model_key") == "mid", F.lit(2)).otherwise(F.lit(1))
     ok = ~((did % 13 == 0) & (F.col("model_key") == "mid"))

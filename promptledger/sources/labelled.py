@@ -23,12 +23,15 @@ GOLDEN_SCHEMA = T.StructType([
 def read_labelled(spark: SparkSession, path: str, min_rows: int = S.MIN_LABELLED_ROWS,
                   check: bool = True) -> DataFrame:
     """CSV with a header, quoted fields with commas / newlines; requires
-    ``prompt`` and ``tier`` and at least ``min_rows`` rows."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("enforceSchema", False).schema(LABELLED_SCHEMA).csv(path))
-    missing = {"prompt", "tier"} - set(df.columns)
+    ``prompt`` and ``tier`` and at least ``min_rows`` rows.
+
+    Columns are taken by name, in any order; a missing ``domain`` is null."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    missing = {"prompt", "tier"} - set(raw.columns)
     if missing:
         raise ValueError(f"labelled data lacks columns {sorted(missing)}")
+    df = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in LABELLED_SCHEMA.fields])
     if check:
         n = df.count()
         if n < min_rows:

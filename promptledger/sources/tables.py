@@ -16,29 +16,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     """Parquet scan; naming columns prunes the read schema at the source."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a *small* scan on a unique row key so the CPU-heavy
-    projections after it (JSON extraction, text features) use every core.
-
-    A parquet row group is the smallest unit a scan can split, so a small
-    table written as one row group is read by one task however many cores
-    there are.  The repartition is applied only when the scan plans no more
-    splits than one wave of tasks (``defaultParallelism``); Spark plans more
-    splits than that only for inputs over ``maxPartitionBytes`` per core,
-    and such inputs arrive in many files / row groups, so they are returned
-    unchanged (no extra shuffle of a large table).  The key must be unique
-    per row (an id), so a hot group key cannot pile up in one partition.
-    Streaming DataFrames are returned unchanged.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave the scan as it is
-        return df
-    if splits > cores:
-        return df
-    return df.repartition(2 * cores, *keys)

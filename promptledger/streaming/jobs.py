@@ -9,7 +9,6 @@ TIMESTAMP (session time zone UTC) before any watermark.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -96,17 +95,16 @@ def alert_step(state_path: str, alerts_path: str, t: Thresholds = DEFAULT_THRESH
     its own folder in overwrite mode, and so is the alert row.  A batch that
     is run again after a failure (``foreachBatch`` is at-least-once) rewrites
     the same two folders with the same rows instead of counting its requests
-    twice.  ``latest`` is a copy for readers; the step never reads it."""
+    twice.  State of an earlier epoch that is missing is an error: going on
+    without it would silence an alert.  ``latest`` is a copy for readers; the
+    step never reads it."""
     cols = ["id", "ts", "escalated"]
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         cur = batch.select(*cols)
-        if epoch > 0:
-            try:
-                cur = cur.unionByName(spark.read.parquet(f"{state_path}/epoch={epoch - 1}").select(*cols))
-            except AnalysisException:  # no earlier state: this query's first batch
-                pass
+        if epoch > 0:  # only the first epoch has no state; a missing folder is an error
+            cur = cur.unionByName(spark.read.parquet(f"{state_path}/epoch={epoch - 1}").select(*cols))
         top = cur.orderBy(F.desc("ts"), F.desc("id")).limit(t.alert_window)
         top.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
         kept = spark.read.parquet(f"{state_path}/epoch={epoch}")

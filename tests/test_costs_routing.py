@@ -36,9 +36,9 @@ def test_rounding_half_up_at_eighth_place(spark):
 
 def test_unknown_model_priced_as_cheapest(spark):
     reg = ct.model_registry(spark)
-    r = cst.price_requests(_reqs(spark, [(1, "retired", 1000, 0)]), reg, keep_model_key=True).first()
-    assert r.priced_model == "small"
-    assert r.cost_usd == Decimal("0.00003500")
+    known = rt.resolve_model(_reqs(spark, [(1, "retired", 1000, 0), (2, None, 1000, 0), (3, "mid", 1000, 0)]), reg)
+    got = {r.id: (r.routed_model, r.cost_usd) for r in cst.price_requests(known, reg).collect()}
+    assert got[1] == got[2] == ("small", Decimal("0.00003500")) and got[3][0] == "mid"
 
 
 def test_best_model_is_dearest_high_quality(spark):
@@ -79,6 +79,7 @@ def test_default_rules_reference_registry_keys(spark):
 def test_tier_definitions(spark):
     t = {r.tier: (r.name, r.routed_to) for r in ct.tier_definitions(spark).collect()}
     assert t == {1: ("simple", "small"), 2: ("moderate", "mid"), 3: ("complex", "large")}
+    assert all(len(r.examples) == 2 for r in ct.tier_definitions(spark).collect())
 
 
 def test_judge_cost(spark):

@@ -58,7 +58,7 @@ def test_retrain_job_appends_ledger_only_when_replaced(spark, tmp_dir):
     from promptledger.plans import jobs
     from promptledger.sources import fixtures as fx
     lab = fx.prompts(spark, SF_SMALL).select("prompt", F.col("label").alias("tier"))
-    fails = fx.failure_log(spark, SF_SMALL).where(F.col("prompt").isNotNull())
+    fails = fx.with_prompts(spark, SF_SMALL, fx.failure_log(spark, SF_SMALL), "request_id").where(F.col("prompt").isNotNull())
     ledger, models = f"{tmp_dir}/ledger", f"{tmp_dir}/models"
     # an impossible bar: rejected, nothing consumed
     a = jobs.retrain(spark, lab, fails, ledger, models, old_accuracy=1.0, model_exists=True).first()
@@ -70,3 +70,10 @@ def test_retrain_job_appends_ledger_only_when_replaced(spark, tmp_dir):
     a = jobs.retrain(spark, lab, fails, ledger, models, old_accuracy=0.5, model_exists=True).first()
     assert a.status == "skipped"
     assert spark.read.parquet(f"{models}/retrain_log").count() == 3
+
+
+def test_unreadable_ledger_is_an_error(spark, tmp_dir):
+    import pytest
+    assert fw.read_ledger(spark, f"{tmp_dir}/none").count() == 0
+    with pytest.raises(Exception):
+        fw.read_ledger(spark, "nosuchstore://bucket/ledger").count()

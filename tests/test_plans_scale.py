@@ -1,48 +1,25 @@
-"""Plan-shape properties: spreading single-split scans, session views,
-config values folded as literals, training-table sizing."""
+"""Plan-shape properties: fresh plans, pruning, single scans, config values
+folded as literals."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from promptledger.operators import classifier as clf
 from promptledger.plans import jobs
-from promptledger.plans.views import drop_session_views, session_view, view_name
 from promptledger.sources import config_tables as ct
 from promptledger.sources import fixtures as fx
-from promptledger.sources.tables import read_table, spread
+from promptledger.sources.tables import read_table
 
 
-def test_spread_small_scan_hash_partitions_on_the_key(spark):
-    ev = read_table(spark, SF_SMALL, "events", "event_id", "props")
-    cores = spark.sparkContext.defaultParallelism
-    s = spread(ev, "event_id")
-    assert s.rdd.getNumPartitions() == 2 * cores
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(event_id" in plan
-    assert sorted(r.event_id for r in s.collect()) == sorted(r.event_id for r in ev.collect())
-
-
-def test_spread_leaves_a_many_split_input_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    big = spark.range(0, 1000, 1, numPartitions=4 * cores)
-    assert spread(big, "id") is big
-
-
-def test_session_view_is_planned_once(spark):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(5)
-
-    name = view_name("probe", "/no/such/dir")
-    a = session_view(spark, "probe", "/no/such/dir", build)
-    b = session_view(spark, "probe", "/no/such/dir", build)
-    assert len(calls) == 1 and a.count() == b.count() == 5
-    assert spark.catalog.tableExists(name)
-    drop_session_views(spark)
-    assert not spark.catalog.tableExists(name)
+def test_reports_see_appended_rows(spark, tmp_dir):
+    """Plans are not kept between calls: new files and new settings count."""
+    from promptledger.plans import catalog
+    events = read_table(spark, SF_SMALL, "events")
+    folder = f"{tmp_dir}/events.parquet"
+    events.write.parquet(folder)
+    before = catalog.QUERIES["savings_summary"](spark, tmp_dir).first().total_requests
+    events.withColumn("event_id", F.col("event_id") + 1_000_000).write.mode("append").parquet(folder)
+    assert catalog.QUERIES["savings_summary"](spark, tmp_dir).first().total_requests == 2 * before
 
 
 def test_config_row_is_one_row_or_none(spark):
@@ -58,11 +35,9 @@ def test_request_log_plan_has_no_config_subquery(spark, capsys):
     assert "Subquery" not in out and "CartesianProduct" not in out
 
 
-def test_training_table_is_narrowed_to_its_size(spark):
+def test_training_table_is_written_once_with_weights(spark):
     p = fx.prompts(spark, SF_SMALL)
-    assert p.rdd.getNumPartitions() > 1
     data = jobs.prepared(p, keep=("doc_id",))
-    assert data.rdd.getNumPartitions() == clf.training_partitions(p.count(), spark.sparkContext.defaultParallelism) == 1
     assert data.count() == p.count()
     assert data.where(F.col("weight").isNull()).count() == 0
 
@@ -84,14 +59,7 @@ def test_oversized_config_is_not_broadcast(spark):
     assert ct.registry_facts(reg)[0] == "small"
 
 
-def test_training_partitions_grow_with_rows():
-    assert clf.training_partitions(100, 8) == 1
-    assert clf.training_partitions(10_000, 8) == 5
-    assert clf.training_partitions(10_000_000, 8) == 20
-    assert clf.training_partitions(10**9, 8) == 2000
-
-
-def test_reports_prune_the_scan_through_views_and_spread(spark, capsys):
+def test_reports_prune_the_scan(spark, capsys):
     from promptledger.plans import catalog
     catalog.QUERIES["requests_by_tier"](spark, SF_SMALL).explain("formatted")
     plan = capsys.readouterr().out
@@ -101,3 +69,55 @@ def test_reports_prune_the_scan_through_views_and_spread(spark, capsys):
     catalog.QUERIES["escalation_rate_7d"](spark, SF_SMALL).explain("formatted")
     plan = capsys.readouterr().out
     assert "PushedFilters: [IsNotNull(ts)" in plan
+
+
+def test_recent_window_prunes_day_folders(spark, tmp_dir, capsys):
+    from promptledger.operators import reports as rep
+    from promptledger.operators import sinks
+    log = fx.request_log(spark, SF_SMALL).withColumn("prompt", F.lit("p"))
+    sinks.append_requests(log, tmp_dir + "/log")
+    kept = spark.read.parquet(tmp_dir + "/log")
+    rep.daily_cost(kept, days=7).explain("formatted")
+    plan = capsys.readouterr().out
+    assert any("day" in line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+    assert rep.daily_cost(kept, days=7).count() == 8
+
+
+@pytest.mark.parametrize("name", ["tier_distribution", "routing_distribution", "reroute_savings", "class_weights"])
+def test_shares_read_their_table_once(spark, capsys, name):
+    from promptledger.plans import catalog
+    catalog.QUERIES[name](spark, SF_SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    tree = plan.split("\n\n\n")[0]
+    assert tree.count("Scan parquet") == 1, tree
+
+
+@pytest.mark.parametrize("name", ["recent_requests", "audit_view", "escalation_alert"])
+def test_newest_rows_are_cut_before_the_join(spark, capsys, name):
+    from promptledger.plans import catalog
+    catalog.QUERIES[name](spark, SF_SMALL).explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
+    cuts = [i for i, line in enumerate(plan.splitlines()) if "TakeOrderedAndProject" in line or "GlobalLimit" in line]
+    assert cuts and max(cuts) > min(joins), plan
+
+
+def test_percentiles_do_not_rest_on_exchange_reuse(spark):
+    from promptledger.operators.percentiles import exact_percentiles
+    df = spark.range(1_000_000).select(((F.col("id") * 7919) % 250_007).cast("double").alias("v"))
+    values = sorted((i * 7919) % 250_007 for i in range(1_000_000))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        r = exact_percentiles(df, "v", [0.5, 0.95, 0.99], ["a", "b", "c"], most=5_000).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (r.n, r.a, r.b, r.c) == (1_000_000, *(float(values[int(1_000_000 * p)]) for p in (0.5, 0.95, 0.99)))
+
+
+def test_percentiles_of_ties_nulls_and_nothing(spark):
+    from promptledger.operators.percentiles import exact_percentiles
+    tied = spark.createDataFrame([(float(x),) for x in [1] * 40 + [2] * 3 + [9] * 57] + [(None,)], "v double")
+    r = exact_percentiles(tied, "v", [0.0, 0.39, 0.4, 0.43, 0.99, 1.0], list("abcdef"), most=2, accuracy=10).first()
+    assert (r.n, r.a, r.b, r.c, r.d, r.e, r.f) == (100, 1.0, 1.0, 2.0, 9.0, 9.0, None)
+    r = exact_percentiles(tied.where("v > 100"), "v", [0.5], ["a"]).first()
+    assert (r.n, r.a) == (0, None)

@@ -20,7 +20,7 @@ def test_exact_percentiles_match_sorted_index(spark):
     vals = [round(rnd.random() * 1000, 1) for _ in range(2000)]
     vals += [42.0] * 1500           # one hot value holding a large share of all rows
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    r = exact_percentiles(df, "v", [0.5, 0.95, 0.99, 0.0], ["p50", "p95", "p99", "p0"], buckets=16).first()
+    r = exact_percentiles(df, "v", [0.5, 0.95, 0.99, 0.0], ["p50", "p95", "p99", "p0"], most=100, accuracy=100).first()
     assert r.n == len(vals)
     for p, name in [(0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.0, "p0")]:
         assert getattr(r, name) == _brute(vals, p)

@@ -127,3 +127,29 @@ def test_request_rows_precomputed_hash_and_preview_match(spark):
     assert direct.prompt_hash == pre.prompt_hash and len(direct.prompt_hash) == 16
     assert direct.prompt_preview == pre.prompt_preview == long_prompt[:150]
     assert direct.output_preview == ("out " * 80)[:200]
+
+
+def test_labelled_csv_by_name(spark, tmp_dir):
+    import pytest
+    from promptledger.sources.labelled import read_labelled
+    for name, text in {"two": "prompt,tier\n" + "a,1\n" * 60, "turned": "domain,tier,prompt\n" + "x,2,a\n" * 60}.items():
+        with open(f"{tmp_dir}/{name}.csv", "w") as f:
+            f.write(text)
+        df = read_labelled(spark, f"{tmp_dir}/{name}.csv")
+        assert df.columns == ["prompt", "tier", "domain"] and df.where("prompt = 'a' and tier in (1, 2)").count() == 60
+    with open(f"{tmp_dir}/bad.csv", "w") as f:
+        f.write("text,tier\na,1\n")
+    with pytest.raises(ValueError):
+        read_labelled(spark, f"{tmp_dir}/bad.csv")
+
+
+def test_baseline_rows_and_registry_rules(spark):
+    from promptledger.operators import quality as dq
+    from promptledger.operators import sinks
+    from promptledger.sources import config_tables as ct
+    runs = spark.createDataFrame([("p" * 400, None, 1), ("q", "o" * 400, 2)], "prompt string, output_text string, run int")
+    got = {r.run: (len(r.prompt_preview), len(r.output_preview)) for r in sinks.baseline_rows(runs).collect()}
+    assert got == {1: (150, 0), 2: (1, 200)}
+    reg = ct.model_registry(spark)
+    assert dq.registry_violations(reg).count() == 0
+    assert dq.registry_violations(reg.withColumn("quality_tier", F.lit("best"))).count() == 3

@@ -97,7 +97,7 @@ def test_hot_reload_next_batch(spark, tmp_dir):
 
 
 def test_incremental_export_once(spark, tmp_dir):
-    f = fx.failure_log(spark, SF_SMALL)
+    f = fx.with_prompts(spark, SF_SMALL, fx.failure_log(spark, SF_SMALL), "request_id")
     f.write.parquet(f"{tmp_dir}/failures/b0")
     q = st.incremental_export(spark, f"{tmp_dir}/failures", f.schema, f"{tmp_dir}/exp", f"{tmp_dir}/ck")
     q.awaitTermination()
@@ -131,3 +131,13 @@ def test_event_stream_refuses_a_non_utc_session(spark, tmp_dir):
             st.event_stream(spark, f"{tmp_dir}/in", schema)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_lost_alert_state_is_an_error(spark, tmp_dir):
+    import pytest
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t0, False) for i in range(5)], "id long, ts timestamp, escalated boolean")
+    step = st.alert_step(f"{tmp_dir}/state", f"{tmp_dir}/alerts")
+    step(df, 0)
+    with pytest.raises(Exception):
+        step(df, 7)                                    # epoch 6 left no state
