@@ -58,10 +58,10 @@ def _repeat_words(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     if len(words) < 3:
         return np.zeros(n, np.int64)
     window, _ = shingles(words, np.zeros_like(doc), 3)
-    inside = doc[:-2] == doc[2:]
-    key = combine(window, doc[:-2].astype(np.uint64))
-    _, back, often = np.unique(key, return_inverse=True, return_counts=True)
-    twice = inside & (often[back] > 1)
+    inside = np.flatnonzero(doc[:-2] == doc[2:])
+    _, back, often = np.unique(combine(window[inside], doc[inside].astype(np.uint64)), return_inverse=True, return_counts=True)
+    twice = np.zeros(len(window), bool)
+    twice[inside] = often[back] > 1
     hit = np.zeros(len(words), bool)
     for j in range(3):
         hit[j: len(words) - 2 + j] |= twice
