@@ -35,7 +35,7 @@ class PlattCalibrated(Estimator):
         self.fold_col = fold_col
 
     def _fit(self, df: DataFrame) -> "PlattCalibratedModel":
-        fold = F.col(self.fold_col) if self.fold_col else fold_id(self.text_col, self.k)
+        fold = F.col(self.fold_col) % self.k if self.fold_col else fold_id(self.text_col, self.k)
         folds = df.withColumn("__fold", fold)
         # held-out scores are 3 probabilities and a label per row, persisted
         # (recomputable from lineage) for the sigmoid fits over them

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -164,13 +164,19 @@ def best_candidate(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("accuracy"), F.asc("candidate_order")).limit(1)
 
 
-def train_candidates(train: DataFrame, test: DataFrame, n_rows: int | None = None) -> tuple[dict, DataFrame]:
+def train_candidates(train: DataFrame, test: DataFrame, fit=None) -> tuple[dict, DataFrame]:
     """Fit M3 and M4 on ``train`` (prepared rows), score ``test``; returns the
-    fitted pipelines and a results table (candidate, order, accuracy)."""
+    fitted models and a results table (candidate, order, accuracy).
+
+    Weights and regularisation come from the training rows.  ``fit(estimator,
+    rows)`` may wrap the estimator (calibration); by default it is fitted as
+    a plain pipeline."""
     spark = train.sparkSession
+    train = with_weights(train.drop("weight"))
+    fit = fit or (lambda est, rows: build_pipeline(est).fit(rows))
     fitted, rows = {}, []
-    for i, (name, est) in enumerate(candidates(n_rows).items()):
-        model = build_pipeline(est).fit(train)
+    for i, (name, est) in enumerate(candidates(train.count()).items()):
+        model = fit(est, train)
         fitted[name] = model
         acc = accuracy(score(model, test)).select("accuracy").first()[0]
         rows.append((name, i, float(acc or 0.0)))
@@ -202,10 +208,25 @@ def golden_gate(pred: DataFrame, target: float = S.ACCURACY_TARGET) -> DataFrame
                        acc.alias("gate_accuracy"), (acc >= F.lit(target)).alias("meets_target"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist the fitted pipeline (scaler, estimator, feature order)."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(model, path: str, name: str, accuracies: dict[str, float]) -> None:
+    """Persist a fitted pipeline or calibrated model with its metadata:
+    candidate name, accuracy of every candidate, feature order."""
+    calibrated = not isinstance(model, PipelineModel)
+    if calibrated:
+        model.save(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(name, calibrated, accuracies, list(S.FEATURE_NAMES))],
+                          "name string, calibrated boolean, accuracies map<string,double>, features array<string>"
+                          ).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_model(path: str):
+    """The model and its metadata (a dict); the feature order must be
+    the one that this code computes."""
+    from .calibration import PlattCalibratedModel
+    meta = SparkSession.getActiveSession().read.parquet(f"{path}/metadata").first().asDict()
+    if meta["features"] != list(S.FEATURE_NAMES):
+        raise ValueError(f"the model at {path} was fitted on other features")
+    return (PlattCalibratedModel if meta["calibrated"] else PipelineModel).load(f"{path}/model"), meta

@@ -532,6 +532,7 @@ def q_model_usage(spark, sf):
 
 # ------------------------------------------------------------ K1
 
+from ..operators import completion as cpl  # noqa: E402
 from ..operators import prompts as pr  # noqa: E402
 from ..operators import sinks as snk  # noqa: E402
 
@@ -598,6 +599,60 @@ def q_validate_requests(spark, sf):
     return pr.validate_requests(fx.chat_requests(spark, sf))
 
 
+_FLOW_FEATURES = ", ".join(f"{e} AS {n}" for n, e in tx.sql_features("prompt").items()
+                           if n in ("reasoning_keywords", "complexity_keywords", "num_constraints", "word_count", "char_count"))
+
+
+@query("completion_flow", with_views(["chat_requests", "registry", "best_model", "cheapest_model", "routing_rules"], f"""
+SELECT conv_id, substring(sha256(prompt), 1, {S.PROMPT_HASH_HEX}) AS prompt_hash, complexity_tier, classifier_conf, low_confidence,
+  routed_model, provider, input_tokens, max_tokens AS output_tokens,
+  CAST(CAST(round(CAST(input_tokens AS DECIMAL(12,0)) * price_in_per_token + CAST(max_tokens AS DECIMAL(12,0)) * price_out_per_token, 8)
+    AS DECIMAL(18,8)) AS DOUBLE) AS cost_usd,
+  CAST(CAST(round(CAST(input_tokens AS DECIMAL(12,0)) * (SELECT price_in_per_token FROM best_model)
+    + CAST(max_tokens AS DECIMAL(12,0)) * (SELECT price_out_per_token FROM best_model), 8) AS DECIMAL(18,8)) AS DOUBLE) AS cost_if_highest_quality
+FROM (
+  SELECT s.*, classifier_conf < CAST({S.ROUTING['low_confidence_threshold']} AS DOUBLE) AS low_confidence,
+    CASE WHEN classifier_conf < CAST({S.ROUTING['low_confidence_threshold']} AS DOUBLE) THEN '{S.ROUTING['fallback_model']}'
+         ELSE (SELECT model_key FROM routing_rules r WHERE r.tier = complexity_tier) END AS routed_model,
+    CAST(floor(length(prompt) / 4) AS BIGINT) AS input_tokens
+  FROM (
+    SELECT conv_id, prompt, CAST(max_tokens AS BIGINT) AS max_tokens,
+      CASE WHEN s < 0.75 THEN 1 WHEN s < 1.5 THEN 2 ELSE 3 END AS complexity_tier,
+      CAST(0.5 AS DOUBLE) + (char_count % 50.0) / CAST(100.0 AS DOUBLE) AS classifier_conf
+    FROM (SELECT *, (reasoning_keywords + complexity_keywords + num_constraints) / CAST(2.0 AS DOUBLE) + word_count / CAST(100.0 AS DOUBLE) AS s
+      FROM (SELECT conv_id, prompt, max_tokens, {_FLOW_FEATURES} FROM (
+        SELECT conv_id, coalesce(up, lp) AS prompt, mt AS max_tokens FROM (
+          SELECT conv_id, count(CASE WHEN NOT __dropped THEN 1 END) AS n_messages,
+            coalesce(bool_or(CASE WHEN NOT __dropped THEN length(content) = 0 END), false) AS empty,
+            arg_max(content, turn) FILTER (WHERE NOT __dropped AND role = 'user') AS up,
+            arg_max(content, turn) FILTER (WHERE NOT __dropped) AS lp, coalesce(max(max_tokens), {S.DEFAULT_MAX_TOKENS}) AS mt,
+            coalesce(max(temperature), CAST({S.DEFAULT_TEMPERATURE} AS DOUBLE)) AS temp
+          FROM chat_requests GROUP BY conv_id)
+        WHERE n_messages > 0 AND NOT empty AND mt BETWEEN 1 AND {S.MAX_TOKENS_LIMIT} AND temp BETWEEN 0 AND {S.MAX_TEMPERATURE})))) s)
+LEFT JOIN registry g ON g.model_key = routed_model"""))
+def q_completion_flow(spark, sf):
+    """P1 + P2 + F + M14 + R1 + R2 + J2 + C1 + K1 in one chain, with scores of
+    known outcome in place of a fitted model."""
+    reg = ct.model_registry(spark)
+    ct.registry_facts(reg)                           # size-checked before the broadcast
+    valid = pr.validate_requests(fx.chat_requests(spark, sf)).where(F.col("status") == "valid")
+    done = cpl.complete(valid, fx.fixed_scores, reg, ct.routing_settings(spark))
+    rows = cpl.request_rows(done.withColumns({"id": F.col("conv_id"), "ts": F.lit(None).cast("timestamp"), "latency_ms": F.lit(None).cast("double")}), reg)
+    return rows.select(F.col("id").alias("conv_id"), "prompt_hash", "complexity_tier", "classifier_conf", "low_confidence", "routed_model", "provider",
+                       "input_tokens", "output_tokens", _dbl("cost_usd"), _dbl("cost_if_highest_quality"))
+
+
+@query("response_documents", with_views(["request_log"], """
+SELECT id, '{"request_id":' || id || ',"model_id":"' || routed_model || '","input_tokens":' || input_tokens || ',"output_tokens":' || output_tokens
+  || ',"total_tokens":' || (input_tokens + output_tokens) AS head, right(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 26) AS stamp FROM request_log"""))
+def q_response_documents(spark, sf):
+    """The response document of every request (its integer head and its
+    time stamp; numbers with fractions print differently in each engine)."""
+    d = pr.response_documents(_log(spark, sf))
+    return d.select("id", F.regexp_extract("document", r'^(.*"total_tokens":\d+)', 1).alias("head"),
+                    F.get_json_object("document", "$.timestamp").alias("stamp"))
+
+
 @query("prompt_hash", with_views(["prompts"], """
 SELECT doc_id, substring(sha256(prompt), 1, 16) AS prompt_hash FROM prompts"""))
 def q_prompt_hash(spark, sf):
@@ -942,6 +997,32 @@ def q_classification_report(spark, sf):
     return clf.classification_report(_predictions(spark, sf))
 
 
+_CANDIDATES_SQL = """
+per AS (
+  SELECT 'formula' AS candidate, 0 AS candidate_order, avg(CAST(label = predicted AS INTEGER)) AS accuracy FROM predictions
+  UNION ALL SELECT 'always 2', 1, avg(CAST(label = 2 AS INTEGER)) FROM predictions)"""
+
+
+@query("best_candidate", with_views(["predictions"], "").rstrip() + ",\n" + _CANDIDATES_SQL + """
+SELECT candidate, candidate_order, accuracy FROM per ORDER BY accuracy DESC, candidate_order LIMIT 1""")
+def q_best_candidate(spark, sf):
+    """Selection over two prediction tables."""
+    p = _predictions(spark, sf)
+    results = None
+    for i, (name, predicted) in enumerate((("formula", F.col("predicted")), ("always 2", F.lit(2)))):
+        r = clf.accuracy(p.withColumn("predicted", predicted)).select(F.lit(name).alias("candidate"), F.lit(i).alias("candidate_order"), "accuracy")
+        results = r if results is None else results.unionByName(r)
+    return clf.best_candidate(results)
+
+
+@query("prediction_gate", with_views(["predictions"], f"""
+SELECT doc_id, label, predicted, label = predicted AS passed, a AS gate_accuracy, a >= {S.ACCURACY_TARGET} AS meets_target
+FROM predictions, (SELECT avg(CAST(label = predicted AS INTEGER)) AS a FROM predictions)"""))
+def q_prediction_gate(spark, sf):
+    """M12 + M15 over the prediction table."""
+    return clf.golden_gate(_predictions(spark, sf))
+
+
 # ------------------------------------------------------------ classifier (rows-only checks)
 
 from . import jobs  # noqa: E402
@@ -953,13 +1034,12 @@ def _prompt_data(spark, sf):
 
 @query("classify_prompts")
 def q_classify_prompts(spark, sf):
-    """M1 + M3 + M14: fit the logistic candidate on the training side and
-    score every prompt (tier, confidence, low-confidence flag)."""
+    """M1 + M3 + M4 + M6 + M11 + M14: the calibrated winner scores every
+    prompt (tier, confidence, low-confidence flag)."""
     data = _prompt_data(spark, sf)
-    train = clf.with_weights(data.where(~F.col("is_test")).drop("weight"))
-    model = clf.build_pipeline(clf.candidates(train.count())["logistic_regression"]).fit(train)
-    return clf.score(model, data).select("doc_id", "label", "predicted", "confidence", "low_confidence",
-                                         "is_test")
+    models, results = jobs.fit_candidates(data)
+    best = results.where("is_best").first()["candidate"]
+    return clf.score(models[best], data).select("doc_id", "label", "predicted", "confidence", "low_confidence", "is_test")
 
 
 @query("candidate_results")

@@ -39,13 +39,14 @@ def prepared(df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()) ->
     return clf.with_weights(spark.read.parquet(path), label)
 
 
-def fit_candidates(data: DataFrame):
-    """Fit M3 / M4 on the training side, evaluate on the test side (M7),
-    pick the best (M11).  Returns (models, results with ``is_best``)."""
-    train = data.where(~F.col("is_test"))
-    test = data.where(F.col("is_test"))
-    n = train.count()
-    models, results = clf.train_candidates(train, test, n)
+CALIBRATION_FOLDS = 3
+
+
+def fit_candidates(data: DataFrame, k: int = CALIBRATION_FOLDS):
+    """Fit M3 / M4 calibrated (M6) on the training side, evaluate on the test
+    side (M7), pick the best (M11).  Returns (models, results with ``is_best``)."""
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    models, results = clf.train_candidates(train, test, lambda est, rows: PlattCalibrated(est, k=k, fold_col="fold").fit(rows))
     best = clf.best_candidate(results).select(F.col("candidate").alias("__best"))
     flagged = results.join(F.broadcast(best), results["candidate"] == best["__best"], "left").select(
         "candidate", "candidate_order", "accuracy", F.col("__best").isNotNull().alias("is_best"))
@@ -54,10 +55,8 @@ def fit_candidates(data: DataFrame):
 
 def calibrated_model(data: DataFrame, candidate: str = "logistic_regression", k: int = 5):
     """M6 on the training side."""
-    train = data.where(~F.col("is_test"))
-    n = train.count()
-    est = clf.candidates(n)[candidate]
-    return PlattCalibrated(est, k=k, fold_col="fold").fit(train)
+    train = clf.with_weights(data.where(~F.col("is_test")).drop("weight"))
+    return PlattCalibrated(clf.candidates(train.count())[candidate], k=k, fold_col="fold").fit(train)
 
 
 def retrain(spark: SparkSession, labelled: DataFrame, failures: DataFrame, ledger_path: str,
@@ -91,7 +90,8 @@ def retrain(spark: SparkSession, labelled: DataFrame, failures: DataFrame, ledge
         path = None
         if status == "replaced":
             path = f"{model_dir.rstrip('/')}/{run_id}"
-            clf.save_model(models[best["candidate"]], path)
+            clf.save_model(models[best["candidate"]], path, best["candidate"],
+                           {r["candidate"]: r["accuracy"] for r in results.collect()})
             if not consume_before_guard:
                 fw.consume(exported, ledger_path, run_id)
     audit = fw.audit_row(spark, run_id, status, old_accuracy, new_acc, num_original, num_failures, path)

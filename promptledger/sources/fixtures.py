@@ -253,6 +253,14 @@ def baseline_runs(spark: SparkSession, sf_dir: str, registry: DataFrame | None =
     )
 
 
+def fixed_scores(rows: DataFrame) -> DataFrame:
+    """A scorer of known outcome in place of a fitted model: tier and
+    confidence by formula from the features."""
+    s = (F.col("reasoning_keywords") + F.col("complexity_keywords") + F.col("num_constraints")) / F.lit(2.0) + F.col("word_count") / F.lit(100.0)
+    return rows.select("*", F.when(s < 0.75, F.lit(1)).when(s < 1.5, F.lit(2)).otherwise(F.lit(3)).alias("complexity_tier"),
+                       (F.lit(0.5) + (F.col("char_count") % F.lit(50.0)) / F.lit(100.0)).alias("classifier_conf"))
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B.3 ``bad_requests``: one chat request per conversation, with request
     parameters by conv_id % 7 (1 empty content, 2 temperature 5.0,

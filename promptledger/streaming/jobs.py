@@ -9,15 +9,16 @@ TIMESTAMP (session time zone UTC) before any watermark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reports as rep
+from ..operators.completion import Scorer, complete, from_messages, request_rows
 from ..operators.flywheel import export_rows
 from ..settings import DEFAULT_THRESHOLDS, Thresholds
-from ..sources import config_tables as ct
-from ..sources import fixtures as fx
 
 
 def require_utc(spark: SparkSession) -> None:
@@ -40,19 +41,27 @@ def event_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest(events: DataFrame, sink_path: str, checkpoint: str, registry: DataFrame | None = None,
-           settings: DataFrame | None = None, dedup_delay: str = "1 hour",
+def ingest(requests: DataFrame, sink_path: str, checkpoint: str, dedup_delay: str = "1 hour",
            trigger: dict | None = None) -> StreamingQuery:
-    """ST6: validate, featurise, route, price and append in one stateless
-    chain; a replayed request id within ``dedup_delay`` is dropped
+    """ST6, last step: append routed requests (id, ts, day, ...) to the log;
+    a replayed request id within ``dedup_delay`` is dropped
     (``dropDuplicatesWithinWatermark`` keeps state bounded by the delay)."""
-    req = fx.requests_from_events(events, registry, settings)
-    deduped = req.withWatermark("ts", dedup_delay).dropDuplicatesWithinWatermark(["id"])
+    deduped = requests.withWatermark("ts", dedup_delay).dropDuplicatesWithinWatermark(["id"])
     w = (deduped.writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint).partitionBy("day").outputMode("append"))
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingest_chats(chats: DataFrame, score: Scorer, registry: DataFrame, settings: DataFrame, sink_path: str,
+                 checkpoint: str, dedup_delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
+    """ST6: chat requests (id, ts, messages, parameters) are validated,
+    featurised, scored, routed, priced and appended as log rows; rejected
+    ones are left out.  Stateless but for the id deduplication."""
+    valid = from_messages(chats).where(F.col("status") == "valid")
+    rows = request_rows(complete(valid, score, registry, settings).withColumn("latency_ms", F.lit(None).cast("double")), registry)
+    return ingest(rows, sink_path, checkpoint, dedup_delay, trigger)
+
+
 def daily_cost(requests: DataFrame, sink_path: str, checkpoint: str, lateness: str = "1 hour",
                trigger: dict | None = None) -> StreamingQuery:
     """ST1: tumbling one-day windows of actual vs baseline cost; a day is
@@ -124,22 +133,19 @@ def rolling_alert(requests: DataFrame, state_path: str, alerts_path: str, checkp
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def hot_reload_routing(events: DataFrame, settings_path: str, sink_path: str, checkpoint: str,
-                       registry: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """ST4: the routing settings are re-read from a shared table at every
+def hot_reload_routing(requests: DataFrame, routed: Callable[[DataFrame, DataFrame], DataFrame], settings_path: str,
+                       sink_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """ST4: ``routed(batch, settings)`` routes and prices a batch; the settings are re-read from a shared table at every
     micro-batch, so a new mapping takes effect on the next batch.  Batch
     ``N`` is written to ``sink_path/epoch=N`` in overwrite mode, so a re-run
     batch replaces its own output instead of appending it twice."""
-    spark = events.sparkSession
+    spark = requests.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
-        settings = spark.read.parquet(settings_path)
-        reg = ct.model_registry(spark) if registry is None else registry
-        base = fx.requests_from_events(batch, reg, settings)
-        (base.select("id", "complexity_tier", "low_confidence", "routed_model", "cost_usd")
+        (routed(batch, spark.read.parquet(settings_path)).select("id", "complexity_tier", "low_confidence", "routed_model", "cost_usd")
          .write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}"))
 
-    w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 

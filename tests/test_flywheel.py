@@ -66,6 +66,8 @@ def test_retrain_job_appends_ledger_only_when_replaced(spark, tmp_dir):
     assert fw.read_ledger(spark, ledger).count() == 0
     a = jobs.retrain(spark, lab, fails, ledger, models, old_accuracy=None, model_exists=False).first()
     assert a.status == "replaced" and a.model_path
+    from promptledger.operators import classifier as clf
+    assert clf.load_model(a.model_path)[1]["calibrated"]
     assert fw.read_ledger(spark, ledger).count() == a.num_failures
     a = jobs.retrain(spark, lab, fails, ledger, models, old_accuracy=0.5, model_exists=True).first()
     assert a.status == "skipped"

@@ -91,9 +91,12 @@ def test_model_persistence_round_trip(spark, tmp_dir):
     from promptledger.operators import classifier as clf
     from promptledger.plans import jobs
     data = jobs.prepared(fx.prompts(spark, SF_SMALL), keep=("doc_id",))
-    model = clf.build_pipeline(clf.candidates(data.count())["logistic_regression"]).fit(data)
-    clf.save_model(model, f"{tmp_dir}/m")
-    again = clf.load_model(f"{tmp_dir}/m")
+    models, results = jobs.fit_candidates(data, k=2)
+    best = results.where("is_best").first()
+    model = models[best.candidate]
+    clf.save_model(model, f"{tmp_dir}/m", best.candidate, {r.candidate: r.accuracy for r in results.collect()})
+    again, meta = clf.load_model(f"{tmp_dir}/m")
+    assert meta["name"] == best.candidate and meta["calibrated"] and meta["accuracies"][best.candidate] == best.accuracy
     a = clf.score(model, data).select("doc_id", "predicted").orderBy("doc_id").collect()
     b = clf.score(again, data).select("doc_id", "predicted").orderBy("doc_id").collect()
     assert a == b

@@ -24,7 +24,7 @@ def _events(spark, tmp_dir, parts=3):
 def test_ingest_equals_batch(spark, tmp_dir):
     schema = _events(spark, tmp_dir)
     s = st.event_stream(spark, f"{tmp_dir}/in", schema, max_files=1)
-    st.ingest(s, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    st.ingest(fx.requests_from_events(s), f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
     got = spark.read.parquet(f"{tmp_dir}/out")
     want = fx.request_log(spark, SF_SMALL)
     assert got.count() == want.count()
@@ -32,7 +32,7 @@ def test_ingest_equals_batch(spark, tmp_dir):
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     # replaying a file of already-seen ids adds nothing
     read_table(spark, SF_SMALL, "events", *fx.EVENT_COLUMNS).limit(20).write.parquet(f"{tmp_dir}/in/replay")
-    st.ingest(st.event_stream(spark, f"{tmp_dir}/in", schema), f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    st.ingest(fx.requests_from_events(st.event_stream(spark, f"{tmp_dir}/in", schema)), f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_dir}/out").count() == want.count()
 
 
@@ -83,11 +83,12 @@ def test_hot_reload_next_batch(spark, tmp_dir):
     settings_path = f"{tmp_dir}/settings"
     ct.routing_settings(spark).write.parquet(settings_path)
     s = st.event_stream(spark, f"{tmp_dir}/in/p0", schema)
-    st.hot_reload_routing(s, settings_path, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    routed = lambda batch, settings: fx.requests_from_events(batch, settings=settings)
+    st.hot_reload_routing(s, routed, settings_path, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
     new = dict(S.ROUTING, tier_3_model="mid")
     ct.routing_settings(spark, new).write.mode("overwrite").parquet(settings_path)
     s2 = st.event_stream(spark, f"{tmp_dir}/in", schema)
-    st.hot_reload_routing(s2, settings_path, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    st.hot_reload_routing(s2, routed, settings_path, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
     out = spark.read.parquet(f"{tmp_dir}/out")
     first = out.where("epoch = 0 AND complexity_tier = 3 AND NOT low_confidence")
     later = out.where("epoch > 0 AND complexity_tier = 3 AND NOT low_confidence")
@@ -141,3 +142,27 @@ def test_lost_alert_state_is_an_error(spark, tmp_dir):
     step(df, 0)
     with pytest.raises(Exception):
         step(df, 7)                                    # epoch 6 left no state
+
+
+def test_chat_ingest_equals_batch(spark, tmp_dir):
+    """ST6 on real transforms: messages in, log rows out, as the batch chain gives them."""
+    from promptledger.operators import completion as cpl
+    t0 = dt.datetime(2024, 1, 1)
+    chats = [(i, t0 + dt.timedelta(minutes=i), [("system", "s"), ("user", "analyze and compare " * (i % 9)), ("assistant", "a")],
+              None if i % 2 else 100, 0.5, None) for i in range(40)]
+    chats += [(100, t0, [], None, None, None), (101, t0, [("user", "")], None, None, None), (102, t0, [("user", "x")], 9000, None, "u"),
+              (103, t0, [("system", "only")], None, 3.0, "u"), (104, t0, [("assistant", "last")], None, None, "u"), (105, t0, None, None, None, None)]
+    df = spark.createDataFrame(chats, "id long, ts timestamp, messages array<struct<role:string,content:string>>, max_tokens int, temperature double, user_id string")
+    checked = {r.id: r for r in cpl.from_messages(df).collect()}
+    assert [checked[i].reject_reason for i in (100, 101, 102, 103, 105)] == ["no_messages", "empty_content", "max_tokens_out_of_range", "temperature_out_of_range", "no_messages"]
+    assert checked[104].prompt == "last" and checked[0].reject_reason == "empty_content" and checked[1].prompt.startswith("analyze") and checked[1].max_tokens == 1024
+    df.write.parquet(f"{tmp_dir}/in")
+    reg, settings = ct.model_registry(spark), ct.routing_settings(spark)
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/in")
+    st.ingest_chats(stream, fx.fixed_scores, reg, settings, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/out")
+    valid = cpl.from_messages(df).where("status = 'valid'")
+    want = cpl.request_rows(cpl.complete(valid, fx.fixed_scores, reg, settings).withColumn("latency_ms", F.lit(None).cast("double")), reg)
+    assert got.count() == want.count() == 36
+    cols = ["id", "prompt_hash", "complexity_tier", "routed_model", "provider", "input_tokens", "output_tokens", "cost_usd"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
