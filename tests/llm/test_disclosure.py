@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from llm_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
+
 from promptledger.llm import disclosure
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -3,7 +3,8 @@
 import random
 import re
 
-from conftest import prose
+
+from llm_rows import nothing, odd, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import jaccard_join
 from promptledger.llm.components import components

@@ -2,9 +2,10 @@
 
 import random
 
+from llm_rows import prose  # noqa: F401  (fixtures)
+
 import corpus_pipeline
 import pytest
-from conftest import prose
 
 
 @pytest.fixture(scope="module")

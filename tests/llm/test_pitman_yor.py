@@ -8,7 +8,8 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
-from conftest import prose
+
+from llm_rows import nothing, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import pitman_yor as py
 

@@ -5,7 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import prose
+
+from llm_rows import nothing, odd, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import quality_forest as qf
 

@@ -5,7 +5,8 @@ import random
 
 import numpy as np
 import pytest
-from conftest import prose  # noqa: F401  (tests/llm/conftest.py)
+
+from llm_rows import nothing, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import repeats
 

@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
+from llm_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
+
 from promptledger.llm import sentencepiece_backend as sb
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")

@@ -6,6 +6,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from llm_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
+
 from promptledger.llm import token_store as ts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -4,7 +4,8 @@ import random
 import zlib
 
 import pytest
-from conftest import prose
+
+from llm_rows import nothing, odd, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import toxicity_cnn as tc
 
