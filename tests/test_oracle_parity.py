@@ -13,8 +13,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import canon, duck  # noqa: E402
+from promptledger.plans import catalog  # noqa: E402
 
-HEAVY = {"cross_validation", "calibrated_scores", "candidate_results"}
+HEAVY = {"cross_validation", "calibrated_scores", "candidate_results", "classify_prompts"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -31,7 +32,7 @@ def test_query_matches_oracle(spark, con, name):
     assert canon(df.columns, rows) == canon(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if k not in E.oracle_sql() and k not in HEAVY))
+@pytest.mark.parametrize("name", sorted(k for k in catalog.QUERIES if k not in catalog.ORACLE and k not in HEAVY))
 def test_rows_only_queries_run(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0 and len(df.columns) > 0
