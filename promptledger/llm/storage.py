@@ -42,6 +42,13 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def in_place(files: fs.FileSystem, own: str, path: str) -> None:
+    """Give a finished file its name; a file that an earlier attempt left there (with the same bytes) is replaced."""
+    if files.get_file_info(path).type != fs.FileType.NotFound:
+        files.delete_file(path)
+    files.move(own, path)
+
+
 def put(uri: str, parts: list[bytes]) -> None:
     """Write ``parts`` as one file that appears whole or not at all."""
     files, path = open_fs(uri)
@@ -50,7 +57,7 @@ def put(uri: str, parts: list[bytes]) -> None:
     with files.open_output_stream(own) as out:
         for part in parts:
             out.write(part)
-    files.move(own, path)
+    in_place(files, own, path)
 
 
 def get(uri: str) -> bytes:

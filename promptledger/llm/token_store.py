@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm.batches import mix
-from promptledger.llm.storage import get, open_fs, put, written
+from promptledger.llm.storage import get, in_place, open_fs, put, written
 
 MAGIC = b"PLIDS1\0\0"
 TRAILER = "<8sQQQ"
@@ -190,7 +190,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> dict
             out.write(np.array(ends, "<u8").tobytes())
             out.write(struct.pack(TRAILER, MAGIC, width, record, ends[-1]))
             out.close()
-            files.move(own, path)
+            in_place(files, own, path)
 
     records = written(rows.mapInArrow(shard, "doc_id long, shard int, record long, n_tokens long"), "token-records")
     # one row per shard: a bounded summary, whatever the number of documents
