@@ -6,7 +6,7 @@ byte fallback are rebuilt as a ``tokenizers`` object.  Batches are encoded by
 the library's threads (``threads`` per task).
 
 A text is normalised whole and cut before each marker that follows another
-character, and after each line end that no piece contains; no piece crosses
+character, and before each line end if no piece contains one; no piece crosses
 such a cut (checked when the model is loaded; else texts stay whole).  Every
 distinct segment is encoded once per worker, compared with the sentencepiece
 library's ids and decoded back; where the two libraries differ (ties among
@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED_SEGMENTS = 600_000
+CACHED_SEGMENTS = 800_000
 ENCODE_CHARS = 2_000_000
 
 # Fixed values of the model file format: field numbers and enumerations.
@@ -134,7 +135,11 @@ class Codec:
         texts = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)]
         self.at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in texts)
         self.at_lines = not any("\n" in p for p in texts)
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        m = self.model
+        self.plain = m.prefix and m.escape and not m.squeeze and self.charsmap is None and self.at_marks and self.at_lines
+        self.known: dict[str, bytes] = {}   # ids by key of a segment (see ``_key``)
+        self.disagree: set[str] = set()     # keys whose ids the two libraries see differently
+        self.broken: set[str] = set()       # keys that do not decode to themselves
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -153,20 +158,23 @@ class Codec:
         if not text:
             return []
         out = []
-        for line in re.split("(?<=\n)", text) if self.at_lines and "\n" in text else (text,):
-            if not line:
-                continue
-            if not self.at_marks:
-                out.append(line)
-            elif MARK + MARK in line:
-                out += re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line)
-            else:
-                first, *rest = line.split(MARK)
-                if first:
-                    out.append(first)
-                out += [MARK + w for w in rest]
+        for line in re.split("(?=\n)", text) if self.at_lines and "\n" in text else (text,):
+            if line:
+                out += re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line) if self.at_marks else [line]
         return out
 
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text's segments: the word of a marked one, a line end and what follows, else the marker and the segment."""
+        if self.plain and MARK not in text and text[:1] != " ":
+            lines = text.replace("\n", " \n")
+            if "  " not in lines:
+                return lines.split(" ") if text else []
+        return [s[1:] if s[0] == MARK and MARK not in s[1:] else s if s[0] == "\n" else MARK + s for s in self.segments(self.normalise(text))]
+
+    @staticmethod
+    def _segment(key: str) -> str:
+        return key[1:] if key[:1] == MARK else key if key[:1] == "\n" else MARK + key
+
     def _reference_ids(self, segments: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids of normalised segments.
 
@@ -177,28 +185,30 @@ class Codec:
         plain = ["\n" + s.replace(MARK, " ") for s in segments]
         return [ids[lead:] for ids in self.reference.encode(plain, num_threads=1)]
 
-    def _learn(self, segments: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
+        segments = [self._segment(k) for k in keys]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        checkable = self.model.escape and not self.model.squeeze and self.charsmap is None and self.at_lines
-        truth = self._reference_ids(segments) if checkable else found
-        ids = [t if f != t else f for f, t in zip(found, truth)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for s, f, t, i, b in zip(segments, found, truth, ids, back):
-            self.known[s] = (np.array(i, "<u4").tobytes(), f == t, b.replace(" ", MARK) == s)
+        truth = self._reference_ids(segments) if self.plain else found
+        back = self.tokenizer.decode_batch(truth, skip_special_tokens=False)
+        for k, s, f, t, b in zip(keys, segments, found, truth, back):
+            self.known[k] = array("I", t).tobytes()
+            if f != t:
+                self.disagree.add(k)
+            if b.replace(" ", MARK) != s:
+                self.broken.add(k)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Per text: ids (little-endian, 4 bytes), parity, round trip."""
         if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
-        split = [self.segments(self.normalise(t)) for t in texts]
-        new = {s for segments in split for s in segments}.difference(self.known)
+            for kept in (self.known, self.disagree, self.broken):
+                kept.clear()
+        split = [self._keys(t) for t in texts]
+        new = {k for keys in split for k in keys}.difference(self.known)
         if new:
             self._learn(list(new))
-        out, known = [], self.known
-        for segments in split:
-            found = [known[s] for s in segments]
-            out.append((b"".join([f[0] for f in found]), all([f[1] for f in found]), all([f[2] for f in found])))
-        return out
+        known = self.known.__getitem__
+        return [(b"".join(map(known, keys)), self.disagree.isdisjoint(keys) if self.disagree else True,
+                 self.broken.isdisjoint(keys) if self.broken else True) for keys in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, without the marker that was put in front."""
