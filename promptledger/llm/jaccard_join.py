@@ -10,11 +10,11 @@ only classes are compared.
    correct, this one keeps frequent shingles out of the prefixes.
 2. The first n - ceil(t n) + 1 shingles of a set of n are its prefix; sets with
    a Jaccard similarity of t share one.  Prefix shingles are joined under the
-   length filter (t max <= min) and the positional filter (1 + what follows
-   the match in either set must reach the overlap needed).
-3. A distinct candidate pair passes the suffix filter if the sets' counts over
-   ``PARTS`` ranges of hashes still allow the overlap, and is then verified
-   once on the whole sets.
+   length filter (t max <= min), the positional filter (1 + what follows the
+   match in either set must reach the overlap needed) and the suffix filter:
+   every set keeps one parity bit for each of ``PARTS`` parts of the hash range,
+   and two sets differ in at least as many elements as in bits.
+3. Each distinct pair that is left is verified once on the whole sets.
 
 Prefix shingles with more than ``CROWD`` classes are not paired in full: the
 classes are first dealt into small random groups and paired there; then, with
@@ -44,7 +44,8 @@ from promptledger.llm.storage import small, written
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16          # slots summed together
 CROWD, DEAL = 8, 6       # classes of a shingle that are paired in full; size of the random groups beyond
-PARTS = 8                # ranges of the suffix filter
+PARTS = 256              # parts of the hash range whose parities bound the difference of two sets
+BITS = [f"w{i}" for i in range(PARTS // 64)]
 
 
 def sets_of(run: Run, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +84,17 @@ def _slot(h: np.ndarray, slots: int) -> np.ndarray:
     return (h & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _parities(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n x (PARTS / 64) words of parity bits."""
+    part = (h >> np.uint64(40)).astype(np.int64) % PARTS
+    odd = np.bincount(of * PARTS + part, minlength=n * PARTS).reshape(n, PARTS).astype(np.uint8) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def _survey(docs: DataFrame, k: int, slots: int) -> DataFrame:
-    """One pass: rows of (doc_id, n, s1, s2) and rows of (block, counts) of the frequency table."""
+    """One pass: rows of (doc_id, n, s1, s2, parities) and rows of (block, counts) of the frequency table."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s1", "s2", "block", "counts"]
+        names = ["doc_id", "n", "s1", "s2", *BITS, "block", "counts"]
         seen = np.zeros(slots, np.uint32)
         for batch in batches:
             for run in runs(batch):
@@ -95,17 +103,18 @@ def _survey(docs: DataFrame, k: int, slots: int) -> DataFrame:
                 seen += np.bincount(_slot(h, slots), minlength=slots).astype(np.uint32) if len(h) > slots // 8 else np.uint32(0)
                 if len(h) <= slots // 8:
                     np.add.at(seen, _slot(h, slots), 1)
+                bits = _parities(h, d, run.n)
                 yield pa.RecordBatch.from_arrays(
                     [take(batch, "doc_id", run.lo, run.hi), pa.array(np.bincount(d, minlength=run.n).astype(np.int64)), pa.array(s1), pa.array(s2),
-                     pa.nulls(run.n, pa.int32()), pa.nulls(run.n, pa.binary())], names=names)
+                     *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(len(BITS))), pa.nulls(run.n, pa.int32()), pa.nulls(run.n, pa.binary())], names=names)
         for b in range(slots // BLOCK):
             part = seen[b * BLOCK: (b + 1) * BLOCK]
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([b], pa.int32()),
+                yield pa.RecordBatch.from_arrays([none] * (4 + len(BITS)) + [pa.array([b], pa.int32()),
                                                   pa.array([np.minimum(part, 65535).astype("<u2").tobytes()])], names=names)
 
-    return docs.mapInArrow(of, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
+    return docs.mapInArrow(of, "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in BITS) + ", block int, counts binary")
 
 
 def _levels(survey: DataFrame, slots: int) -> np.ndarray:
@@ -162,12 +171,14 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, level: np.ndarray) ->
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], num: int, den: int, either: bool) -> DataFrame:
-    """Distinct candidate pairs a < b of classes that agree in ``on``, under the length and positional filters."""
+    """Distinct candidate pairs a < b of classes that agree in ``on``, under the length, positional and suffix filters."""
     a = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns))
     b = right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     cond = (den * low >= num * high) & ((num + den) * rest >= num * (F.col("a_n") + F.col("b_n")))
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in BITS[1:]), F.bit_count(F.col(f"a_{BITS[0]}").bitwiseXOR(F.col(f"b_{BITS[0]}"))))
+    cond = cond & ((num + den) * differ <= (den - num) * (F.col("a_n") + F.col("b_n")))
     for c in on:
         cond = cond & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     cond = cond & ((F.col("a_comp") != F.col("b_comp")) if either else (F.col("a_c") < F.col("b_c")))
@@ -184,25 +195,15 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
             for run in runs(batch):
                 h, d = sets_of(run, k)
                 edge = np.searchsorted(d, np.arange(run.n + 1))
-                part = (h >> np.uint64(61)).astype(np.int64) % PARTS
-                parts = np.bincount(d * PARTS + part, minlength=run.n * PARTS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [take(batch, "doc_id", run.lo, run.hi), pa.array([h[edge[i]: edge[i + 1]].tobytes() for i in range(run.n)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(run.n + 1, dtype=np.int32) * PARTS), pa.array(parts))], names=["id", "items", "parts"])
+                    [take(batch, "doc_id", run.lo, run.hi), pa.array([h[edge[i]: edge[i + 1]].tobytes() for i in range(run.n)], pa.binary())], names=["id", "items"])
 
     sets = written(docs.join(small(wanted), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
-                   .mapInArrow(of, "id long, items binary, parts array<int>").dropDuplicates(["id"]), "jaccard-sets")
+                   .mapInArrow(of, "id long, items binary").dropDuplicates(["id"]), "jaccard-sets")
     reps = classes.select("c", "rep")
     pairs = (pairs.join(reps.withColumnsRenamed({"c": "a", "rep": "x"}), "a").join(reps.withColumnsRenamed({"c": "b", "rep": "y"}), "b").select("x", "y"))
-    profile = sets.select("id", "parts")
-    bound = F.aggregate(F.zip_with("xp", "yp", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    total = F.aggregate(F.concat("xp", "yp"), F.lit(0), lambda s, v: s + v)
-    near = (pairs.join(profile.withColumnsRenamed({"id": "x", "parts": "xp"}), "x").join(profile.withColumnsRenamed({"id": "y", "parts": "yp"}), "y")
-            .withColumn("linked", (num + den) * bound >= num * total).select("x", "y", "linked"))
-    near = written(near, "jaccard-candidates")
-    items = sets.select("id", "items")
-    both = (near.where("linked").join(items.withColumnsRenamed({"id": "x", "items": "xi"}), "x")
-            .join(items.withColumnsRenamed({"id": "y", "items": "yi"}), "y").select("x", "y", "xi", "yi"))
+    both = (pairs.join(sets.withColumnsRenamed({"id": "x", "items": "xi"}), "x")
+            .join(sets.withColumnsRenamed({"id": "y", "items": "yi"}), "y").select("x", "y", "xi", "yi"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +227,11 @@ def join(docs: DataFrame, k: int, num: int, den: int = 100) -> tuple[DataFrame,
         slots *= 2
     survey = written(_survey(docs, k, slots), "jaccard-survey")
     rows = survey.where("block is null")
-    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.max(w).alias(w) for w in BITS))
                       .withColumnRenamed("s1", "c"), "jaccard-classes")
     prefix = written(_prefixes(docs.where("doc_id is not null"), k, num, den, _levels(survey, slots)), "jaccard-prefixes")
     often = prefix.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("shingle")
-    shared = written(prefix.join(often, "shingle").distinct(), "jaccard-shared")
+    shared = written(prefix.join(often, "shingle").distinct().join(classes.select("c", *BITS), "c"), "jaccard-shared")
     crowd = shared.groupBy("shingle").agg(F.count("*").alias("m"))
     dealt = shared.join(crowd, "shingle").withColumn("deal", F.when(F.col("m") <= CROWD, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("c", "shingle"), F.ceil(F.col("m") / DEAL))).cast("long"))
@@ -277,3 +278,19 @@ def distinct_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         twice.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"), "left_anti")
     again = d.join(twice.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id"]))
+
+
+def sql(k: int, num: int, den: int = 100) -> str:
+    """DuckDB twin of ``grouped`` over ``documents``: all pairs that share a shingle, and reachability (ids are distinct)."""
+    return f"""
+    with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x20\\x09-\\x0D]+') w from documents),
+    s as materialized (select distinct doc_id, array_to_string(w[p:p + {k - 1}], ' ') g
+          from (select doc_id, w, unnest(range(1, greatest(len(w) - {k - 2}, 2))) p from w where len(w) > 0)),
+    n as materialized (select doc_id, count(*) n from s group by doc_id),
+    i as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+    l as materialized (select a, b from i join n p on p.doc_id = a join n q on q.doc_id = b where {den} * c >= {num} * (p.n + q.n - c)),
+    e as materialized (select a, b from l union all select b, a from l),
+    r as (with recursive r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b) select a, min(b) m from r group by a)
+    select w.doc_id, coalesce(n.n, 0) n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) component_id
+    from w left join n on n.doc_id = w.doc_id left join r on r.a = w.doc_id"""

@@ -90,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_jaccard_join": jaccard_join.sql(k=3, num=90, den=100),
     "op9_host_trust": "select page_id, host, path, \"rule\", verdict from (" + host_trust.sql(URL_RULES) + ")",
     "op10_decontamination": decontamination.sql(),
 }
