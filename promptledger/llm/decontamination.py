@@ -68,7 +68,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, every: bool
              .where("start >= 0 and start + size(win) <= len").select("doc_id", "key", "start", "win", "items").distinct())
     found = (place.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
              .withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
-    right = F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["win"])) == c["win"])
+    # the words are bound once, as an element: inside the inner function alone, Spark would take them anew for every place
+    right = F.get(F.transform(F.array("w"), lambda own: F.filter("c", lambda c: F.slice(own, c["start"] + 1, F.size(c["win"])) == c["win"])), F.lit(0))
     covered = F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1)))
     none = F.array().cast("array<string>")
     return (keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left" if every else "inner")
@@ -87,7 +88,8 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with their columns."""
-    return without(docs, hits(docs, benchmark, every=False).where("n_hit > 0"))
+    found = written(hits(docs, benchmark, every=False).select("doc_id", "key", "n_hit"), "benchmark-hits")
+    return without(docs, found.where("n_hit > 0"))
 
 
 def sql() -> str:
