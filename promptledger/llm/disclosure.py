@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.storage import BROADCAST_ROWS, written
+from promptledger.llm.storage import written
 
 # The kinds, in order, and their patterns (possessive and guarded
 # so that a long run of characters is read once; matches are the same).
@@ -135,11 +135,8 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     entities = found.select(F.explode("near.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("spans"))
     chars = found.agg(F.sum("chars")).first()[0] or 0
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        often = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("cf"))
-    else:  # too many terms to send everywhere: sum all words first
-        often = words.groupBy("term").agg(F.count("*").alias("cf")).join(wanted, "term")
+    # words are summed in every task before they meet the terms near entities
+    often = words.groupBy("term").agg(F.count("*").alias("cf")).join(pairs.select("term").distinct(), "term")
     information = F.log2(F.lit(float(max(2, chars))) / F.col("spans"))
     share = F.when(information > 0, 1 + F.log2(F.least(F.col("co") / F.col("cf"), F.lit(1.0))) / information).otherwise(0.0)
     return (pairs.join(often, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE_AT)
