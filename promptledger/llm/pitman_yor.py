@@ -25,8 +25,10 @@ to the block:
 
 Restaurant totals and parent probabilities are held fixed while a pair is
 sampled (from counts at first, from the last round after); ``ROUNDS`` says how
-often 2 and 3 are repeated.  A dish of more than ``PARTY`` customers is seated
-in parties of ``PARTY``.  A frequent word or pair is one row per block.
+often 2 and 3 are repeated.  The law comes from the recursion of S_d, for all
+sizes up to ``SMALL`` and some up to ``PARTY``; a dish between or above them is
+continued from the next smaller one, as one restaurant (``draw_large``).  A
+frequent word or pair is one row per block.
 
 Tokens: words of the ASCII-lower-cased text, then one end token.
 
@@ -54,61 +56,127 @@ from promptledger.llm.storage import bucketed, written
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.9, 1.0        # of the context restaurants
 DISCOUNT_TOP, STRENGTH_TOP = 0.75, 1.0
-PARTY, DRAWS, ROUNDS = 64, 4, 1
+SMALL, PARTY, DRAWS, ROUNDS = 64, 4096, 4, 1
 BLOCK_BYTES = 8_000_000
 END, BEGIN = np.uint64(0x0E0D_0000_0000_0001), np.uint64(0x0B0E_0000_0000_0001)
-CODES, CODE_STEP, CODE_ZERO = 256, 4, 200   # log-scale codes of a strength
+CODES, CODE_STEP, CODE_ZERO = 256, 4, 160   # log-scale codes of a strength, up to 2^23
+# customers whose law of tables is kept: all up to SMALL, then four an octave up to PARTY
+LARGE = tuple(round(SMALL * 2 ** (i / 4)) for i in range(4 * (PARTY // SMALL).bit_length() - 3))
+SIZES = (*range(SMALL), *LARGE)
+_SIZES = frozenset(SIZES)
 
 
 # ---------------------------------------------------------------- sampling
 
 @lru_cache(maxsize=4)
-def log_stirling(d: float) -> np.ndarray:
-    """log S_d(c, t) for 1 <= t <= c <= PARTY (-inf elsewhere)."""
-    out = np.full((PARTY + 1, PARTY + 1), -np.inf)
-    out[0, 0] = 0.0
-    t = np.arange(PARTY + 1)
-    for c in range(PARTY):
-        stay = np.where(c - d * t > 0, np.log(np.maximum(c - d * t, 1e-300)), -np.inf) + out[c]
-        open_ = np.concatenate([[-np.inf], out[c, :-1]])
-        out[c + 1] = np.logaddexp(stay, open_)
+def log_stirling(d: float) -> dict[int, np.ndarray]:
+    """log S_d(c, t) for 0 <= t <= c (-inf where impossible), for the customers c in ``SIZES``."""
+    out, row = {}, np.array([0.0])
+    for c in range(SIZES[-1] + 1):
+        if c in _SIZES:
+            out[c] = row
+        left = c - d * np.arange(c + 1)
+        stay = np.where(left > 0, np.log(np.maximum(left, 1e-300)), -np.inf) + row
+        row = np.logaddexp(np.append(stay, -np.inf), np.concatenate([[-np.inf], row]))
     return out
 
 
-@lru_cache(maxsize=4)
-def table_law(d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per code and customers: cumulative law of the number of tables, its mean and variance."""
-    t = np.arange(PARTY + 1)
+def _laws(d: float, c: int) -> np.ndarray:
+    """Per code: the law of the number of tables of ``c`` customers."""
     log_a = (np.arange(CODES) - CODE_ZERO) / CODE_STEP * math.log(2)
-    w = log_stirling(d)[None] + log_a[:, None, None] * t
-    w[:, 0, 0] = 0.0
-    w = np.exp(w - w.max(2, keepdims=True))
-    p = w / w.sum(2, keepdims=True)
-    mean = (p * t).sum(2)
-    return np.cumsum(p, 2), mean, (p * t * t).sum(2) - mean * mean
+    w = log_stirling(d)[c] + log_a[:, None] * np.arange(c + 1)
+    w = np.exp(w - w.max(1, keepdims=True))
+    return w / w.sum(1, keepdims=True)
+
+
+@lru_cache(maxsize=4)
+def table_law(d: float) -> tuple[np.ndarray]:
+    """Per code and customers up to ``SMALL``: cumulative law of the number of tables."""
+    p = np.zeros((CODES, SMALL + 1, SMALL + 1))
+    for c in range(SMALL + 1):
+        p[:, c, : c + 1] = _laws(d, c)
+    return (np.cumsum(p, 2),)
+
+
+@lru_cache(maxsize=4)
+def large_law(d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the sizes ``LARGE`` and each code, one row after the other: cumulative law
+    (2 * row added, without the ends that have no mass), where each row begins, the tables
+    its first value stands for; and the mean by size and code."""
+    flat, begin, first, mean = [], [0], [], []
+    for c in LARGE:
+        p = _laws(d, c)
+        mean.append(p @ np.arange(c + 1))
+        for q in p:
+            some = np.flatnonzero(q > 1e-14)
+            cum = np.cumsum(q[some[0]: some[-1] + 1])
+            flat.append(cum / cum[-1] + 2 * len(first))
+            first.append(some[0])
+            begin.append(begin[-1] + len(cum))
+    return np.concatenate(flat), np.array(begin), np.array(first), np.array(mean)
 
 
 def code_of(strength: np.ndarray) -> np.ndarray:
     return np.clip(np.round(np.log2(np.maximum(strength, 1e-300)) * CODE_STEP) + CODE_ZERO, 0, CODES - 1).astype(np.uint8)
 
 
+def _from_large(d: float, size: np.ndarray, code: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Tables at the quantile ``u`` of the exact law, for an index into ``LARGE`` and a code."""
+    flat, begin, first, _ = large_law(d)
+    row = size * CODES + code
+    at = np.searchsorted(flat, u * (1 - 1e-12) + 2 * row, "left") - begin[row]
+    return first[row] + at
+
+
+def draw_large(c: np.ndarray, code: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """``draw_tables`` for more than ``SMALL`` customers: g of them by the exact law (g: the
+    largest of ``LARGE`` within c), the others one after the other.
+
+    Given t tables of n customers, the next one opens a table with weight A and joins one
+    with weight n - d t.  As the sum of these weights depends on t, the law of n + 1
+    customers at strength A follows from that of n at a slightly lower strength.  With
+    m the mean tables, m - A / d = K stays the same along that path, and
+    A = A_g ((c - d K) / (g - d K))^d, so (A - A_g) / d tables are opened after g.
+    """
+    mean = large_law(d)[3]
+    sizes = np.array(LARGE)
+    at = np.searchsorted(sizes, c, "right") - 1
+    g = sizes[at].astype(float)
+    k = mean - 2.0 ** ((np.arange(CODES) - CODE_ZERO) / CODE_STEP) / d
+    lo, hi = np.zeros(len(c)), code.astype(float)
+
+    def k_at(x: np.ndarray) -> np.ndarray:
+        i = np.minimum(x.astype(np.int64), CODES - 2)
+        return k[at, i] + (x - i) * (k[at, i + 1] - k[at, i])
+
+    for _ in range(40):  # the code of A_g
+        mid = (lo + hi) / 2
+        far = mid + CODE_STEP * d * np.log2((c - d * k_at(mid)) / (g - d * k_at(mid))) > code
+        lo, hi = np.where(far, lo, mid), np.where(far, mid, hi)
+    low = np.where(c == g, code, hi)
+    i = np.minimum(low.astype(np.int64), CODES - 2)
+    u = rng.random(len(c))
+    # one quantile of the two neighbouring codes
+    here, there = _from_large(d, at, i, u), _from_large(d, at, i + 1, u)
+    t = np.floor(here + (low - i) * (there - here) + rng.random(len(c)) * (1 - 1e-9)).astype(np.int64)
+    a, a_g = (2.0 ** ((x - CODE_ZERO) / CODE_STEP) for x in (code, low))
+    more = np.clip((a - a_g) / d / np.maximum(c - g, 1), 0, 1)
+    return np.clip(t + rng.binomial((c - g).astype(np.int64), more), 1, c)
+
+
 def draw_tables(c: np.ndarray, code: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """One draw of the number of tables of each dish, given its customers and the code of its strength."""
-    law, mean, var = table_law(d)
+    (law,) = table_law(d)
     t = np.minimum(c, 1)
-    small = np.flatnonzero((c > 1) & (c <= PARTY))
+    small = np.flatnonzero((c > 1) & (c <= SMALL))
     if len(small):
-        row = code[small].astype(np.int64) * (PARTY + 1) + c[small]
-        flat = (law + np.arange(CODES * (PARTY + 1)).reshape(CODES, PARTY + 1, 1) * 2).ravel()  # rows apart: one sorted array
+        row = code[small].astype(np.int64) * (SMALL + 1) + c[small]
+        flat = (law + np.arange(CODES * (SMALL + 1)).reshape(CODES, SMALL + 1, 1) * 2).ravel()  # rows apart: one sorted array
         at = np.searchsorted(flat, rng.random(len(small)) * (1 - 1e-12) + 2 * row, "left")
-        t[small] = np.clip(at - row * (PARTY + 1), 1, c[small])
-    large = np.flatnonzero(c > PARTY)
+        t[small] = np.clip(at - row * (SMALL + 1), 1, c[small])
+    large = np.flatnonzero(c > SMALL)
     if len(large):
-        parties, rest = c[large] // PARTY, c[large] % PARTY
-        of = code[large].astype(np.int64)
-        m = parties * mean[of, PARTY] + mean[of, rest]
-        v = parties * var[of, PARTY] + var[of, rest]
-        t[large] = np.clip(np.rint(m + np.sqrt(v) * rng.standard_normal(len(large))), parties, c[large]).astype(t.dtype)
+        t[large] = draw_large(c[large], code[large].astype(np.int64), d, rng).astype(t.dtype)
     return t
 
 

@@ -78,3 +78,26 @@ def test_tables_follow_the_seating_law():
     assert np.allclose(np.bincount(draws, minlength=c + 1) / 40_000, law[: c + 1], atol=0.01)
     large = py.draw_tables(np.array([0, 1, 1_000]), np.array([200, 200, 200], np.uint8), d, np.random.default_rng(0))
     assert large[0] == 0 and large[1] == 1 and 1_000 // py.PARTY <= large[2] <= 1_000
+
+
+def test_large_dishes_are_seated_in_one_restaurant():
+    """Mean and spread of the tables of 100 to 5,000 customers against the recursion of S_d."""
+    for d in (py.DISCOUNT, 0.6):
+        row, done = np.array([0.0]), 0
+        for c in (100, 1_000, 4_096, 5_000):
+            for n in range(done, c):
+                left = n - d * np.arange(n + 1)
+                stay = np.where(left > 0, np.log(np.maximum(left, 1e-300)), -np.inf) + row
+                row = np.logaddexp(np.append(stay, -np.inf), np.append([-np.inf], row))
+            done = c
+            for a in (1.0, 8.0, 128.0, 1_024.0):
+                w, t = row + math.log(a) * np.arange(c + 1), np.arange(c + 1)
+                p = np.exp(w - w.max())
+                p /= p.sum()
+                mean = p @ t
+                spread = math.sqrt(p @ (t - mean) ** 2)
+                drawn = py.draw_tables(np.full(10_000, c), np.repeat(py.code_of(np.array([a])), 10_000), d, np.random.default_rng(c))
+                assert drawn.min() >= 1 and drawn.max() <= c
+                assert abs(drawn.mean() - mean) < 0.01 * mean + 0.05 * spread and abs(drawn.std() - spread) < 0.1 * spread
+    huge = py.draw_tables(np.full(2_000, 50_000_000), np.repeat(py.code_of(np.array([64.0])), 2_000), 0.9, np.random.default_rng(0))
+    assert abs(huge.mean() - (1 + 64 / 0.9)) < 1
