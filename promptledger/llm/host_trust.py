@@ -1,8 +1,9 @@
 """URL filters: trust and distrust propagated over the host graph (operator 9).
 
-Rules decide the urls they fit.  For the others, a host is a trusted seed if
-an allow rule fits at least ``SEED_SHARE`` of its pages, and a blocked seed if
-a blocking rule does; a seed weighs as much as that share.  Personalised PageRank
+Rules decide the urls they fit.  For the others, every host with an allowed
+page is a trusted seed, and every host with a blocked page a blocked seed (a
+host can be both); a seed weighs as much as the share of its pages that the
+rules allow or block, if that is at least ``SEED_SHARE``.  Personalised PageRank
 carries trust along the edges of the host graph (a host vouches for the hosts
 it links to) and distrust against them (a host that links to a bad host is
 suspect).  Edges are the hyperlinks between hosts, and both directions between
@@ -28,7 +29,7 @@ from promptledger.llm.storage import written
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 12, 4
 DISTRUST_SHARE = 0.5   # of a host's trust and distrust together, above which it is blocked
-SEED_SHARE = 0.5       # of a host's pages that a rule must fit for the host to be a seed
+SEED_SHARE = 0.0       # of a host's pages that a rule must fit for the host to be a seed (0: any page)
 MAX_RULES = 500        # rules are folded into one expression
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""

@@ -59,3 +59,14 @@ def test_propagation_against_numpy(spark):
     for i in range(n):
         r = got.get(f"h{i}")
         assert np.allclose([r.trust if r else 0, r.distrust if r else 0], [x[i], y[i]])
+
+
+def test_a_host_with_some_blocked_pages_is_a_seed(spark):
+    """30% of the pages of mixed.net are blocked; farm.com, which only links to it, is blocked for that."""
+    rows = [(i, f"http://mixed.net/{'de' if i < 3 else 'xx'}/", None) for i in range(10)]
+    rows += [(20 + i, "http://farm.com/", "<a href='http://mixed.net/'>") for i in range(5)]
+    rows += [(40 + i, f"http://good{i}.org/fr/", f"<a href='http://plain{i}.com/'>") for i in range(8)] + [(60 + i, f"http://plain{i}.com/", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in ht.judge(df, [("block", "mixed.net", "/de/"), ("allow", "org", "/fr/")]).collect()}
+    assert all(got[i] == "block" for i in [*range(3), *range(20, 25)])
+    assert all(got[i] == "allow" for i in [*range(40, 48), *range(60, 68)])
