@@ -4,22 +4,21 @@ Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone
 numbers; their values are the protected entities.  A corpus-wide estimate then
 says how strongly a term reveals an entity:
 
-* terms are runs of ``TERM_LETTERS`` or more letters, lower-cased, that lie
-  wholly within ``WINDOW`` characters of a span of the entity;
-* P(e) is the entity's number of spans over the number of characters of all
-  documents, IC(e) = -log2 P(e) the information to protect;
-* P(e|t) is the share of the term's occurrences in all documents that are near
-  the entity; PMI(e;t) = log2 P(e|t) - log2 P(e);
+* terms are runs of ``TERM_LETTERS`` or more letters, lower-cased, outside the spans;
+* P(e) is the share of documents with a span of the entity, IC(e) = -log2 P(e)
+  the information to protect;
+* P(e|t) is the share of the documents with the term that have the entity;
+  PMI(e;t) = log2 P(e|t) - log2 P(e);
 * the disclosed share is PMI / IC = 1 + log2 P(e|t) / IC(e).
 
-From ``REMOVE_AT`` on, the term is removed near the entity; from
-``GENERALISE_AT`` on, it is generalised to a placeholder.  Both need
-``MIN_CONTEXTS`` different contexts, so that one text and its copies prove
-nothing.  Terms are only touched near the entity they disclose.
+From ``REMOVE_AT`` on, the term is removed; from ``GENERALISE_AT`` on, it is
+generalised to a placeholder.  Both need ``MIN_CONTEXTS`` different texts with
+both, so that one text and its copies prove nothing.  Every occurrence of the
+term is touched, near the entity or not, and in documents without it.
 
-All of it is column expressions, joins and sums.  Occurrences near an entity
-are summed before they are shuffled, so a frequent entity is one row per
-partition, term and context.
+All of it is column expressions, joins and sums.  Only entities of
+``MIN_CONTEXTS`` texts meet the words of their documents (others have no rule),
+and counts are summed before they are shuffled.
 
 Defined results: a null or empty text has no spans (``sanitise`` keeps it as it
 is).  Repeated rows get the same spans.  Spans of different kinds may overlap;
@@ -29,10 +28,12 @@ tables give empty results; other columns are kept by ``sanitise``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.storage import written
+from promptledger.llm.storage import small, written
 
 # The kinds, in order, and their patterns (possessive and guarded
 # so that a long run of characters is read once; matches are the same).
@@ -46,14 +47,14 @@ PATTERNS = {
 # what a text must contain for its pattern to be tried at all
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
 
-WINDOW, TERM_LETTERS = 60, 4
+TERM_LETTERS = 4
 TERM = r"\p{L}{%d,}" % TERM_LETTERS
 REMOVE_AT, GENERALISE_AT, MIN_CONTEXTS = 0.95, 0.90, 3
 SPAN = "struct<start:int,k:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches; code points, end exclusive.
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """Array of (start, end, value) of the pattern's matches to keep; code points, end exclusive.
 
     The pieces between the matches give the positions.
     """
@@ -64,7 +65,7 @@ def located(text: Column, pattern: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["value"]), F.lit(0))
         one = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value")))
-        return F.struct(end.cast("int").alias("at"), F.when(x["value"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+        return F.struct(end.cast("int").alias("at"), F.when(x["value"].isNull() | ~keep(x["value"]), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
     return F.aggregate(both, first, step, lambda acc: acc["found"])
 
@@ -98,46 +99,42 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}")
 
 
-def _terms(text: Column, spans: Column, span: Column) -> Column:
-    """Array of (start, end, term) of the whole terms in the windows around a span."""
-    total = F.length(text)
-    left_at = F.greatest(span["start"] - WINDOW, F.lit(0))
-    right_to = F.least(span["end"] + WINDOW, total)
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for each span."""
+    first = F.struct(F.lit(0).alias("to"), F.lit("").alias("text"))
 
-    def inside(lo: Column, hi: Column) -> Column:
-        piece = F.lower(F.substr(text, lo + 1, hi - lo))
-        moved = F.transform(located(piece, TERM), lambda t: F.struct((t["start"] + lo).alias("start"), (t["end"] + lo).alias("end"), t["value"].alias("term")))
-        # a term at the outer edge may be cut off, unless the text begins or ends there
-        return F.filter(moved, lambda t: ((t["start"] > lo) | (lo == 0) | (lo == span["end"])) & ((t["end"] < hi) | (hi == total) | (hi == span["start"])))
+    def step(acc: Column, s: Column) -> Column:
+        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.when(s["start"] < acc["to"], acc["text"]).otherwise(
+            F.concat(acc["text"], F.substr(text, acc["to"] + 1, s["start"] - acc["to"]), F.lit(" "))).alias("text"))
 
-    both = F.concat(inside(left_at, span["start"]), inside(span["end"], right_to))
-    return F.filter(both, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda acc: F.concat(acc["text"], F.substr(text, acc["to"] + 1, F.length(text)))))
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """doc_id, key, chars, spans and, per span, its entity, context and nearby terms."""
+    """doc_id, key, spans, their different entities, and the different terms outside them."""
     text = F.col("text")
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
-    near = F.transform("spans", lambda s: F.struct(
-        F.concat_ws(":", s["k"].cast("string"), F.lower(s["value"])).alias("entity"),
-        F.xxhash64(F.substr(F.col("text"), F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, s["end"] - s["start"] + 2 * WINDOW)).alias("context"),
-        _terms(F.col("text"), F.col("spans"), s).alias("terms")))
-    return written(rows.select("doc_id", "key", F.length("text").cast("long").alias("chars"), "spans", near.alias("near")), "private-spans")
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["k"].cast("string"), F.lower(s["value"]))))
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(_outside(F.col("text"), F.col("spans")), F.lit(TERM), F.lit(0))), F.lower))
+    return written(rows.select("doc_id", "key", "spans", entities.alias("entities"), terms.alias("terms")), "private-spans")
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing(found: DataFrame) -> DataFrame:
     """entity, term, share, action of the terms that disclose too much."""
-    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.context", F.explode("n.terms.term").alias("term"))
-    pairs = (near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term")
+    entities = (found.select("key", F.explode("entities").alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
+                .groupBy("entity").agg(F.sum("n").alias("ef"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_CONTEXTS))
+    entities = written(entities, "private-entities")
+    with_entity = found.where(F.size("entities") > 0).select("key", "terms", F.explode("entities").alias("entity"))
+    # copies of a text are one row with their number
+    near = with_entity.join(small(entities.select("entity")), "entity").groupBy("entity", "key").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
+    pairs = (near.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term")
              .agg(F.sum("n").alias("co"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS))
     pairs = written(pairs, "private-terms")
-    entities = found.select(F.explode("near.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("spans"))
-    chars = found.agg(F.sum("chars")).first()[0] or 0
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     # words are summed in every task before they meet the terms near entities
-    often = words.groupBy("term").agg(F.count("*").alias("cf")).join(pairs.select("term").distinct(), "term")
-    information = F.log2(F.lit(float(max(2, chars))) / F.col("spans"))
+    often = (found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+             .join(pairs.select("term").distinct(), "term"))
+    information = F.log2(F.lit(float(max(2, found.count()))) / F.col("ef"))
     share = F.when(information > 0, 1 + F.log2(F.least(F.col("co") / F.col("cf"), F.lit(1.0))) / information).otherwise(0.0)
     return (pairs.join(often, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE_AT)
             .select("entity", "term", "share", F.when(F.col("share") >= REMOVE_AT, KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("action")))
@@ -146,15 +143,20 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, key and all spans (base ones and disclosing terms) of every row of ``docs(doc_id, text)``."""
     found = found_in(docs)
-    rules = written(disclosing(docs, found), "private-rules")
-    near = found.select("doc_id", "key", F.explode("near").alias("n")).select("doc_id", "key", "n.entity", F.explode("n.terms").alias("t"))
-    added = (near.join(rules.withColumnRenamed("term", "_term"), ["entity"]).where(F.col("t.term") == F.col("_term"))
-             .groupBy("doc_id", "key", "t").agg(F.min("action").alias("k")).groupBy("doc_id", "key")
-             .agg(F.collect_list(F.struct(F.col("t.start").alias("start"), "k", F.col("t.end").alias("end"), F.col("t.term").alias("value"))).alias("more"))
-             .withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
+    rules = written(disclosing(found).groupBy("term").agg(F.min("action").alias("action")), "private-rules")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
+    hits = (found.select("doc_id", "key", F.explode("terms").alias("term")).join(small(rules), "term").groupBy("doc_id", "key")
+            .agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("rules")).withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(hits, same).dropDuplicates(["_id", "_key"])
+    every = located(F.col("text"), TERM, lambda value: F.map_contains_key("rules", F.lower(value)))
+    more = F.transform(every, lambda t: F.struct(t["start"].alias("start"), F.get(F.map_values(F.map_filter("rules", lambda k, _: k == F.lower(t["value"]))), F.lit(0)).alias("k"),
+                                                 t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    added = written(texts.select("_id", "_key", more.alias("more")), "private-added")
     none = F.array().cast(f"array<{SPAN}>")
-    return (found.select("doc_id", "key", "spans").join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left")
-            .select("doc_id", "key", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans")))
+    # a term that overlaps a span is part of it
+    own = F.filter(F.coalesce("more", none), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    return (found.select("doc_id", "key", "spans").join(added, same, "left")
+            .select("doc_id", "key", F.col("spans").alias("base"), F.array_sort(F.concat("spans", own)).alias("spans")))
 
 
 def _text_of(spans: str) -> Column:

@@ -73,3 +73,15 @@ def test_sanitise_keeps_rows_and_columns(odd, odd_rows, nothing):
     assert out.columns == odd.columns
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted((i, t or "") for i, t in odd_rows)
     assert disclosure.judge(nothing).count() == 0 and disclosure.sanitise(nothing).count() == 0
+
+
+def test_every_occurrence_of_a_disclosing_term_is_touched(spark):
+    """zorbax far from the address, in its document and in one without it; two copies prove nothing."""
+    far = " ".join(["plain words"] * 20)
+    rows = [(i, f"Zorbax note {w} {far} jo.doe@mail.example {far} zorbax") for i, w in enumerate(("berlin", "paris", "rome", "oslo", "bern", "wien", "riga", "kiev", "baku"))]
+    rows += [(10, "here is zorbax alone, zorbaxes not"), (11, "copied quill al.roe@mail.example"), (12, "copied quill al.roe@mail.example")]
+    rows += [(20 + i, f"note {far} copied {i}") for i in range(500)]
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[10] == "here is  alone, zorbaxes not" and clean[11] == clean[12] == "copied quill [EMAIL]"
+    assert all(clean[i] == f" note {rows[i][1].split()[2]} {far} [EMAIL] {far} " for i in range(9))
+    assert clean[20] == f"note {far} copied 0"
