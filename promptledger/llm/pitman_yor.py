@@ -17,15 +17,16 @@ to the block:
 1. words: training counts c(w), N and V;
 2. pairs: customers of each dish (u, w), summed over blocks.  There the tables
    are sampled: given the strength A = (theta + d t_u) P(w), the number of tables
-   of c customers has probability proportional to S_d(c, t) A^t (S: generalised
-   Stirling numbers), which integrates out who sits where.  ``DRAWS`` Gibbs draws
-   are averaged for the predictive probability; the last is passed on;
+   of c customers has probability proportional to
+   S_d(c, t) A^t (S: generalised Stirling numbers), which integrates out who sits
+   where;
 3. words again: tables by dish and by context give t_u and the parent's
    customers t_.w, whose own tables s_w are sampled likewise.
 
 Restaurant totals and parent probabilities are held fixed while a pair is
-sampled (from counts at first, from the last round after); ``ROUNDS`` says how
-often 2 and 3 are repeated.  The law comes from the recursion of S_d, for all
+sampled (from counts at first, from the last round after).  2 and 3 are repeated
+``ROUNDS`` times; P(w|u) is averaged over the rounds after the first ``BURN_IN``,
+each with the pairs, tables and parent of its own state.  The law comes from the recursion of S_d, for all
 sizes up to ``SMALL`` and some up to ``PARTY``; a dish between or above them is
 continued from the next smaller one, as one restaurant (``draw_large``).  A
 frequent word or pair is one row per block.
@@ -56,7 +57,7 @@ from promptledger.llm.storage import bucketed, written
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.9, 1.0        # of the context restaurants
 DISCOUNT_TOP, STRENGTH_TOP = 0.75, 1.0
-SMALL, PARTY, DRAWS, ROUNDS = 64, 4096, 4, 1
+SMALL, PARTY, BURN_IN, ROUNDS = 64, 4096, 1, 3
 BLOCK_BYTES = 8_000_000
 END, BEGIN = np.uint64(0x0E0D_0000_0000_0001), np.uint64(0x0B0E_0000_0000_0001)
 CODES, CODE_STEP, CODE_ZERO = 256, 4, 160   # log-scale codes of a strength, up to 2^23
@@ -296,8 +297,27 @@ def _word_counts(text: DataFrame, n: int) -> DataFrame:
             .groupBy("bucket").applyInArrow(total, ANSWER))
 
 
+def _probability(own: Block, found: pa.Table, n: int, known: dict) -> np.ndarray:
+    """P(w|u) of the block's pairs in one state: pairs, tables and parent of the same round."""
+    at, bucket = own.words_by_bucket(n)
+    guests = _back(found, "words", at, bucket, "x", "<u8").astype(float)
+    guests[own.begin] = known["docs"]  # every training document begins once
+    parent = _parent(_back(found, "parent", at, bucket, "x", "<f4").astype(float), known)
+    tables = _back(found, "parent", at, bucket, "y", "<f4").astype(float)
+    order, bucket, _ = own.pairs_by_bucket(n)
+    mass = np.maximum(_back(found, "pairs", order, bucket, "x", "<f4").astype(float), 0.0)
+    return (mass + (STRENGTH + DISCOUNT * tables[own.pair_u]) * parent[own.pair_w]) / (STRENGTH + guests[own.pair_u])
+
+
+def _kept(own: Block, found: pa.Table) -> np.ndarray:
+    """The block's sum of P(w|u) over the rounds kept so far."""
+    kept = [x.as_py() for k, x in zip(found.column("kind"), found.column("x")) if k.as_py() == "sums"]
+    return np.frombuffer(kept[0], "<f4").astype(float) if kept else np.zeros(len(own.pair_u))
+
+
 def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step: int) -> DataFrame:
-    """Answers "pairs": x = mean of c_uw - d t_uw, y = tables of the last draw (at the first block that has the pair)."""
+    """Answers "pairs": x = c_uw - d t_uw, y = tables (at the first block that has the pair);
+    and "sums": x = the block's sum of P(w|u) over the kept rounds before this one."""
     def ask(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table)
         at, bucket = own.words_by_bucket(n)
@@ -309,29 +329,35 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
             parent, tables = np.maximum(c - DISCOUNT_TOP * np.minimum(c, 1), 0), np.power(np.maximum(c, 1), 0.85)
         strength = (STRENGTH + DISCOUNT * tables[own.pair_u]) * _parent(parent, known)[own.pair_w]
         order, bucket, key = own.pairs_by_bucket(n)
-        return _rows(table.column("block")[0].as_py(), bucket, keys=key, counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
+        block = table.column("block")[0].as_py()
+        out = _rows(block, bucket, keys=key, counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
+        if step <= BURN_IN:
+            return out
+        # the sums go past the buckets: bucket -1 - block
+        sums = (_kept(own, found) + _probability(own, found, n, known)).astype("<f4")
+        return pa.concat_tables([out, _rows(block, np.full(len(sums), -1 - block), keys=sums, counts=sums[:0], codes=sums[:0])])
 
     def seat(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"kind": ["sums"], "block": table.column("block"), "bucket": table.column("bucket"), "x": table.column("keys"),
+                             "y": pa.array([b""], pa.binary()), "a": [0.0], "b": [0.0]})
         table = table.sort_by("block")
         keys, sizes = _gather(table, "keys", "<u4")
         counts, _ = _gather(table, "counts", "<u4")
         codes, _ = _gather(table, "codes", "u1")
         one, first, at = np.unique(keys, return_index=True, return_inverse=True)
         c = np.bincount(at, counts.astype(float), len(one)).astype(np.int64)
-        rng, t, mean = _seed(table, 1 + step), c, np.zeros(len(one))
-        for _ in range(DRAWS):
-            t = draw_tables(c, codes[first], DISCOUNT, rng)
-            mean += t / DRAWS
+        t = draw_tables(c, codes[first], DISCOUNT, _seed(table, 1 + step))
         tables = np.zeros(len(keys), "<u4")
         tables[first] = t
-        return _answer(table, "pairs", sizes, (c - DISCOUNT * mean)[at].astype("<f4"), tables)
+        return _answer(table, "pairs", sizes, (c - DISCOUNT * t)[at].astype("<f4"), tables)
 
     return (text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "block int, bucket int, keys binary, counts binary, codes binary")
             .groupBy("bucket").applyInArrow(seat, ANSWER))
 
 
 def _parent_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step: int) -> DataFrame:
-    """Answers "parent": x = mean of t_.w - d0 s_w, y = t_u; a and b sum to t (the parent's customers) and s."""
+    """Answers "parent": x = t_.w - d0 s_w, y = t_u; a and b sum to t (the parent's customers) and s."""
     def ask(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table)
         order, bucket, _ = own.pairs_by_bucket(n)
@@ -349,11 +375,8 @@ def _parent_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, ste
         dish = np.bincount(at, _gather(table, "dish", "<u4")[0].astype(float), len(one)).astype(np.int64)
         context = np.bincount(at, _gather(table, "context", "<u4")[0].astype(float), len(one))
         code = np.repeat(code_of(np.array([(STRENGTH_TOP + DISCOUNT_TOP * known["s"]) / (known["V"] + 1)])), len(one))
-        rng, t, mean = _seed(table, 101 + step), dish, np.zeros(len(one))
-        for _ in range(DRAWS):
-            t = draw_tables(dish, code, DISCOUNT_TOP, rng)
-            mean += t / DRAWS
-        return _answer(table, "parent", sizes, (dish - DISCOUNT_TOP * mean)[at].astype("<f4"), context[at].astype("<f4"), float(dish.sum()), float(t.sum()))
+        t = draw_tables(dish, code, DISCOUNT_TOP, _seed(table, 101 + step))
+        return _answer(table, "parent", sizes, (dish - DISCOUNT_TOP * t)[at].astype("<f4"), context[at].astype("<f4"), float(dish.sum()), float(t.sum()))
 
     return (text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "block int, bucket int, keys binary, dish binary, context binary")
             .groupBy("bucket").applyInArrow(seat, ANSWER))
@@ -364,19 +387,12 @@ def _parent(mass: np.ndarray, known: dict) -> np.ndarray:
     return (mass + (STRENGTH_TOP + DISCOUNT_TOP * known["s"]) / (known["V"] + 1)) / (STRENGTH_TOP + known["t"])
 
 
-def _scores(text: DataFrame, answers: DataFrame, n: int, known: dict) -> DataFrame:
+def _scores(text: DataFrame, answers: DataFrame, n: int, known: dict, rounds: int) -> DataFrame:
     def of(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table)
         at, bucket = own.words_by_bucket(n)
         c = _back(found, "words", at, bucket, "x", "<u8").astype(float)
-        parent = _parent(_back(found, "parent", at, bucket, "x", "<f4").astype(float), known)
-        tables = _back(found, "parent", at, bucket, "y", "<f4").astype(float)
-        order, bucket, _ = own.pairs_by_bucket(n)
-        mass = np.maximum(_back(found, "pairs", order, bucket, "x", "<f4").astype(float), 0.0)
-        guests = c.copy()
-        guests[own.begin] = known["docs"]  # every training document begins once
-        u, w = own.pair_u, own.pair_w
-        p = (mass + (STRENGTH + DISCOUNT * tables[u]) * parent[w]) / (STRENGTH + guests[u])
+        p = (_kept(own, found) + _probability(own, found, n, known)) / max(1, rounds - BURN_IN)
         score = np.add.reduceat(np.log10(np.minimum(p, 1.0))[own.pair], own.edge[:-1])
         base = np.add.reduceat(np.log10((c + 1) / (known["N"] + 1 * (known["V"] + 1)))[own.word], own.edge[:-1])
         seen = np.add.reduceat((c > 0)[own.word].astype(np.int64), own.edge[:-1])
@@ -409,8 +425,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known |= {"t": known["N"], "s": known["V"]}  # until the parent is seated
     answers = words
     for step in range(rounds):
-        pairs = written(_pair_tables(text, answers, n, known, step), "lm-pairs")
-        parent = written(_parent_tables(text, pairs, n, known, step), "lm-parent")
+        pairs = written(_pair_tables(text, answers, n, dict(known), step), "lm-pairs")
+        parent = written(_parent_tables(text, pairs, n, dict(known), step), "lm-parent")
         known["t"], known["s"] = _sums(parent, "parent")
-        answers = words.unionByName(parent)
-    return _scores(text, answers.unionByName(pairs), n, known)
+        answers = words.unionByName(parent).unionByName(pairs)
+    return _scores(text, answers, n, known, rounds)

@@ -101,3 +101,14 @@ def test_large_dishes_are_seated_in_one_restaurant():
                 assert abs(drawn.mean() - mean) < 0.01 * mean + 0.05 * spread and abs(drawn.std() - spread) < 0.1 * spread
     huge = py.draw_tables(np.full(2_000, 50_000_000), np.repeat(py.code_of(np.array([64.0])), 2_000), 0.9, np.random.default_rng(0))
     assert abs(huge.mean() - (1 + 64 / 0.9)) < 1
+
+
+def test_probabilities_are_averaged_over_rounds(spark):
+    """Two rounds or more are kept after burn-in; their mean is still a law over the first word."""
+    assert py.ROUNDS - py.BURN_IN > 1 and py.BURN_IN >= 1
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(30))) for i in [i for i in range(400) if not held(i)][:40]]
+    asked = [*"abcdef", "zzz", ""]
+    rows += list(zip([i for i in range(400) if held(i)], asked))
+    got = [r for r in py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert len(got) == len(asked) and sum(10 ** r.score for r in got) < 1 + 1e-6
