@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontamination, disclosure, host_trust, jaccard_join, pitman_yor, quality_forest, repeats, sentencepiece_backend, token_store, toxicity_cnn
+from promptledger.llm import (centroids, decontamination, disclosure, host_trust, jaccard_join, periodic_runs, pitman_yor, quality_forest, repeats,
+                              sentencepiece_backend, source_mix, token_store, toxicity_cnn)
 from promptledger.llm.storage import folder
 from promptledger.sources.tables import read_table
 
@@ -76,6 +77,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents by source weights takes of every document."""
+    return source_mix.digest(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every embedding after ten exact rounds."""
+    return centroids.digest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its text without their repetitions."""
+    return periodic_runs.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_repeats": op2_repeats,
@@ -87,10 +103,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_host_trust": op9_host_trust,
     "op10_decontamination": op10_decontamination,
+    "op11_source_mix": op11_source_mix,
+    "op12_centroids": op12_centroids,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.sql(k=3, num=90, den=100),
     "op9_host_trust": "select page_id, host, path, \"rule\", verdict from (" + host_trust.sql(URL_RULES) + ")",
     "op10_decontamination": decontamination.sql(),
+    "op11_source_mix": source_mix.sql(),
+    "op12_centroids": centroids.sql(),
 }

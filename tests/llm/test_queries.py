@@ -24,12 +24,15 @@ COLUMNS = {
     "op8_toxicity_cnn": "doc_id long, held_out boolean, score double, predicted int",
     "op9_host_trust": "page_id long, host string, path string, rule string, verdict string",
     "op10_decontamination": "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
+    "op11_source_mix": "doc_id long, size long, source_size long, target double, taken long",
+    "op12_centroids": "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string",
+    "op13_periodic_runs": "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string",
 }
 
 
 def test_every_operator_is_registered_once():
     names = entry.queries()
-    assert all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -39,7 +42,7 @@ def test_columns_and_rows(spark, name):
     for column in COLUMNS[name].split(", "):
         k, kind = column.split()
         assert kinds[k] == kind
-    table = "pages" if name.startswith("op9") else "documents"
+    table = {"op9": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
