@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.text import add_features, token_estimates
+from ..sources import config_tables as ct
 from . import sinks
 from .costs import price_requests
 from .routing import resolve_model, route
@@ -50,11 +51,12 @@ def complete(valid: DataFrame, score: Scorer, registry: DataFrame, settings: Dat
     are ``output_tokens`` if the rows have it (a finished completion), else
     the budget ``max_tokens``."""
     scored = score(add_features(valid)).drop(*S.FEATURE_NAMES)
-    routed = resolve_model(route(scored, settings), registry)
+    facts = ct.registry_facts(registry)
+    routed = resolve_model(route(scored, settings), registry, facts=facts)
     spent = F.col("output_tokens") if "output_tokens" in valid.columns else F.col("max_tokens")
     estimate = token_estimates("prompt")[0]
     sized = routed.withColumns({"input_tokens": estimate.cast("bigint"), "output_tokens": spent.cast("bigint")})
-    return price_requests(sized, registry)
+    return price_requests(sized, registry, facts=facts)
 
 
 def by_model(model, threshold: float = S.ROUTING["low_confidence_threshold"]) -> Scorer:

@@ -1,8 +1,8 @@
 """Cost math C1-C8 in exact decimals.
 
 Prices come from the registry through a broadcast hash join on the model
-key; the best-model (baseline) and cheapest-model prices are one-row
-aggregates of the registry, read once while the plan is built and folded
+key; the best-model (baseline) and cheapest-model prices are read from the
+registry while the plan is built (no job for an inline registry) and folded
 in as literals.  No fact-table shuffle happens here.
 """
 
@@ -25,28 +25,29 @@ def best_model(registry: DataFrame) -> DataFrame:
     return best.select("b.*")
 
 
-def baseline_prices(registry: DataFrame) -> tuple[Column, Column]:
+def baseline_prices(facts: ct.RegistryFacts) -> tuple[Column, Column]:
     """C3 prices: the best model's per-token prices as literals."""
-    b = ct.config_row(best_model(registry).select("price_in_per_token", "price_out_per_token"))
-    return (ct.price_literal(b and b[0]), ct.price_literal(b and b[1]))
+    return ct.price_literal(facts.best_in), ct.price_literal(facts.best_out)
 
 
 def price_requests(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
-                   in_col: str = "input_tokens", out_col: str = "output_tokens") -> DataFrame:
+                   in_col: str = "input_tokens", out_col: str = "output_tokens",
+                   facts: ct.RegistryFacts | None = None) -> DataFrame:
     """C1 + C3 (+ J2): add ``cost_usd`` and ``cost_if_highest_quality``.
 
     One broadcast hash join of the registry on the model key gives the
     prices; a key missing from the registry is priced as the cheapest
     model (J2, its prices are literals).  The baseline is never
-    null: the same tokens at the best model's prices.
+    null: the same tokens at the best model's prices.  ``facts`` are the
+    registry's, if they were read already.
     """
     prices = registry.select(F.col("model_key").alias("__pm"),
                              F.col("price_in_per_token").alias("__pin"),
                              F.col("price_out_per_token").alias("__pout"))
-    _, pin, pout = ct.registry_facts(registry)     # size-checked before the broadcast
-    c_in, c_out = ct.price_literal(pin), ct.price_literal(pout)
+    facts = facts or ct.registry_facts(registry)   # size-checked before the broadcast
+    c_in, c_out = ct.price_literal(facts.cheapest_in), ct.price_literal(facts.cheapest_out)
     j = df.join(F.broadcast(prices), F.col(model_col) == F.col("__pm"), "left")
-    bin_, bout = baseline_prices(registry)
+    bin_, bout = baseline_prices(facts)
     cols = [F.col(c) for c in df.columns]
     return j.select(
         *cols,
@@ -67,7 +68,7 @@ def savings_columns(cost: str = "cost_usd", base: str = "cost_if_highest_quality
 
 def judge_costs(verdicts: DataFrame, registry: DataFrame) -> DataFrame:
     """Price each judge call (judge tokens at the best model's prices)."""
-    bin_, bout = baseline_prices(registry)
+    bin_, bout = baseline_prices(ct.registry_facts(registry))
     return verdicts.select(
         "*", token_cost(F.col("judge_input_tokens"), F.col("judge_output_tokens"), bin_, bout)
         .alias("judge_cost_usd"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import token_cost
 from ..settings import DEFAULT_THRESHOLDS, Thresholds
 from ..sources import config_tables as ct
-from .costs import baseline_prices, best_model
+from .costs import baseline_prices
 
 
 def is_routing_failure(score: str = "quality_score", gap: str = "quality_gap",
@@ -77,10 +77,10 @@ def escalation_outcomes(decided: DataFrame, completions: DataFrame, registry: Da
 
     Requests that are not escalated join on a key of their own that no re-run
     has, so they spread over all partitions and match nothing."""
-    best = ct.config_row(best_model(registry).select("model_key", "model_id"))
-    best_key = F.lit(best and best["model_key"]).cast("string")
-    best_id = F.lit(best and best["model_id"]).cast("string")
-    bin_, bout = baseline_prices(registry)
+    facts = ct.registry_facts(registry)
+    best_key = F.lit(facts.best_key).cast("string")
+    best_id = F.lit(facts.best_id).cast("string")
+    bin_, bout = baseline_prices(facts)
     reruns = (completions.where(F.col("model_key") == best_key)
               .select(F.col("prompt_id").alias("id"),
                       token_cost("input_tokens", "output_tokens", bin_, bout).alias("__cost"))

@@ -22,12 +22,10 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     Low confidence is ``conf < threshold`` (strict); it selects the fallback
     model, otherwise the tier's model (left join: an unmapped tier gives
     null, which pricing resolves through J2)."""
-    rules = ct.routing_rules(settings)
-    thr = ct.config_row(ct.routing_thresholds(settings))
-    ct.check_bound(thr and thr["n_settings"], ct.MAX_CONFIG_ROWS, "routing settings")
-    threshold = F.lit(thr and thr["low_confidence_threshold"]).cast("double")
-    fallback = F.lit(thr and thr["fallback_model"]).cast("string")
-    rules = rules.select(F.col("tier").alias("__rt_tier"), F.col("model_key").alias("__rt_model"))
+    facts = ct.routing_facts(settings)             # size-checked before the broadcast
+    threshold = F.lit(facts.threshold).cast("double")
+    fallback = F.lit(facts.fallback).cast("string")
+    rules = ct.routing_rules(settings).select(F.col("tier").alias("__rt_tier"), F.col("model_key").alias("__rt_model"))
     joined = df.join(F.broadcast(rules), F.col(tier_col) == F.col("__rt_tier"), "left")
     low = F.col(conf_col) < threshold
     return joined.select(
@@ -37,11 +35,12 @@ def route(df: DataFrame, settings: DataFrame, tier_col: str = "complexity_tier",
     )
 
 
-def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_model") -> DataFrame:
+def resolve_model(df: DataFrame, registry: DataFrame, model_col: str = "routed_model",
+                  facts: ct.RegistryFacts | None = None) -> DataFrame:
     """Keep a model key found in the registry, else (unknown or null) the
     cheapest model."""
     keys = registry.select(F.col("model_key").alias("__known"))
-    cheapest = F.lit(ct.registry_facts(registry)[0]).cast("string")
+    cheapest = F.lit((facts or ct.registry_facts(registry)).cheapest_key).cast("string")
     j = df.join(F.broadcast(keys), F.col(model_col) == F.col("__known"), "left")
     found = F.coalesce(F.col("__known"), cheapest).alias(model_col)
     return j.select(*[found if c == model_col else F.col(c) for c in df.columns])
@@ -69,7 +68,13 @@ def patch_violations(patch: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def apply_patch(settings: DataFrame, patch: DataFrame) -> DataFrame:
-    """Supplied keys override, the rest is kept (full outer join)."""
-    p = patch.select(F.col("key"), F.col("value").alias("__new"))
-    j = settings.join(p, "key", "full_outer")
-    return j.select("key", F.coalesce(F.col("__new"), F.col("value")).alias("value"))
+    """Supplied keys override, the rest is kept; of a key supplied twice the greatest value counts.
+
+    Both tables are bounded config, so the result is an inline table again
+    and reading it launches no job."""
+    def rows(df: DataFrame, what: str) -> list:
+        return sorted((r["key"], r["value"]) for r in ct.config_rows(df.select("key", "value"), ct.MAX_CONFIG_ROWS, what)
+                      if r["key"] is not None and r["value"] is not None)
+
+    merged = dict(rows(settings, "routing settings")) | dict(rows(patch, "routing patch"))
+    return ct.local_table(settings.sparkSession, sorted(merged.items()), ct.SETTINGS_SCHEMA)

@@ -71,10 +71,10 @@ def _completions(spark, sf):
     return fx.completions(spark, sf, _log(spark, sf))
 
 
-def _outcomes(spark, sf, log=None):
-    """Escalation outcomes of ``log`` (default: every request)."""
-    log = _log(spark, sf) if log is None else log
-    return esc.escalation_outcomes(log, _completions(spark, sf), ct.model_registry(spark))
+def _outcomes(spark, sf, pick=lambda log: log):
+    """Escalation outcomes of the requests that ``pick`` takes from the log (default: all)."""
+    log = _log(spark, sf)
+    return esc.escalation_outcomes(pick(log), fx.completions(spark, sf, log), ct.model_registry(spark))
 
 
 def _verdict_text(spark, sf):
@@ -99,7 +99,11 @@ def _log_esc(spark, sf):
 def _newest(spark, sf, n):
     """Outcomes of the newest ``n`` requests: the limit comes before the join
     with the re-runs."""
-    return _outcomes(spark, sf, rep.newest(_log(spark, sf), n))
+    return _outcomes(spark, sf, lambda log: rep.newest(log, n))
+
+
+def _last_week(log):
+    return rep.since(log, rep.default_as_of(log), 7)
 
 
 def _dbl(c):
@@ -146,9 +150,7 @@ SELECT count(*) AS num_requests,
 FROM log_esc WHERE {_AS_OF_7}"""))
 def q_escalation_rate_7d(spark, sf):
     # the window is cut on the log, before the join with the re-runs
-    log = _log(spark, sf)
-    recent = rep.since(log, rep.default_as_of(log), 7)
-    return rep.escalation_rate(_outcomes(spark, sf, recent), days=None)
+    return rep.escalation_rate(_outcomes(spark, sf, _last_week), days=None)
 
 
 @query("requests_by_tier", with_views(["request_log"], """
@@ -224,9 +226,7 @@ def q_daily_cost_7d(spark, sf):
 SELECT day, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate, count(*) AS num_requests
 FROM log_esc WHERE {_AS_OF_7} GROUP BY day ORDER BY day"""))
 def q_daily_escalation_7d(spark, sf):
-    log = _log(spark, sf)
-    recent = rep.since(log, rep.default_as_of(log), 7)
-    return rep.daily_escalation(_outcomes(spark, sf, recent))
+    return rep.daily_escalation(_outcomes(spark, sf, _last_week))
 
 
 @query("daily_escalation_alert", _esc_sql(f"""

@@ -6,9 +6,11 @@ tier or setting), so they are the only things this package broadcasts.
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +51,9 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     if rows:
         values = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
                            for r in rows)
-        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
-    else:
-        nulls = ", ".join(f"{_sql_literal(None, f.dataType)} AS {f.name}" for f in schema.fields)
-        df = spark.sql(f"SELECT {nulls} WHERE false")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    nulls = ", ".join(f"{_sql_literal(None, f.dataType)} AS {f.name}" for f in schema.fields)
+    return spark.sql(f"SELECT {nulls} WHERE false")
 
 
 # a registry has one row per model; broadcasting beyond this is refused
@@ -84,19 +84,42 @@ def check_bound(n, limit: int, what: str) -> None:
         raise ValueError(f"{what} has {n} rows, more than {limit}; not broadcast")
 
 
-def registry_facts(registry: DataFrame):
-    """One job over the registry: its row count (checked against
-    ``MAX_REGISTRY_ROWS`` before anything broadcasts it) and the cheapest
-    model by input price, ties by registry order (J2's fallback).
-    Returns ``(key, price_in, price_out)`` as Python values (all None for
-    an empty registry)."""
-    r = config_row(registry.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("model_key", "price_in_per_token", "price_out_per_token"),
-                 F.struct("cost_per_1k_input_usd", "registry_order")).alias("c")))
-    check_bound(r["n"], MAX_REGISTRY_ROWS, "model registry")
-    c = r["c"]
-    return (c["model_key"], c["price_in_per_token"], c["price_out_per_token"]) if c else (None, None, None)
+def config_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
+    """All rows of a config table; more than ``limit`` are refused.
+
+    Projections over inline ``VALUES`` fold to a local relation while they
+    are planned, so reading such a table launches no job; a config table
+    kept elsewhere costs one."""
+    rows = df.limit(limit + 1).collect()
+    check_bound(len(rows), limit, what)
+    return rows
+
+
+class RegistryFacts(NamedTuple):
+    """What pricing and routing need of a registry besides its rows (None: no such model)."""
+
+    cheapest_key: str | None = None
+    cheapest_in: Decimal | None = None
+    cheapest_out: Decimal | None = None
+    best_key: str | None = None
+    best_id: str | None = None
+    best_in: Decimal | None = None
+    best_out: Decimal | None = None
+
+
+def registry_facts(registry: DataFrame) -> RegistryFacts:
+    """One read of the registry, size-checked before anything broadcasts it:
+    the cheapest model by input price (J2's fallback) and the best one (C2:
+    of high quality, the highest input + output price), ties by registry order."""
+    rows = config_rows(registry.select("model_key", "model_id", "quality_tier", "cost_per_1k_input_usd", "cost_per_1k_output_usd",
+                                       "registry_order", "price_in_per_token", "price_out_per_token"), MAX_REGISTRY_ROWS, "model registry")
+    if not rows:
+        return RegistryFacts()
+    cheap = min(rows, key=lambda r: (r["cost_per_1k_input_usd"], r["registry_order"]))
+    best = max((r for r in rows if r["quality_tier"] == "high"),
+               key=lambda r: (r["cost_per_1k_input_usd"] + r["cost_per_1k_output_usd"], -r["registry_order"]), default=None)
+    return RegistryFacts(cheap["model_key"], cheap["price_in_per_token"], cheap["price_out_per_token"],
+                         *((best["model_key"], best["model_id"], best["price_in_per_token"], best["price_out_per_token"]) if best else ()))
 
 
 def price_literal(v) -> "F.Column":
@@ -114,14 +137,9 @@ def registry_rows(models=None) -> list[tuple]:
 
 def model_registry(spark: SparkSession, models=None) -> DataFrame:
     """The registry with per-token prices as DECIMAL(18,12)."""
-    df = local_table(spark, registry_rows(models), REGISTRY_SCHEMA)
-    return df.select(
-        "*",
-        (F.col("cost_per_1k_input_usd").cast(PRICE_TOKEN) / F.lit(1000)).cast(PRICE_TOKEN)
-        .alias("price_in_per_token"),
-        (F.col("cost_per_1k_output_usd").cast(PRICE_TOKEN) / F.lit(1000)).cast(PRICE_TOKEN)
-        .alias("price_out_per_token"),
-    )
+    kind = PRICE_TOKEN.simpleString()
+    return local_table(spark, registry_rows(models), REGISTRY_SCHEMA).selectExpr(
+        "*", *(f"CAST(CAST(cost_per_1k_{way}put_usd AS {kind}) / 1000 AS {kind}) AS price_{way}_per_token" for way in ("in", "out")))
 
 
 RULES_SCHEMA = T.StructType([
@@ -165,6 +183,23 @@ def routing_thresholds(settings: DataFrame) -> DataFrame:
     )
 
 
+class RoutingFacts(NamedTuple):
+    """Routing settings as values: model per tier, fallback model, low-confidence threshold."""
+
+    models: dict[int, str]
+    fallback: str | None
+    threshold: float | None
+
+
+def routing_facts(settings: DataFrame) -> RoutingFacts:
+    """One read of the key / value settings, size-checked."""
+    rows = config_rows(settings.select("key", "value"), MAX_CONFIG_ROWS, "routing settings")
+    by_key = {r["key"]: r["value"] for r in rows}
+    tiers = {int(m[1]): v for k, v in by_key.items() if (m := re.fullmatch(r"tier_([0-9]+)_model", k or ""))}
+    threshold = by_key.get("low_confidence_threshold")
+    return RoutingFacts(tiers, by_key.get("fallback_model"), None if threshold is None else float(threshold))
+
+
 def tier_definitions(spark: SparkSession) -> DataFrame:
     """Tier number, name, description, examples and the model each tier routes to."""
     schema = T.StructType([
@@ -176,5 +211,5 @@ def tier_definitions(spark: SparkSession) -> DataFrame:
     rows = [(n, name, text, "\n".join(examples)) for n, name, text, examples in S.TIERS]
     tiers = local_table(spark, rows, schema).withColumn("examples", F.split("examples", "\n"))
     rules = routing_rules(routing_settings(spark))
-    check_bound(rules.count(), MAX_CONFIG_ROWS, "routing rules")
+    config_rows(rules, MAX_CONFIG_ROWS, "routing rules")
     return tiers.join(F.broadcast(rules), "tier", "left").withColumnRenamed("model_key", "routed_to")

@@ -83,8 +83,9 @@ def requests_from_events(ev: DataFrame, registry: DataFrame | None = None, setti
         "quality_gap",
         F.when(F.col("quality_score") < 0, F.lit(0.0))
         .otherwise(F.col("expensive_score") - F.col("quality_score")))
-    routed = resolve_model(route(base, settings), registry)
-    priced = price_requests(routed, registry)
+    facts = ct.registry_facts(registry)
+    routed = resolve_model(route(base, settings), registry, facts=facts)
+    priced = price_requests(routed, registry, facts=facts)
     return esc.decide(priced, t=thresholds)
 
 
@@ -229,8 +230,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def every_model(prompts_df: DataFrame, registry: DataFrame) -> DataFrame:
     """Each prompt once per model of ``registry`` (its keys are read once,
     size-checked, and unfolded per row)."""
-    ct.registry_facts(registry)
-    keys = [r[0] for r in registry.orderBy("registry_order").select("model_key").collect()]
+    rows = ct.config_rows(registry.select("registry_order", "model_key"), ct.MAX_REGISTRY_ROWS, "model registry")
+    keys = [r["model_key"] for r in sorted(rows)]
     return prompts_df.select("*", F.explode(F.array(*map(F.lit, keys))).alias("model_key"))
 
 

@@ -121,3 +121,29 @@ def test_percentiles_of_ties_nulls_and_nothing(spark):
     assert (r.n, r.a, r.b, r.c, r.d, r.e, r.f) == (100, 1.0, 1.0, 2.0, 9.0, 9.0, None)
     r = exact_percentiles(tied.where("v > 100"), "v", [0.5], ["a"]).first()
     assert (r.n, r.a) == (0, None)
+
+
+FITS = ("classify_prompts", "candidate_results", "cross_validation", "calibrated_scores", "golden_gate")
+WRITES = ("request_store", "newest_from_store", "colocated_requests", "rollup_report", "consumed_bitmaps")  # queries whose job is to write first
+
+
+def test_no_job_runs_while_a_report_is_built(spark):
+    from promptledger.plans import catalog
+    tracker = spark.sparkContext.statusTracker()
+    ran = {}
+    for name, build in catalog.QUERIES.items():
+        if name in FITS + WRITES:
+            continue
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        build(spark, SF_SMALL)
+        ran[name] = len(tracker.getJobIdsForGroup(f"build-{name}"))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert {n: k for n, k in ran.items() if k} == {}
+
+
+def test_declared_schemas_are_those_of_the_files(spark):
+    from promptledger.sources.tables import SCHEMAS, table_path
+    for name, ddl in SCHEMAS.items():
+        found = spark.read.parquet(table_path(SF_SMALL, name))
+        assert found.schema.simpleString() == spark.createDataFrame([], ddl).schema.simpleString(), name
+        assert read_table(spark, SF_SMALL, name, *found.columns).count() == found.count()
