@@ -123,7 +123,7 @@ def test_percentiles_of_ties_nulls_and_nothing(spark):
     assert (r.n, r.a) == (0, None)
 
 
-FITS = ("classify_prompts", "candidate_results", "cross_validation", "calibrated_scores", "golden_gate")
+FITS = ("latency_percentiles", "classify_prompts", "candidate_results", "cross_validation", "calibrated_scores", "golden_gate")
 WRITES = ("request_store", "newest_from_store", "colocated_requests", "rollup_report", "consumed_bitmaps")  # queries whose job is to write first
 
 
