@@ -124,8 +124,9 @@ def append_once(rows: DataFrame, path: str, key: str = "id", buckets: int = BUCK
                 fresh_path = state_path(spark, "fresh")
                 staged.join(twice, ["day", key], "left_anti").select(*rows.columns).write.parquet(fresh_path)
                 new = spark.read.schema(rows.schema).parquet(fresh_path)
-    filters(new, key, buckets).write.mode("append").partitionBy("day").parquet(ids_path(path))
-    new.write.mode("append").partitionBy("day").parquet(path)
+    # few files per day folder; a day that is large is split over tasks
+    filters(new, key, buckets).hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(ids_path(path))
+    new.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
     return new
 
 

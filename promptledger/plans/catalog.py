@@ -1078,3 +1078,84 @@ def q_golden_gate(spark, sf):
     gold = clf.featurise(fx.golden_prompts(spark, sf)).select("item_id", "label", *S.FEATURE_NAMES)
     scored = clf.score(model, gold).select("item_id", "label", "predicted", "confidence")
     return clf.golden_gate(scored)
+
+
+# ------------------------------------------------------------ stored log
+
+from ..operators import consumed as cs  # noqa: E402
+from ..operators import request_store as rs  # noqa: E402
+from ..operators import rollup as ru  # noqa: E402
+from ..operators.colocated import ColocatedStore  # noqa: E402
+from ..session import state_path  # noqa: E402
+
+_STORED = ("id", "ts", "day", "complexity_tier", "classifier_conf", "routed_model", "cost_usd", "cost_if_highest_quality", "latency_ms",
+           "quality_score", "quality_gap")
+
+
+def _stored_log(spark, sf) -> str:
+    """The log appended in three batches that overlap; the last one is a full replay."""
+    path = state_path(spark, "request-log")
+    rows = _log(spark, sf).select(*_STORED)
+    for batch in (rows.where("id % 3 <> 0"), rows.where("id % 2 = 0"), rows):
+        rs.append_once(batch, path)
+    return path
+
+
+@query("request_store", with_views(["request_log"], """
+SELECT id, ts, day, complexity_tier, routed_model, CAST(cost_usd AS DOUBLE) AS cost_usd FROM request_log"""))
+def q_request_store(spark, sf):
+    """K1 + Q2: an import whose batches repeat ids, appended under the primary key."""
+    return spark.read.parquet(_stored_log(spark, sf)).select("id", "ts", "day", "complexity_tier", "routed_model", _dbl("cost_usd"))
+
+
+@query("newest_from_store", with_views(["request_log"], """
+SELECT id, ts, complexity_tier, routed_model, latency_ms, quality_score FROM request_log ORDER BY ts DESC, id DESC LIMIT 50"""))
+def q_newest_from_store(spark, sf):
+    """A5 on the stored log: only its newest days are opened."""
+    return rs.newest_rows(spark, _stored_log(spark, sf), 50).select("id", "ts", "complexity_tier", "routed_model", "latency_ms", "quality_score")
+
+
+@query("colocated_requests", _esc_sql(_LATEST_SQL.lstrip().replace("latest AS", ", latest AS", 1) + """
+SELECT l.id, v.quality_score, v.verified_at, l.escalated, l.escalated_model, CAST(l.cost_delta_usd AS DOUBLE) AS cost_delta_usd
+FROM log_esc l LEFT JOIN latest v ON v.id = l.id""", "verdicts"))
+def q_colocated_requests(spark, sf):
+    """J3 + J4 over tables bucketed by request id: stored once, merged without a shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = state_path(spark, "colocated")
+    store = ColocatedStore(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, n)
+    log = _log(spark, sf)
+    store.append_log(log.select(*_STORED))
+    store.append_verdicts(fx.verdicts(spark, sf, log))
+    store.append_outcomes(esc.escalation_outcomes(log, fx.completions(spark, sf, log), ct.model_registry(spark)))
+    merged = store.requests()
+    store.close()  # the files stay; the plan has them
+    return merged.select("id", "quality_score", "verified_at", "escalated", "escalated_model", _dbl("cost_delta_usd"))
+
+
+@query("rollup_report", _esc_sql(f"""
+SELECT day, CAST(round(sum(cost_usd), 6) AS DOUBLE) AS cost_actual, CAST(round(sum(cost_if_highest_quality), 6) AS DOUBLE) AS cost_baseline,
+  count(*) AS num_requests, round(avg(CAST(escalated AS INTEGER)) * 100, 1) AS escalation_rate,
+  count(*) FILTER (WHERE quality_score >= 0 AND (quality_gap > {S.QUALITY_GAP_THRESHOLD} OR quality_score < {S.MIN_CHEAP_SCORE})) AS failures
+FROM log_esc GROUP BY day"""))
+def q_rollup_report(spark, sf):
+    """A6 + A7 + W1 from daily partials: the log is rolled up as it is when a
+    request is made, verdicts and escalations enter as later corrections."""
+    path = state_path(spark, "rollup")
+    now = _outcomes(spark, sf).select(*_STORED, "escalated")
+    made = now.withColumns({"quality_score": F.lit(None).cast("double"), "quality_gap": F.lit(None).cast("double"), "escalated": F.lit(False)})
+    ru.append(ru.partials(made), path)
+    ru.correct(made, now, path)
+    return ru.daily(spark.read.parquet(path))
+
+
+@query("consumed_bitmaps", with_views(["failures", "ledger"], "SELECT id, request_id, classified_tier, correct_tier FROM (" + _PENDING + ")"))
+def q_consumed_bitmaps(spark, sf):
+    """J9 + W2: failures that no run has consumed; two runs compacted into bitmaps, one after them."""
+    ledger, bits = state_path(spark, "ledger"), state_path(spark, "bitmaps")
+    failures = _failures(spark, sf)
+    used = fx.consumed_ledger(failures)
+    cs.consume(used.where("failure_id % 2 = 0"), ledger, "run-1")
+    cs.consume(used.where("failure_id % 5 = 0"), ledger, "run-2")
+    cs.compact(spark, ledger, bits)
+    cs.consume(used.where("failure_id % 2 <> 0"), ledger, "run-3")
+    return cs.pending(failures, ledger, bits).select("id", "request_id", "classified_tier", "correct_tier")
