@@ -43,6 +43,7 @@ from promptledger.llm.storage import small, written
 
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16          # slots summed together
+RUN_BYTES = 500_000      # bytes of whole texts handled at once: bounds the temporary arrays of a worker
 CROWD, DEAL = 8, 6       # classes of a shingle that are paired in full; size of the random groups beyond
 PARTS = 256              # parts of the hash range whose parities bound the difference of two sets
 BITS = [f"w{i}" for i in range(PARTS // 64)]
@@ -97,7 +98,7 @@ def _survey(docs: DataFrame, k: int, slots: int) -> DataFrame:
         names = ["doc_id", "n", "s1", "s2", *BITS, "block", "counts"]
         seen = np.zeros(slots, np.uint32)
         for batch in batches:
-            for run in runs(batch):
+            for run in runs(batch, most=RUN_BYTES):
                 h, d = sets_of(run, k)
                 s1, s2 = _signature(h, d, run.n)
                 seen += np.bincount(_slot(h, slots), minlength=slots).astype(np.uint32) if len(h) > slots // 8 else np.uint32(0)
@@ -150,7 +151,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, level: np.ndarray) ->
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, done = shared.value, set()
         for batch in batches:
-            for run in runs(batch):
+            for run in runs(batch, most=RUN_BYTES):
                 h, d = sets_of(run, k)
                 if not len(h):
                     continue
@@ -192,7 +193,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(batch):
+            for run in runs(batch, most=RUN_BYTES):
                 h, d = sets_of(run, k)
                 edge = np.searchsorted(d, np.arange(run.n + 1))
                 yield pa.RecordBatch.from_arrays(
