@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000
+POWER_STEP = 1 << 19  # the tables of powers grow in steps of so many entries
 U64 = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -50,7 +51,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n (kept and grown as needed)."""
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = -(-n // POWER_STEP) * POWER_STEP
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             step = np.full(size, base, U64)
             step[0] = 1
@@ -129,5 +130,12 @@ def counts(doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, minlength=n).astype(np.int64)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the tables and buffers of the worker are given back, since idle workers live on."""
+    yield from batches
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def take(batch: pa.RecordBatch, column: str, lo: int, hi: int) -> pa.Array:
     return batch.column(column).slice(lo, hi - lo)

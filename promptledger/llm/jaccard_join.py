@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.batches import ByteSums, Run, combine, mix, runs, shingles, take
+from promptledger.llm.batches import ByteSums, Run, combine, mix, released, runs, shingles, take
 from promptledger.llm.components import components
 from promptledger.llm.storage import small, written
 
@@ -115,7 +115,7 @@ def _survey(docs: DataFrame, k: int, slots: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none] * (4 + len(BITS)) + [pa.array([b], pa.int32()),
                                                   pa.array([np.minimum(part, 65535).astype("<u2").tobytes()])], names=names)
 
-    return docs.mapInArrow(of, "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in BITS) + ", block int, counts binary")
+    return docs.mapInArrow(lambda b: released(of(b)), "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in BITS) + ", block int, counts binary")
 
 
 def _levels(survey: DataFrame, slots: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, level: np.ndarray) ->
                 yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[d]), pa.array(pos[pick].astype(np.int32)),
                                                   pa.array(n[d].astype(np.int32))], names=["shingle", "c", "pos", "n"])
 
-    return docs.mapInArrow(of, "shingle long, c long, pos int, n int")
+    return docs.mapInArrow(lambda b: released(of(b)), "shingle long, c long, pos int, n int")
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], num: int, den: int, either: bool) -> DataFrame:
@@ -200,7 +200,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
                     [take(batch, "doc_id", run.lo, run.hi), pa.array([h[edge[i]: edge[i + 1]].tobytes() for i in range(run.n)], pa.binary())], names=["id", "items"])
 
     sets = written(docs.join(small(wanted), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
-                   .mapInArrow(of, "id long, items binary").dropDuplicates(["id"]), "jaccard-sets")
+                   .mapInArrow(lambda b: released(of(b)), "id long, items binary").dropDuplicates(["id"]), "jaccard-sets")
     reps = classes.select("c", "rep")
     pairs = (pairs.join(reps.withColumnsRenamed({"c": "a", "rep": "x"}), "a").join(reps.withColumnsRenamed({"c": "b", "rep": "y"}), "b").select("x", "y"))
     both = (pairs.join(sets.withColumnsRenamed({"id": "x", "items": "xi"}), "x")

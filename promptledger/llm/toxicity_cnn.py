@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.batches import ByteSums, Run, runs, take
+from promptledger.llm.batches import ByteSums, Run, released, runs, take
 from promptledger.llm.storage import without, written
 
 SLOTS = 1 << 17          # rows of the hashed embedding table
@@ -266,7 +266,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                     names=["doc_id", "key", "lang", "score"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("lang").cast("string").alias("lang"), "text")
-            .mapInArrow(of, "doc_id long, key long, lang string, score double"))
+            .mapInArrow(lambda b: released(of(b)), "doc_id long, key long, lang string, score double"))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
