@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, combine, runs
-from promptledger.llm.storage import bucketed, written
+from promptledger.llm.storage import bucketed, discard, folder, written
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.9, 1.0        # of the context restaurants
@@ -423,10 +423,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known: dict = {"docs": text.where(~held).count()}
     known["N"], known["V"] = _sums(words, "words")
     known |= {"t": known["N"], "s": known["V"]}  # until the parent is seated
-    answers = words
+    answers, last = words, []
     for step in range(rounds):
-        pairs = written(_pair_tables(text, answers, n, dict(known), step), "lm-pairs")
-        parent = written(_parent_tables(text, pairs, n, dict(known), step), "lm-parent")
+        own = [folder(docs.sparkSession, name) for name in ("lm-pairs", "lm-parent")]
+        pairs = written(_pair_tables(text, answers, n, dict(known), step), "lm-pairs", own[0])
+        discard(docs.sparkSession, last)  # the new table carries the sums; nothing reads the last round again
+        last = own
+        parent = written(_parent_tables(text, pairs, n, dict(known), step), "lm-parent", own[1])
         known["t"], known["s"] = _sums(parent, "parent")
         answers = words.unionByName(parent).unionByName(pairs)
     return _scores(text, answers, n, known, rounds)

@@ -9,6 +9,8 @@ repeated or speculative task leaves the same file.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +23,41 @@ BROADCAST_ROWS = 200_000
 MAX_BUCKETS = 100_000  # Spark's own limit of a bucketed table
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back."""
-    path = state_path(df.sparkSession, name)
-    df.write.parquet(path)
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give their shuffle files back when they end: a written table needs none of them."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder (at ``path`` if given) and read back."""
+    path = path or state_path(df.sparkSession, name)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared storage that no table in use is read from."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
     """``df`` written as a table with ``n`` buckets by ``column``: grouping by it moves no rows."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
-    (df.write.bucketBy(min(n, MAX_BUCKETS), column).sortBy(column).option("path", state_path(spark, name)).saveAsTable(table))
+    with shuffles_freed(spark):
+        df.write.bucketBy(min(n, MAX_BUCKETS), column).sortBy(column).option("path", state_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
