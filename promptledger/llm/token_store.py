@@ -12,16 +12,16 @@ Format, under one folder of the shared storage:
   rank of that bit is the key's slot; each slot stores a 32-bit fingerprint,
   the shard, the first record and the number of records of the key.
 * ``manifest.json``: id width, bucket count and, per shard, the number of
-  documents, of ids, and of ids before it.
+  documents, of ids, of ids before it, and of documents with a null key.
 
 A key is found in constant time: bucket, a few bit tests, one rank, one
 fingerprint; the payload is then a slice of the shard.
 
 Defined results: a null text is an empty document (the end id alone).
 Repeated keys keep every row, next to each other and ordered by text; a lookup
-returns them all.  Null keys are stored first but not indexed, so a lookup does
-not return them.  An empty table gives a store without shards.  Other columns
-are ignored.
+returns them all, once, however often the key is asked for.  Null keys are
+stored first; the manifest tells where, and a lookup of null returns them all.
+An empty table gives a store without shards.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ TRAILER = "<8sQQQ"
 BUCKET_KEYS = 8_192       # expected keys of one index bucket
 CACHED_WORDS = 800_000    # words whose ids a worker remembers
 ENCODE_CHARS = 2_000_000  # characters handed to the tokenizer at a time
+NULL_BUCKET = -1          # where lookups of the null key go
 _FINGERPRINT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -194,12 +195,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> dict
 
     records = written(rows.mapInArrow(shard, "doc_id long, shard int, record long, n_tokens long"), "token-records")
     # one row per shard: a bounded summary, whatever the number of documents
-    shards = sorted(records.groupBy("shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).collect())
+    shards = sorted(records.groupBy("shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids"),
+                                                F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
     total = sum(s.n for s in shards)
     manifest = {"buckets": max(1, math.ceil(total / BUCKET_KEYS)), "shards": {}}
     before = 0
     for s in shards:
-        manifest["shards"][str(s.shard)] = {"docs": s.n, "ids": s.ids, "start": before}
+        manifest["shards"][str(s.shard)] = {"docs": s.n, "ids": s.ids, "start": before, "nulls": s.nulls}
         before += s.ids
 
     def index(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -266,28 +268,36 @@ def read(keys: DataFrame, folder: str, payload: bool = False) -> DataFrame:
 
     Keys go to their index bucket, then their locations to their shard, where
     payload slices are read in file order.  Unknown keys give no row; a key
-    asked for twice gives its rows twice.
+    asked for twice gives its rows once.
     """
     manifest = json.loads(get(f"{folder}/manifest.json"))
     n, starts = manifest["buckets"], {int(k): v["start"] for k, v in manifest["shards"].items()}
+    # null keys come first in the order of keys, so they are the first records of their shards
+    nulls = {int(k): v["nulls"] for k, v in manifest["shards"].items() if v["nulls"]}
+    names = ["doc_id", "shard", "record", "n"]
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
         for batch in batches:
-            ids, bucket = batch.column("doc_id").to_numpy(), batch.column("bucket").to_numpy()
+            ids, bucket = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("bucket").to_numpy()
             for lo, hi in _groups(bucket):
+                if bucket[lo] == NULL_BUCKET:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(nulls), pa.int64()), pa.array(list(nulls), pa.int32()), pa.array([0] * len(nulls), pa.int64()),
+                         pa.array(list(nulls.values()), pa.int64())], names=names)
+                    continue
                 if bucket[lo] != at:
                     at, index = bucket[lo], IndexBucket(folder, bucket[lo])
                 slot, known = index.find(ids[lo:hi])
                 slot = slot[known]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo:hi][known]), pa.array(index.shard[slot]), pa.array(index.record[slot]),
-                     pa.array(index.count[slot])], names=["doc_id", "shard", "record", "n"])
+                     pa.array(index.count[slot])], names=names)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         for batch in batches:
-            ids, number = batch.column("doc_id").to_numpy(), batch.column("shard").to_numpy()
+            ids, number = batch.column("doc_id").to_pylist(), batch.column("shard").to_numpy()
             record, count = batch.column("record").to_numpy(), batch.column("n").to_numpy()
             for lo, hi in _groups(number):
                 if number[lo] != at:
@@ -298,7 +308,7 @@ def read(keys: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                 for i in range(lo, hi):
                     for r in range(record[i], record[i] + count[i]):
                         got = shard.get(r)
-                        out.append((int(ids[i]), int(starts[int(at)] + shard.offsets[r]), len(got),
+                        out.append((ids[i], int(starts[int(at)] + shard.offsets[r]), len(got),
                                     zlib.crc32(got.tobytes()), *([got.tolist()] if payload else [])))
                 cols = list(zip(*out)) if out else []
                 if cols:
@@ -306,8 +316,10 @@ def read(keys: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(cols)])
 
-    located = (keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-               .withColumn("bucket", _bucket(n)).repartition("bucket").sortWithinPartitions("bucket"))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(NULL_BUCKET)).otherwise(_bucket(n))
+    # a repeated key is asked for once; the grouping is by bucket already, so it moves no rows again
+    located = (keys.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("bucket", bucket)
+               .repartition("bucket").groupBy("bucket", "doc_id").agg(F.lit(1)).select("doc_id", "bucket").sortWithinPartitions("bucket"))
     return (located.mapInArrow(locate, "doc_id long, shard int, record long, n long")
             .repartition("shard").sortWithinPartitions("shard", "record")
             .mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * payload))

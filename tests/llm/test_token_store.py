@@ -25,11 +25,10 @@ def expected(rows):
 def test_store_equals_the_library(spark, odd, odd_rows, tmp_dir):
     at = f"{tmp_dir}/store"
     ts.write(odd, at, PATH)
-    keys = odd.select("doc_id").distinct()
-    got = sorted(tuple(r) for r in ts.read(keys, at).collect())
+    got = sorted(tuple(r) for r in ts.read(odd, at).collect())
     assert got == sorted(expected(odd_rows))
     one = ts.read(spark.createDataFrame([(9,), (9,), (77,)], "doc_id long"), at, payload=True).collect()
-    assert [r.doc_id for r in one] == [9] * 4 and all(len(r.ids) == r.n_tokens for r in one)
+    assert [r.doc_id for r in one] == [9] * 2 and all(len(r.ids) == r.n_tokens for r in one)
 
 
 def test_special_names_and_upper_case(spark, tmp_dir):
@@ -43,9 +42,14 @@ def test_special_names_and_upper_case(spark, tmp_dir):
 def test_null_ids_and_empty_table(spark, nothing, tmp_dir):
     ts.write(nothing, f"{tmp_dir}/none", PATH)
     assert ts.read(nothing, f"{tmp_dir}/none").count() == 0
-    some = spark.createDataFrame([(None, "a b"), (5, "c")], "doc_id long, text string")
+    rows = [(None, "a b"), (5, "c"), (None, None), (None, "a b"), (5, "c"), (0, "zero"), (5, None)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
     ts.write(some, f"{tmp_dir}/some", PATH)
-    assert [(r.doc_id, r.start) for r in ts.read(some, f"{tmp_dir}/some").collect()] == [(5, 3)]
+    got = ts.read(some, f"{tmp_dir}/some").collect()
+    assert len(got) == len(rows)  # one row per document, whatever its id
+    first = [(-1, t) if i is None else (i, t) for i, t in rows]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == expected(first)
+    assert [r.doc_id for r in ts.read(some.where("doc_id is null"), f"{tmp_dir}/some").collect()] == [None] * 3
 
 
 def test_perfect_hash_is_minimal_and_knows_strangers():
