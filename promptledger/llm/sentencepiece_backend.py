@@ -3,16 +3,16 @@
 The model file (a protobuf) is parsed here; from it the normaliser, the
 metaspace marker, the model (BPE merges in score order, or unigram scores) and
 byte fallback are rebuilt as a ``tokenizers`` object.  Batches are encoded by
-the library's threads (``threads`` per task).
+the library's threads (``threads`` per task; at least two, or the task's cores).
 
 A text is normalised whole and cut before each marker that follows another
 character, and before each line end if no piece contains one; no piece crosses
 such a cut (checked when the model is loaded; else texts stay whole).  Every
-distinct segment is encoded once per worker, compared with the sentencepiece
-library's ids and decoded back; where the two libraries differ (ties among
-runs of blanks), the segment takes the sentencepiece library's ids.  ``parity``
-of a document says that all its segments agreed, ``round_trip`` that its ids
-decode to its normalised text.
+distinct segment is encoded once per worker and decoded back.  The ids are the
+rebuilt object's.  ``parity`` of a document says that the sentencepiece library
+gives the same ids: compared by segment for a model whose normaliser only
+replaces blanks, else by whole text.  ``round_trip`` says that its ids decode
+to its normalised text.
 
 Defined results: a null or empty text gives no ids and round-trips.  Control
 and byte names in a text (``<s>``, ``<0x0A>``) are ordinary text.  Repeated
@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +123,9 @@ class Codec:
     """Encoder and decoder of one model file, with a bounded cache of segments."""
 
     def __init__(self, path: str, threads: int = 1) -> None:
+        self.threads = threads
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         import sentencepiece
         from tokenizers import normalizers
         with open(path, "rb") as f:
@@ -183,20 +185,26 @@ class Codec:
         """
         lead = len(self.reference.encode("\n"))
         plain = ["\n" + s.replace(MARK, " ") for s in segments]
-        return [ids[lead:] for ids in self.reference.encode(plain, num_threads=1)]
+        return [ids[lead:] for ids in self.reference.encode(plain, num_threads=self.threads)]
 
     def _learn(self, keys: list[str]) -> None:
         segments = [self._segment(k) for k in keys]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        truth = self._reference_ids(segments) if self.plain else found
-        back = self.tokenizer.decode_batch(truth, skip_special_tokens=False)
+        truth = self._reference_ids(segments) if self.plain else found  # other models: see ``_agree``
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
         for k, s, f, t, b in zip(keys, segments, found, truth, back):
-            self.known[k] = array("I", t).tobytes()
+            self.known[k] = array("I", f).tobytes()
             if f != t:
                 self.disagree.add(k)
             if b.replace(" ", MARK) != s:
                 self.broken.add(k)
 
+    def _agree(self, texts: list[str], split: list[list[str]], ids: list[bytes]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids, per text."""
+        if self.plain:
+            return [not self.disagree or self.disagree.isdisjoint(keys) for keys in split]
+        return [array("I", t).tobytes() == own for t, own in zip(self.reference.encode(texts, num_threads=self.threads), ids)]
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Per text: ids (little-endian, 4 bytes), parity, round trip."""
         if len(self.known) > CACHED_SEGMENTS:
@@ -207,8 +215,9 @@ class Codec:
         if new:
             self._learn(list(new))
         known = self.known.__getitem__
-        return [(b"".join(map(known, keys)), self.disagree.isdisjoint(keys) if self.disagree else True,
-                 self.broken.isdisjoint(keys) if self.broken else True) for keys in split]
+        ids = [b"".join(map(known, keys)) for keys in split]
+        return [(own, agreed, not self.broken or self.broken.isdisjoint(keys))
+                for own, agreed, keys in zip(ids, self._agree(texts, split, ids), split)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, without the marker that was put in front."""
@@ -221,6 +230,11 @@ def codec(path: str, threads: int = 1) -> Codec:
     return Codec(path, threads)
 
 
+def _threads(threads: int | None) -> int:
+    task = TaskContext.get()
+    return threads or max(2, task.cpus() if task else 1)
+
+
 def _parts(texts: list[str | None]) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
@@ -233,20 +247,23 @@ def _parts(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
-def encode(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = True, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = True, threads: int | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs(text, ...)`` with n_tokens, ids_crc32, parity, round_trip[, ids].
 
-    New columns replace those of the same names.
+    New columns replace those of the same names; all others are carried along.
     """
     new = ["n_tokens", "ids_crc32", "parity", "round_trip", "ids"][: 5 if with_ids else 4]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    body = "_text"
+    while body in {c.lower() for c in keep}:
+        body += "_"
+    rows = docs.select(*keep, F.col("text").alias(body))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, threads)
+        own = codec(model, _threads(threads))
         for batch in batches:
             lo = 0
-            for part in _parts(batch.column("_text").to_pylist()):
+            for part in _parts(batch.column(body).to_pylist()):
                 found = own.encode(part)
                 cols = [pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array([zlib.crc32(f[0]) for f in found], pa.int64()),
                         pa.array([f[1] for f in found]), pa.array([f[2] for f in found])]
@@ -263,12 +280,12 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids:
     return rows.mapInArrow(of, schema)
 
 
-def decode(encoded: DataFrame, model: str, threads: int = 1) -> DataFrame:
+def decode(encoded: DataFrame, model: str, threads: int | None = None) -> DataFrame:
     """``encoded(ids, ...)`` with the column ``decoded``; null ids decode to an empty text."""
     keep = [c for c in encoded.columns if c != "decoded"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, threads)
+        own = codec(model, _threads(threads))
         for batch in batches:
             texts = own.decode([x or [] for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=keep + ["decoded"])

@@ -59,5 +59,29 @@ def test_unigram_model_with_byte_fallback(tmp_path):
     own, ref = sb.Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
     rng = random.Random(4)
     texts = ["".join(rng.choices(["a", "b", "c", " ", "é", "ab"], k=rng.randrange(12))) for _ in range(500)]
-    for t, (ids, _, back) in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t) and back, t
+    for t, (ids, parity, back) in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t) and parity and back, t
+
+
+def test_ids_come_from_the_rebuilt_object_and_parity_tells_differences():
+    own, ref = sb.Codec(PATH, threads=2), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    real = own.tokenizer
+
+    class Other:  # an object that encodes one word differently
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return real.encode_batch_fast([t.replace("cat", "dog") for t in texts], add_special_tokens=add_special_tokens)
+
+        def decode_batch(self, ids, skip_special_tokens):
+            return real.decode_batch(ids, skip_special_tokens=skip_special_tokens)
+
+    own.tokenizer = Other()
+    (one, agrees, back), (_, fine, whole) = own.encode(["a cat", "a bird"])
+    assert np.frombuffer(one, "<u4").tolist() == ref.encode("a dog") and not agrees and not back and fine and whole
+    own.plain, own.known = False, {}
+    assert [x[1] for x in own.encode(["a cat", "a bird"])] == [False, True]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2, "y")], "doc_id long, text string, _text string, n_tokens long, _TEXT_ string")
+    r = sb.encode(df, PATH).first()
+    assert (r["_text"], r["_TEXT_"], r["text"]) == ("x", "y", "a b") and r.n_tokens == len(r.ids) and r.parity and r.round_trip
