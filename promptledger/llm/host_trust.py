@@ -3,12 +3,18 @@
 Rules decide the urls they fit.  For the others, every host with an allowed
 page is a trusted seed, and every host with a blocked page a blocked seed (a
 host can be both); a seed weighs as much as the share of its pages that the
-rules allow or block, if that is at least ``SEED_SHARE``.  Personalised PageRank
-carries trust along the edges of the host graph (a host vouches for the hosts
-it links to) and distrust against them (a host that links to a bad host is
-suspect).  Edges are the hyperlinks between hosts, and both directions between
-a host and its parent domain.  A host is blocked if its distrust outweighs its
-trust and is above the mean of all hosts; all others are allowed.
+rules allow or block.  Personalised PageRank carries trust along the edges of
+the host graph (a host vouches for the hosts it links to) and distrust against
+them (a host that links to a bad host is suspect).  Edges are the hyperlinks
+between hosts, and both directions between a host and its parent domain.
+
+What a host receives from others is its rank less what it was given as a seed;
+its suspicion is the distrust's share of what it receives.  The bar is
+calibrated on the seeds, each judged by what it receives from others alone: it
+lies midway between the mean suspicion of the blocked and of the allowed ones
+(by weight).  A host is blocked if its suspicion is above the bar; hosts that
+receive nothing are allowed, and so are all if there are not seeds of both
+kinds to calibrate with, except those that receive distrust only.
 
 All of it is DataFrame joins and sums: links are summed per pair of hosts
 before they are shuffled, so a host with a third of all pages costs one row per
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 from promptledger.llm.storage import written
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 12, 4
-DISTRUST_SHARE = 0.5   # of a host's trust and distrust together, above which it is blocked
-SEED_SHARE = 0.0       # of a host's pages that a rule must fit for the host to be a seed (0: any page)
+MARGIN = 1e-9          # above the bar: sums of another order differ by less
+NO_BAR = 1 - 2 * MARGIN  # without seeds of both kinds: only hosts that receive nothing but distrust are above it
 MAX_RULES = 500        # rules are folded into one expression
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -108,19 +114,33 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return rank
 
 
+def suspicion(rank: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``rank`` with the distrust's share of what the host receives from others (null if it receives nothing)."""
+    given = seeds.select("host", *((F.lit(1 - DAMPING) * F.col(c)).alias(f"given_{c}") for c in ("trust", "distrust")))
+    received = {c: F.greatest(F.col(c) - F.coalesce(f"given_{c}", F.lit(0.0)), F.lit(0.0)) for c in ("trust", "distrust")}
+    some = received["trust"] + received["distrust"]
+    return (rank.join(given, "host", "left")
+            .select("host", "trust", "distrust", F.when(some > MARGIN * MARGIN, received["distrust"] / some).alias("suspicion")))
+
+
+def bar(rank: DataFrame, seeds: DataFrame) -> float:
+    """Midway between the mean suspicion of the allowed and the blocked seeds; ``NO_BAR`` without one of them."""
+    own = rank.where("suspicion is not null").select("host", "suspicion").join(seeds, "host")
+    means = own.agg(*(F.try_divide(F.sum(F.col(c) * F.col("suspicion")), F.sum(c)) for c in ("trust", "distrust"))).first()
+    return NO_BAR if None in tuple(means) else sum(means) / 2
+
+
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     known = judged_by_rules(pages, rules)
     action = F.col("action")
     per_host = (known.where("host != ''").groupBy("host")
-                .agg((F.count_if(action == "allow") / F.count("*")).alias("good"), (F.count_if(action == "block") / F.count("*")).alias("bad"))
-                .select("host", *(F.when(F.col(c) >= SEED_SHARE, F.col(c)).otherwise(0.0).alias(c) for c in ("good", "bad"))))
+                .agg((F.count_if(action == "allow") / F.count("*")).alias("good"), (F.count_if(action == "block") / F.count("*")).alias("bad")))
     total = per_host.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = (per_host.where("good > 0 or bad > 0")
              .select("host", (F.col("good") / F.lit(total.good or 1.0)).alias("trust"), (F.col("bad") / F.lit(total.bad or 1.0)).alias("distrust")))
-    rank = propagate(host_edges(pages), seeds)
-    mean = 1.0 / max(1, rank.count())
-    suspect = (F.col("distrust") > mean) & (F.col("distrust") > DISTRUST_SHARE * (F.col("trust") + F.col("distrust")))
+    rank = suspicion(propagate(host_edges(pages), seeds), seeds)
+    suspect = F.col("suspicion") > F.lit(bar(rank, seeds) + MARGIN)
     return (known.join(rank, "host", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("action", F.when(suspect, F.lit("block")), F.lit("allow")).alias("verdict"), "trust", "distrust"))
@@ -147,9 +167,8 @@ def sql(rules: list[Rule]) -> str:
     h as materialized (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') host,
           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
     k as materialized (select page_id, host, path, {rule} "rule", {action} "action" from h),
-    share as (select host, count(*) filter ("action" = 'allow') / count(*) good, count(*) filter ("action" = 'block') / count(*) bad
+    per as (select host, count(*) filter ("action" = 'allow') / count(*) good, count(*) filter ("action" = 'block') / count(*) bad
               from k where host != '' group by host),
-    per as (select host, if(good >= {SEED_SHARE}, good, 0) good, if(bad >= {SEED_SHARE}, bad, 0) bad from share),
     seeds as materialized (select host, good / coalesce(nullif((select sum(good) from per), 0), 1) trust,
             bad / coalesce(nullif((select sum(bad) from per), 0), 1) distrust from per where good > 0 or bad > 0),
     l as (select host src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') dst from h),
@@ -161,7 +180,13 @@ def sql(rules: list[Rule]) -> str:
     e0 as (select src, dst, sum(n) n from (select * from links union all select * from up where dst != ''
            union all select dst, src, n from up where dst != '') group by all),
     e as materialized (select src, dst, n / sum(n) over (partition by src) along, n / sum(n) over (partition by dst) against from e0),
-    {", ".join(steps)}
-    select page_id, k.host, path, "rule", coalesce("action", case when distrust > 1.0 / (select count(*) from {last})
-           and distrust > {DISTRUST_SHARE} * (trust + distrust) then 'block' end, 'allow') verdict,
-           trust, distrust from k left join {last} r on k.host = r.host"""
+    {", ".join(steps)},
+    got as (select r.host, r.trust, r.distrust, s.trust good, s.distrust bad,
+            greatest(r.trust - coalesce({1 - DAMPING} * s.trust, 0), 0) t, greatest(r.distrust - coalesce({1 - DAMPING} * s.distrust, 0), 0) d
+            from {last} r left join seeds s on r.host = s.host),
+    judged as materialized (select host, trust, distrust, good, bad, case when t + d > {MARGIN * MARGIN} then d / (t + d) end suspicion from got),
+    means as (select sum(good * suspicion) / nullif(sum(good), 0) g, sum(bad * suspicion) / nullif(sum(bad), 0) b
+              from judged where suspicion is not null),
+    cut as (select coalesce((g + b) / 2, {NO_BAR!r}) + {MARGIN} bar from means)
+    select page_id, k.host, path, "rule", coalesce("action", case when suspicion > (select bar from cut) then 'block' end, 'allow') verdict,
+           trust, distrust from k left join judged r on k.host = r.host"""

@@ -70,3 +70,16 @@ def test_a_host_with_some_blocked_pages_is_a_seed(spark):
     got = {r.page_id: r.verdict for r in ht.judge(df, [("block", "mixed.net", "/de/"), ("allow", "org", "/fr/")]).collect()}
     assert all(got[i] == "block" for i in [*range(3), *range(20, 25)])
     assert all(got[i] == "allow" for i in [*range(40, 48), *range(60, 68)])
+
+
+def test_bar_lies_between_the_seeds_of_both_kinds(spark):
+    seeds = spark.createDataFrame([("a", 0.75, 0.0), ("b", 0.25, 0.5), ("c", 0.0, 0.5)], "host string, trust double, distrust double")
+    own = 1 - ht.DAMPING
+    # received from others: a 0.3 trust and 0.1 distrust, b nothing, c distrust only; d is no seed
+    rank = spark.createDataFrame([("a", 0.75 * own + 0.3, 0.1), ("b", 0.25 * own, 0.5 * own), ("c", 0.0, 0.5 * own + 0.2), ("d", 0.3, 0.1)],
+                                 "host string, trust double, distrust double")
+    found = ht.suspicion(rank, seeds)
+    got = {r.host: r.suspicion for r in found.collect()}
+    assert np.allclose([got["a"], got["c"], got["d"]], [0.25, 1.0, 0.25]) and got["b"] is None
+    assert np.isclose(ht.bar(found, seeds), (0.25 + 1.0) / 2)
+    assert ht.bar(found, seeds.withColumn("trust", seeds.trust * 0)) == ht.NO_BAR
