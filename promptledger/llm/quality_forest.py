@@ -2,10 +2,13 @@
 
 1. One pass over the whole texts gives each document's rule statistics
    (counts of words, symbols, repeated lines, repeated words and so on).
-2. ``TREES`` isolation trees are grown, each on ``PSI`` documents drawn from a
-   pool of ``POOL`` documents (the ones with the smallest hash of their id;
-   all three bounds are parameters of the method).  A document that few random
-   splits isolate is anomalous: its mean path length is short.
+2. ``TREES`` isolation trees are grown, each on its own ``PSI`` documents: the
+   ``TREES * PSI`` documents with the smallest hashes of id and statistics are
+   dealt to the trees, so each tree has a random sample of the whole corpus
+   (both numbers are parameters of the method; in a corpus of fewer documents
+   trees share them).  Rows with the same id and statistics are drawn once.  A
+   document that few random splits isolate is anomalous: its mean path length
+   is short.
 3. The anomaly threshold is calibrated on every labelled row that the base
    rules pass: of the thresholds that keep at least ``KEEP`` of the rows
    labelled good, the one that separates good and bad rows best.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from promptledger.llm.batches import ByteSums, combine, counts, runs, shingles, take
 from promptledger.llm.storage import written
 
-TREES, PSI, POOL, KEEP = 100, 256, 8_192, 0.99
+TREES, PSI, KEEP = 100, 256, 0.99
 BINS = 1_000  # steps in which anomaly scores are counted for the calibration
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -122,7 +125,9 @@ class Forest:
     def __init__(self, x: np.ndarray, seed: int = 7, trees: int = TREES, psi: int = PSI) -> None:
         rng = np.random.default_rng(seed)
         self.psi = min(psi, len(x))
-        self.trees = [self._grow(x[rng.choice(len(x), self.psi, replace=False)], rng) for _ in range(trees)]
+        dealt = rng.permutation(len(x)) if len(x) >= trees * psi else None
+        self.trees = [self._grow(x[rng.choice(len(x), self.psi, replace=False) if dealt is None else dealt[i * psi: (i + 1) * psi]], rng)
+                      for i in range(trees)]
 
     def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, value, left, right, path = [], [], [], [], []
@@ -163,10 +168,10 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(_mean_path(self.psi), 1e-9))
 
 
-def fit(stats: DataFrame, pool: int = POOL) -> Forest | None:
-    rows = (stats.withColumn("_h", F.xxhash64("doc_id", F.lit(11))).orderBy("_h", "doc_id", *STATS)
-            .limit(pool).drop("_h").toPandas())
-    return Forest(features(rows)) if len(rows) else None
+def fit(stats: DataFrame, trees: int = TREES, psi: int = PSI) -> Forest | None:
+    rows = (stats.distinct().withColumn("_h", F.xxhash64("doc_id", *STATS, F.lit(11))).orderBy("_h", "doc_id", *STATS)
+            .limit(trees * psi).drop("_h").toPandas())
+    return Forest(features(rows), trees=trees, psi=psi) if len(rows) else None
 
 
 def anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:

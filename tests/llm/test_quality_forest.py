@@ -42,6 +42,23 @@ def test_forest_finds_what_is_unlike_the_rest():
     assert qf.Forest(np.ones((1, 4))).score(np.ones((2, 4))).shape == (2,)
 
 
+def test_one_id_with_many_rows_does_not_fill_the_sample(spark):
+    stats = spark.range(60_000).selectExpr("if(id < 30000, 7, id) doc_id", "if(id < 30000, 900, 100 + id % 50) n_words",
+                                           *(f"0L {c}" for c in qf.STATS[1:]))
+    forest = qf.fit(stats)
+    odd, common = forest.score(qf.features(stats.where("doc_id = 7 or doc_id = 40000").distinct().orderBy("n_words").toPandas()))[::-1]
+    assert odd >= common  # its 30,000 equal rows are drawn once at most
+
+
+def test_trees_have_their_own_rows_of_a_large_corpus(monkeypatch):
+    taken = []
+    monkeypatch.setattr(qf.Forest, "_grow", lambda self, x, rng: taken.append(x) or ())
+    qf.Forest(np.arange(40.0).reshape(-1, 1), trees=5, psi=8)
+    assert [len(x) for x in taken] == [8] * 5 and sorted(np.concatenate(taken).ravel()) == list(range(40))
+    qf.Forest(np.arange(20.0).reshape(-1, 1), trees=5, psi=8)
+    assert [len(set(x.ravel())) for x in taken[5:]] == [8] * 5
+
+
 def test_threshold_keeps_good_rows_and_rejects_bad_ones(spark):
     rng = random.Random(9)
     rows, labels = [], []
