@@ -7,9 +7,10 @@ response over the whole text (max pooling), and a logistic layer turns the
 pooled responses into a probability, calibrated by Platt scaling at the
 labels' own share of toxic rows.
 
-The network is fitted on a bounded sample of labelled rows (``SAMPLE`` rows a
-class, in hash order of the id, texts of up to ``SAMPLE_TOKENS`` tokens;
-scoring has no such limit).  Thresholds by language are calibrated on every
+The network is fitted on a bounded sample of labelled rows: the whole texts of
+``SAMPLE`` ids a class, in hash order, while they have ``SAMPLE_TOKENS`` tokens
+or fewer together (scoring has no limit).  Equal texts are one row of the
+sample, toxic if one of them is.  Thresholds by language are calibrated on every
 labelled row of the training fold.  The score depends on the text alone.
 
 Defined results: a null or empty text has no tokens and gets the score of the
@@ -35,7 +36,7 @@ SLOTS = 1 << 17          # rows of the hashed embedding table
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 SAMPLE = 3_000           # labelled rows of each class that the network is fitted on
-SAMPLE_TOKENS = 2_000    # longer texts are not drawn for fitting
+SAMPLE_TOKENS = 2_000_000  # tokens of all drawn texts together; a text of any length can be drawn
 EPOCHS, BATCH, RATE = 6, 64, 0.15
 PREDICT = 0.7
 RUN_BYTES = 500_000      # bytes scored at a time
@@ -197,8 +198,12 @@ def _labels(labels: DataFrame) -> DataFrame:
             .where(fold() != 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """The network, fitted on at most ``sample`` distinct texts of each class; None without both classes."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_TOKENS) -> Network | None:
+    """The network, fitted on the whole texts of at most ``sample`` labelled ids of each class; None without both classes.
+
+    Equal texts count once, as toxic if one of them is.  Of the drawn texts, those with
+    the smallest hashes are taken while they have ``most`` tokens or fewer together.
+    """
     label = _labels(labels)
     share = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}
     if len(share) < 2:
@@ -214,16 +219,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
                 edge = np.searchsorted(doc, np.arange(run.n + 1))
                 label_of = take(batch, "toxic", run.lo, run.hi).to_pylist()
                 ids_of = take(batch, "doc_id", run.lo, run.hi).to_pylist()
-                rows = [(ids_of[i], label_of[i], found[edge[i]: edge[i + 1]].tobytes()) for i in range(run.n)
-                        if edge[i + 1] - edge[i] <= SAMPLE_TOKENS]
+                rows = [(ids_of[i], label_of[i], found[edge[i]: edge[i + 1]].tobytes()) for i in range(run.n)]
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                                                       pa.array(cols[2], pa.binary())], names=["doc_id", "toxic", "slots"])
 
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-            .mapInArrow(slots, "doc_id long, toxic int, slots binary").dropDuplicates(["slots"])
-            .orderBy("doc_id").toPandas())
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+                    .mapInArrow(slots, "doc_id long, toxic int, slots binary")
+                    .groupBy("slots").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+                    .withColumn("at", F.xxhash64("doc_id", "slots")), "toxicity-sample")
+    # an id can have any number of texts, so they are bounded too: at most 2 x sample pairs of numbers
+    size = texts.select("at", (F.octet_length("slots") / (4 * (1 + len(PREFIXES)))).alias("n")).orderBy("at").limit(2 * sample).toPandas()
+    size = size[size["n"].cumsum() <= most]
+    if not len(size):
+        return None
+    rows = texts.where(F.col("at") <= int(size["at"].iloc[-1])).orderBy("doc_id", "at").select("toxic", "slots").toPandas()
     if rows["toxic"].nunique() < 2:
         return None
     parts = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(PREFIXES)) for b in rows["slots"]]

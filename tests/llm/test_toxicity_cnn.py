@@ -53,3 +53,31 @@ def test_odd_rows_and_missing_labels(spark, odd, nothing, planted):
     assert {(r.score, r.predicted) for r in tc.judge(odd, none).collect()} == {(0.0, 0)}
     assert tc.judge(nothing, labels).count() == 0
     assert tc.clean(odd, none).columns == odd.columns
+
+
+def test_long_and_equal_texts_take_part_in_fitting(spark, planted):
+    """Toxic words that only texts of over 2,000 tokens have; and texts that occur with both labels."""
+    docs, labels, _ = planted
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(2_000, 2_120):
+        toxic = i % 2
+        w = prose(rng, 2_500).split()
+        if toxic:
+            for _ in range(6):
+                w.insert(rng.randrange(len(w)), "zwurbel")
+        rows.append((i, " ".join(w), "en"))
+        marks.append((i, toxic))
+    rows += [(3_000 + i, f"plain snark {chr(97 + i // 40)}{chr(97 + i // 4 % 10)}", "en") for i in range(400)]
+    marks += [(3_000 + i, int(i % 4 < 2)) for i in range(400)]  # a text is toxic if one of its rows is
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    labels = labels.unionByName(spark.createDataFrame(marks, labels.schema))
+    net = tc.fit(docs, labels)
+    got = {r.doc_id: r.score for r in tc.score(docs, net).collect()}
+    held = [i for i in range(2_000, 2_120) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((got[i] >= tc.PREDICT) == bool(i % 2) for i in held) / len(held) > 0.9
+    snark = [got[3_000 + i] for i in range(400)]
+    assert sum(s > 0.5 for s in snark) > 300
+    again = tc.fit(docs.repartition(7), labels)
+    assert (again.embed == net.embed).all() and (again.scale, again.shift) == (net.scale, net.shift)
+    assert tc.fit(docs, labels, most=0) is None
