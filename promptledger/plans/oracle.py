@@ -95,9 +95,7 @@ LEFT JOIN registry p ON p.model_key = coalesce(
 def _prompt_expr() -> str:
     cases = []
     for i, (prefix, suffix, fenced) in enumerate(PROMPT_TEMPLATES):
-        if fenced is None:
-            e = f"{_q(prefix)} || CAST(doc_id AS VARCHAR) || {_q(suffix)}"
-        elif fenced:
+        if fenced:
             e = f"{_q(prefix)} || {_q(FENCE)} || body || {_q(FENCE.rstrip(chr(10)))} || {_q(suffix)}"
         else:
             e = f"{_q(prefix)} || body || {_q(suffix)}"

@@ -26,7 +26,7 @@ from .tables import read_table
 PROMPT_TEMPLATES = [
     ("Extract every invoice number from this note: ", "", False),
     ("Is this sentence polite? Answer yes or no: ", "", False),
-    ("Convert this amount to euros: ", " dollars", None),
+    ("Convert this amount to euros: ", " dollars", False),
     ("Count the vowels in: ", "", False),
     ("Summarize the passage in two lines and list the main points: ", "", False),
     ("Classify the message as praise, bug report or request: ", "", False),
@@ -97,9 +97,7 @@ def templated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     choice = did % 12
     expr = None
     for i, (prefix, suffix, fenced) in enumerate(PROMPT_TEMPLATES):
-        if fenced is None:
-            text = F.concat(F.lit(prefix), did.cast("string"), F.lit(suffix))
-        elif fenced:
+        if fenced:
             text = F.concat(F.lit(prefix), F.lit(FENCE), body, F.lit(FENCE.rstrip("\n")), F.lit(suffix))
         else:
             text = F.concat(F.lit(prefix), body, F.lit(suffix))

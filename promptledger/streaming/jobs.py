@@ -105,8 +105,10 @@ def alert_step(state_path: str, alerts_path: str, t: Thresholds = DEFAULT_THRESH
     is run again after a failure (``foreachBatch`` is at-least-once) rewrites
     the same two folders with the same rows instead of counting its requests
     twice.  State of an earlier epoch that is missing is an error: going on
-    without it would silence an alert.  ``latest`` is a copy for readers; the
-    step never reads it."""
+    without it would silence an alert.  Batch ``N`` runs only once batch ``N-1``
+    is committed, so when its state is written that of epoch ``N-2`` is deleted:
+    two versions are left, however long the stream runs.  ``latest`` is a copy
+    for readers; the step never reads it."""
     cols = ["id", "ts", "escalated"]
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -119,6 +121,9 @@ def alert_step(state_path: str, alerts_path: str, t: Thresholds = DEFAULT_THRESH
         kept = spark.read.parquet(f"{state_path}/epoch={epoch}")
         rep.escalation_alert(kept, t).write.mode("overwrite").parquet(f"{alerts_path}/epoch={epoch}")
         kept.write.mode("overwrite").parquet(f"{state_path}/latest")
+        if epoch > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/epoch={epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return step
 

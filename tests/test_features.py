@@ -110,3 +110,11 @@ def test_features_match_on_random_strings(spark):
             assert got[i][name] == pytest.approx(want), (name, texts[i])
     words = {r.i: r.est_tokens_words for r in df.select("i", *tx.token_estimates("prompt")).collect()}
     assert all(words[i] == len(t.split()) * 4 // 3 for i, t in enumerate(texts))
+
+
+def test_every_template_holds_the_whole_text(spark):
+    from promptledger.sources.fixtures import templated
+    body = "start " + "word " * 2_000 + "end"
+    rows = [(i, body, "en") for i in range(12)]
+    out = templated(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text")
+    assert out.count() == 12 and all(body in r["prompt"] for r in out.collect())

@@ -134,6 +134,19 @@ def test_event_stream_refuses_a_non_utc_session(spark, tmp_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_alert_state_keeps_two_versions(spark, tmp_dir):
+    import os
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), i % 4 == 0) for i in range(50)], "id long, ts timestamp, escalated boolean")
+    step = st.alert_step(f"{tmp_dir}/state", f"{tmp_dir}/alerts")
+    for n in range(5):
+        step(df.where(F.col("id") % 5 == n), n)
+    step(df.where(F.col("id") % 5 == 4), 4)            # a batch run again still finds the state before it
+    assert sorted(os.listdir(f"{tmp_dir}/state")) == ["epoch=3", "epoch=4", "latest"]
+    assert spark.read.parquet(f"{tmp_dir}/state/epoch=4").count() == 50
+    assert spark.read.parquet(f"{tmp_dir}/alerts").select("epoch").distinct().count() == 5
+
+
 def test_lost_alert_state_is_an_error(spark, tmp_dir):
     import pytest
     t0 = dt.datetime(2024, 1, 1)
