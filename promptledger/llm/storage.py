@@ -62,8 +62,9 @@ def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """File system and path of a URI; paths without a scheme are local (``folder`` gives none)."""
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -92,7 +93,9 @@ def get(uri: str) -> bytes:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return state_path(spark, name)
+    """A fresh folder as a full URI: a path without a scheme is one of Spark's default file system, in tasks too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(state_path(spark, name))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def small(df: DataFrame) -> DataFrame:

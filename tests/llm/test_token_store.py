@@ -31,6 +31,14 @@ def test_store_equals_the_library(spark, odd, odd_rows, tmp_dir):
     assert [r.doc_id for r in one] == [9] * 2 and all(len(r.ids) == r.n_tokens for r in one)
 
 
+def test_folders_are_full_uris(spark):
+    from promptledger.llm.storage import folder, get, put
+    at = folder(spark, "some")
+    assert ":" in at
+    put(f"{at}/x", [b"ab", b"c"])
+    assert get(f"{at}/x") == b"abc"
+
+
 def test_special_names_and_upper_case(spark, tmp_dir):
     rows = [(1, "A <|endoftext|> b"), (2, "<|ENDOFTEXT|> x"), (3, "ÀÉ ΟΔΟΣ İx THE end's"), (4, "a b ć d")]
     at = f"{tmp_dir}/store"
