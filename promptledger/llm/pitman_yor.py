@@ -60,6 +60,8 @@ DISCOUNT_TOP, STRENGTH_TOP = 0.75, 1.0
 SMALL, PARTY, BURN_IN, ROUNDS = 64, 4096, 1, 3
 BLOCK_BYTES = 8_000_000
 END, BEGIN = np.uint64(0x0E0D_0000_0000_0001), np.uint64(0x0B0E_0000_0000_0001)
+KEY_BITS, MIX = 48, np.uint64(0x9E37_79B9_7F4A_7C15)  # of a pair's hash within a bucket
+CODEC = pa.Codec("zstd", compression_level=1)
 CODES, CODE_STEP, CODE_ZERO = 256, 4, 160   # log-scale codes of a strength, up to 2^23
 # customers whose law of tables is kept: all up to SMALL, then four an octave up to PARTY
 LARGE = tuple(round(SMALL * 2 ** (i / 4)) for i in range(4 * (PARTY // SMALL).bit_length() - 3))
@@ -224,28 +226,53 @@ class Block:
         return order, bucket[order]
 
     def pairs_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the pairs by bucket and key, their buckets, and 32 bits of key."""
+        """Order of the pairs by bucket and key, their buckets, and ``KEY_BITS`` of key."""
         h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w])
-        bucket = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-        key = h.astype(np.uint32)
+        bucket = ((h >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+        key = (h * MIX) >> np.uint64(64 - KEY_BITS)
         order = np.lexsort((key, bucket))
         return order, bucket[order], key[order]
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """An array as compressed bytes, all first bytes before all second ones: most of its numbers are small or ascend."""
+    planes = np.ascontiguousarray(v).view("u1").reshape(len(v), v.itemsize).T
+    return len(v).to_bytes(4, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(packed: bytes, dtype: str) -> np.ndarray:
+    m, width = int.from_bytes(packed[:4], "little"), np.dtype(dtype).itemsize
+    planes = CODEC.decompress(packed[4:], decompressed_size=m * width, asbytes=True) if m else b""
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(width, m).T).reshape(-1).view(dtype)
+
+
+def _steps(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ascending keys of each bucket as differences; ``_ascending`` adds them up again."""
+    out = key.copy()
+    same = np.flatnonzero(bucket[1:] == bucket[:-1]) + 1
+    out[same] -= key[same - 1]
+    return out
+
+
+def _ascending(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    parts = np.split(steps, np.cumsum(sizes)[:-1]) if len(sizes) else []
+    return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in parts]) if parts else steps
+
+
 def _edges(values: np.ndarray) -> Iterator[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
     return zip(cuts[:-1], cuts[1:]) if len(values) else iter(())
 
 
 def _rows(block: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.Table:
-    """One row per bucket with each column's slice as bytes."""
+    """One row per bucket with each column's slice, packed."""
     spans = list(_edges(bucket))
     cols = {"block": pa.array([block] * len(spans), pa.int32()), "bucket": pa.array([int(bucket[lo]) for lo, _ in spans], pa.int32())}
-    return pa.table(cols | {k: pa.array([v[lo:hi].tobytes() for lo, hi in spans], pa.binary()) for k, v in columns.items()})
+    return pa.table(cols | {k: pa.array([_pack(v[lo:hi]) for lo, hi in spans], pa.binary()) for k, v in columns.items()})
 
 
 def _gather(table: pa.Table, column: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x.as_py(), dtype) for x in table.column(column)]
+    parts = [_unpack(x.as_py(), dtype) for x in table.column(column)]
     return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
 
 
@@ -254,7 +281,7 @@ def _back(found: pa.Table, kind: str, order: np.ndarray, bucket: np.ndarray, col
     own = {b.as_py(): x.as_py() for k, b, x in zip(found.column("kind"), found.column("bucket"), found.column(column)) if k.as_py() == kind}
     out = np.zeros(len(order), dtype)
     for lo, hi in _edges(bucket):
-        out[order[lo:hi]] = np.frombuffer(own[int(bucket[lo])], dtype)
+        out[order[lo:hi]] = _unpack(own[int(bucket[lo])], dtype)
     return out
 
 
@@ -265,7 +292,7 @@ def _answer(table: pa.Table, kind: str, sizes: np.ndarray, x: np.ndarray, y: np.
     """One row per question, and the bucket's sums a and b on the first."""
     edge = np.concatenate([[0], np.cumsum(sizes)])
     m = table.num_rows
-    cut = lambda v: pa.array([v[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])], pa.binary())
+    cut = lambda v: pa.array([_pack(v[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:])], pa.binary())
     first = np.zeros(m)
     first[0] = 1
     return pa.table({"kind": pa.array([kind] * m), "block": table.column("block"), "bucket": table.column("bucket"), "x": cut(x), "y": cut(y),
@@ -312,7 +339,7 @@ def _probability(own: Block, found: pa.Table, n: int, known: dict) -> np.ndarray
 def _kept(own: Block, found: pa.Table) -> np.ndarray:
     """The block's sum of P(w|u) over the rounds kept so far."""
     kept = [x.as_py() for k, x in zip(found.column("kind"), found.column("x")) if k.as_py() == "sums"]
-    return np.frombuffer(kept[0], "<f4").astype(float) if kept else np.zeros(len(own.pair_u))
+    return _unpack(kept[0], "<f4").astype(float) if kept else np.zeros(len(own.pair_u))
 
 
 def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step: int) -> DataFrame:
@@ -330,7 +357,7 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
         strength = (STRENGTH + DISCOUNT * tables[own.pair_u]) * _parent(parent, known)[own.pair_w]
         order, bucket, key = own.pairs_by_bucket(n)
         block = table.column("block")[0].as_py()
-        out = _rows(block, bucket, keys=key, counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
+        out = _rows(block, bucket, keys=_steps(bucket, key), counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
         if step <= BURN_IN:
             return out
         # the sums go past the buckets: bucket -1 - block
@@ -342,7 +369,8 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
             return pa.table({"kind": ["sums"], "block": table.column("block"), "bucket": table.column("bucket"), "x": table.column("keys"),
                              "y": pa.array([b""], pa.binary()), "a": [0.0], "b": [0.0]})
         table = table.sort_by("block")
-        keys, sizes = _gather(table, "keys", "<u4")
+        steps, sizes = _gather(table, "keys", "<u8")
+        keys = _ascending(steps, sizes)
         counts, _ = _gather(table, "counts", "<u4")
         codes, _ = _gather(table, "codes", "u1")
         one, first, at = np.unique(keys, return_index=True, return_inverse=True)

@@ -112,3 +112,11 @@ def test_probabilities_are_averaged_over_rounds(spark):
     rows += list(zip([i for i in range(400) if held(i)], asked))
     got = [r for r in py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert len(got) == len(asked) and sum(10 ** r.score for r in got) < 1 + 1e-6
+
+
+def test_messages_are_unpacked_as_packed():
+    for v in (np.array([], "<u8"), np.array([7], "u1"), np.arange(1000, dtype="<u8") * 10**12, np.array([0, 1, 2**32 - 1], "<u4"),
+              np.array([0.5, -1e30], "<f4")):
+        assert np.array_equal(py._unpack(py._pack(v), v.dtype.str), v)
+    bucket, key = np.array([0, 0, 0, 2, 2]), np.array([3, 3, 9, 1, 2**48 - 1], np.uint64)
+    assert np.array_equal(py._ascending(py._steps(bucket, key), np.array([3, 2])), key)
