@@ -26,7 +26,8 @@ to the block:
 Restaurant totals and parent probabilities are held fixed while a pair is
 sampled (from counts at first, from the last round after).  2 and 3 are repeated
 ``ROUNDS`` times; P(w|u) is averaged over the rounds after the first ``BURN_IN``,
-each with the pairs, tables and parent of its own state.  The law comes from the recursion of S_d, for all
+each with the pairs, tables and parent of its own state.  The tables of these rounds
+stay until the end, so disk grows with the rounds that are kept.  The law comes from the recursion of S_d, for all
 sizes up to ``SMALL`` and some up to ``PARTY``; a dish between or above them is
 continued from the next smaller one, as one restaurant (``draw_large``).  A
 frequent word or pair is one row per block.
@@ -60,7 +61,7 @@ DISCOUNT_TOP, STRENGTH_TOP = 0.75, 1.0
 SMALL, PARTY, BURN_IN, ROUNDS = 64, 4096, 1, 3
 BLOCK_BYTES = 8_000_000
 END, BEGIN = np.uint64(0x0E0D_0000_0000_0001), np.uint64(0x0B0E_0000_0000_0001)
-KEY_BITS, MIX = 48, np.uint64(0x9E37_79B9_7F4A_7C15)  # of a pair's hash within a bucket
+KEY_BITS, MIX = 56, np.uint64(0x9E37_79B9_7F4A_7C15)  # of a pair's hash
 CODEC = pa.Codec("zstd", compression_level=1)
 CODES, CODE_STEP, CODE_ZERO = 256, 4, 160   # log-scale codes of a strength, up to 2^23
 # customers whose law of tables is kept: all up to SMALL, then four an octave up to PARTY
@@ -226,12 +227,12 @@ class Block:
         return order, bucket[order]
 
     def pairs_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the pairs by bucket and key, their buckets, and ``KEY_BITS`` of key."""
-        h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w])
-        bucket = ((h >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-        key = (h * MIX) >> np.uint64(64 - KEY_BITS)
-        order = np.lexsort((key, bucket))
-        return order, bucket[order], key[order]
+        """Order of the pairs by hash, their buckets (ranges of the hash), and its first ``KEY_BITS``."""
+        h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w]) * MIX
+        order = np.argsort(h)
+        h = h[order]
+        bucket = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+        return order, bucket, h >> np.uint64(64 - KEY_BITS)
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -324,27 +325,21 @@ def _word_counts(text: DataFrame, n: int) -> DataFrame:
             .groupBy("bucket").applyInArrow(total, ANSWER))
 
 
-def _probability(own: Block, found: pa.Table, n: int, known: dict) -> np.ndarray:
+def _probability(own: Block, found: pa.Table, n: int, known: dict, state: int) -> np.ndarray:
     """P(w|u) of the block's pairs in one state: pairs, tables and parent of the same round."""
+    pairs, seats = f"pairs{state}", f"parent{state}"
     at, bucket = own.words_by_bucket(n)
     guests = _back(found, "words", at, bucket, "x", "<u8").astype(float)
     guests[own.begin] = known["docs"]  # every training document begins once
-    parent = _parent(_back(found, "parent", at, bucket, "x", "<f4").astype(float), known)
-    tables = _back(found, "parent", at, bucket, "y", "<f4").astype(float)
+    parent = _parent(_back(found, seats, at, bucket, "x", "<f4").astype(float), known)
+    tables = _back(found, seats, at, bucket, "y", "<f4").astype(float)
     order, bucket, _ = own.pairs_by_bucket(n)
-    mass = np.maximum(_back(found, "pairs", order, bucket, "x", "<f4").astype(float), 0.0)
+    mass = np.maximum(_back(found, pairs, order, bucket, "x", "<f4").astype(float), 0.0)
     return (mass + (STRENGTH + DISCOUNT * tables[own.pair_u]) * parent[own.pair_w]) / (STRENGTH + guests[own.pair_u])
 
 
-def _kept(own: Block, found: pa.Table) -> np.ndarray:
-    """The block's sum of P(w|u) over the rounds kept so far."""
-    kept = [x.as_py() for k, x in zip(found.column("kind"), found.column("x")) if k.as_py() == "sums"]
-    return _unpack(kept[0], "<f4").astype(float) if kept else np.zeros(len(own.pair_u))
-
-
 def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step: int) -> DataFrame:
-    """Answers "pairs": x = c_uw - d t_uw, y = tables (at the first block that has the pair);
-    and "sums": x = the block's sum of P(w|u) over the kept rounds before this one."""
+    """Answers "pairs": x = c_uw - d t_uw, y = tables (at the first block that has the pair)."""
     def ask(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table)
         at, bucket = own.words_by_bucket(n)
@@ -356,18 +351,9 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
             parent, tables = np.maximum(c - DISCOUNT_TOP * np.minimum(c, 1), 0), np.power(np.maximum(c, 1), 0.85)
         strength = (STRENGTH + DISCOUNT * tables[own.pair_u]) * _parent(parent, known)[own.pair_w]
         order, bucket, key = own.pairs_by_bucket(n)
-        block = table.column("block")[0].as_py()
-        out = _rows(block, bucket, keys=_steps(bucket, key), counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
-        if step <= BURN_IN:
-            return out
-        # the sums go past the buckets: bucket -1 - block
-        sums = (_kept(own, found) + _probability(own, found, n, known)).astype("<f4")
-        return pa.concat_tables([out, _rows(block, np.full(len(sums), -1 - block), keys=sums, counts=sums[:0], codes=sums[:0])])
+        return _rows(table.column("block")[0].as_py(), bucket, keys=_steps(bucket, key), counts=own.pair_count[order].astype("<u4"), codes=code_of(strength)[order])
 
     def seat(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.table({"kind": ["sums"], "block": table.column("block"), "bucket": table.column("bucket"), "x": table.column("keys"),
-                             "y": pa.array([b""], pa.binary()), "a": [0.0], "b": [0.0]})
         table = table.sort_by("block")
         steps, sizes = _gather(table, "keys", "<u8")
         keys = _ascending(steps, sizes)
@@ -415,12 +401,15 @@ def _parent(mass: np.ndarray, known: dict) -> np.ndarray:
     return (mass + (STRENGTH_TOP + DISCOUNT_TOP * known["s"]) / (known["V"] + 1)) / (STRENGTH_TOP + known["t"])
 
 
-def _scores(text: DataFrame, answers: DataFrame, n: int, known: dict, rounds: int) -> DataFrame:
+def _scores(text: DataFrame, answers: DataFrame, n: int, states: list[dict]) -> DataFrame:
+    """Scores from the mean probability over the kept states, whose totals are ``states``."""
+    known = states[-1]
+
     def of(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table)
         at, bucket = own.words_by_bucket(n)
         c = _back(found, "words", at, bucket, "x", "<u8").astype(float)
-        p = (_kept(own, found) + _probability(own, found, n, known)) / max(1, rounds - BURN_IN)
+        p = sum(_probability(own, found, n, totals, i) for i, totals in enumerate(states)) / len(states)
         score = np.add.reduceat(np.log10(np.minimum(p, 1.0))[own.pair], own.edge[:-1])
         base = np.add.reduceat(np.log10((c + 1) / (known["N"] + 1 * (known["V"] + 1)))[own.word], own.edge[:-1])
         seen = np.add.reduceat((c > 0)[own.word].astype(np.int64), own.edge[:-1])
@@ -451,13 +440,16 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known: dict = {"docs": text.where(~held).count()}
     known["N"], known["V"] = _sums(words, "words")
     known |= {"t": known["N"], "s": known["V"]}  # until the parent is seated
-    answers, last = words, []
+    answers, last, states, kept = words, [], [], words
     for step in range(rounds):
         own = [folder(docs.sparkSession, name) for name in ("lm-pairs", "lm-parent")]
         pairs = written(_pair_tables(text, answers, n, dict(known), step), "lm-pairs", own[0])
-        discard(docs.sparkSession, last)  # the new table carries the sums; nothing reads the last round again
-        last = own
+        discard(docs.sparkSession, last)  # nothing reads a round before the burn-in's end again
         parent = written(_parent_tables(text, pairs, n, dict(known), step), "lm-parent", own[1])
         known["t"], known["s"] = _sums(parent, "parent")
         answers = words.unionByName(parent).unionByName(pairs)
-    return _scores(text, answers, n, known, rounds)
+        if step >= min(BURN_IN, rounds - 1):
+            kept = kept.unionByName(parent.unionByName(pairs).withColumn("kind", F.concat("kind", F.lit(len(states)))))
+            states.append(dict(known))
+        last = own if not states else []
+    return _scores(text, kept, n, states)
