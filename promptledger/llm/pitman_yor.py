@@ -186,6 +186,38 @@ def draw_tables(c: np.ndarray, code: np.ndarray, d: float, rng: np.random.Genera
 
 # ---------------------------------------------------------------- blocks
 
+def _order(h: np.ndarray) -> np.ndarray:
+    """Order by the first bits of a hash (as many as leave room for the index, which decides ties)."""
+    bits = np.uint64(max(1, len(h)).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)  # sorting values is far faster than argsort
+
+
+def _distinct(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with its inverse, of numbers below ``limit``: key and index are sorted as one number if both fit."""
+    bits = max(1, len(keys)).bit_length()
+    if limit.bit_length() + bits > 64:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    key, at = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    inverse = np.empty(len(key), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return key[new], inverse
+
+
+def _distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with its inverse, of hashes: few different ones share their first bits."""
+    order = _order(h)
+    kept, bits = h[order], np.uint64(max(1, len(h)).bit_length())
+    new = kept[1:] != kept[:-1]
+    if (new & (kept[1:] >> bits == kept[:-1] >> bits)).any():
+        return np.unique(h, return_inverse=True)
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.concatenate([[0], np.cumsum(new)])
+    return kept[np.concatenate([[True], new])], inverse
+
+
 class Block:
     """Tokens of one block: its distinct words and pairs, and how the tokens refer to them."""
 
@@ -208,7 +240,7 @@ class Block:
         token[is_end] = END
         self.held_out = np.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in self.ids], bool)
         self.train = np.repeat(~self.held_out, size)
-        vocabulary, at = np.unique(np.concatenate([token, [BEGIN]]), return_inverse=True)
+        vocabulary, at = _distinct_hashes(np.concatenate([token, [BEGIN]]))
         # words by bucket-independent order; BEGIN is only ever a context
         self.vocabulary, self.word = vocabulary, at[:-1]
         self.count = np.bincount(self.word[self.train], minlength=len(vocabulary))
@@ -217,8 +249,9 @@ class Block:
             before = np.concatenate([[self.begin], self.word[:-1]])
             before[self.edge[:-1]] = self.begin
             self.before = before
-            key, self.pair = np.unique(before.astype(np.int64) * len(vocabulary) + self.word, return_inverse=True)
-            self.pair_u, self.pair_w = key // len(vocabulary), key % len(vocabulary)
+            keys = before.astype(np.uint64) * np.uint64(len(vocabulary)) + self.word.astype(np.uint64)
+            key, self.pair = _distinct(keys, len(vocabulary) ** 2)
+            self.pair_u, self.pair_w = (x.astype(np.int64) for x in np.divmod(key, np.uint64(len(vocabulary))))
             self.pair_count = np.bincount(self.pair[self.train], minlength=len(key))
 
     def words_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,35 +260,38 @@ class Block:
         return order, bucket[order]
 
     def pairs_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the pairs by hash, their buckets (ranges of the hash), and its first ``KEY_BITS``."""
+        """Order of the pairs by hash (by its first bits), their buckets (ranges of the hash), and its first ``KEY_BITS``."""
         h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w]) * MIX
-        order = np.argsort(h)
+        order = _order(h)
         h = h[order]
         bucket = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
         return order, bucket, h >> np.uint64(64 - KEY_BITS)
 
 
 def _pack(v: np.ndarray) -> bytes:
-    """An array as compressed bytes, all first bytes before all second ones: most of its numbers are small or ascend."""
+    """An array as compressed bytes: whole numbers by the width of the largest, all first bytes before all second ones."""
+    if v.dtype.kind == "u":
+        v = v.astype(np.min_scalar_type(v.max(initial=0)))
     planes = np.ascontiguousarray(v).view("u1").reshape(len(v), v.itemsize).T
-    return len(v).to_bytes(4, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
+    return bytes([v.itemsize]) + len(v).to_bytes(4, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
 
 
 def _unpack(packed: bytes, dtype: str) -> np.ndarray:
-    m, width = int.from_bytes(packed[:4], "little"), np.dtype(dtype).itemsize
-    planes = CODEC.decompress(packed[4:], decompressed_size=m * width, asbytes=True) if m else b""
-    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(width, m).T).reshape(-1).view(dtype)
+    width, m = packed[0], int.from_bytes(packed[1:5], "little")
+    planes = CODEC.decompress(packed[5:], decompressed_size=m * width, asbytes=True) if m else b""
+    held = np.dtype(f"<u{width}") if np.dtype(dtype).kind == "u" else np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(width, m).T).reshape(-1).view(held).astype(dtype, copy=False)
 
 
 def _steps(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ascending keys of each bucket as differences; ``_ascending`` adds them up again."""
+    """Keys of each bucket, ascending but for near ties, as differences modulo 2^64; ``_added`` adds them up again."""
     out = key.copy()
     same = np.flatnonzero(bucket[1:] == bucket[:-1]) + 1
     out[same] -= key[same - 1]
     return out
 
 
-def _ascending(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _added(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     parts = np.split(steps, np.cumsum(sizes)[:-1]) if len(sizes) else []
     return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in parts]) if parts else steps
 
@@ -356,7 +392,7 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
     def seat(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         steps, sizes = _gather(table, "keys", "<u8")
-        keys = _ascending(steps, sizes)
+        keys = _added(steps, sizes)
         counts, _ = _gather(table, "counts", "<u4")
         codes, _ = _gather(table, "codes", "u1")
         one, first, at = np.unique(keys, return_index=True, return_inverse=True)

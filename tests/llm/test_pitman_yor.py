@@ -119,4 +119,20 @@ def test_messages_are_unpacked_as_packed():
               np.array([0.5, -1e30], "<f4")):
         assert np.array_equal(py._unpack(py._pack(v), v.dtype.str), v)
     bucket, key = np.array([0, 0, 0, 2, 2]), np.array([3, 3, 9, 1, 2**48 - 1], np.uint64)
-    assert np.array_equal(py._ascending(py._steps(bucket, key), np.array([3, 2])), key)
+    assert np.array_equal(py._added(py._steps(bucket, key), np.array([3, 2])), key)
+
+
+def test_distinct_and_order():
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.uint64), np.array([4], np.uint64), rng.integers(0, 50, 999, dtype=np.uint64)):
+        for limit in (50, 2**60):  # one number for key and index, or two
+            for got, want in zip(py._distinct(keys, limit), np.unique(keys, return_inverse=True)):
+                assert np.array_equal(got, want)
+    h = rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64)
+    for some in (h, h[rng.integers(0, 5000, 9000)], h[:1], np.concatenate([h, h + np.uint64(1)])):  # the last shares first bits
+        for got, want in zip(py._distinct_hashes(some), np.unique(some, return_inverse=True)):
+            assert np.array_equal(got, want)
+    assert np.array_equal(py._order(h), np.argsort(h >> np.uint64(13), kind="stable"))
+    # buckets are ranges of the hash, also where near ties leave it out of order
+    bucket = (h[py._order(h)] >> np.uint64(32)) * np.uint64(7) >> np.uint64(32)
+    assert (np.diff(bucket.astype(np.int64)) >= 0).all()
