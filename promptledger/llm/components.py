@@ -30,3 +30,16 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("id", "component")
         if step.where("changed").isEmpty():
             return label
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``label(id, component)`` after further ``links(a, b)``: these are followed between whole components only."""
+    named = links
+    for end in ("a", "b"):
+        named = (named.join(label.withColumnsRenamed({"id": "_id", "component": "_in"}), F.col(end) == F.col("_id"), "left")
+                 .withColumn(end, F.coalesce("_in", end)).drop("_id", "_in"))
+    up = components(named.where("a != b").distinct()).withColumnsRenamed({"id": "_id", "component": "_in"})
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+    new = ends.join(label, F.col("a") == F.col("id"), "left_anti").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    every = label.unionByName(new).join(up, F.col("component") == F.col("_id"), "left")
+    return written(every.select("id", F.coalesce("_in", "component").alias("component")), "labels")

@@ -17,11 +17,15 @@ only classes are compared.
 3. Each distinct pair that is left is verified once on the whole sets.
 
 Prefix shingles with more than ``CROWD`` classes are not paired in full: the
-classes are first dealt into small random groups and paired there; then, with
-the components known so far, every pair of different components that shares
-such a shingle is paired, less those verified before.  No link between
-components is lost, and a crowd of near copies costs about as many pairs as it
-has members.
+classes are first dealt into small random groups and paired there, each class
+under its ``PICKS`` such shingles of smallest hash (near copies pick mostly the
+same).  Classes outside the component that most of a shingle's classes belong to
+are then dealt again, into groups of ``AGAIN``; then, with the components known by
+then, every pair of different components that shares any such shingle is paired,
+less those verified before.  No link between components is lost; a crowd of near
+copies costs about ``PICKS`` * (``DEAL`` - 1) / 2 pairs a member, however long its
+texts are, and only classes without a link found so far meet the whole crowd.
+Later links join components as wholes, so no link is followed twice.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is its own component.  Repeated rows and rows with one id are one component.
@@ -34,17 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, Run, combine, mix, released, runs, shingles, take
-from promptledger.llm.components import components
+from promptledger.llm.components import components, extended
 from promptledger.llm.storage import small, written
 
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16          # slots summed together
 RUN_BYTES = 500_000      # bytes of whole texts handled at once: bounds the temporary arrays of a worker
 CROWD, DEAL = 8, 6       # classes of a shingle that are paired in full; size of the random groups beyond
+PICKS, AGAIN = 6, 16     # crowded shingles under which a class is dealt into such groups; size of the groups of those left over
 PARTS = 256              # parts of the hash range whose parities bound the difference of two sets
 BITS = [f"w{i}" for i in range(PARTS // 64)]
 
@@ -219,9 +224,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     return written(both.mapInArrow(verify, "x long, y long, linked boolean"), "jaccard-verified")
 
 
-def join(docs: DataFrame, k: int, num: int, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, rep) and links (x, y) between representatives of classes with
-    ``den`` * intersection >= ``num`` * union; links within one component may be left out."""
+def join(docs: DataFrame, k: int, num: int, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, n_shingles, rep), links (x, y) between representatives of classes with
+    ``den`` * intersection >= ``num`` * union (links within one component may be left out), and the
+    components (id, component) of the linked ones."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slots = MIN_SLOTS
     while slots < min(MAX_SLOTS, SLOTS_PER_DOC * docs.count()):
@@ -234,34 +240,41 @@ def join(docs: DataFrame, k: int, num: int, den: int = 100) -> tuple[DataFrame,
     often = prefix.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("shingle")
     shared = written(prefix.join(often, "shingle").distinct().join(classes.select("c", *BITS), "c"), "jaccard-shared")
     crowd = shared.groupBy("shingle").agg(F.count("*").alias("m"))
-    dealt = shared.join(crowd, "shingle").withColumn("deal", F.when(F.col("m") <= CROWD, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("c", "shingle"), F.ceil(F.col("m") / DEAL))).cast("long"))
-    dealt = written(dealt, "jaccard-dealt")
-    first = written(_pairs(dealt, dealt, ["shingle", "deal"], num, den, either=False), "jaccard-pairs")
+    pick = F.row_number().over(Window.partitionBy("c", F.col("m") <= CROWD).orderBy(F.xxhash64("shingle"), "shingle"))
+    deal = F.when(F.col("m") <= CROWD, F.lit(0)).when(F.col("pick") <= PICKS, F.pmod(F.xxhash64("c", "shingle"), F.ceil(F.col("m") / DEAL)))
+    dealt = written(shared.join(crowd, "shingle").withColumn("pick", pick).withColumn("deal", deal.cast("long")).drop("pick"), "jaccard-dealt")
+    paired = dealt.where("deal is not null")
+    first = written(_pairs(paired, paired, ["shingle", "deal"], num, den, either=False), "jaccard-pairs")
     links = _links(first, classes, docs, k, num, den)
 
-    # what is left: different components that share a crowded shingle
-    label = components(links.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = classes.join(label, F.col("rep") == F.col("id"), "left").select("c", F.coalesce("component", "rep").alias("comp"))
-    crowded = written(dealt.where(F.col("m") > CROWD).drop("deal", "m").join(named, "c"), "jaccard-crowded")
-    sizes = crowded.groupBy("shingle", "comp").agg(F.count("*").alias("size")).groupBy("shingle").agg(
-        F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("shingle", F.col("top.comp").alias("major"))
-    open_ = written(crowded.join(sizes, "shingle"), "jaccard-open")
-    minor = open_.where("comp != major").drop("major")
-    left = _pairs(minor, open_.drop("major"), ["shingle"], num, den, either=True)
-    left = written(left.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = _links(left, classes, docs, k, num, den)
-    found = links.unionByName(more).where("linked").select("x", "y")
+    label = components(_edges(links))
+
+    # what is left: different components that share a crowded shingle, in larger random groups first, then exactly
+    tried, found = first, _edges(links)
+    for size in (AGAIN, None):
+        named = classes.join(label, F.col("rep") == F.col("id"), "left").select("c", F.coalesce("component", "rep").alias("comp"))
+        crowded = written(dealt.where(F.col("m") > CROWD).drop("deal").join(named, "c"), "jaccard-crowded")
+        sizes = crowded.groupBy("shingle", "comp").agg(F.count("*").alias("size")).groupBy("shingle").agg(
+            F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("shingle", F.col("top.comp").alias("major"))
+        group = F.pmod(F.xxhash64("shingle", "c"), F.ceil(F.col("m") / size)) if size else F.lit(0)
+        open_ = written(crowded.join(sizes, "shingle").withColumn("deal", group.cast("long")).drop("m"), "jaccard-open")
+        left = _pairs(open_.where("comp != major").drop("major"), open_.drop("major"), ["shingle", "deal"], num, den, either=True)
+        left = written(left.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = _edges(_links(left, classes, docs, k, num, den))
+        label, tried, found = extended(label, more), tried.unionByName(left), found.unionByName(more)
     members = (rows.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
                .join(classes.withColumnsRenamed({"c": "s1"}), ["s1", "s2"], "left")
                .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
-    return members, found
+    return members, found.withColumnsRenamed({"a": "x", "b": "y"}), label
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    members, links = join(docs, k, num, den)
-    label = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members, _, label = join(docs, k, num, den)
     out = members.join(label, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 

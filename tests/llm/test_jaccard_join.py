@@ -7,7 +7,7 @@ import re
 from llm_rows import nothing, odd, odd_rows, prose  # noqa: F401  (fixtures)
 
 from promptledger.llm import jaccard_join
-from promptledger.llm.components import components
+from promptledger.llm.components import components, extended
 
 
 def brute(rows, k, num, den=100):
@@ -52,6 +52,19 @@ def test_near_copies_and_crowds(spark):
     assert got(df, 5, 80) == brute(rows, 5, 80)
 
 
+def test_links_of_a_crowd_grow_with_its_members_only(spark):
+    rng, rows = random.Random(5), []
+    seed = prose(rng, 200).split()
+    for i in range(240):
+        w = list(seed)
+        w[rng.randrange(len(w))] = prose(rng, 1)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    _, links, _ = jaccard_join.join(df, 5, 80)
+    assert links.count() <= 240 * jaccard_join.PICKS * jaccard_join.DEAL
+    assert {r[2] for r in got(df, 5, 80)} == {0}
+
+
 def test_odd_rows_and_empty_table(odd, odd_rows, nothing):
     assert got(odd, 3, 90) == brute(odd_rows, 3, 90)
     assert got(nothing, 3, 90) == []
@@ -71,3 +84,10 @@ def test_components_of_a_long_chain(spark):
     found = {r.id: r.component for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
     assert components(links.where("a < 0")).count() == 0
+
+
+def test_components_are_extended_by_further_links(spark):
+    label = components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long"))
+    more = spark.createDataFrame([(2, 4), (4, 1), (8, 7), (9, 6), (5, 6)], "a long, b long")
+    assert {r.id: r.component for r in extended(label, more).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 5}
+    assert extended(label, more.where("a < 0")).count() == 6
