@@ -1,6 +1,7 @@
 """Operator 10 against its DuckDB twin, which compares every window."""
 
 import random
+import re
 
 import duckdb
 
@@ -52,3 +53,12 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.judge(nothing, b).count() == 0 and not any(r.contaminated for r in dc.judge(odd, none).collect())
     assert dc.clean(odd, none).count() == len(odd_rows)
+
+
+def test_words_are_the_matches_of_the_pattern(spark):
+    texts = ["".join(chr(c) for c in range(lo, lo + 300)) for lo in range(0, 600, 150)] + ["", " ", None, "Ab", "A\x00b-C", "\u00dc \U0001f600x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", dc.words("text").alias("w"))
+    for r in df.collect():
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")
+        assert r.w == re.findall(dc.WORD, lower)
+    assert "extract_all" not in df._jdf.queryExecution().toString()  # it copies the text for every match
