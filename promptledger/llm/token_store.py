@@ -31,6 +31,7 @@ import json
 import math
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ TRAILER = "<8sQQQ"
 BUCKET_KEYS = 8_192       # expected keys of one index bucket
 CACHED_WORDS = 800_000    # words whose ids a worker remembers
 ENCODE_CHARS = 2_000_000  # characters handed to the tokenizer at a time
+JOINED_WORDS = 20_000     # new words handed to it as one text
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks without the apostrophe: after letters, the tokenizer takes them as one run
 NULL_BUCKET = -1          # where lookups of the null key go
 _FINGERPRINT = np.uint64(0xA24BAED4963EE407)
 
@@ -62,7 +66,10 @@ class WordEncoder:
 
     Holds for tokenizers that drop white space between words (as the one with
     word ends does): the ids of a text are those of its space-separated words,
-    one after the other, so each distinct word is encoded once per worker.
+    one after the other, so each distinct word is encoded once per worker.  A
+    word's letters are encoded apart from the ``MARKS`` after them, as the
+    tokenizer takes them apart too; words of letters alone give one word end each,
+    so many of them are encoded as one text and cut there.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,23 +77,80 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4")
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, ``JOINED_WORDS`` at a time as one text."""
+        out, width = [], self.dtype.itemsize
+        for lo in range(0, len(words), JOINED_WORDS):
+            part = words[lo: lo + JOINED_WORDS]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            cut = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+            if len(cut) != len(part):  # some letter became several words, or the tokenizer marks no ends
+                out += self.one_by_one(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *cut], cut)]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        known = self.known
+        cores = {w: w.rstrip(MARKS) for w in new}
+        alone = [c for c in set(cores.values()).difference(known) if _letters(c)]
+        known.update(zip(alone, self.letters(alone)))
+        rest = []
+        for w, core in cores.items():
+            if w in known:
+                continue
+            if core in known:
+                marks = w[len(core):]
+                if marks not in known:
+                    (known[marks],) = self.one_by_one([marks])
+                known[w] = known[core] + known[marks]
+            else:
+                rest.append(w)
+        known.update(zip(rest, self.one_by_one(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        plain = []
         for text in texts:
-            if text.isascii() and "<|" not in text:
-                text = text.lower()  # what the normaliser does to ASCII; a special token's name is left alone
-            split.append(text.replace("\n", " ").split(" "))
+            if "<|" not in text and _plain(text):
+                text = text.lower()  # what the normaliser does to these; a special token's name is left alone
+            plain.append(text.replace("\n", " "))
+        words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known = self.known
-        new = {w for words in split for w in words}.difference(known)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.learn([w for w in distinct if w not in self.known])
+        ids = pa.array([self.known[w] for w in distinct], pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        edges = np.frombuffer(offsets, np.int64)[ids.offset:][words.offsets.to_numpy()].tolist()
+        raw = data.to_pybytes() if data is not None else b""
+        return [raw[lo:hi] for lo, hi in zip(edges[:-1], edges[1:])]
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is of letters alone, also in the tokenizer's normal form."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _plain(text: str) -> bool:
+    """Whether all characters lie below U+0100: then none changes under NFC, and lower case goes character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)

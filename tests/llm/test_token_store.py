@@ -47,6 +47,24 @@ def test_special_names_and_upper_case(spark, tmp_dir):
     assert got == expected(rows)
 
 
+def test_words_are_encoded_together_as_alone():
+    enc = ts.WordEncoder(PATH)
+    alone = enc.one_by_one
+
+    def few(words):
+        assert len(words) <= 60  # letters are not encoded word by word
+        return alone(words)
+
+    enc.one_by_one = few
+    words = [a + b + c for a in ("un", "RE", "çé", "") for b in ("tall", "mpi", "sthß", "o", "ÑÜ") for c in ("ing", "ed", "ten")]
+    texts = [" ".join(w + m for w in words) for m in ("", ".", "!!", "###", "...,", "<>", "-")]
+    expected = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    assert enc.encode(texts) == expected and enc.encode([]) == []
+    odd = ["ab\u0958. x\u0130, \u0130a! \u00b5Z", "don't. it's! a' 'll ab'. x<\u0338 y=.\u0338", "e\u0301t\u00e9. \u1100\u1161, 12. a1! \u03a3\u03a3.", ""]
+    enc.one_by_one = alone
+    assert enc.encode(odd) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in odd]
+
+
 def test_null_ids_and_empty_table(spark, nothing, tmp_dir):
     ts.write(nothing, f"{tmp_dir}/none", PATH)
     assert ts.read(nothing, f"{tmp_dir}/none").count() == 0
