@@ -10,7 +10,8 @@ the vocabulary and one unknown word:
 c are customers (training tokens), t tables of the context restaurants (each
 sends one customer to the parent) and s tables of the parent.
 
-Documents are kept as a table bucketed by block.  A block asks about each of its
+Documents are kept as a table of numbered words, one row per block and bucketed by
+it; the texts are split into words once.  A block asks about each of its
 distinct words and word pairs once; questions meet by hash, and answers return
 to the block:
 
@@ -94,12 +95,13 @@ def _laws(d: float, c: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def table_law(d: float) -> tuple[np.ndarray]:
-    """Per code and customers up to ``SMALL``: cumulative law of the number of tables."""
+def table_law(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per code and customers up to ``SMALL``: cumulative law of the number of tables; and all rows one after the other, 2 * row added."""
     p = np.zeros((CODES, SMALL + 1, SMALL + 1))
     for c in range(SMALL + 1):
         p[:, c, : c + 1] = _laws(d, c)
-    return (np.cumsum(p, 2),)
+    law = np.cumsum(p, 2)
+    return law, (law + np.arange(CODES * (SMALL + 1)).reshape(CODES, SMALL + 1, 1) * 2).ravel()  # rows apart: one sorted array
 
 
 @lru_cache(maxsize=4)
@@ -170,12 +172,11 @@ def draw_large(c: np.ndarray, code: np.ndarray, d: float, rng: np.random.Generat
 
 def draw_tables(c: np.ndarray, code: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """One draw of the number of tables of each dish, given its customers and the code of its strength."""
-    (law,) = table_law(d)
+    _, flat = table_law(d)
     t = np.minimum(c, 1)
     small = np.flatnonzero((c > 1) & (c <= SMALL))
     if len(small):
         row = code[small].astype(np.int64) * (SMALL + 1) + c[small]
-        flat = (law + np.arange(CODES * (SMALL + 1)).reshape(CODES, SMALL + 1, 1) * 2).ravel()  # rows apart: one sorted array
         at = np.searchsorted(flat, rng.random(len(small)) * (1 - 1e-12) + 2 * row, "left")
         t[small] = np.clip(at - row * (SMALL + 1), 1, c[small])
     large = np.flatnonzero(c > SMALL)
@@ -208,43 +209,66 @@ def _distinct(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``np.unique`` with its inverse, of hashes: few different ones share their first bits."""
-    order = _order(h)
-    kept, bits = h[order], np.uint64(max(1, len(h)).bit_length())
+    one, _, inverse = _first_hashes(h)
+    return one, inverse
+
+
+def _first_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` with the first index of each and the inverse, of hashes that fill a range of numbers."""
+    low = h.min()
+    spread = h - low << np.uint64(64 - int(h.max() - low).bit_length()) if len(h) > 1 and h.max() > low else h
+    order = _order(spread)
+    kept, bits = spread[order], np.uint64(max(1, len(h)).bit_length())
     new = kept[1:] != kept[:-1]
     if (new & (kept[1:] >> bits == kept[:-1] >> bits)).any():
-        return np.unique(h, return_inverse=True)
+        return np.unique(h, return_index=True, return_inverse=True)
     inverse = np.empty(len(h), np.int64)
     inverse[order] = np.concatenate([[0], np.cumsum(new)])
-    return kept[np.concatenate([[True], new])], inverse
+    first = order[np.concatenate([[True], new])]
+    return h[first], first, inverse
+
+
+NUMBERED = "block int, ids array<bigint>, sizes binary, vocabulary binary, words binary"
+
+
+def _numbered(table: pa.Table) -> pa.Table:
+    """One row for the texts of a block: ids, tokens of each text, distinct words (ascending hashes, as differences) and each token's number among them."""
+    table = table.combine_chunks()
+    batch = pa.RecordBatch.from_arrays([table.column("text").cast(pa.large_string()).combine_chunks()], names=["text"])
+    words, size = [], []
+    for run in runs(batch):
+        start, end, doc = run.words()
+        words.append(ByteSums(run.data, lower=True).hash(start, end))
+        size.append(np.bincount(doc, minlength=run.n))
+    size = np.concatenate(size) + 1
+    last = np.cumsum(size) - 1
+    token = np.empty(last[-1] + 1, np.uint64)
+    is_end = np.zeros(len(token), bool)
+    is_end[last] = True
+    token[~is_end] = np.concatenate(words)
+    token[is_end] = END
+    vocabulary, at = _distinct_hashes(np.concatenate([token, [BEGIN]]))  # BEGIN is only ever a context
+    return pa.table({"block": table.column("block")[:1], "ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                     "sizes": pa.array([_pack(size.astype("<u8"))]), "vocabulary": pa.array([_pack(np.diff(vocabulary, prepend=np.uint64(0)))]),
+                     "words": pa.array([_pack(at[:-1].astype("<u8"))])})
 
 
 class Block:
     """Tokens of one block: its distinct words and pairs, and how the tokens refer to them."""
 
     def __init__(self, table: pa.Table, pairs: bool = True) -> None:
-        table = table.combine_chunks()
-        self.ids = table.column("doc_id").to_pylist()
-        batch = pa.RecordBatch.from_arrays([table.column("text").cast(pa.large_string()).combine_chunks()], names=["text"])
-        words, size = [], []
-        for run in runs(batch):
-            start, end, doc = run.words()
-            words.append(ByteSums(run.data, lower=True).hash(start, end))
-            size.append(np.bincount(doc, minlength=run.n))
-        size = np.concatenate(size) + 1
+        (row,) = table.to_pylist()
+        self.ids = row["ids"]
+        size = _unpack(row["sizes"], "<u8").astype(np.int64)
         self.edge = np.concatenate([[0], np.cumsum(size)])
-        last = self.edge[1:] - 1
-        token = np.empty(self.edge[-1], np.uint64)
-        is_end = np.zeros(len(token), bool)
-        is_end[last] = True
-        token[~is_end] = np.concatenate(words)
-        token[is_end] = END
         self.held_out = np.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in self.ids], bool)
         self.train = np.repeat(~self.held_out, size)
-        vocabulary, at = _distinct_hashes(np.concatenate([token, [BEGIN]]))
-        # words by bucket-independent order; BEGIN is only ever a context
-        self.vocabulary, self.word = vocabulary, at[:-1]
+        vocabulary = np.cumsum(_unpack(row["vocabulary"], "<u8"), dtype=np.uint64)
+        # words by bucket-independent order
+        self.vocabulary, self.word = vocabulary, _unpack(row["words"], "<u8").astype(np.int64)
         self.count = np.bincount(self.word[self.train], minlength=len(vocabulary))
-        self.begin = at[-1]
+        self.begin = np.searchsorted(vocabulary, BEGIN)
+        self._orders: dict = {}
         if pairs:
             before = np.concatenate([[self.begin], self.word[:-1]])
             before[self.edge[:-1]] = self.begin
@@ -255,17 +279,21 @@ class Block:
             self.pair_count = np.bincount(self.pair[self.train], minlength=len(key))
 
     def words_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        bucket = ((self.vocabulary >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
+        if ("words", n) not in self._orders:
+            bucket = ((self.vocabulary >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            self._orders["words", n] = order, bucket[order]
+        return self._orders["words", n]
 
     def pairs_by_bucket(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the pairs by hash (by its first bits), their buckets (ranges of the hash), and its first ``KEY_BITS``."""
-        h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w]) * MIX
-        order = _order(h)
-        h = h[order]
-        bucket = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-        return order, bucket, h >> np.uint64(64 - KEY_BITS)
+        if ("pairs", n) not in self._orders:
+            h = combine(self.vocabulary[self.pair_u], self.vocabulary[self.pair_w]) * MIX
+            order = _order(h)
+            h = h[order]
+            bucket = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+            self._orders["pairs", n] = order, bucket, h >> np.uint64(64 - KEY_BITS)
+        return self._orders["pairs", n]
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -315,7 +343,8 @@ def _gather(table: pa.Table, column: str, dtype: str) -> tuple[np.ndarray, np.nd
 
 def _back(found: pa.Table, kind: str, order: np.ndarray, bucket: np.ndarray, column: str, dtype: str) -> np.ndarray:
     """A block's answers of one kind, put back into the order of its own words or pairs."""
-    own = {b.as_py(): x.as_py() for k, b, x in zip(found.column("kind"), found.column("bucket"), found.column(column)) if k.as_py() == kind}
+    held, packed = found.column("bucket").to_pylist(), found.column(column)
+    own = {held[i]: packed[i].as_py() for i, k in enumerate(found.column("kind").to_pylist()) if k == kind}
     out = np.zeros(len(order), dtype)
     for lo, hi in _edges(bucket):
         out[order[lo:hi]] = _unpack(own[int(bucket[lo])], dtype)
@@ -353,7 +382,7 @@ def _word_counts(text: DataFrame, n: int) -> DataFrame:
         table = table.sort_by("block")
         keys, sizes = _gather(table, "keys", "<u8")
         counts, _ = _gather(table, "counts", "<u4")
-        one, at = np.unique(keys, return_inverse=True)
+        one, at = _distinct_hashes(keys)
         c = np.bincount(at, counts.astype(float), len(one)).astype(np.int64)
         return _answer(table, "words", sizes, c[at].astype("<u8"), np.zeros(len(at), "<u1"), float(c.sum()), float((c > 0).sum()))
 
@@ -395,7 +424,7 @@ def _pair_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, step:
         keys = _added(steps, sizes)
         counts, _ = _gather(table, "counts", "<u4")
         codes, _ = _gather(table, "codes", "u1")
-        one, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        one, first, at = _first_hashes(keys)
         c = np.bincount(at, counts.astype(float), len(one)).astype(np.int64)
         t = draw_tables(c, codes[first], DISCOUNT, _seed(table, 1 + step))
         tables = np.zeros(len(keys), "<u4")
@@ -421,7 +450,7 @@ def _parent_tables(text: DataFrame, answers: DataFrame, n: int, known: dict, ste
     def seat(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         keys, sizes = _gather(table, "keys", "<u8")
-        one, at = np.unique(keys, return_inverse=True)
+        one, at = _distinct_hashes(keys)
         dish = np.bincount(at, _gather(table, "dish", "<u4")[0].astype(float), len(one)).astype(np.int64)
         context = np.bincount(at, _gather(table, "context", "<u4")[0].astype(float), len(one))
         code = np.repeat(code_of(np.array([(STRENGTH_TOP + DISCOUNT_TOP * known["s"]) / (known["V"] + 1)])), len(one))
@@ -470,22 +499,26 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     share = max(1, math.ceil(size / tasks / BLOCK_BYTES))
     block = (F.spark_partition_id() * share + F.pmod(F.xxhash64("doc_id", F.col("text")), F.lit(share))).cast("int")
     n = tasks * share
-    text = bucketed(rows.withColumn("block", block), n, "block", "lm-blocks")
+    spark = docs.sparkSession
+    place = folder(spark, "lm-texts")
+    text = bucketed(rows.withColumn("block", block), n, "block", "lm-texts", place)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(-1)) == HELD_OUT
-    words = written(_word_counts(text, n), "lm-words")
     known: dict = {"docs": text.where(~held).count()}
+    text = bucketed(text.groupBy("block").applyInArrow(_numbered, NUMBERED), n, "block", "lm-blocks")
+    discard(spark, [place])  # from here on only the numbered words are read
+    words = written(_word_counts(text, n), "lm-words")
     known["N"], known["V"] = _sums(words, "words")
     known |= {"t": known["N"], "s": known["V"]}  # until the parent is seated
     answers, last, states, kept = words, [], [], words
     for step in range(rounds):
-        own = [folder(docs.sparkSession, name) for name in ("lm-pairs", "lm-parent")]
+        own = [folder(spark, name) for name in ("lm-pairs", "lm-parent")]
         pairs = written(_pair_tables(text, answers, n, dict(known), step), "lm-pairs", own[0])
-        discard(docs.sparkSession, last)  # nothing reads a round before the burn-in's end again
-        parent = written(_parent_tables(text, pairs, n, dict(known), step), "lm-parent", own[1])
+        discard(spark, last)  # nothing reads a round before the burn-in's end again
+        parent = written(_parent_tables(text, pairs.drop("x"), n, dict(known), step), "lm-parent", own[1])
         known["t"], known["s"] = _sums(parent, "parent")
-        answers = words.unionByName(parent).unionByName(pairs)
+        answers = words.unionByName(parent)
         if step >= min(BURN_IN, rounds - 1):
-            kept = kept.unionByName(parent.unionByName(pairs).withColumn("kind", F.concat("kind", F.lit(len(states)))))
+            kept = kept.unionByName(parent.unionByName(pairs.withColumn("y", F.lit(None).cast("binary"))).withColumn("kind", F.concat("kind", F.lit(len(states)))))
             states.append(dict(known))
         last = own if not states else []
     return _scores(text, kept, n, states)

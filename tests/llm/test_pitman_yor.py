@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
 from llm_rows import nothing, odd_rows, prose  # noqa: F401  (fixtures)
 
@@ -136,3 +137,35 @@ def test_distinct_and_order():
     # buckets are ranges of the hash, also where near ties leave it out of order
     bucket = (h[py._order(h)] >> np.uint64(32)) * np.uint64(7) >> np.uint64(32)
     assert (np.diff(bucket.astype(np.int64)) >= 0).all()
+
+
+def test_texts_are_split_into_words_once(spark):
+    """The rounds read numbered words, not texts, and a round's questions are answered by what they need only."""
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3}") for i in range(20)], "doc_id long, text string")
+    plan = py.score(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "vocabulary" in plan and "text#" not in plan
+
+
+def test_numbered_words_are_the_tokens_of_the_texts():
+    texts = ["a B  a\tc", None, "", "b b é a", "c"]
+    ids = [4, None, 6, 7, 7]
+    table = pa.table({"block": pa.array([3] * 5, pa.int32()), "doc_id": pa.array(ids, pa.int64()), "text": pa.array(["" if t is None else t for t in texts])})
+    row = py._numbered(table)
+    own = py.Block(row)
+    want = [tokens(t) for t in texts]
+    assert row.num_rows == 1 and row["block"].to_pylist() == [3] and own.ids == ids and np.diff(own.edge).tolist() == [len(w) for w in want]
+    number = {}
+    for w, at in zip((x for d in want for x in d), own.word.tolist()):
+        assert number.setdefault(w, at) == at
+    assert len(set(number.values())) == len(number) == len(own.vocabulary) - 1  # one more word: the beginning
+    assert own.begin not in number.values() and own.vocabulary[own.begin] == py.BEGIN
+    assert [int(c) for c in own.count] == [sum(at == i for at, t in zip(own.word, own.train) if t) for i in range(len(own.vocabulary))]
+
+
+def test_first_of_equal_hashes():
+    rng = np.random.default_rng(2)
+    for h in (rng.integers(0, 1 << 63, 5_000).astype(np.uint64).repeat(2), rng.integers(1 << 40, (1 << 40) + 300, 1_000).astype(np.uint64),
+              np.array([9], np.uint64), np.full(5, 7, np.uint64)):
+        h = rng.permutation(h)
+        for got, want in zip(py._first_hashes(h), np.unique(h, return_index=True, return_inverse=True)):
+            assert np.array_equal(got, want)
