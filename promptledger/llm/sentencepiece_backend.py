@@ -36,8 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptledger.llm.batches import released
+
 MARK = "▁"
 CACHED_SEGMENTS = 800_000
+LEARNED = 4_096          # segments encoded at once: the tokenizer's results are far larger than the ids
 ENCODE_CHARS = 2_000_000
 
 # Fixed values of the model file format: field numbers and enumerations.
@@ -208,17 +211,22 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Per text: ids (little-endian, 4 bytes), parity, round trip."""
         if len(self.known) > CACHED_SEGMENTS:
-            for kept in (self.known, self.disagree, self.broken):
-                kept.clear()
+            self.forget()
         split = [self._keys(t) for t in texts]
         new = {k for keys in split for k in keys}.difference(self.known)
-        if new:
-            self._learn(list(new))
+        new = list(new)
+        for lo in range(0, len(new), LEARNED):
+            self._learn(new[lo: lo + LEARNED])
         known = self.known.__getitem__
         ids = [b"".join(map(known, keys)) for keys in split]
         return [(own, agreed, not self.broken or self.broken.isdisjoint(keys))
                 for own, agreed, keys in zip(ids, self._agree(texts, split, ids), split)]
 
+    def forget(self) -> None:
+        """Empty the cache of segments."""
+        for kept in (self.known, self.disagree, self.broken):
+            kept.clear()
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, without the marker that was put in front."""
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -273,11 +281,12 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, len(part)) for c in keep] + cols, names=keep + new)
                 lo += len(part)
+        own.forget()  # the worker lives on for other steps, and a task's segments are several times the model
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"]
                        + ["ids array<int>"] * with_ids)
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(lambda b: released(of(b)), schema)
 
 
 def decode(encoded: DataFrame, model: str, threads: int | None = None) -> DataFrame:

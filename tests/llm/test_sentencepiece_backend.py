@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from llm_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
@@ -85,3 +86,27 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2, "y")], "doc_id long, text string, _text string, n_tokens long, _TEXT_ string")
     r = sb.encode(df, PATH).first()
     assert (r["_text"], r["_TEXT_"], r["text"]) == ("x", "y", "a b") and r.n_tokens == len(r.ids) and r.parity and r.round_trip
+
+
+def test_workers_keep_no_segments_of_a_task(spark):
+    docs = spark.createDataFrame([(i, f"segment{i} and {i * 7919}") for i in range(400)], "doc_id long, text string").repartition(4, "doc_id")
+    assert sb.encode(docs, PATH, threads=2).where("parity and round_trip").count() == 400
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(sb.codec(PATH, 2).known)], pa.int64())], names=["held"])
+
+    assert [r.held for r in docs.select("doc_id").mapInArrow(held, "held long").where("held > 0").collect()] == []
+
+
+def test_segments_are_learnt_a_bounded_number_at_a_time(monkeypatch):
+    own, sizes = sb.Codec(PATH), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda keys: (sizes.append(len(keys)), learn(keys)))
+    text = " ".join(f"w{i}" for i in range(10_000))
+    ((ids, parity, back),) = own.encode([text])
+    assert parity and back and max(sizes) <= sb.LEARNED and sum(sizes) == len(own.known) == 10_000
+    assert np.frombuffer(ids, "<u4").tolist() == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
+    own.forget()
+    assert not own.known
