@@ -88,6 +88,24 @@ def test_no_python_udf_in_feature_plan(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_no_method_of_the_features_is_too_long_to_be_compiled(spark, tmp_dir):
+    """The JVM interprets methods of more than 8,000 bytes of bytecode."""
+    spark.createDataFrame([("Write a list",)], "prompt string").write.parquet(f"{tmp_dir}/prompts")
+    plan = tx.add_features(spark.read.parquet(f"{tmp_dir}/prompts"))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(plan)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert max(sizes, default=0) <= 8_000, sizes
+
+
+def test_entries_in_every_list_and_in_none(spark):
+    every = " ".join(S.CONSTRAINT_WORDS + S.REASONING_WORDS + S.COMPLEXITY_WORDS + S.INSTRUCTION_WORDS + S.STEP_MARKERS)
+    r = tx.add_features(spark.createDataFrame([(every,), (None,), ("",)], "prompt string")).collect()
+    names = ("num_constraints", "reasoning_keywords", "complexity_keywords", "instruction_keywords", "output_format_complexity")
+    assert [r[0][n] for n in names] == [9.0, 22.0, 12.0, 16.0, 1.0]
+    assert [r[i][n] for i in (1, 2) for n in names] == [0.0] * 10
+
+
 def test_features_match_on_random_strings(spark):
     """400 seeded random strings over an alphabet of separators,
     Unicode white space, digits and keyword fragments, in one DataFrame."""
