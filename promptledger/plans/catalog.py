@@ -5,6 +5,7 @@ is not SQL-expressible, e.g. a fitted model's predictions)."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1054,9 +1055,11 @@ def q_candidate_results(spark, sf):
 def q_cross_validation(spark, sf):
     """M8: 5-fold accuracy mean and standard deviation of each candidate."""
     data = _prompt_data(spark, sf)
+    names = list(clf.candidates())
+    found = clf.side_by_side(spark, [partial(clf.cross_validate, data, name, 5, fold_col="fold") for name in names])
     out = None
-    for name in clf.candidates():
-        r = clf.cross_validate(data, name, 5, fold_col="fold").select(F.lit(name).alias("candidate"), "*")
+    for name, r in zip(names, found, strict=True):
+        r = r.select(F.lit(name).alias("candidate"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
