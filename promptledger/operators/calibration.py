@@ -12,6 +12,7 @@ two numbers per class and fold.
 from __future__ import annotations
 
 import json
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -21,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classifier import TIERS, build_pipeline, fold_id
+from .classifier import TIERS, build_pipeline, fold_id, side_by_side
 
 
 class PlattCalibrated(Estimator):
@@ -39,8 +40,7 @@ class PlattCalibrated(Estimator):
         folds = df.withColumn("__fold", fold)
         # held-out scores are 3 probabilities and a label per row, persisted
         # (recomputable from lineage) for the sigmoid fits over them
-        members = []
-        for f in range(self.k):
+        def member(f):
             base = build_pipeline(self.estimator.copy()).fit(folds.where(F.col("__fold") != f))
             held = (base.transform(folds.where(F.col("__fold") == f))
                     .select(vector_to_array(F.col("probability")).alias("__p"), "label_idx")
@@ -54,8 +54,9 @@ class PlattCalibrated(Estimator):
                 m = lr.fit(one)
                 coefs.append((float(m.coefficients[0]), float(m.intercept)))
             held.unpersist()
-            members.append((base, coefs))
-        return PlattCalibratedModel(members)
+            return base, coefs
+
+        return PlattCalibratedModel(side_by_side(df.sparkSession, [partial(member, f) for f in range(self.k)]))
 
 
 class PlattCalibratedModel(Model):

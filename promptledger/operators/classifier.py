@@ -193,12 +193,15 @@ def train_candidates(train: DataFrame, test: DataFrame, fit=None) -> tuple[dict,
     spark = train.sparkSession
     train = with_weights(train.drop("weight"))
     fit = fit or (lambda est, rows: build_pipeline(est).fit(rows))
-    fitted, rows = {}, []
-    for i, (name, est) in enumerate(candidates(train.count()).items()):
+
+    def one(est):
         model = fit(est, train)
-        fitted[name] = model
-        acc = accuracy(score(model, test)).select("accuracy").first()[0]
-        rows.append((name, i, float(acc or 0.0)))
+        return model, accuracy(score(model, test)).select("accuracy").first()[0]
+
+    ests = candidates(train.count())
+    done = side_by_side(spark, [partial(one, est) for est in ests.values()])
+    fitted = {name: model for name, (model, _) in zip(ests, done, strict=True)}
+    rows = [(name, i, float(acc or 0.0)) for i, (name, (_, acc)) in enumerate(zip(ests, done, strict=True))]
     results = spark.createDataFrame(rows, "candidate string, candidate_order int, accuracy double")
     return fitted, results
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptledger import settings as S
+from promptledger.operators import calibration as cal
 from promptledger.operators import classifier as clf
 
 
@@ -51,3 +52,14 @@ def test_folds_are_fitted_side_by_side(rows, monkeypatch):
     monkeypatch.setattr(clf, "build_pipeline", lambda est: Meeting(build(est), barrier))
     r = clf.cross_validate(rows, "logistic_regression", 3, fold_col="fold").first()
     assert r.folds == 3 and r.cv_mean == pytest.approx(sum(accs) / 3)
+
+
+def test_calibration_members_are_fitted_side_by_side(rows, monkeypatch):
+    build, barrier = clf.build_pipeline, threading.Barrier(3)
+    est = clf.candidates(rows.count())["logistic_regression"]
+    alone = [build(est.copy()).fit(rows.where(F.col("fold") != f)).stages[-1] for f in range(3)]
+    monkeypatch.setattr(cal, "build_pipeline", lambda e: Meeting(build(e), barrier))
+    members = cal.PlattCalibrated(est, k=3, fold_col="fold").fit(rows).members
+    for lr, (base, coefs) in zip(alone, members, strict=True):
+        assert base.stages[-1].coefficientMatrix.toArray() == pytest.approx(lr.coefficientMatrix.toArray())
+        assert len(coefs) == 3
