@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from promptledger.llm.batches import ByteSums, Run, combine, mix, released, runs, shingles, take
 from promptledger.llm.components import components, extended
-from promptledger.llm.storage import small, written
+from promptledger.llm.storage import bounded_batches, small, written
 
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16          # slots summed together
@@ -221,13 +221,18 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
                 linked.append(den * same >= num * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_())], names=["x", "y", "linked"])
 
-    return written(both.mapInArrow(verify, "x long, y long, linked boolean"), "jaccard-verified")
+    return written(both.mapInArrow(lambda b: released(verify(b)), "x long, y long, linked boolean"), "jaccard-verified")
 
 
 def join(docs: DataFrame, k: int, num: int, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc_id, n_shingles, rep), links (x, y) between representatives of classes with
     ``den`` * intersection >= ``num`` * union (links within one component may be left out), and the
     components (id, component) of the linked ones."""
+    with bounded_batches(docs.sparkSession):  # whole sets are sent in pairs, so rows alone bound nothing
+        return _joined(docs, k, num, den)
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slots = MIN_SLOTS
     while slots < min(MAX_SLOTS, SLOTS_PER_DOC * docs.count()):
