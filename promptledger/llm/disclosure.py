@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.storage import small, written
+from promptledger.llm.storage import BROADCAST_ROWS, small, written
 
 # The kinds, in order, and their patterns (possessive and guarded
 # so that a long run of characters is read once; matches are the same).
@@ -140,6 +140,12 @@ def disclosing(found: DataFrame) -> DataFrame:
             .select("entity", "term", "share", F.when(F.col("share") >= REMOVE_AT, KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("action")))
 
 
+def _light(df: DataFrame, items: str) -> DataFrame:
+    """Marked for broadcast if its rows and their items, both counted, are few: whole texts are then not dealt out to meet them."""
+    n, inside = df.agg(F.count("*"), F.sum(F.size(items))).first()
+    return F.broadcast(df) if max(n, inside or 0) <= BROADCAST_ROWS else df
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, key and all spans (base ones and disclosing terms) of every row of ``docs(doc_id, text)``."""
     found = found_in(docs)
@@ -147,11 +153,12 @@ def spans_of(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
     hits = (found.select("doc_id", "key", F.explode("terms").alias("term")).join(small(rules), "term").groupBy("doc_id", "key")
             .agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("rules")).withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(hits, same).dropDuplicates(["_id", "_key"])
+    hits = _light(written(hits, "private-hits"), "rules")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(hits, same)
     every = located(F.col("text"), TERM, lambda value: F.map_contains_key("rules", F.lower(value)))
     more = F.transform(every, lambda t: F.struct(t["start"].alias("start"), F.get(F.map_values(F.map_filter("rules", lambda k, _: k == F.lower(t["value"]))), F.lit(0)).alias("k"),
                                                  t["end"].alias("end"), F.lower(t["value"]).alias("value")))
-    added = written(texts.select("_id", "_key", more.alias("more")), "private-added")
+    added = written(texts.select("_id", "_key", more.alias("more")).dropDuplicates(["_id", "_key"]), "private-added")
     none = F.array().cast(f"array<{SPAN}>")
     # a term that overlaps a span is part of it
     own = F.filter(F.coalesce("more", none), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
@@ -171,8 +178,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced: ``[EMAIL]`` and so on, nothing for a removed term, ``[TERM]`` for a generalised one."""
-    found = (spans_of(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans")
-             .dropDuplicates(["_id", "_key"]).withColumnRenamed("spans", "_spans"))
+    found = (spans_of(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
+             F.transform("spans", lambda s: s.dropFields("value")).alias("_spans")).dropDuplicates(["_id", "_key"]))
+    found = _light(written(found, "private-found"), "_spans")
     first = F.struct(F.lit(0).alias("to"), F.lit("").alias("text"))
     mark = F.array(*map(F.lit, ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")))
     text = F.col("text")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from llm_rows import prose
 from pyspark.sql import functions as F
 
-from promptledger.llm import batches, jaccard_join, storage
+from promptledger.llm import batches, disclosure, jaccard_join, storage
 
 
 def test_batches_are_bounded_in_bytes(spark):
@@ -43,3 +43,30 @@ def test_a_task_gives_freed_memory_back():
     before = resident()
     assert list(batches.released(iter([1]))) == [1]
     assert last.sum() == 100_000 and before - resident() > 75_000_000
+
+
+def test_texts_are_not_dealt_out_to_meet_few_spans(spark, monkeypatch):
+    plans, real = {}, storage.written
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(disclosure, "written", lambda df, name: (plans.update({name: plan_of(df)}), real(df, name))[1])
+    rows = [(i, f"note {'abcd'[i]} about zorbax who writes from jo.doe@mail.example to {w} today", "more") for i, w in enumerate(("berlin", "paris", "rome", "oslo"))]
+    rows += [(10 + i, "many people write about today and from there note who writes " * 40 + str(i), "more") for i in range(20)]
+    rows += [rows[0], (60, "zorbax at jo.doe@mail.example", "more"), (60, "zorbax at jo.doe@mail.example", "other"), (None, "zorbax jo.doe@mail.example", None), (50, None, "more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+
+    def check(out):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == len(rows)
+        assert sorted((r.key, r.text) for r in got if r.doc_id == 60) == [("more", " at [EMAIL]"), ("other", " at [EMAIL]")]
+        assert [r.text for r in got if r.doc_id is None] == [" [EMAIL]"] and [r.text for r in got if r.doc_id == 50] == [None]
+        assert sum(r.doc_id == 0 and "[EMAIL]" in r.text and "zorbax" not in r.text for r in got) == 2
+        return sorted(map(str, got))
+
+    out = disclosure.sanitise(docs)
+    assert "rightHint=(strategy=broadcast)" in plan_of(out) and "rightHint=(strategy=broadcast)" in plans["private-added"]
+    assert not any("first(text" in p for p in plans.values())
+    few = check(out)
+    monkeypatch.setattr(disclosure, "BROADCAST_ROWS", 3)
+    out = disclosure.sanitise(docs)
+    assert "strategy=broadcast" not in plan_of(out) + plans["private-added"]
+    assert check(out) == few
