@@ -41,7 +41,7 @@ from promptledger.llm.batches import released
 MARK = "▁"
 CACHED_SEGMENTS = 800_000
 LEARNED = 4_096          # segments encoded at once: the tokenizer's results are far larger than the ids
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 250_000    # texts split at once: the words of a part, as Python strings, are many times its size
 
 # Fixed values of the model file format: field numbers and enumerations.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3

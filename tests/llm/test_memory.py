@@ -8,7 +8,7 @@ import pyarrow as pa
 from llm_rows import prose
 from pyspark.sql import functions as F
 
-from promptledger.llm import batches, disclosure, jaccard_join, storage
+from promptledger.llm import batches, disclosure, jaccard_join, sentencepiece_backend, storage
 
 
 def test_batches_are_bounded_in_bytes(spark):
@@ -70,3 +70,10 @@ def test_texts_are_not_dealt_out_to_meet_few_spans(spark, monkeypatch):
     out = disclosure.sanitise(docs)
     assert "strategy=broadcast" not in plan_of(out) + plans["private-added"]
     assert check(out) == few
+
+
+def test_texts_are_encoded_in_small_parts():
+    texts = [None, "", "a" * 1_000_000] + ["some words " * 100] * 1_000
+    parts = list(sentencepiece_backend._parts(texts))
+    assert [t for p in parts for t in p] == [t or "" for t in texts]
+    assert max(sum(map(len, p)) for p in parts[1:]) < 260_000
